@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, utf8
@@ -343,9 +343,16 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     return slim.mapInArrow(run, f"_key {slim.schema['_key'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("_key", doc_id)
 
 
+def _of(kinds: list[str]) -> Column:
+    return F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in RULES[:3]]
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [F.size(_of([k])).cast("long").alias(f"n_{k}") for k in base]
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(_joined(_of(base)).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
