@@ -2,14 +2,238 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import facts as fa
+from .operators import graph as gr
+from .operators import paths as pa
+from .operators import records as re_
+from .operators import symbols as sy
+from .operators import verdict as ve
+from .plans.views import view, with_views
+from .streaming import events as ev
+
 FLAGSHIP = "alarm_location_paths"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
-def queries() -> dict:
+def register(name: str, views: str, build: Callable[..., DataFrame], sql: str | None) -> None:
+    names = views.split()
+    QUERIES[name] = lambda spark, sf_dir: build(*[view(spark, sf_dir, v) for v in names])
+    if sql:
+        SQL[name] = with_views(names, sql)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def _flat(df: DataFrame, *arrays: str) -> DataFrame:
+    return df.withColumns({a: F.array_join(F.col(a).cast("array<string>"), ",") for a in arrays})
+
+
+# --- paths ---
+
+_TR = """, p as (select pver_id, block_no, pos, entry, regexp_extract(entry, '^\\s*call#(.*?) at ', 1) as fn_raw,
+  trim(split_part(regexp_extract(entry, '^\\s*call#(.*?) at ', 1), '|', 1)) as fn, cast(regexp_extract(entry, ' at [^:]*:(\\d+)', 1) as integer) as call_site_line from frames),
+st as (select pver_id, block_no, string_agg(entry, ' > ' order by pos) as stack, string_agg(fn || ':' || call_site_line, ',' order by pos) as steps,
+  string_agg(fn, '>' order by pos) as fns, list(fn order by pos) as fl, list(fn || ':' || call_site_line order by pos) as sl from p group by 1, 2),
+tr as (select h.*, coalesce(stack, '') as stack, coalesce(steps, '') as steps, coalesce(fns, '') as fns, coalesce(fl, []) as fl, coalesce(sl, []) as sl from heads h left join st using (pver_id, block_no)),
+un as (select pver_id, location, stack, min(block_no) as first_block, count(*) as n, first(steps) as steps, first(fns) as fns, first(fl) as fl, first(sl) as sl from tr group by 1, 2, 3),
+pt as (select *, row_number() over (partition by pver_id, location order by first_block) as path_id from un),
+cl0 as (select pver_id, location, steps, count(*) as size, min(path_id) as rep, string_agg(path_id, ',' order by path_id) as members, list(path_id) as ml, first(sl) as sl from pt group by 1, 2, 3),
+cl as (select *, row_number() over (partition by pver_id, location order by size desc, rep) as rank from cl0)
+"""
+_classes = lambda f, h: pa.path_classes(pa.path_records(f, h))
+
+register("alarm_location_paths", "frames heads", pa.alarm_location_paths, _TR + "select pver_id, location, count(*) as n_traces, count(distinct stack) as n_paths, count(distinct steps) as n_classes from tr group by 1, 2")
+register("p05_parse_frames", "frames", lambda f: pa.parse_frames(f), _TR.split("st as")[0].rstrip().rstrip(",") + " select * from p")
+register("p04_parse_location", "heads", lambda h: h.select("pver_id", "block_no", S.location_parts(F.col("location")).alias("l")).select("pver_id", "block_no", "l.*"), r"""
+select pver_id, block_no, cast(regexp_extract(location, ':(\d+)\.(\d+)-', 1) as integer) as line1, cast(regexp_extract(location, ':(\d+)\.(\d+)-', 2) as integer) as col1,
+  cast(case when regexp_matches(location, '-\d+\.\d+$') then regexp_extract(location, '-(\d+)\.', 1) else regexp_extract(location, ':(\d+)', 1) end as integer) as line2,
+  cast(regexp_extract(location, '(\d+)$', 1) as integer) as col2, regexp_extract(location, ':(.*)$', 1) as numeric_key from heads""")
+register("a01_trace_counts", "frames heads", pa.trace_counts, _TR + "select pver_id, location, count(*) as no_of_traces, count(distinct stack) as no_of_paths from tr group by 1, 2")
+register("a02_path_records", "frames heads", lambda f, h: pa.path_records(f, h).select(*pa.GROUP, "path_id", "first_block", "n", F.array_join("call_stack", " > ").alias("stack")), _TR + "select pver_id, location, cast(path_id as integer) as path_id, first_block, n, stack from pt")
+register("w01_group_ids", "heads", pa.group_ids, ", g as (select pver_id, location, min(block_no) as first_block from heads group by 1, 2) select *, cast(row_number() over (partition by pver_id order by first_block) as integer) as group_id from g")
+register("a08_path_classes", "frames heads", lambda f, h: _flat(_classes(f, h).select(*pa.GROUP, "class_id", "size", "representative_path_id", "member_path_ids", F.array_join("steps", ",").alias("steps")), "member_path_ids"), _TR + "select pver_id, location, 'C' || rank as class_id, size, cast(rep as integer) as representative_path_id, members as member_path_ids, steps from cl")
+register("a09_cluster_classes", "frames heads", lambda f, h: _flat(pa.cluster_classes(_classes(f, h), 3), "member_path_ids"), _TR + """, m as (select *, max(rank) over (partition by pver_id, location) as nc, case when len(sl) > 3 then sl[-3:] else sl end as suffix from cl),
+k0 as (select pver_id, location, suffix, cast(sum(size) as bigint) as size, min(rank) as best, array_to_string(list_sort(list_distinct(flatten(list(ml)))), ',') as members, arg_min(rep, rank) as rep from m where nc > 3 group by 1, 2, 3),
+k as (select *, row_number() over (partition by pver_id, location order by size desc, best) as kr from k0)
+select pver_id, location, 'C' || rank as class_id, size, members as member_path_ids, cast(rep as integer) as representative_path_id, 'full' as coverage from m where nc <= 3
+union all select pver_id, location, 'K' || kr, size, members, cast(rep as integer), 'partial' from k where kr <= 3""")
+register("a10_class_edges", "frames heads", lambda f, h: pa.class_edges(_classes(f, h)), _TR + ", e as (select pver_id, location, rank, unnest(list_zip(sl[:-2], sl[2:])) as e from cl where len(sl) > 1) select pver_id, location, e[1] as src, e[2] as dst, 'C' || min(rank) as class_id from e group by 1, 2, 3, 4")
+register("a11_call_tree", "frames heads", lambda f, h: pa.call_tree(pa.path_records(f, h)), _TR + ", e as (select pver_id, location, fl, unnest(range(1, len(fl) + 1)) as i from pt) select pver_id, location, array_to_string(fl[1:i], '>') as prefix, count(*) as n_paths from e group by 1, 2, 3")
+register("w02_unique_sequences", "frames heads", pa.unique_sequences, _TR + """, d as (select *, lag(fn) over (partition by pver_id, block_no order by pos) as was from p),
+q as (select pver_id, block_no, string_agg(fn, '>' order by pos) as seq from d where was is null or was <> fn group by 1, 2)
+select pver_id, location, seq, min(block_no) as first_block, count(*) as n from heads join q using (pver_id, block_no) group by 1, 2, 3""")
+register("w03_path_edges", "frames", pa.path_edges, _TR.split("st as")[0].rstrip().rstrip(",") + ", d as (select *, lead(fn) over (partition by pver_id, block_no order by pos) as dst from p) select distinct pver_id, block_no, fn as src, dst from d where dst is not null and dst <> fn")
+register("j16_edge_kinds", "frames cfg_edges", lambda f, c: pa.edge_kinds(pa.path_edges(f).select("pver_id", "src", "dst").distinct(), c), _TR.split("st as")[0].rstrip().rstrip(",") + """, d as (select *, lead(fn) over (partition by pver_id, block_no order by pos) as dst from p),
+e as (select distinct pver_id, fn as src, dst from d where dst is not null and dst <> fn), c as (select distinct pver_id, caller, callee from cfg_edges)
+select e.pver_id, src, dst, case when c.caller is null then 'path' else 'direct' end as kind from e left join c on e.pver_id = c.pver_id and src = caller and dst = callee""")
+register("j03_attach_traces", "alarms heads", lambda a, h: pa.attach_traces(a.select("pver_id", "location").distinct(), h), r""", g as (select distinct pver_id, location from alarms),
+x as (select g.pver_id, g.location, h.block_no, 'exact' as how from g join heads h on g.pver_id = h.pver_id and g.location = h.location),
+r as (select *, regexp_extract(location, ':(.*)$', 1) as k from g where not exists (select 1 from heads h where h.pver_id = g.pver_id and h.location = g.location))
+select * from x union all select r.pver_id, r.location, h.block_no, case when h.block_no is null then 'none' else 'numbers' end from r left join heads h on r.pver_id = h.pver_id and k = regexp_extract(h.location, ':(.*)$', 1)""")
+register("j17_paths_with_variable", "frames heads", lambda f, h: pa.paths_with_variable(pa.path_records(f, h), h.select("pver_id", F.lit("fn_3").alias("fn")).distinct()), _TR + "select pver_id, location, cast(path_id as integer) as path_id from pt where list_contains(fl, 'fn_3')")
+register("a14_path_roles", "frames heads", lambda f, h: pa.path_roles(pa.path_records(f, h)), _TR + """, e as (select pver_id, location, path_id, fl, unnest(range(1, len(fl) + 1)) as i from pt),
+r as (select pver_id, location, fl[i] as fn, bool_or(i = 1) as a, bool_or(i = len(fl)) as z, count(distinct path_id) as n_paths from e group by 1, 2, 3)
+select pver_id, location, fn, case when a and z then 'origin_and_alarm' when z then 'alarm' when a then 'origin' else 'hop' end as role, n_paths from r""")
+
+# --- graph ---
+
+_E = ", e as (select distinct pver_id, caller, callee from cfg_edges), x as (select pver_id, caller as fn, 1 as o, 0 as i from e union all select pver_id, callee, 0, 1 from e), dg as (select pver_id, fn, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree, cast(sum(o + i) as bigint) as degree from x group by 1, 2)\n"
+register("u01_close_graph", "cfg_edges", gr.close_graph, _E + "select pver_id, fn, out_degree > 0 as defined from dg")
+register("a06_degrees", "cfg_edges", gr.degrees, _E + "select * from dg")
+register("a07_edge_weights", "cfg_edges", gr.edge_weights, "select pver_id, caller, callee, cast(sum(w) as bigint) as weight from cfg_edges group by 1, 2, 3")
+register("a22_merge_callees", "cfg_edges", lambda e: _flat(gr.merge_callees(e.withColumn("seq", -F.col("w"))), "callees"), ", s as (select pver_id, caller, callee, min(-w) as seq from cfg_edges group by 1, 2, 3) select pver_id, caller, string_agg(callee, ',' order by seq, callee) as callees from s group by 1, 2")
+register("l01_hubs", "cfg_edges", lambda e: gr.hubs(gr.degrees(e)), _E + ", r as (select *, cast(row_number() over (partition by pver_id order by degree desc, fn) as integer) as rank from dg) select * from r where rank <= 40")
+register("l02_search_functions", "cfg_edges", lambda e: gr.search_functions(gr.degrees(e), "FN_1"), _E + ", r as (select *, cast(row_number() over (partition by pver_id order by fn) as integer) as rank from dg where contains(lower(fn), 'fn_1')) select * from r where rank <= 30")
+register("j15_neighborhood", "cfg_edges", lambda e: gr.neighborhood(e, e.where("callee in ('fn_1', 'fn_20', 'fn_77')").select("pver_id", F.col("callee").alias("fn")).distinct()), _E + """, n as (select pver_id, callee as fn, caller as other, 'caller' as side from e union all select pver_id, caller, callee, 'callee' from e),
+w as (select distinct pver_id, callee from e where callee in ('fn_1', 'fn_20', 'fn_77')),
+r as (select n.*, cast(row_number() over (partition by n.pver_id, fn, side order by other) as integer) as rank, count(*) over (partition by n.pver_id, fn, side) as total from n join w on n.pver_id = w.pver_id and fn = callee)
+select * from r where rank <= 10""")
+register("g01_caller_chain", "cfg_edges", lambda e: gr.caller_chain(e.select("pver_id", F.col("callee").alias("fn")).distinct(), e), _E.replace(", e as", "--recursive, e as", 1) + """, c(pver_id, fn, cur, chain, n) as (select distinct pver_id, callee, callee, [callee], 1 from e
+ union all select pver_id, fn, nx, list_append(chain, nx), n + 1 from (select c.pver_id, c.fn, c.chain, c.n, (select min(e.caller) from e where e.pver_id = c.pver_id and e.callee = c.cur and not list_contains(c.chain, e.caller)) as nx from c where c.n < 12) t where nx is not null),
+m as (select pver_id, fn, arg_max(chain, n) as chain from c group by 1, 2) select pver_id, fn, array_to_string(list_reverse(chain), '>') as chain from m""")
+register("g02_leaf_distance", "cfg_edges", lambda e: gr.leaf_distance(e, e.where("callee = 'fn_7'").select("pver_id", F.col("callee").alias("leaf")).distinct()), _E + """, d0 as (select distinct pver_id, callee as leaf, callee as fn, 0 as distance from e where callee = 'fn_7'),
+d1 as (select distinct d.pver_id, leaf, caller as fn, 1 as distance from d0 d join e on e.pver_id = d.pver_id and callee = fn), d2 as (select distinct d.pver_id, leaf, caller as fn, 2 as distance from d1 d join e on e.pver_id = d.pver_id and callee = fn),
+d3 as (select distinct d.pver_id, leaf, caller as fn, 3 as distance from d2 d join e on e.pver_id = d.pver_id and callee = fn), d4 as (select distinct d.pver_id, leaf, caller as fn, 4 as distance from d3 d join e on e.pver_id = d.pver_id and callee = fn),
+u as (select * from d0 union all select * from d1 union all select * from d2 union all select * from d3 union all select * from d4) select pver_id, leaf, fn, cast(min(distance) as integer) as distance from u group by 1, 2, 3""")
+_members = lambda e: e.select("pver_id", F.explode(F.array("caller", "callee")).alias("fn")).distinct().where(F.regexp_extract("fn", r"(\d+)$", 1).cast("int") < 40).select("pver_id", F.lit(1).cast("long").alias("grp"), "fn", F.regexp_extract("fn", r"(\d+)$", 1).cast("int").alias("position"), (F.col("fn") == "fn_7").alias("is_leaf"))
+register("g03_execution_order", "cfg_edges", lambda e: gr.execution_order(_members(e), e), None)
+register("g04_execution_role", "cfg_edges", lambda e: gr.execution_role(_members(e).withColumn("place", F.col("position"))).select("pver_id", "fn", "role"), r""", m as (select distinct pver_id, unnest([caller, callee]) as fn from cfg_edges), n as (select *, cast(regexp_extract(fn, '(\d+)$', 1) as integer) as p from m where cast(regexp_extract(fn, '(\d+)$', 1) as integer) < 40)
+select pver_id, fn, case when fn = 'global' then 'declaration' when p = max(p) over (partition by pver_id) then 'leaf' else 'intermediate' end as role from n""")
+
+# --- alarm records ---
+
+_G = ", g as (select pver_id, location, min(block_no) as fb from heads group by 1, 2), gi as (select pver_id, location, cast(row_number() over (partition by pver_id order by fb) as integer) as group_id from g)\n"
+register("p01_alarm_text", "alarms", lambda a: a.select("pver_id", "alarm_seq", S.alarm_text(F.col("message"), F.col("category"), F.col("location")).alias("text")), """
+select pver_id, alarm_seq, case when category not like 'Out-of-bound%' and not contains(lower(message), 'array_out_of_bounds') then null when message <> '' then message || ' at ' || location else 'ALARM (A) array_out_of_bounds at ' || location end as text from alarms""")
+register("p02_is_aoob", "heads", lambda h: h.select("pver_id", "block_no", S.is_aoob(F.col("alarm")).alias("aoob")), "select pver_id, block_no, contains(lower(alarm), 'array_out_of_bounds') as aoob from heads")
+register("p06_bare_fn", "frames", lambda f: f.select("pver_id", S.bare_fn(S.frame_fn(F.col("entry"))).alias("fn")).groupBy("pver_id", "fn").count().withColumnRenamed("count", "n"), r"select pver_id, regexp_extract(entry, '^call#([^ |]*)', 1) as fn, count(*) as n from frames group by 1, 2")
+register("p07_order_key", "alarms", lambda a: a.select("alarm_seq", S.order_key(F.col("order_id")).alias("order_key")), "select alarm_seq, replace(trim(order_id), ',', '') as order_key from alarms")
+register("p18_display_variable", "alarms", lambda a: a.select("alarm_seq", S.display_variable(F.when(F.col("alarm_seq") % 3 == 0, F.col("message")), F.lit("items"), F.when(F.col("alarm_seq") % 2 == 0, "i").otherwise("")).alias("variable")), "select alarm_seq, case when alarm_seq % 3 = 0 and trim(message) <> '' then trim(message) when alarm_seq % 2 = 0 then 'items[i]' else 'items' end as variable from alarms")
+register("j01_alarm_records", "alarms heads", lambda a, h: re_.alarm_records(a, pa.group_ids(h)), _G + "select a.*, gi.group_id from alarms a left join gi on a.pver_id = gi.pver_id and a.location = gi.location")
+register("j02_resolve_orders", "alarms heads", lambda a, h: re_.resolve_orders(a.select("pver_id", F.col("order_id").alias("key")).distinct(), pa.group_ids(h), a), _G + """, o as (select pver_id, replace(order_id, ',', '') as k, arg_max(location, alarm_seq) as location from alarms group by 1, 2), q as (select distinct pver_id, order_id as key, replace(order_id, ',', '') as k from alarms)
+select q.pver_id, q.key, coalesce(g1.group_id, g2.group_id) as group_id, case when g1.group_id is not null then 'group' when g2.group_id is not null then 'order' else 'none' end as how
+from q left join gi g1 on g1.pver_id = q.pver_id and cast(g1.group_id as string) = q.k left join o on o.pver_id = q.pver_id and o.k = q.k left join gi g2 on g2.pver_id = o.pver_id and g2.location = o.location""")
+register("w13_latest_runs", "run_events", lambda e: re_.latest_runs(e.select("pver_id", "order_key", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))), "select pver_id, order_key, max(strftime(ts, '%Y%m%dT%H%M%SZ')) as stamp, count(*) as runs from run_events group by 1, 2")
+register("a15_enrichment_report", "heads cfg_edges", lambda h, e: re_.enrichment_report(h, pa.group_ids(h), e), """, b as (select pver_id, count(*) as blocks, count(*) filter (contains(lower(alarm), 'array_out_of_bounds')) as matched, count(distinct location) as groups from heads group by 1), c as (select pver_id, count(*) as edges, count(distinct caller) as functions from cfg_edges group by 1)
+select b.*, c.edges, c.functions from b left join c using (pver_id)""")
+register("s09_project_inventory", "alarms heads", lambda a, h: re_.project_inventory(h.select("pver_id", F.explode(F.array(F.lit("Alarms.csv"), F.lit("input.c"), F.when(F.col("pver_id") > "4", F.lit("cfg.json")))).alias("name")).where("name is not null").distinct(), a), """
+select p.pver_id, 'Alarms.csv' as alarm_file, cast(null as string) as log_file, 'input.c' as source_file, case when p.pver_id > '4' then 'cfg.json' end as graph_file, coalesce(n, 0) as n_alarms, case when p.pver_id > '4' then 'ready' else 'needs_build' end as state
+from (select distinct pver_id from heads) p left join (select pver_id, count(*) as n from alarms group by 1) c using (pver_id)""")
+
+# --- lines and symbols ---
+
+_GUARD = r"(?i)\b(if|while|for|switch|assert)\b|&&|<=|>=|==|!=|[^<]<[^<]|[^>\-]>[^>]|&\s*0x|%|\b(clamp|min|max|limit)\w*\s*\("
+_OCC = r""", k as (select *, list_filter(regexp_extract_all(text, '([A-Za-z_]\w*|\d\w*|[^\sA-Za-z_\d]+|\s+)'), lambda x: true) as ps from code_lines),
+t as (select pver_id, file_id, line_no, text, ps, unnest(range(1, len(ps) + 1)) as i from k),
+s as (select pver_id, file_id, line_no, text, ps[i] as symbol, cast(1 + length(array_to_string(ps[1:i-1], '')) as integer) as col_start, array_to_string(ps[1:i-1], '') as before, array_to_string(ps[i+1:], '') as after from t
+ where regexp_matches(ps[i], '^[A-Za-z_]') and ps[i] not in ('auto','break','case','char','const','continue','default','do','double','else','enum','extern','float','for','goto','if','int','long','register','return','short','signed','sizeof','static','struct','switch','typedef','union','unsigned','void','volatile','while')),
+o0 as (select *, regexp_matches(before, '^\s*(?:(?:static|const|extern)\s+)*[A-Za-z_]\w*\s+\**$') and not regexp_matches(before, '^\s*return\b') as decl,
+ length(regexp_replace(before, '[^(]', '', 'g')) - length(regexp_replace(before, '[^)]', '', 'g')) as depth from s
+ where not regexp_matches(after, '^\s*\(') and not (regexp_matches(after, '^\s+\**[A-Za-z_]') and trim(before) = '')),
+o1 as (select *, case when decl then 'declaration' when regexp_matches(before, '(^|[^&])&\s*$') then 'address' when regexp_matches(after, '^(\s*\[[^\]]*\])?\s*(=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)') then 'write'
+ when depth > 0 and regexp_matches(before, '\w\s*\([^()]*$') and not regexp_matches(before, '\b(if|while|for|switch|return)\s*\(+[^()]*$') then 'parameter' else 'read' end as access from o0),
+occ as (select pver_id, file_id, line_no, symbol, col_start, cast(col_start + length(symbol) as integer) as col_end, access, case when access in ('parameter', 'address') then regexp_extract(before, '([A-Za-z_]\w*)\s*\([^()]*$', 1) end as callee, text as line_text from o1)
+"""
+register("x06_occurrences", "code_lines", sy.occurrences, _OCC + "select * from occ")
+register("j10_wanted_tokens", "code_lines", lambda c: sy.wanted_tokens(sy.line_tokens(c), c.select(F.lit("idx_3").alias("symbol")).distinct()).select(*sy.LINE, "symbol", "col_start"), _OCC + "select pver_id, file_id, line_no, symbol, col_start from s where symbol = 'idx_3'")
+register("a03_access_counts", "code_lines", lambda c: sy.access_counts(sy.occurrences(c)), _OCC + "select pver_id, symbol, count(*) filter (access = 'declaration') as n_declaration, count(*) filter (access = 'address') as n_address, count(*) filter (access = 'write') as n_write, count(*) filter (access = 'parameter') as n_parameter, count(*) filter (access = 'read') as n_read, count(*) as occurrence_count from occ group by 1, 2")
+register("a04_used_in", "code_lines", lambda c: sy.used_in(sy.occurrences(c)), _OCC + "select pver_id, symbol, count(distinct file_id) as n_files, min(file_id) as first_file, max(file_id) as last_file from occ group by 1, 2")
+register("a05_passed_to", "code_lines", lambda c: sy.passed_to(sy.occurrences(c)), _OCC + "select distinct pver_id, symbol, callee, file_id, line_no, case when access = 'address' then 'address' else 'value' end as mode from occ where access in ('parameter', 'address') and callee <> ''")
+register("a12_function_rows", "code_lines", lambda c: sy.function_rows(sy.occurrences(c)), _OCC + "select pver_id, symbol, file_id, count(*) as uses, string_agg(distinct access, ',' order by access) as accesses from occ group by 1, 2, 3")
+register("a13_access_filter", "code_lines", lambda c: sy.access_filter(sy.function_rows(sy.occurrences(c)), "with_read"), _OCC + "select pver_id, symbol, file_id, count(*) as uses, string_agg(distinct access, ',' order by access) as accesses from occ group by 1, 2, 3 having bool_or(access = 'read')")
+register("w07_sample_occurrences", "code_lines", lambda c: sy.sample_occurrences(sy.occurrences(c)).select("pver_id", "symbol", "file_id", "line_no", "col_start", "rn", "total"), _OCC + ", r as (select *, cast(row_number() over (partition by pver_id, symbol order by file_id, line_no, col_start) as integer) as rn, count(*) over (partition by pver_id, symbol) as total from occ) select pver_id, symbol, file_id, line_no, col_start, rn, total from r where total <= 80 or rn <= 40 or rn > total - 40")
+_FR = r""", d as (select *, sum(length(regexp_replace(text, '[^{]', '', 'g')) - length(regexp_replace(text, '[^}]', '', 'g'))) over (partition by pver_id, file_id order by line_no) as d from code_lines),
+d2 as (select *, d - least(0, min(d) over (partition by pver_id, file_id order by line_no)) as depth from d), d3 as (select *, coalesce(lag(depth) over (partition by pver_id, file_id order by line_no), 0) as bf from d2),
+d4 as (select *, sum(case when bf = 0 and depth > 0 then 1 else 0 end) over (partition by pver_id, file_id order by line_no) as body from d3),
+fr as (select pver_id, file_id, cast(body as bigint) as body, min(line_no) as start_line, max(line_no) as end_line, arg_min(text, line_no) as sig_text from d4 where depth > 0 or bf > 0 group by 1, 2, 3)
+"""
+_INT = lambda df: df.withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line", "body") if c in df.columns})
+register("w04_function_ranges", "code_lines", lambda c: _INT(sy.function_ranges(c)), _FR + "select * from fr")
+register("j04_enclosing_function", "code_lines", lambda c: sy.enclosing_function(c, sy.function_ranges(c)), _FR + "select c.pver_id, c.file_id, c.line_no, coalesce('body_' || fr.body, 'global') as fn from code_lines c left join fr on c.pver_id = fr.pver_id and c.file_id = fr.file_id and c.line_no between start_line and end_line")
+register("j06_nearest_span", "code_lines", lambda c: _INT(sy.nearest_span(c.where("line_no % 3 = 1"), sy.function_ranges(c))), _FR + "select c.pver_id, c.file_id, c.line_no, arg_min(body, (abs(floor((start_line + end_line) / 2.0) - c.line_no), start_line)) as body from code_lines c join fr on c.pver_id = fr.pver_id and c.file_id = fr.file_id where c.line_no % 3 = 1 group by 1, 2, 3")
+register("x04_constants", "code_lines", sy.extract_constants, r", c as (select *, regexp_extract(text, '\b(\w+) = (\d+)u?;', 1) as name, regexp_extract(text, '\b(\w+) = (\d+)u?;', 2) as v from code_lines) select pver_id, name, cast(arg_min(v, (file_id, line_no)) as integer) as value from c where name <> '' group by 1, 2")
+register("j09_constant_values", "code_lines", lambda c: sy.constant_values(c.select("pver_id", F.explode(F.array(F.lit("idx_1"), F.lit("idx_2___ab12"), F.lit("none"))).alias("name")).distinct(), sy.extract_constants(c)), r", c as (select *, regexp_extract(text, '\b(\w+) = (\d+)u?;', 1) as name, regexp_extract(text, '\b(\w+) = (\d+)u?;', 2) as v from code_lines), k as (select pver_id, name, cast(arg_min(v, (file_id, line_no)) as integer) as value from c where name <> '' group by 1, 2), n as (select distinct pver_id, unnest(['idx_1', 'idx_2___ab12', 'none']) as name from code_lines) select n.pver_id, n.name, k.value from n left join k on k.pver_id = n.pver_id and k.name = replace(n.name, '___ab12', '')")
+register("j05_resolve_declaration", "code_lines", lambda c: sy.resolve_declaration(sy.occurrences(c).where("access = 'read' and symbol like 'idx%' and file_id % 16 = pver_id").select(*sy.LINE, "symbol").distinct(), sy.occurrences(c).where("access = 'declaration' and file_id % 5 = 0")), _OCC + """, u as (select distinct pver_id, file_id, line_no, symbol from occ where access = 'read' and symbol like 'idx%' and file_id % 16 = cast(pver_id as bigint)), dc as (select pver_id, symbol, file_id as df, line_no as dl from occ where access = 'declaration' and file_id % 5 = 0),
+b as (select u.*, df, dl, case when df = file_id and dl <= line_no then 2 when df = file_id then 1 else 0 end as p from u join dc using (pver_id, symbol)), m as (select *, max(p) over (partition by pver_id, file_id, line_no, symbol) as mp from b)
+select pver_id, file_id, line_no, symbol, max(df) as d_file, arg_max(dl, (df, dl)) as d_line from m where p = mp group by 1, 2, 3, 4""")
+register("j11_local_guard", "code_lines", lambda c: sy.local_guard(c.where("line_no >= 3").select(*sy.LINE, F.lit("idx_3").alias("token")), c), r", g as (select pver_id, file_id, line_no as gl, text as gt from code_lines where regexp_matches(text, '" + _GUARD + r"') and regexp_matches(text, '\bidx_3\b')) select c.pver_id, c.file_id, c.line_no, 'idx_3' as token, min(gl) as guard_line, arg_min(gt, gl) as guard_text from code_lines c join g on c.pver_id = g.pver_id and c.file_id = g.file_id and gl <= c.line_no where c.line_no >= 3 group by 1, 2, 3")
+register("w11_line_context", "code_lines", sy.line_context, "select pver_id, file_id, line_no, concat_ws(chr(10), lag(text, 2) over w, lag(text, 1) over w, text) as lookback, lead(text) over w as next_text from code_lines window w as (partition by pver_id, file_id order by line_no)")
+register("w12_cite_lines", "code_lines", lambda c: sy.cite_lines(c, "idx_2"), r", h as (select *, cast(regexp_matches(text, '" + _GUARD + r"') as integer) as signal from code_lines where regexp_matches(text, '\bidx_2\b')), r as (select *, cast(row_number() over (partition by pver_id order by signal desc, file_id, line_no) as integer) as rank from h) select * from r where rank <= 36")
+register("w10_collapse_runs", "code_lines", lambda c: sy.collapse_indexed_runs(c.withColumn("text", F.concat(F.lit("p["), F.col("line_no"), F.lit("] = "), F.when(F.col("text").startswith("arr"), "a").otherwise("b")))).withColumn("run", F.col("run").cast("long")), """, s as (select pver_id, file_id, line_no, 'p[#] = ' || case when text like 'arr%' then 'a' else 'b' end as shape, cast(line_no as integer) as n from code_lines),
+m as (select *, case when lag(shape) over w = shape and lag(n) over w + 1 = n then 0 else 1 end as nw from s window w as (partition by pver_id, file_id order by line_no)), r as (select *, sum(nw) over (partition by pver_id, file_id order by line_no) as run from m)
+select pver_id, file_id, cast(run as bigint) as run, first(shape) as shape, min(line_no) as line_no, count(*) as n_lines, min(n) as first_n, max(n) as last_n from r group by 1, 2, 3""")
+_code = lambda f: lambda c: c.select(*sy.LINE, f(F.col("text")).alias("v"))
+register("p09_index_tokens", "code_lines", lambda c: _flat(_code(S.index_tokens)(c), "v"), r", e as (select pver_id, file_id, line_no, list_filter(regexp_extract_all(text, '(?:^|[^\w.])([A-Za-z_]\w*)', 1), lambda x: x not in ('if', 'return')) as l from code_lines) select pver_id, file_id, line_no, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') as v from e")
+register("p10_ident_pieces", "code_lines", lambda c: _flat(_code(S.ident_pieces)(c), "v"), "select pver_id, file_id, line_no, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))), ',') as v from code_lines")
+register("p15_is_guard", "code_lines", _code(S.is_guard), "select pver_id, file_id, line_no, regexp_matches(text, '" + _GUARD + "') as v from code_lines")
+register("p16_is_lhs_write", "code_lines", _code(lambda t: S.is_lhs_write(t, F.lit("idx_3"))), r"select pver_id, file_id, line_no, text like '%idx_3 = %' as v from code_lines")
+register("p17_collapse_clip", "code_lines", _code(lambda t: S.clip(S.collapse_ws(t), 12)), r"select pver_id, file_id, line_no, case when length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 12 then left(trim(regexp_replace(text, '\s+', ' ', 'g')), 12) || '… [' || (length(trim(regexp_replace(text, '\s+', ' ', 'g'))) - 12) || ' more chars]' else trim(regexp_replace(text, '\s+', ' ', 'g')) end as v from code_lines")
+register("p20_normalize_stmt", "code_lines", _code(S.normalize_stmt), r"select pver_id, file_id, line_no, regexp_replace(regexp_replace(text, '\b(\d+)u', '\1', 'g'), '(^|[^\w\s]|\s)\((\w+)\)', '\1\2', 'g') as v from code_lines")
+register("p21_is_noise", "code_lines", _code(S.is_noise), "select pver_id, file_id, line_no, trim(text) = '}' as v from code_lines")
+register("p08_clean_index", "code_lines", _code(lambda t: S.clean_index(F.regexp_extract(t, r"\(.*", 0))), r""", e as (select pver_id, file_id, line_no, regexp_extract(text, '\(.*', 0) as t from code_lines), q as (select *, length(t) - length(replace(t, '(', '')) as o, length(t) - length(replace(t, ')', '')) as c, length(regexp_extract(t, '^\(*', 0)) as ld, length(regexp_extract(t, '\)*$', 0)) as tl from e),
+r as (select *, greatest(0, least(o - c, ld)) as fr, greatest(0, least(c - o, tl)) as en from q) select pver_id, file_id, line_no, trim(regexp_replace(substring(t, fr + 1, length(t) - fr - en), '^\(([^()]*)\)$', '\1')) as v from r""")
+register("a21_compression_stats", "code_lines", sy.compression_stats, r", n as (select pver_id, length(text) as a, case when trim(text) = '}' then 0 else length(regexp_replace(regexp_replace(text, '\b(\d+)u', '\1', 'g'), '(^|[^\w\s]|\s)\((\w+)\)', '\1\2', 'g')) end as b from code_lines) select pver_id, cast(sum(a) as bigint) as original, cast(sum(b) as bigint) as compressed, round(sum(b) / sum(a), 3) as ratio from n group by 1")
+
+# --- facts ---
+
+_P = "coalesce(nullif(list_position(['alarm_site','array_size_hint','local_guard','guard','write','declaration','call_edge','access'], kind), 0), 20)"
+_cls = lambda f: f.select("pver_id", "group_id", F.concat(F.lit("C"), F.col("line") % 3 + 1).alias("class_id"), "fn").distinct()
+_C = ", cf as (select distinct pver_id, group_id, 'C' || (line % 3 + 1) as class_id, fn from facts)\n"
+_SH = "('alarm_site', 'array_size_hint', 'declaration')"
+_AT = _C + f", att as (select distinct f.pver_id, f.group_id, class_id, kind, f.fn, line, quote from facts f join cf on f.pver_id = cf.pver_id and f.group_id = cf.group_id and f.fn = cf.fn where kind not in {_SH} union select distinct f.pver_id, f.group_id, class_id, kind, f.fn, line, quote from facts f join (select distinct pver_id, group_id, class_id from cf) c on f.pver_id = c.pver_id and f.group_id = c.group_id where kind in {_SH})\n"
+register("j12_verify_quotes", "code_lines", lambda c: fa.verify_quotes(c.where("line_no % 2 = 0").select("pver_id", "file_id", "line_no", F.lit("idx_3] = fn").alias("quote")), c), """, q as (select pver_id, file_id, line_no from code_lines where line_no % 2 = 0), h as (select q.*, c.line_no as fl, contains(c.text, 'idx_3] = fn') as ok, case c.line_no - q.line_no when 0 then 0 when -1 then 1 when 1 then 2 when -2 then 3 else 4 end as rk from q join code_lines c on c.pver_id = q.pver_id and c.file_id = q.file_id and c.line_no between q.line_no - 2 and q.line_no + 2)
+select pver_id, file_id, line_no, 'idx_3] = fn' as quote, bool_or(ok) as verified, arg_min(fl, rk) filter (ok) as found_line from h group by 1, 2, 3""")
+register("u02_merge_packs", "facts", lambda f: fa.merge_packs(f).select("pver_id", "group_id", "agent", "kind", "fn", "line", "quote", "seq"), ", r as (select *, row_number() over (partition by pver_id, group_id, line, kind, coalesce(symbol, ''), left(quote, 80) order by case when agent = 'call_path' then 0 else 1 end, seq, fn) as rn from facts where verified) select pver_id, group_id, agent, kind, fn, line, quote, seq from r where rn = 1")
+register("l03_order_facts", "facts", lambda f: fa.order_facts(f).select("pver_id", "group_id", "rank", "kind", "line", "fn"), f", r as (select *, cast(row_number() over (partition by pver_id, group_id order by {_P}, line, fn, quote, seq, agent, verified) as integer) as rank from facts) select pver_id, group_id, rank, kind, line, fn from r")
+register("j13_facts_by_class", "facts", lambda f: fa.facts_by_class(f, _cls(f)), _AT + "select * from att")
+register("j13_unattached", "facts", lambda f: fa.unattached_facts(f.where("verified"), _cls(f.where("not verified"))).select("pver_id", "group_id", "kind", "fn", "line").distinct(), f"select distinct pver_id, group_id, kind, fn, line from facts f where verified and kind not in {_SH} and not exists (select 1 from facts g where not g.verified and g.pver_id = f.pver_id and g.group_id = f.group_id and g.fn = f.fn)")
+register("j14_supported_findings", "facts", lambda f: fa.supported_findings(f.where("not verified").select("pver_id", "group_id", "fn", "line", F.substring("quote", 1, 6).alias("quote")).distinct(), f.where("verified")), ", a as (select distinct pver_id, group_id, fn, line, left(quote, 6) as quote from facts where not verified) select a.*, exists (select 1 from facts k where k.verified and k.pver_id = a.pver_id and k.group_id = a.group_id and k.line = a.line and k.fn = a.fn and (contains(k.quote, a.quote) or contains(a.quote, k.quote))) as supported from a")
+register("w05_merge_windows", "facts", lambda f: fa.merge_windows(f.where("kind = 'guard'"), ["pver_id", "group_id"]).withColumn("island", F.col("island").cast("long")), """, s as (select distinct pver_id, group_id, greatest(1, line - 3) as s, line + 3 as e from facts where kind = 'guard'), m as (select *, case when s > max(e) over (partition by pver_id, group_id order by s, e rows between unbounded preceding and 1 preceding) + 1 then 1 when row_number() over (partition by pver_id, group_id order by s, e) = 1 then 1 else 0 end as nw from s),
+i as (select *, sum(nw) over (partition by pver_id, group_id order by s, e) as island from m) select pver_id, group_id, cast(island as bigint) as island, min(s) as start_line, max(e) as end_line from i group by 1, 2, 3""")
+register("w08_compact_pack", "facts", lambda f: fa.compact_pack(f).select("pver_id", "group_id", "rn", "kind", "fn", "line", "symbol"), f""", a as (select *, row_number() over (partition by pver_id, group_id, fn, line, kind, left(symbol, 40) order by verified desc, {_P}, line, seq, fn, quote, agent) as d from facts), b as (select *, row_number() over (partition by pver_id, group_id order by verified desc, {_P}, line, seq, fn, quote, agent) as rn from a where d = 1),
+c as (select *, row_number() over (partition by pver_id, group_id, kind, symbol order by rn) as again from b), e as (select * exclude (rn), cast(row_number() over (partition by pver_id, group_id order by rn) as integer) as rn from c where not (kind = 'declaration' and again > 1 and rn - 1 > 24)) select pver_id, group_id, rn, kind, fn, line, symbol from e where rn <= 48""")
+register("w09_trim_brief", "facts", lambda f: fa.trim_brief(fa.order_facts(f), 400), None)
+register("a16_compact_facts", "facts", lambda f: fa.compact_facts(fa.facts_by_class(f, _cls(f)), _cls(f).select("pver_id", "group_id", "class_id").distinct().groupBy("pver_id", "group_id").agg(F.count("*").alias("n"))), _AT + ", n as (select pver_id, group_id, count(distinct class_id) as n from cf group by 1, 2), g as (select pver_id, group_id, line, kind, quote, count(distinct class_id) as c, string_agg(distinct class_id, ',' order by class_id) as ids from att group by 1, 2, 3, 4, 5) select g.pver_id, g.group_id, line, kind, quote, case when c = n then 'all' else ids end as classes from g join n using (pver_id, group_id)")
+register("a17_unclear_symbols", "facts", fa.unclear_symbols, ", s as (select pver_id, group_id, symbol, bool_or(kind = 'array_size_hint') as z, bool_or(kind in ('guard', 'local_guard', 'write')) as b, bool_or(kind = 'declaration') as d from facts group by 1, 2, 3) select pver_id, group_id, symbol, case when not z and not b and not d then 'nothing_known' when not b then 'no_bound' else 'no_size' end as reason from s where not b or not z")
+register("x12_mine_facts", "code_lines", lambda c: fa.mine_facts(c, "idx_3"), r"select distinct pver_id, file_id, line_no, case when regexp_matches(text, '" + _GUARD + r"') then 'guard' when text like '%idx_3 = %' then 'write' else 'access' end as kind, left(text, 80) as quote from code_lines where regexp_matches(text, '\bidx_3\b')")
+register("x15_visit_sequence", "facts", lambda f: fa.visit_sequence(_cls(f), f.where("kind = 'alarm_site'").select("pver_id", "group_id", "fn").distinct()), _C + ", u as (select pver_id, group_id, fn, 0 as s, class_id as c from cf union all select distinct pver_id, group_id, fn, 1, '' from facts where kind = 'alarm_site'), m as (select pver_id, group_id, fn, min((s, c, fn)) as r from u group by 1, 2, 3), p as (select pver_id, group_id, fn, cast(row_number() over (partition by pver_id, group_id order by r) as integer) as place from m) select * from p where place <= 24")
+
+# --- verdicts ---
+
+_R = ", r as (select *, fp_claim = 'fp' and index_range <> 'unknown' and array_size <> 'unknown' and coverage = 'full' and tp_witness <> 'found' as ok from prove_reports)\n"
+register("p23_fp_reasons", "prove_reports", lambda r: r.select("pver_id", "group_id", F.array_join(ve.fp_reasons(), ";").alias("reasons"), (F.size(ve.fp_reasons()) == 0).alias("ironclad")), _R + "select pver_id, group_id, concat_ws(';', case when fp_claim <> 'fp' then 'no fp claim' end, case when index_range = 'unknown' then 'index range unknown' end, case when array_size = 'unknown' then 'array size unknown' end, case when coverage <> 'full' then 'coverage not full' end, case when tp_witness = 'found' then 'tp witness found' end) as reasons, ok as ironclad from r")
+register("p24_hard_gate", "prove_reports", lambda r: ve.hard_gate(r).drop("reasons"), _R + "select pver_id, group_id, case when tp_claim = 'tp' and tp_witness = 'found' then 'TP' when ok and tp_claim <> 'tp' then 'FP' when fp_claim <> 'fp' and tp_claim <> 'tp' then 'uncertain' else 'none' end as gate from r")
+register("p25_clamp_vote", "votes prove_reports", lambda v, r: ve.clamp_vote(v, r.withColumn("pver_id", (F.col("group_id") % 8).cast("string"))).select("pver_id", "group_id", "run", "label", "clamped"), _R + "select v.pver_id, v.group_id, run, label, case when tp_witness = 'found' then 'TP' when label = 'FP' and not coalesce(ok, false) then case when tp_claim = 'tp' then 'TP' else 'uncertain' end else label end as clamped from votes v left join r on v.pver_id = r.pver_id and v.group_id = r.group_id")
+register("p26_coerce_report", "prove_reports", lambda r: ve.coerce_report(r.withColumn("fp_claim", F.upper("fp_claim")).withColumn("coverage", F.when(F.col("group_id") % 5 == 0, "odd").otherwise(F.col("coverage")))).select("pver_id", "group_id", "fp_claim", "index_range", "coverage"), "select pver_id, group_id, fp_claim, index_range, case when group_id % 5 = 0 then 'partial' else coverage end as coverage from prove_reports")
+register("a18_final_verdict", "votes prove_reports", ve.final_verdict, _R + """, n as (select pver_id, group_id, count(*) as n, count(*) filter (label = 'TP') as tp, count(*) filter (label = 'FP') as fp, count(*) filter (label = 'uncertain') as uncertain from votes group by 1, 2),
+b as (select n.*, coalesce(ok, false) as ok, coalesce(tp_claim = 'tp', false) as tc, coalesce(tp_witness = 'found', false) as wi, greatest(tp, fp, uncertain) as top from n left join r using (pver_id, group_id)),
+c as (select *, case when fp > 0 and ok and 2 * fp >= n then 'FP' when (tp = top)::int + (fp = top)::int + (uncertain = top)::int > 1 then case when tp > 0 and (wi or tc) then 'TP' else 'uncertain' end when tp = top then 'TP' when fp = top then case when ok then 'FP' else 'uncertain' end else 'uncertain' end as raw from b)
+select pver_id, group_id, n, tp, fp, uncertain, case when wi then 'TP' when raw = 'FP' and not ok then case when tc then 'TP' else 'uncertain' end else raw end as label from c""")
+register("u03_class_coverage", "facts", lambda f: ve.class_coverage(_cls(f.where("kind = 'guard'")).select("pver_id", "group_id", "class_id"), _cls(f).select("pver_id", "group_id", "class_id").distinct()), _C + ", a as (select distinct pver_id, group_id, 'C' || (line % 3 + 1) as class_id, 1 as hit from facts where kind = 'guard'), k as (select distinct pver_id, group_id, class_id from cf) select k.pver_id, k.group_id, count(hit) as addressed, count(*) as classes, coalesce(string_agg(case when hit is null then k.class_id end, ',' order by k.class_id), '') as unaddressed from k left join a using (pver_id, group_id, class_id) group by 1, 2")
+register("u04_validate_reports", "prove_reports facts", lambda r, f: ve.validate_reports(r, f.select("pver_id", "group_id", F.col("verified").alias("supported"))), _R + ", c as (select pver_id, group_id, count(*) filter (verified) as kept, count(*) filter (not verified) as dropped from facts group by 1, 2), b as (select r.*, coalesce(kept, 0) as kept, coalesce(dropped, 0) as dropped from r left join c using (pver_id, group_id)) select pver_id, group_id, case when tp_claim = 'tp' and tp_witness = 'found' and kept > 0 then 'tp' else 'no_credible_case' end as tp_claim, case when ok then 'fp' else 'no_credible_case' end as fp_claim, case when tp_witness = 'found' and kept > 0 then 'found' else 'none' end as tp_witness, kept, dropped from b")
+register("a19_score", "expert_labels", ve.score, """, e as (select case when lower(human_label) in ('true', 'tp') then 'TP' when lower(human_label) in ('false', 'fp') then 'FP' end as h, prediction as p, case when contains(comment, 'TOOL') then 'tool' else 'person' end as reviewer from expert_labels)
+select reviewer, count(*) as n, count(*) filter (h = 'TP' and p = 'TP') as tp_tp, count(*) filter (h = 'FP' and p = 'FP') as fp_fp, count(*) filter (h = 'TP' and p = 'FP') as wrong_fp, count(*) filter (h = 'FP' and p = 'TP') as wrong_tp, count(*) filter (p = 'uncertain') as uncertain,
+ round(count(*) filter (h = 'TP' and p = 'TP') / greatest(count(*) filter (h = 'TP'), 1), 6) as recall_tp, round(count(*) filter (h = 'FP' and p = 'FP') / greatest(count(*) filter (h = 'FP'), 1), 6) as recall_fp from e where h is not null group by 1""")
+register("a20_run_report", "run_events", ve.run_report, "select pver_id, count(distinct order_key) as orders, count(*) as events, count(*) filter (kind = 'agent_error') as errors, min(ts) as first_ts, max(ts) as last_ts from run_events group by 1")
+
+# --- streams (batch twins) ---
+
+register("t02_focus_state", "run_events", ev.focus_state, "select pver_id, order_key, arg_max(agent, (ts, event_id)) filter (agent is not null) as agent, arg_max(activity, (ts, event_id)) filter (activity is not null) as activity, count(*) as n from run_events group by 1, 2")
+register("t03_job_status", "run_events", ev.job_status, "select pver_id, order_key, count(*) as n, arg_max(kind, (ts, event_id)) as last_kind, case when bool_or(kind = 'agent_error') then 'error' else 'running' end as state from run_events group by 1, 2")
+register("l04_tail_events", "run_events", lambda e: ev.tail_events(e, 5).select("event_id", "pver_id", "order_key", "rank"), ", r as (select *, cast(row_number() over (partition by pver_id, order_key order by ts desc, event_id desc) as integer) as rank from run_events) select event_id, pver_id, order_key, rank from r where rank <= 5")
+_opens = lambda e: e.select("pver_id", "order_key", "ts", "event_id", F.col("activity").alias("fn"), (F.col("kind") == "agent_output").alias("is_submit"))
+register("t04_visit_gate", "run_events", lambda e: ev.visit_gate(_opens(e), e.select("pver_id", "order_key").distinct().withColumn("fns", F.array(F.lit("act_1"), F.lit("act_2")))), """, o as (select *, kind = 'agent_output' as sub from run_events), w as (select *, count(*) filter (not sub and activity = 'act_1') over q as a, count(*) filter (not sub and activity = 'act_2') over q as b from o window q as (partition by pver_id, order_key order by ts, event_id rows unbounded preceding))
+select pver_id, order_key, event_id, a > 0 and b > 0 as accepted, concat_ws(',', case when a = 0 then 'act_1' end, case when b = 0 then 'act_2' end) as remaining from w where sub""")
