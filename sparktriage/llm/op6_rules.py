@@ -78,13 +78,14 @@ def text_stats(texts: list[bytes]) -> np.ndarray:
     out[:, 11] = np.bincount(w.doc[np.unique(mix(h ^ mix(w.doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1]], minlength=n)
     out[:, 5], out[:, 3] = np.array([_dup_lines(t) for t in texts]).T
     if len(h) >= 3:
-        g = windows3(h)
-        g = mix(g ^ mix(w.doc[:-2].astype(np.uint64) + np.uint64(1)))  # windows of different texts never meet
+        inside = np.flatnonzero(w.doc[:-2] == w.doc[2:])  # windows that run into the next text are none
+        g = mix(windows3(h)[inside] ^ mix(w.doc[inside].astype(np.uint64) + np.uint64(1)))  # those of different texts never meet
         order = np.argsort(g, kind="stable")
         same = g[order][1:] == g[order][:-1]
-        hit = np.zeros(len(g), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        hit &= w.doc[:-2] == w.doc[2:]
+        twice = np.zeros(len(g), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        hit = np.zeros(len(h) - 2, bool)
+        hit[inside[twice]] = True
         word = np.zeros(len(h), bool)
         for k in range(3):
             word[k : k + len(hit)] |= hit
