@@ -65,7 +65,7 @@ def caller_chain(starts: DataFrame, edges: DataFrame, max_len: int = 12) -> Data
     for _ in range(max_len - 1):
         found = chains.join(callers, (F.col("pver_id") == F.col("p")) & (F.element_at("chain", -1) == F.col("at")), "left")
         fresh = F.min(F.when(~F.array_contains("chain", F.col("caller")), F.col("caller"))).alias("next")
-        chains = found.groupBy("pver_id", "fn", "chain").agg(fresh).select("pver_id", "fn", F.when(F.col("next").isNull(), F.col("chain")).otherwise(F.array_append("chain", "next")).alias("chain"))
+        chains = found.groupBy("pver_id", "fn", "chain").agg(fresh).select("pver_id", "fn", F.when(F.col("next").isNull(), F.col("chain")).otherwise(F.array_append("chain", F.col("next"))).alias("chain"))
     return chains.select("pver_id", "fn", F.array_join(F.reverse("chain"), ">").alias("chain"))
 
 
