@@ -14,8 +14,11 @@ null ids come first.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,7 @@ SCALE = 20  # frequencies sum to 2**SCALE
 LOW = np.uint64(1 << 31)
 LANES, CHECKPOINT = 512, 64
 BLOCK_IDS = 1 << 17
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 
 
 # --- tokens ---
@@ -47,19 +50,54 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # ids of a word that is only this sign, between the words of a call
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        if self.mark is None:
+            return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        out = []
+        for i in range(0, len(words), 256):
+            some = words[i : i + 256]
+            ids = np.array(self.tokenizer.encode(" | ".join([w.decode() for w in some]), add_special_tokens=False).ids, "<u2")
+            cut = np.flatnonzero(ids == self.mark)
+            starts, ends, raw = [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)], ids.tobytes()
+            out += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+        return out
+
+    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """A table that knows the ids of all words. Words seen lately are kept: when a generation is full, the one before it goes."""
+        if len(self.young) >= KNOWN_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        young.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in young]
+        odd = [w for w in new if b"|" in w or len(w) > 1000]
+        plain = [w for w in new if not (b"|" in w or len(w) > 1000)]
+        young.update(zip(plain, self._library(plain)))
+        for w in odd:
+            young[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        return young
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.split() for t in texts]
-        if len(self.known) >= KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u2").tobytes()
+        known = self.learn(set(itertools.chain.from_iterable(words)))
         return [np.frombuffer(b"".join([known[w] for w in ws]), "<u2").astype(np.uint32) for ws in words]
 
+    def count(self, texts: list[bytes], total: np.ndarray) -> None:
+        """Adds the ids of texts to total, each different word once with its number."""
+        words = Counter(itertools.chain.from_iterable([t.split() for t in texts]))
+        known = self.learn(words.keys())
+        ids = [known[w] for w in words]
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, ids), np.int64, len(ids)) // 2)
+        total += np.bincount(flat, times, len(total)).astype(np.int64)
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -167,10 +205,10 @@ def _counts(path: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = tokenizer(path), np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                found = own.encode(utf8(batch.column(0).slice(i, 512)))
-                total += np.bincount(np.concatenate(found), minlength=vocabulary)
-                total[END_ID] += len(found)
+            for i in range(0, batch.num_rows, 2048):
+                texts = utf8(batch.column(0).slice(i, 2048))
+                own.count(texts, total)
+                total[END_ID] += len(texts)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
 
