@@ -160,9 +160,14 @@ def train(texts: list[bytes], labels: list[str], seed: int = 5, steps: int = STE
 
 def sample(labelled: DataFrame, size: int = SAMPLE, per_text: int = PER_TEXT) -> tuple[list[bytes], list[str]]:
     """Windows and labels of at most size rows (doc_id, text, lang); what reaches the driver is bounded in bytes, too."""
-    chosen = labelled.where("lang is not null and length(text) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    usable = labelled.where("lang is not null and length(text) > 0")
+    share = min(1.0, 4 * size / max(1, usable.count()))  # rows that can't be among the size least hashes need not meet
     places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) for i in range(per_text)]
-    cut = chosen.select("doc_id", "lang", F.posexplode(F.array(*[F.substring("text", (p + 1).cast("int"), F.lit(WINDOW)) for p in places])).alias("i", "piece"))
+    pieces = F.array(*[F.substring("text", (p + 1).cast("int"), F.lit(WINDOW)) for p in places])
+    rank = F.xxhash64("doc_id")
+    few = usable.where(rank <= F.lit(min(2**63 - 1, int((share * 2 - 1) * 2.0**63)))).select("doc_id", "lang", pieces.alias("pieces"), rank.alias("rank"))
+    chosen = few.orderBy("rank", "doc_id", "lang").limit(size)
+    cut = chosen.select("doc_id", "lang", F.posexplode("pieces").alias("i", "piece"))
     rows = cut.orderBy("doc_id", "i").select("piece", "lang").toPandas()
     return [t.encode() for t in rows["piece"]], rows["lang"].tolist()
 
