@@ -10,7 +10,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
-    cell = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else str(v) if isinstance(v, (bool, str)) else round(float(v), 6) if isinstance(v, (int, float)) else str(v)
+
+    def cell(v):
+        v = v.item() if hasattr(v, "item") else v
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
+            return None
+        return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
     return sorted((tuple(cell(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
 
