@@ -1,14 +1,15 @@
 """Operator 4, token ids in files, coded by a static range asymmetric numeral system (rANS).
 
-Documents are tokenized, each closed by an end id, and written in ascending order of their ids. One frequency table, made
-from all ids, is shared by all blocks. A block holds whole documents and is coded by itself: LANES interleaved states share
+Documents are tokenized, each closed by an end id, and written in ascending order of their ids. SEGMENT_IDS ids or more, of
+whole documents, make a segment: its frequency table, made from all its ids, is shared by its blocks of BLOCK_IDS ids. So
+texts are tokenized once, and a task holds the ids of one segment. A block is coded by itself: LANES interleaved states share
 one stream of 32-bit words, kept in the order in which a decoder reads them. Every CHECKPOINT rows of ids the decoder's
 place in the stream and its states are noted, so that the parts of a block can be decoded at once; each part has a crc32.
 
-The files are Parquet files of block records, written by Spark, so lost tasks leave no half files:
-first_doc, docs, lengths (unsigned 32-bit each), n_ids, stream, checkpoints, checksums; and one table record set (id, freq).
+The files are Parquet files of segment records, written by Spark, so lost tasks leave no half files: docs, lengths (unsigned
+32-bit each), n_ids, freq (the table: unsigned 32-bit each, zlib), blocks (n, stream, checkpoints, checksums).
 
-Null text is empty: only the end id. An empty table gives no block. Documents with equal ids stand next to each other;
+Null text is empty: only the end id. An empty table gives no segment. Documents with equal ids stand next to each other;
 null ids come first.
 """
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 import itertools
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,6 +34,7 @@ SCALE = 20  # frequencies sum to 2**SCALE
 LOW = np.uint64(1 << 31)
 LANES, CHECKPOINT = 512, 64
 BLOCK_IDS = 1 << 17
+SEGMENT_IDS = 1 << 21
 KNOWN_WORDS = 500_000
 
 
@@ -63,7 +64,7 @@ class WordTokenizer:
         out = []
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
-            ids = np.array(self.tokenizer.encode(" | ".join([w.decode() for w in some]), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(some).decode()], add_special_tokens=False)[0].ids, "<u2")  # the fast call keeps no offsets
             cut = np.flatnonzero(ids == self.mark)
             starts, ends, raw = [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)], ids.tobytes()
             out += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
@@ -86,17 +87,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.split() for t in texts]
-        known = self.learn(set(itertools.chain.from_iterable(words)))
-        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u2").astype(np.uint32) for ws in words]
-
-    def count(self, texts: list[bytes], total: np.ndarray) -> None:
-        """Adds the ids of texts to total, each different word once with its number."""
-        words = Counter(itertools.chain.from_iterable([t.split() for t in texts]))
-        known = self.learn(words.keys())
-        ids = [known[w] for w in words]
-        flat = np.frombuffer(b"".join(ids), "<u2")
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, ids), np.int64, len(ids)) // 2)
-        total += np.bincount(flat, times, len(total)).astype(np.int64)
+        flat = list(itertools.chain.from_iterable(words))
+        got = list(map(self.young.get, flat))
+        if None in got:
+            known = self.learn({w for w, ids in zip(flat, got) if ids is None})
+            got = [known[w] if ids is None else ids for w, ids in zip(flat, got)]
+        out, at = [], 0
+        for ws in words:
+            out.append(np.frombuffer(b"".join(got[at : at + len(ws)]), "<u2").astype(np.uint32))
+            at += len(ws)
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -201,38 +201,30 @@ def decode_block(stream: bytes, marks: bytes, sums: bytes, n: int, t: Table) ->
 # --- jobs ---
 
 
-def _counts(path: str, vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = tokenizer(path), np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                texts = utf8(batch.column(0).slice(i, 2048))
-                own.count(texts, total)
-                total[END_ID] += len(texts)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
-
-    return run
-
-
-BLOCKS = "part int, first_doc long, ord int, docs binary, lengths binary, n_ids long, stream binary, checkpoints binary, checksums binary"
+SEGMENTS = "part int, ord int, docs binary, lengths binary, n_ids long, freq binary, blocks array<struct<n:int,stream:binary,checkpoints:binary,checksums:binary>>"
+_BLOCKS = pa.list_(pa.struct([("n", pa.int32()), ("stream", pa.binary()), ("checkpoints", pa.binary()), ("checksums", pa.binary())]))
 
 
-def _write_blocks(path: str, freq: np.ndarray):
+def _write_segments(path: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, t, part = tokenizer(path), Table.of(freq), TaskContext.get().partitionId()
-        names = [x.split()[0] for x in BLOCKS.split(", ")]
+        own, part = tokenizer(path), TaskContext.get().partitionId()
+        names = [x.split()[0] for x in SEGMENTS.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), _BLOCKS]
         docs: list[int | None] = []
         held: list[np.ndarray] = []
         total = number = 0
 
-        def block() -> pa.RecordBatch:
-            coded = encode_block(np.concatenate(held), t)
-            ids = np.array([-(1 << 63) if d is None else d for d in docs], "<i8").tobytes()
-            values = [part, docs[0], number, ids, np.array([len(x) for x in held], "<u4").tobytes(), total, *coded]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        def segment() -> pa.RecordBatch:
+            flat = np.concatenate(held)
+            t = Table.fit(np.bincount(flat, minlength=vocabulary))
+            blocks = []
+            for i in range(0, total, BLOCK_IDS):
+                ids = flat[i : i + BLOCK_IDS]
+                blocks.append(dict(zip(("n", "stream", "checkpoints", "checksums"), (len(ids), *encode_block(ids, t)))))
+            order = np.array([-(1 << 63) if d is None else d for d in docs], "<i8").tobytes()
+            values = [part, number, order, np.array([len(x) for x in held], "<u4").tobytes(), total, zlib.compress(t.freq.astype("<u4").tobytes(), 1), blocks]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
@@ -242,51 +234,48 @@ def _write_blocks(path: str, freq: np.ndarray):
                     docs.append(doc)
                     held.append(np.append(ids, np.uint32(END_ID)))
                     total += len(held[-1])
-                    if total >= BLOCK_IDS:
-                        yield block()
+                    if total >= SEGMENT_IDS:
+                        yield segment()
                         docs, held, total, number = [], [], 0, number + 1
         if docs:
-            yield block()
+            yield segment()
 
     return run
 
 
-def write_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Writes the ids of docs as block files into the shared folder; the files as a table, and the frequency table."""
+def write_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the ids of docs as files of segments into the shared folder; the files as a table."""
     path = path or public_tokenizers.path(VOCABULARY)
     vocabulary = tokenizer(path).tokenizer.get_vocab_size()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    counted = slim.select("text").mapInArrow(_counts(path, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row per id of the vocabulary
-    counts = np.zeros(vocabulary, np.int64)
-    counts[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    freq = Table.fit(counts).freq.astype(np.int64)
     ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return checkpoint(ordered.mapInArrow(_write_blocks(path, freq), BLOCKS)), freq
-
-
-def read_ids(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary little-endian unsigned 32-bit) of the documents in block files."""
-    per_part = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per file
+    return checkpoint(ordered.mapInArrow(_write_segments(path, vocabulary), SEGMENTS))
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            t = Table.of(np.frombuffer(zlib.decompress(row["freq"]), "<u4").astype(np.int64))
+            ids = np.concatenate([decode_block(b["stream"], b["checkpoints"], b["checksums"], b["n"], t) for b in row["blocks"]])
+            n = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+            ends = np.cumsum(n)
+            docs = np.frombuffer(row["docs"], "<i8")
+            raw = ids.astype("<u4").tobytes()
+            pieces = [raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == -(1 << 63)), pa.array(row["start"] + ends - n), pa.array(n), pa.array(pieces, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+
+def read_ids(segments: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary little-endian unsigned 32-bit) of the documents in files of segments."""
+    per_part = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per file
     part_start = per_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("ord")) - F.col("n_ids")
-    starts = blocks.select("part", "ord", "n_ids").withColumn("within", within).join(part_start, "part").select("part", "ord", (F.col("part_start") + F.col("within")).alias("start"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Table.of(freq)
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = decode_block(row["stream"], row["checkpoints"], row["checksums"], row["n_ids"], t)
-                n = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-                ends = np.cumsum(n)
-                docs = np.frombuffer(row["docs"], "<i8")
-                raw = ids.astype("<u4").tobytes()
-                pieces = [raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == -(1 << 63)), pa.array(row["start"] + ends - n), pa.array(n), pa.array(pieces, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-    joined = blocks.join(starts, ["part", "ord"]).select("start", "docs", "lengths", "n_ids", "stream", "checkpoints", "checksums")
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    starts = segments.select("part", "ord", "n_ids").withColumn("within", within).join(part_start, "part").select("part", "ord", (F.col("part_start") + F.col("within")).alias("start"))
+    joined = segments.join(starts, ["part", "ord"]).select("start", "docs", "lengths", "freq", "blocks")
+    return joined.mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, freq = write_ids(table(spark, sf_dir, "documents"))
-    return read_ids(blocks, freq).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    segments = write_ids(table(spark, sf_dir, "documents"))
+    return read_ids(segments).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

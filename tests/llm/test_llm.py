@@ -127,16 +127,16 @@ def test_rans_files(spark, odd):
     own = op4_rans.WordTokenizer(public_tokenizers.path(op4_rans.VOCABULARY))
     for t, ids in zip(texts, own.encode([t.encode() for t in texts])):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
-    blocks, freq = op4_rans.write_ids(odd)
-    got = op4_rans.read_ids(blocks, freq).orderBy("start").collect()
+    segments = op4_rans.write_ids(odd)
+    got = op4_rans.read_ids(segments).orderBy("start").collect()
     rows = sorted(((r[0], r[1] or "") for r in ODD), key=lambda r: -1 if r[0] is None else r[0])
     start = 0
     for g, (doc, text) in zip(got, rows, strict=True):
         ids = [*library.encode(text, add_special_tokens=False).ids, 2]
         assert (g["doc_id"], g["start"], g["n_tokens"]) == (doc, start, len(ids)) and bytes(g["ids"]) == np.array(ids, "<u4").tobytes()
         start += len(ids)
-    blocks, freq = op4_rans.write_ids(odd.limit(0))
-    assert op4_rans.read_ids(blocks, freq).count() == 0
+    segments = op4_rans.write_ids(odd.limit(0))
+    assert op4_rans.read_ids(segments).count() == 0
 
 
 def brute_components(texts):
