@@ -16,7 +16,9 @@ null ids come first.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -36,6 +38,10 @@ LANES, CHECKPOINT = 512, 64
 BLOCK_IDS = 1 << 17
 SEGMENT_IDS = 1 << 21
 KNOWN_WORDS = 500_000
+#: Where a file lower-cases and splits by this pattern, ASCII letters and the ASCII signs after them are separate pieces in any
+#: case, so that `Word,` needs only `word` and `,`. Apostrophes are left out: some of them begin a piece with letters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(rb"([A-Za-z]{1,999})([!-&(-/:-@\[-`{-~]{1,99})").fullmatch
 
 
 # --- tokens ---
@@ -55,6 +61,10 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None  # ids of a word that is only this sign, between the words of a call
+        rules = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        splits = [n.get("pattern", {}).get("Regex") for n in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = PLAIN if kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [SPLIT] else None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -62,8 +72,8 @@ class WordTokenizer:
         if self.mark is None:
             return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
         out = []
-        for i in range(0, len(words), 256):
-            some = words[i : i + 256]
+        for i in range(0, len(words), 64):
+            some = words[i : i + 64]
             ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(some).decode()], add_special_tokens=False)[0].ids, "<u2")  # the fast call keeps no offsets
             cut = np.flatnonzero(ids == self.mark)
             starts, ends, raw = [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)], ids.tobytes()
@@ -78,11 +88,16 @@ class WordTokenizer:
         new = [w for w in words if w not in young]
         young.update((w, old[w]) for w in new if w in old)
         new = [w for w in new if w not in young]
+        apart = {w: m.groups() for w in new if (m := self.plain(w))} if self.plain else {}
+        parts = {x.lower() for word in apart.values() for x in word}
+        new = [w for w in new if w not in apart]
+        new += [w for w in parts.difference(new) if w not in young]
         odd = [w for w in new if b"|" in w or len(w) > 1000]
         plain = [w for w in new if not (b"|" in w or len(w) > 1000)]
         young.update(zip(plain, self._library(plain)))
         for w in odd:
             young[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        young.update((w, young[x.lower()] + young[y]) for w, (x, y) in apart.items())
         return young
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:

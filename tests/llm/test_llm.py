@@ -123,7 +123,7 @@ def test_rans_codec():
 def test_rans_files(spark, odd):
     library = Tokenizer.from_file(public_tokenizers.path(op4_rans.VOCABULARY))
     random.seed(5)
-    texts = ["".join(random.choice(["a", "B", "́", "Σ", " ", "\n", " ", "é", "1", "'s", "<|endoftext|>", "漢"]) for _ in range(30)) for _ in range(300)]
+    texts = ["".join(random.choice(["a", "B", "́", "Σ", " ", "\n", " ", "é", "1", "'s", "<|endoftext|>", "漢", "x", ".", ",", "!", "'", "|", "_", "'ve"]) for _ in range(30)) for _ in range(300)]
     own = op4_rans.WordTokenizer(public_tokenizers.path(op4_rans.VOCABULARY))
     for t, ids in zip(texts, own.encode([t.encode() for t in texts])):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
