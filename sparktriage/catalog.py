@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
+from .operators import corpus as co
 from .operators import facts as fa
 from .operators import graph as gr
 from .operators import paths as pa
@@ -237,3 +238,31 @@ register("l04_tail_events", "run_events", lambda e: ev.tail_events(e, 5).select(
 _opens = lambda e: e.select("pver_id", "order_key", "ts", "event_id", F.col("activity").alias("fn"), (F.col("kind") == "agent_output").alias("is_submit"))
 register("t04_visit_gate", "run_events", lambda e: ev.visit_gate(_opens(e), e.select("pver_id", "order_key").distinct().withColumn("fns", F.array(F.lit("act_1"), F.lit("act_2")))), """, o as (select *, kind = 'agent_output' as sub from run_events), w as (select *, count(*) filter (not sub and activity = 'act_1') over q as a, count(*) filter (not sub and activity = 'act_2') over q as b from o window q as (partition by pver_id, order_key order by ts, event_id rows unbounded preceding))
 select pver_id, order_key, event_id, a > 0 and b > 0 as accepted, concat_ws(',', case when a = 0 then 'act_1' end, case when b = 0 then 'act_2' end) as remaining from w where sub""")
+
+# --- C files ---
+
+_CF = r""", c as (select pver_id, file_id, text, string_split(text, chr(10)) as ls, regexp_extract(text, '(fn_\d+)\(uint8 par', 1) as fn, regexp_extract(text, '(par_\d+), const', 1) as par,
+ regexp_extract(text, 'uint16 (tab_\d+)', 1) as tab, regexp_extract(text, 'uint8 (f_\d+)', 1) as mem, regexp_extract(text, '= (fn_\d+)\(&loc', 1) as callee, regexp_extract(text, 'define (SZ_\d+)', 1) as sz,
+ cast(regexp_extract(text, 'SZ_\d+ (\d+)u', 1) as bigint) as n, regexp_extract(text, '(fn_p\d+)', 1) as proto, regexp_extract(text, 'uint8 loc = (\w+);', 1) as src from c_files)
+"""
+_lines = lambda c: c.select("pver_id", "file_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("pver_id", "file_id", (F.col("at") + 1).alias("line_no"), "text")
+_points = lambda c: _lines(c).where("line_no in (14, 16)").select(*sy.LINE, F.greatest(F.instr("text", "tab_"), F.instr("text", "s.f_")).alias("col"))
+_starts = lambda c: co.extract_functions(c).where("defined").select(*sy.FILE, "fn", F.lit("loc").alias("token"))
+register("x01_functions", "c_files", lambda c: co.extract_functions(c).where("defined").select(*sy.FILE, "fn", "start_line", "end_line", "sig_line", "sig_text"), _CF + "select pver_id, file_id, fn, 10 as start_line, 17 as end_line, 9 as sig_line, ls[9] as sig_text from c")
+register("x02_calls", "c_files", lambda c: co.extract_calls(co.extract_functions(c)), _CF + "select pver_id, file_id, fn as caller, callee, 1 as pos from c union all select pver_id, file_id, fn, replace(fn, 'fn_', 'cb_'), 2 from c")
+register("x02_prototypes", "c_files", lambda c: co.extract_functions(c).where("not defined").select(*sy.FILE, "fn", "sig_line"), _CF + "select pver_id, file_id, proto as fn, 8 as sig_line from c")
+register("x03_declarations", "c_files", co.extract_declarations, _CF + """select pver_id, file_id, unnest([tab, mem, 'loc', 'rows']) as symbol, unnest(['uint16', 'uint8', 'uint8', 'row_t']) as datatype, false as macro, 0 as pointer_depth,
+ unnest(['[' || sz || '*2+1][2]', '[3]', '', '']) as dims, unnest([4, 6, 11, 12]) as line_no, unnest([null, 'S', null, null]) as owner from c""")
+register("x04_defines", "c_files", co.extract_defines, _CF + "select pver_id, file_id, sz as name, n as value from c")
+register("x05_parameters", "c_files", lambda c: co.extract_parameters(co.extract_functions(c)), _CF + "select pver_id, file_id, fn, unnest([0, 1]) as place, unnest([par, 'ptr']) as symbol, unnest(['uint8', 'uint16']) as datatype, '' as dims, unnest([0, 1]) as pointer_depth from c")
+register("x07_resolve_access", "c_files", lambda c: co.resolve_access(_points(c), _lines(c)), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], 'tab_') as col, tab as "array", tab as member_path, 'loc' as "index" from c union all select pver_id, file_id, 16, instr(ls[16], 's.f_'), mem, 's.' || mem, 'ptr[0] + 1u' from c""")
+register("x08_relevant_symbols", "c_files", lambda c: co.relevant_symbols(co.resolve_access(_points(c), _lines(c))), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], 'tab_') as col, unnest(['array', 'index']) as role, unnest([tab, 'loc']) as symbol from c
+ union all select pver_id, file_id, 16, instr(ls[16], 's.f_'), unnest(['array', 'parent', 'index']), unnest([mem, 's', 'ptr']) from c""")
+register("x10_initializer_sizes", "c_files", co.initializer_sizes, _CF + "select pver_id, file_id, tab as symbol, 4 as line_no, 3 as n_items from c")
+register("p12_resolve_dims", "c_files", lambda c: _flat(co.resolve_dims(co.extract_declarations(c), co.extract_defines(c)), "sizes"), _CF + "select pver_id, file_id, unnest(['[' || sz || '*2+1][2]', '[3]']) as dims, unnest([(n * 2 + 1) || ',2', '3']) as sizes, true as all_known from c")
+register("j07_resolve_parameter", "c_files", lambda c: co.resolve_parameter(co.extract_functions(c).where("defined").select(*sy.FILE, "fn", F.explode(F.array(F.lit("ptr"), F.lit("none"))).alias("symbol")), co.extract_parameters(co.extract_functions(c))), _CF + "select pver_id, file_id, fn, 'ptr' as symbol, fn as owner, 'uint16' as datatype from c")
+register("j08_typedef_dims", "c_files", lambda c: co.typedef_dims(co.extract_declarations(c), co.extract_typedefs(c)), _CF + "select pver_id, file_id, 12 as line_no, 'rows' as symbol, '[4]' as dims from c")
+register("j18_attach_snippets", "c_files", lambda c: co.attach_snippets(_starts(c).select(*sy.FILE, F.concat("fn", F.lit("|separate")).alias("fn")), co.extract_functions(c), c), _CF + "select pver_id, file_id, fn || '|separate' as fn, 9 as from_line, 17 as to_line, array_to_string(ls[9:17], chr(10)) as snippet from c")
+register("p19_underlined_variable", "c_files", lambda c: co.underlined_variable(_lines(c).where("line_no = 14").select(*sy.FILE, F.col("text").alias("raw"), F.concat(F.lit("    "), F.repeat(F.lit("~"), 5)).alias("underline"))), _CF + "select pver_id, file_id, ls[14] as raw, '    ~~~~~' as underline, ls[14][5:9] as variable from c")
+register("g05_index_origin", "c_files", lambda c: co.index_origin(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, case when src = par then 'parameter' when src = 'g_all' then 'global' else 'local' end as origin, case when src = '3u' then 1 else 2 end as n_names from c")
+register("j19_value_origins", "c_files", lambda c: co.value_origins(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, callee, 1 as place from c where exists (select 1 from c d where d.pver_id = c.pver_id and d.fn = c.callee)")

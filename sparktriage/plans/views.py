@@ -38,6 +38,17 @@ select cast(l_orderkey % 8 as string) as pver_id, l_orderkey as file_id,
   when 3 then concat('uint8 idx_', cast(l_suppkey % 5 as string), ' = ', cast(cast(l_quantity as int) as string), 'u;')
   when 4 then concat('fn_', cast(l_partkey % 40 as string), '(&idx_', cast(l_suppkey % 5 as string), ', arr_', cast(l_partkey % 9 as string), '[2]);')
   else concat('return arr_', cast(l_partkey % 9 as string), '[idx_', cast(l_suppkey % 5 as string), '];') end as text from lineitem""",
+    "c_files": """
+select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, concat_ws(chr(10),
+ concat('#define SZ_', cast(o_custkey % 5 as string), ' ', cast(o_custkey % 20 + 2 as string), 'u'),
+ 'typedef uint8 row_t[4];', '/* fn_dead(x); { */',
+ concat('static uint16 tab_', cast(o_custkey % 9 as string), '[SZ_', cast(o_custkey % 5 as string), ' * 2 + 1][2] = { {1u, 2u}, {3u, 4u}, {5u, 6u} };'),
+ 'struct S {', concat('  uint8 f_', cast(o_orderkey % 12 as string), '[3];'), '};', concat('void fn_p', cast(o_custkey % 7 as string), '(uint8 x);'),
+ concat('uint8 fn_', cast(o_orderkey % 12 as string), '(uint8 par_', cast(o_custkey % 5 as string), ', const uint16 *ptr)'), '{',
+ concat('  uint8 loc = ', case cast(o_orderkey % 3 as int) when 0 then concat('par_', cast(o_custkey % 5 as string)) when 1 then 'g_all' else '3u' end, ';'),
+ '  row_t rows;', '  if (loc < 4u) {',
+ concat('    tab_', cast(o_custkey % 9 as string), '[loc][1] = fn_', cast(o_custkey % 30 as string), '(&loc, "fn_str(");'), '  }',
+ concat('  return (*cb_', cast(o_orderkey % 12 as string), ')(s.f_', cast(o_orderkey % 12 as string), '[(ptr[0] + 1u)]);'), '}') as text from orders""",
     "facts": """
 select cast(l_orderkey % 8 as string) as pver_id, l_orderkey % 50 as group_id,
  case when l_linestatus = 'F' then 'call_path' else 'var_value' end as agent,
