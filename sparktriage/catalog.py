@@ -266,3 +266,11 @@ register("j18_attach_snippets", "c_files", lambda c: co.attach_snippets(_starts(
 register("p19_underlined_variable", "c_files", lambda c: co.underlined_variable(_lines(c).where("line_no = 14").select(*sy.FILE, F.col("text").alias("raw"), F.concat(F.lit("    "), F.repeat(F.lit("~"), 5)).alias("underline"))), _CF + "select pver_id, file_id, ls[14] as raw, '    ~~~~~' as underline, ls[14][5:9] as variable from c")
 register("g05_index_origin", "c_files", lambda c: co.index_origin(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, case when src = par then 'parameter' when src = 'g_all' then 'global' else 'local' end as origin, case when src = '3u' then 1 else 2 end as n_names from c")
 register("j19_value_origins", "c_files", lambda c: co.value_origins(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, callee, 1 as place from c where exists (select 1 from c d where d.pver_id = c.pver_id and d.fn = c.callee)")
+_one = lambda c: c.select(*sy.FILE, F.regexp_extract("text", r"uint16 (tab_\d+)", 1).alias("array"), F.lit(14).alias("line_no"))
+register("x14_fix_index_symbols", "c_files", lambda c: co.fix_index_symbols(_starts(c).select(*sy.FILE, "fn", F.explode(F.array(F.lit("loc"), F.lit("far"))).alias("symbol"), F.lit(4).alias("line_no")), _starts(c).select(*sy.FILE, "fn", F.explode(F.array(F.lit("loc"), F.lit("ptr"), F.lit("none"))).alias("token")), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, unnest(['loc', 'far', 'ptr']) as symbol, unnest([11, 4, 9]) as line_no, unnest(['local', null, 'parameter']) as scope, unnest(['re-pointed', 'kept', 'added']) as change from c")
+_RAW = [(13, "alarm_site", "tab_", None), (13, "write", "uint8 loc = ", "loc"), (15, "write", "if (loc < 4u) {", "loc"), (16, "guard", "return (*cb", "s"), (14, "guard", "if (loc < 4u)", "zz"), (2, "write", "far away", "loc"), (12, "fact", "row_t rows;", None)]
+register("x13_normalize_facts", "c_files", lambda c: co.normalize_facts(_one(c).select(*sy.FILE, F.explode(F.array(*[F.struct(F.lit(a).alias("line_no"), F.lit(k).alias("kind"), F.lit(q).alias("quote"), F.lit(s).cast("string").alias("symbol")) for a, k, q, s in _RAW])).alias("r")).select(*sy.FILE, "r.*"), _one(c).select(*sy.FILE, "array", F.col("line_no").alias("alarm_line"), F.array(F.lit("loc")).alias("tokens"), F.array(F.lit("loc"), F.col("array")).alias("relevant")), _lines(c)), _CF + """select pver_id, file_id, unnest([14, 11, 13, 13]) as line_no,
+ unnest(['alarm_site', 'write', 'read', 'guard']) as kind, unnest([trim(ls[14]), 'uint8 loc =', 'if (loc < 4u) {', 'if (loc < 4u)']) as quote, unnest([null, 'loc', 'loc', null]) as symbol from c""")
+register("x11_seed_facts", "c_files", lambda c: co.seed_facts(co.extract_declarations(c), co.initializer_sizes(c), _one(c), _one(c).select(*sy.FILE, F.lit(13).alias("line_no"), F.lit("loc").alias("token")), _lines(c)), _CF + """, k as (select *, unnest([4, 6, 11, 12, 4, 14, 13]) as line_no,
+ unnest(['declaration', 'declaration', 'declaration', 'declaration', 'array_size_hint', 'alarm_site', 'local_guard']) as kind, unnest([tab, mem, 'loc', 'rows', tab, tab, 'loc']) as symbol from c) select pver_id, file_id, line_no, kind, symbol, trim(ls[line_no]) as quote from k""")
+register("w06_symbol_packages", "c_files", lambda c: co.symbol_packages(_one(c).select(*sy.FILE, F.col("array").alias("symbol"), F.explode(F.array(F.lit(4), F.lit(14), F.lit(12))).alias("line")), _lines(c)), _CF + "select pver_id, file_id, tab as symbol, 16 as n_lines, array_to_string(list_transform(range(1, 18), lambda i: case when i <> 8 then i || ': ' || ls[i] end), chr(10)) as package from c")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .facts import merge_windows, verify_quotes
 from .symbols import FILE, LINE
 
 _HIDDEN = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|^[ \t]*#(?:\\.|[^\\\n])*", re.S | re.M)
@@ -23,6 +24,9 @@ _UNTYPED = re.compile(r"^\s*((?:\*\s*)*)([A-Za-z_]\w*)\s*((?:\[[^\]]*\]\s*)*)(?:
 _TYPE_ALONE = re.compile(r"^\s*(?:(?:static|extern|const|volatile)\s+)*([A-Za-z_]\w*)\s*$")
 _NOT_TYPES = {"return", "goto", "typedef", "else", "case", "break", "continue", "do", "sizeof", "struct", "union", "enum"}
 CALL = r"((?<!\w)[A-Za-z_]\w*|\(\s*\*\s*[A-Za-z_]\w*\s*\))\s*(?=\()"
+# Kinds a fact may have, and those that state a bound.
+ALLOWED = ["declaration", "alarm_site", "access", "write", "read", "guard", "clamp", "mask", "loop_bound", "arg_binding", "call_edge", "path_step", "value_site", "array_size_hint", "local_guard", "fact"]
+BOUNDS = ["guard", "clamp", "mask", "loop_bound", "local_guard", "array_size_hint"]
 #: Initializers longer than this many lines are not counted.
 INITIALIZER_LINES = 20_000
 
@@ -335,3 +339,71 @@ def value_origins(starts: DataFrame, assignments: DataFrame, functions: DataFram
     defined = functions.where("defined").select("pver_id", F.col("fn").alias("callee")).distinct()
     ranked = made.join(defined, ["pver_id", "callee"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(*FILE, "fn", "token").orderBy("callee")))
     return ranked.where(F.col("place") <= cap).select(*FILE, "fn", "token", "callee", "place")
+
+
+def _names(text, name):
+    """Whether a text holds a name as a whole word."""
+    return F.regexp_like(text, F.concat(F.lit(r"\b"), name, F.lit(r"\b")))
+
+
+def fix_index_symbols(symbols: DataFrame, tokens: DataFrame, params: DataFrame, decls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Symbols (pver_id, file_id, fn, symbol, line_no) of an alarm's function, with index tokens (pver_id, file_id, fn, token) re-pointed.
+
+    A token's declaration is the function's parameter of that name, else its first local one; where there is none the symbol stays as
+    it is. Tokens that the symbols lack are added with the declaration found. `change` says which: kept, re-pointed or added.
+    """
+    spans = functions.where("defined").select(*FILE, "fn", "sig_line", "start_line", "end_line")
+    local = decls.select(*FILE, F.col("symbol").alias("token"), "line_no").join(spans, FILE).where("line_no between start_line and end_line")
+    local = local.select(*FILE, "fn", "token", F.struct(F.lit(1).alias("rank"), F.col("line_no").alias("line")).alias("at"))
+    own = params.select(*FILE, "fn", F.col("symbol").alias("token")).join(spans, [*FILE, "fn"]).select(*FILE, "fn", "token", F.struct(F.lit(0).alias("rank"), F.col("sig_line").alias("line")).alias("at"))
+    found = local.unionByName(own).join(tokens.distinct(), [*FILE, "fn", "token"], "left_semi").groupBy(*FILE, "fn", "token").agg(F.min("at").alias("at"))
+    both = symbols.join(found.withColumnRenamed("token", "symbol"), [*FILE, "fn", "symbol"], "full")
+    change = F.when(F.col("line_no").isNull() & F.col("at").isNotNull(), "added").when(F.col("at.line") != F.col("line_no"), "re-pointed").otherwise("kept")
+    scope = F.when(F.col("at.rank") == 0, "parameter").when(F.col("at.rank") == 1, "local")
+    return both.select(*FILE, "fn", "symbol", F.coalesce("at.line", "line_no").alias("line_no"), scope.alias("scope"), change.alias("change"))
+
+
+def normalize_facts(raw: DataFrame, alarms: DataFrame, lines: DataFrame, allowed: list[str] = ALLOWED, bounds: list[str] = BOUNDS) -> DataFrame:
+    """Outside facts (pver_id, file_id, line_no, kind, quote, symbol) on one alarm (array, alarm_line, tokens, relevant) a file.
+
+    The line becomes the nearest that holds the quote, or the fact goes. Facts whose line names nothing relevant go, too. An alarm_site
+    elsewhere is an access or a fact; a write must set its symbol or an index token, else it is a read or a fact; a call edge needs a
+    bracket; a bound needs a guard, an empty dimension or sizeof. Plain facts and reads stay only if they name a token or the array.
+    """
+    asked = raw.where("trim(quote) <> '' and line_no is not null").withColumn("quote", F.trim("quote"))
+    at = verify_quotes(asked.select(*LINE, "quote").distinct(), lines).where("verified").select(*LINE, "quote", "found_line")
+    own = asked.join(at, [*LINE, "quote"]).join(alarms, FILE).join(lines.select(*FILE, F.col("line_no").alias("found_line"), "text"), [*FILE, "found_line"])
+    text, given = F.col("text"), F.lower(F.trim(F.coalesce("kind", F.lit("fact"))))
+    kind = F.when(given.isin(allowed), given).otherwise("fact")
+    token_here, array_here = F.exists("tokens", lambda t: _names(text, t)), F.coalesce(_names(text, F.col("array")), F.lit(False))
+    written = F.when(S.is_lhs_write(text, F.col("symbol")), F.col("symbol")).otherwise(F.get(F.filter("tokens", lambda t: S.is_lhs_write(text, t)), F.lit(0)))
+    base = own.where(F.exists("relevant", lambda t: _names(text, t))).withColumn("symbol", F.when(_names(text, F.col("symbol")), F.col("symbol")))
+    one = base.withColumns({"given": kind, "written": written})
+    bracket = F.coalesce(F.regexp_like(text, F.concat(F.lit(r"\b"), F.col("array"), F.lit(r"\s*\["))), F.lit(False))
+    new = (
+        F.when((F.col("given") == "alarm_site") & ~F.coalesce(F.col("found_line") == F.col("alarm_line"), F.lit(False)), F.when(bracket, "access").otherwise("fact"))
+        .when((F.col("given") == "write") & F.col("written").isNull(), F.when(token_here, "read").otherwise("fact"))
+        .when((F.col("given") == "call_edge") & ~text.contains("("), "fact")
+        .when(F.col("given").isin(bounds) & ~S.is_guard(text) & ~text.rlike(r"\[\s*\]|\bsizeof\b"), "fact")
+        .otherwise(F.col("given"))
+    )
+    done = one.withColumn("kind", new).withColumn("symbol", F.when(F.col("kind") == "write", F.col("written")).otherwise(F.col("symbol")))
+    kept = done.where(~F.col("kind").isin("fact", "read") | token_here | array_here)
+    quote = F.when(F.length("quote") < 8, F.substring(F.trim(text), 1, 300)).otherwise(F.substring("quote", 1, 300))
+    return kept.select(*FILE, F.col("found_line").alias("line_no"), "kind", quote.alias("quote"), "symbol")
+
+
+def seed_facts(decls: DataFrame, sizes: DataFrame, alarms: DataFrame, guards: DataFrame, lines: DataFrame) -> DataFrame:
+    """X11: the facts known before any search: declarations, size hints, alarm sites and local guards, each with its line as the quote."""
+    pick = lambda df, kind, symbol: df.select(*LINE, F.lit(kind).alias("kind"), symbol.alias("symbol"))
+    seeds = pick(decls, "declaration", F.col("symbol")).unionByName(pick(sizes, "array_size_hint", F.col("symbol"))).unionByName(pick(alarms, "alarm_site", F.col("array"))).unionByName(pick(guards, "local_guard", F.col("token")))
+    return seeds.distinct().join(lines.select(*LINE, "text"), LINE).select(*LINE, "kind", "symbol", S.collapse_ws(F.col("text")).alias("quote"))
+
+
+def symbol_packages(centers: DataFrame, lines: DataFrame, radius: int = 3, clip: int = 24_000) -> DataFrame:
+    """For each symbol the numbered lines around its key lines (pver_id, file_id, symbol, line), windows merged, text clipped."""
+    key = [*FILE, "symbol"]
+    wanted = merge_windows(centers, key, radius).select(*key, F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    own = wanted.join(lines.select(*LINE, "text"), LINE)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: F.concat(x["line_no"].cast("string"), F.lit(": "), x["text"])), "\n")
+    return own.groupBy(*key).agg(F.count("*").alias("n_lines"), S.clip(text, clip).alias("package"))

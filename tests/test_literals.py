@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparktriage.functions import scalars as S
-from sparktriage.operators import facts, graph, paths, symbols, verdict
+from sparktriage.operators import corpus, facts, graph, paths, symbols, verdict
 from sparktriage.sources import files
 from sparktriage.streaming import events
 
@@ -112,3 +112,32 @@ def test_stream_equals_batch(spark, tmp_path):
     events.event_tail_sink(stream, str(tmp_path / "tail"), str(tmp_path / "check"), 3).awaitTermination()
     last = max((tmp_path / "tail").iterdir(), key=lambda p: int(p.name[1:]))
     assert spark.read.parquet(str(last)).count() == 9
+
+
+def test_c_corpus(spark):
+    text = """/* dead(x); { */
+#define N 3u
+__attribute__((noinline)) int helper(void) { return 0; }
+extern void proto(int a);
+static uint8
+ late[N];
+VAR(uint8, FAST) wrapped;
+void Inner(int x, const struct T *p) { if (x) { helper(); (*callback)("}"); helper(); } }
+int open_end(void) {
+"""
+    texts = spark.createDataFrame([("p", 1, text), ("p", 2, None), ("p", 3, "")], "pver_id string, file_id long, text string")
+    fns = corpus.extract_functions(texts)
+    assert {(r["fn"], r["defined"]) for r in fns.collect()} == {("helper", True), ("proto", False), ("Inner", True)}
+    assert [(r["caller"], r["callee"]) for r in corpus.extract_calls(fns).orderBy("caller", "pos").collect()] == [("Inner", "helper"), ("Inner", "callback")]
+    found = {(r["symbol"], r["datatype"], r["dims"], r["macro"]) for r in corpus.extract_declarations(texts).collect()}
+    assert {("late", "uint8", "[N]", False), ("wrapped", "uint8", "", True)} <= found
+    assert {(r["symbol"], r["datatype"], r["pointer_depth"]) for r in corpus.extract_parameters(fns).collect()} == {("x", "int", 0), ("p", "T", 1)}
+    assert corpus.extract_functions(texts.limit(0)).count() == 0
+
+
+def test_c_helpers():
+    assert [corpus.dim_eval(t, {"N": 3}) for t in ("(N + 1u) * 2", "7 / 2 - 1", "M", "", "1 / 0", "2 2", "(1")] == [8, 2, None, None, None, None, None]
+    assert corpus.array_from_bracket("x = (p->f)[i + a[1]];", 1) == ("f", "p->f", "i + a[1]")
+    assert corpus.array_from_bracket("a.b[2][j] = 0;", 7) == ("b", "a.b", "j")
+    assert corpus.array_from_bracket("no bracket", 1) is None and corpus.array_from_bracket(None, 1) is None
+    assert corpus.blank('a "x{" /* { */ b') == "a      " + " " * 8 + "b"
