@@ -14,6 +14,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.RandomState(20).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
 _powers: dict[int, np.ndarray] = {}
 LONG_WORD = 64
+_STEPS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93)]
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -73,8 +74,17 @@ def split_words(texts: list[bytes], lower: bool = False) -> Words:
     return Words(raw, starts, ends, doc, first, text_start)
 
 
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of width consecutive word hashes."""
+    if len(h) < width:
+        return np.empty(0, np.uint64)
+    n = len(h) - width + 1
+    out = h[:n]
+    for k in range(1, width):
+        out = mix(out * _STEPS[k % 2] + h[k : k + n])
+    return out
+
+
 def windows3(h: np.ndarray) -> np.ndarray:
     """Hashes of all three-word windows of consecutive word hashes."""
-    if len(h) < 3:
-        return np.empty(0, np.uint64)
-    return mix(mix(h[:-2] * np.uint64(0xD6E8FEB86659FD93) + h[1:-1]) * np.uint64(0xA0761D6478BD642F) + h[2:])
+    return windows(h, 3)

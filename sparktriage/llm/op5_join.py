@@ -1,12 +1,14 @@
 """Operator 5, n-gram Jaccard join by prefix trees.
 
-Each document becomes the set of its distinct three-word shingles, as 64-bit hashes in one global order (by value). Sets
-with 100 * intersection >= 90 * union are linked. Equal sets are one node from the start.
+Each document becomes the set of its distinct shingles, as 64-bit hashes in one global order (by value). Sets with
+denominator * intersection >= numerator * union are linked; a Likeness has the shingles' width and these two: three words and
+90 of 100 in the query, five words and 80 of 100 in the pipeline's stage. Equal sets are one node from the start.
 
 Finding groups. If two sets are linked, their symmetric difference is at most (|x| + |y|) / 19. Cutting the hash space into
 m parts with m above that bound plus a reserve, at least one part that is not almost empty is the same in both. Sets that
 share no part can't be linked, so the graph of shared parts falls into groups that hold all links. Keys are counted after
-partial aggregation, groups come from connected components; no pairs are made.
+partial aggregation, groups come from connected components; no pairs are made. Below 90 of 100 parts get so small that unrelated
+sets share them; there the keys are the rarest shingles of a set, as many as must hold one that both linked sets have (prefix filter).
 
 Joining. Each group's sets travel once. They are put into a compressed trie in the global order; a set walks the trie from
 the root, counting the overlap of each node once for all sets below it, and leaves a subtree when what can still match is
@@ -21,6 +23,7 @@ components name ids. Hashes of 64 bits stand for shingles and for sets: among 10
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import mix, split_words, windows3
+from .arrays import mix, split_words, windows
 from .common import checkpoint, components, key_groups, slices, table, utf8
 
-NUMERATOR, DENOMINATOR, WIDTH = 90, 100, 3
 BLOCK_BYTES = 12 << 20
 #: Sizes fall into bands, each from CUT times its upper bound; a set meets partners of its own band and of the next.
 CUT = 0.9**3
@@ -39,14 +41,40 @@ TINY = 3
 _BOUNDS = [0, *np.unique(np.ceil(2 / CUT ** np.arange(0, 60)).astype(np.int64)).tolist()]
 
 
-def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+@dataclass(frozen=True)
+class Likeness:
+    """What links two sets: shingles of width words, denominator * intersection >= numerator * union."""
+
+    width: int = 3
+    numerator: int = 90
+    denominator: int = 100
+
+    @property
+    def by_parts(self) -> bool:
+        """Whether parts hold enough members to be keys."""
+        return 100 * self.numerator >= 90 * self.denominator
+
+    def parts(self, upper: int) -> tuple[int, int]:
+        """Number of parts for sets of at most upper members, and how many tiny parts a set may leave out.
+
+        Each difference touches one part at most, and each side leaves out some; one more part must remain.
+        """
+        differences = 2 * upper * (self.denominator - self.numerator) // (self.denominator + self.numerator)
+        out = differences // 32 + (differences > 0)
+        return differences + 2 * out + 1, out
+
+
+QUERY, STAGE = Likeness(), Likeness(5, 80, 100)
+
+
+def sets_of(texts: list[bytes], width: int = QUERY.width) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
     w = split_words(texts, lower=True)
     h = w.hashes()
-    windows = windows3(h)
+    shingles = windows(h, width)
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        if b - a >= WIDTH:
-            yield np.unique(windows[a : b - WIDTH + 1])
+        if b - a >= width:
+            yield np.unique(shingles[a : b - width + 1])
         elif b > a:
             yield np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), b - a)], np.uint64)
         else:
@@ -57,23 +85,13 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
 
-def _parts(upper: int) -> tuple[int, int]:
-    """Number of parts for sets of at most upper members, and how many tiny parts a set may leave out.
-
-    Differences touch at most 2 * upper / 19 parts, and each side leaves out some; one more part must remain.
-    """
-    differences = 2 * upper * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-    out = differences // 32 + (differences > 0)
-    return differences + 2 * out + 1, out
-
-
-def part_keys(s: np.ndarray) -> np.ndarray:
+def part_keys(s: np.ndarray, like: Likeness = QUERY) -> np.ndarray:
     """The keys under which a set looks for partners."""
     n, keys = len(s), []
     band = int(np.searchsorted(_BOUNDS, n))
-    partner = min(n * DENOMINATOR // NUMERATOR, _BOUNDS[-1])
+    partner = min(n * like.denominator // like.numerator, _BOUNDS[-1])
     for b in range(band, int(np.searchsorted(_BOUNDS, partner)) + 1):
-        m, out = _parts(_BOUNDS[b])
+        m, out = like.parts(_BOUNDS[b])
         part = (mix(s) >> np.uint64(32)).astype(np.int64) * m >> 32
         counts = np.bincount(part, minlength=m)
         sums = np.zeros(m, np.uint64)
@@ -85,28 +103,47 @@ def part_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = utf8(batch.column(1))
-        for i, j in slices([len(t) for t in texts], 2 << 20):
-            n, ids = [], []
-            for s in sets_of(texts[i:j]):
-                n.append(len(s))
-                ids.append(set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["id", "n_shingles", "node"])
+def _members(like: Likeness):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            for i, j in slices([len(t) for t in texts], 2 << 20):
+                n, ids = [], []
+                for s in sets_of(texts[i:j], like.width):
+                    n.append(len(s))
+                    ids.append(set_id(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["id", "n_shingles", "node"])
+
+    return run
+
+
+def _keys(like: Likeness):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for i, j in slices([len(t) for t in texts], 2 << 20):
+                keys, nodes = [], []
+                for s in sets_of(texts[i:j], like.width):
+                    if len(s):
+                        keys.append(part_keys(s, like))
+                        nodes.append(np.full(len(keys[-1]), set_id(s), np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
+    return run
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = utf8(batch.column(0))
-        for i, j in slices([len(t) for t in texts], 2 << 20):
-            keys, nodes = [], []
-            for s in sets_of(texts[i:j]):
-                if len(s):
-                    keys.append(part_keys(s))
-                    nodes.append(np.full(len(keys[-1]), set_id(s), np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for i, j in slices([len(t) for t in texts], 2 << 20):
+                sets = [s for s in sets_of(texts[i:j], width) if len(s)]
+                if sets:
+                    nodes = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], ["key", "node"])
+
+    return run
 
 
 # --- the trie ---
@@ -131,7 +168,8 @@ class _Node:
 class PrefixTree:
     """Ordered sets in a compressed trie, joined as they come; links of sets that are apart are added to links."""
 
-    def __init__(self, parent: list[int]):
+    def __init__(self, parent: list[int], like: Likeness = QUERY):
+        self.like = like
         self.top = _Node(np.empty(0, np.uint64))
         self.parent = parent
         self.sizes: list[int] = []
@@ -145,23 +183,23 @@ class PrefixTree:
         return i
 
     def probe(self, s: np.ndarray, member: int) -> None:
-        n = len(s)
+        n, numerator, denominator = len(s), self.like.numerator, self.like.denominator
         stack = [(child, 0, 0) for child in self.top.children.values()]
         while stack:
             node, seen, overlap = stack.pop()  # seen: members of s that come before node's first
             if node.root >= 0 and self.root(node.root) == self.root(member):
                 continue
-            if node.least * NUMERATOR > n * DENOMINATOR or node.most * DENOMINATOR < n * NUMERATOR:
+            if node.least * numerator > n * denominator or node.most * denominator < n * numerator:
                 continue
             run = node.run
-            need = -(-NUMERATOR * (n + node.least) // (NUMERATOR + DENOMINATOR))
+            need = -(-numerator * (n + node.least) // (numerator + denominator))
             if overlap + min(n - seen, len(run) + node.deepest) < need:
                 continue
             at = np.searchsorted(s, run)
             overlap += int((s[np.minimum(at, n - 1)] == run).sum())
             seen = int(np.searchsorted(s, run[-1], "right"))
             for other in node.ends:
-                if DENOMINATOR * overlap >= NUMERATOR * (n + self.sizes[other] - overlap) and self.root(other) != self.root(member):
+                if denominator * overlap >= numerator * (n + self.sizes[other] - overlap) and self.root(other) != self.root(member):
                     self.links.append((member, other))
                     self.parent[self.root(member)] = self.root(other)
             if node.children and overlap + min(n - seen, node.deepest) >= need:
@@ -198,53 +236,72 @@ class PrefixTree:
         node.ends.append(member)
 
 
-def tree_join(sets: list[np.ndarray], apart: list[int] | None = None) -> list[tuple[int, int]]:
+def tree_join(sets: list[np.ndarray], apart: list[int] | None = None, like: Likeness = QUERY) -> list[tuple[int, int]]:
     """Links (i, j) of a spanning forest of the linked sets. apart: sets with equal numbers count as linked already."""
     first: dict[int, int] = {}
     parent = [first.setdefault(a, i) for i, a in enumerate(apart)] if apart else list(range(len(sets)))
-    tree = PrefixTree(parent)
+    tree = PrefixTree(parent, like)
     for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
         tree.probe(sets[i], i)
         tree.insert(sets[i], i)
     return tree.links
 
 
-def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in key_groups(batches, ["grp", "i", "j"]):
-        texts = [t for chunk in group.column("text").chunks for t in utf8(chunk)]
-        own = {}  # rows that repeat an id may bring another text than the node's
-        for s, node, apart in zip(sets_of(texts), group.column("node").to_pylist(), group.column("apart").to_pylist()):
-            if len(s) and set_id(s) == node:
-                own[node] = s, apart
-        nodes = list(own)
-        links = tree_join([s for s, _ in own.values()], [a for _, a in own.values()])
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in links], pa.int64()), pa.array([nodes[b] for _, b in links], pa.int64())], ["a", "b"])
+def _join_groups(like: Likeness):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_groups(batches, ["grp", "i", "j"]):
+            texts = [t for chunk in group.column("text").chunks for t in utf8(chunk)]
+            own = {}  # rows that repeat an id may bring another text than the node's
+            for s, node, apart in zip(sets_of(texts, like.width), group.column("node").to_pylist(), group.column("apart").to_pylist()):
+                if len(s) and set_id(s) == node:
+                    own[node] = s, apart
+            nodes = list(own)
+            links = tree_join([s for s, _ in own.values()], [a for _, a in own.values()], like)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in links], pa.int64()), pa.array([nodes[b] for _, b in links], pa.int64())], ["a", "b"])
+
+    return run
 
 
-def _joined(placed: DataFrame) -> DataFrame:
+def _joined(placed: DataFrame, like: Likeness) -> DataFrame:
     """Links among the rows (grp, i, j, node, apart, text) of each (grp, i, j); groups are streamed, one is held at a time."""
     keys = ["grp", "i", "j"]
-    return placed.select(*keys, "node", "apart", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_join_groups, "a long, b long")
+    return placed.select(*keys, "node", "apart", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_join_groups(like), "a long, b long")
 
 
-def memberships(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def memberships(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Likeness = QUERY) -> DataFrame:
     """(id, n_shingles, node) of every row; node, the hash of the set, is null for the empty set."""
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_members, "id long, n_shingles long, node long")
+    return slim.mapInArrow(_members(like), "id long, n_shingles long, node long")
 
 
-def candidate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, grp) of the nodes that share a part with another node."""
-    keys = docs.select(text).mapInArrow(_keys, "key long, node long")
+def _rarest(docs: DataFrame, members: DataFrame, text: str, like: Likeness) -> DataFrame:
+    """(key, node): of the n shingles of each set the n - k + 1 rarest, k being the fewest it has in common with a linked set.
+
+    Two linked sets have one of these in common. Shingles of one set only are dropped after they are counted, which leaves most sets without keys.
+    """
+    holders = Window.partitionBy("key")
+    rows = docs.select(text).mapInArrow(_shingles(like.width), "key long, node long")
+    counted = rows.withColumns({"n_rows": F.count("*").over(holders), "least": F.min("node").over(holders), "top": F.max("node").over(holders)})
+    shared = counted.where("least < top").select("key", "node", "n_rows").distinct()
+    sizes = members.where("node is not null").select("node", F.col("n_shingles").alias("n")).distinct()
+    own = Window.partitionBy("node")
+    ranked = shared.join(sizes, "node").withColumns({"rank": F.row_number().over(own.orderBy("n_rows", "key")), "n_shared": F.count("*").over(own)})
+    prefix = F.expr(f"n - (n * {like.numerator} + {like.denominator - 1}) div {like.denominator} + 1")
+    return checkpoint(ranked.where(F.col("rank") <= prefix - (F.col("n") - F.col("n_shared"))).select("key", "node"))
+
+
+def candidate_groups(docs: DataFrame, members: DataFrame, text: str = "text", like: Likeness = QUERY) -> DataFrame:
+    """(node, grp) of the nodes that share a key with another node."""
+    keys = docs.select(text).mapInArrow(_keys(like), "key long, node long") if like.by_parts else _rarest(docs, members, text, like)
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     edges = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return components(edges).toDF("node", "grp")
 
 
-def linked_nodes(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def linked_nodes(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, like: Likeness = QUERY) -> DataFrame:
     """(node, component): the components of two nodes at least."""
-    groups = candidate_groups(docs, text)
+    groups = candidate_groups(docs, members, text, like)
     holders = members.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     chosen = groups.join(holders, "node")
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -253,13 +310,13 @@ def linked_nodes(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", te
     large = checkpoint(weight.where("blocks > 1"))
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.coalesce("blocks", F.lit(1))).cast("int")
     placed = sized.join(large, "grp", "left").select("grp", block.alias("i"), block.alias("j"), "node", F.col("node").alias("apart"), "text")
-    links = checkpoint(_joined(placed))
+    links = checkpoint(_joined(placed, like))
     if large.isEmpty():
         return components(links)
-    return components(links.unionByName(_across(sized.join(large, "grp"), links, block_bytes)))
+    return components(links.unionByName(_across(sized.join(large, "grp"), links, block_bytes, like)))
 
 
-def _across(rows: DataFrame, links: DataFrame, block_bytes: int) -> DataFrame:
+def _across(rows: DataFrame, links: DataFrame, block_bytes: int, like: Likeness) -> DataFrame:
     """The links that are missing between the blocks of large groups, whose rows are (node, grp, text, bytes, blocks)."""
 
     def labelled(known: DataFrame) -> DataFrame:
@@ -268,7 +325,7 @@ def _across(rows: DataFrame, links: DataFrame, block_bytes: int) -> DataFrame:
     # Representatives first: where a group is one component in every block, this links the blocks.
     least = labelled(links).where("node = apart")
     block = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.sum("bytes").over(Window.partitionBy("grp")) / block_bytes)).cast("int")
-    more = checkpoint(_joined(least.select("grp", block.alias("i"), block.alias("j"), "node", "apart", "text")))
+    more = checkpoint(_joined(least.select("grp", block.alias("i"), block.alias("j"), "node", "apart", "text"), like))
     known = links.unionByName(more)
     # Then all that is still apart: the largest component's blocks meet those of the others, and these meet one another.
     full = checkpoint(labelled(known).drop("component"))
@@ -287,13 +344,13 @@ def _across(rows: DataFrame, links: DataFrame, block_bytes: int) -> DataFrame:
         )
     )
     spread = placed.withColumn("p", F.explode(F.array_distinct(pairs))).select("grp", "p.i", "p.j", "node", "apart", "text")
-    return more.unionByName(checkpoint(_joined(spread)))
+    return more.unionByName(checkpoint(_joined(spread, like)))
 
 
-def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, like: Likeness = QUERY) -> DataFrame:
     """(id, n_shingles, node, component_id) for every row; component_id is the smallest id that links reach."""
-    members = checkpoint(memberships(docs, doc_id, text))
-    linked = linked_nodes(docs, members, doc_id, text, block_bytes)
+    members = checkpoint(memberships(docs, doc_id, text, like))
+    linked = linked_nodes(docs, members, doc_id, text, block_bytes, like)
     named = members.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("node is not null").groupBy("class").agg(F.min("id").alias("least"))
     return named.join(least, "class", "left").select("id", "n_shingles", "node", F.coalesce("least", "id").alias("component_id"))
@@ -305,7 +362,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without those that are linked to one with a smaller id; documents without words stay."""
-    done = join_components(docs)
+    """documents without those that are linked (five words, 80 of 100) to one with a smaller id; documents without words stay."""
+    done = join_components(docs, like=STAGE)
     keep = done.where("id = component_id").select(F.col("id").alias("_keep")).distinct()
     return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")

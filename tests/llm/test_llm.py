@@ -178,6 +178,33 @@ def test_ngram_join(spark, block):
     assert [r["n_shingles"] for r in got] == n and [r["component_id"] for r in got] == [rows[i][0] for i in c]
 
 
+def linked_components(texts, width, numerator):
+    """Smallest index of each text's component; links by all pairs."""
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set() for w in (words(lower(t)) for t in texts)]
+    own = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= numerator * len(a | sets[j]) and own[i] != own[j]:
+                x, y = sorted((own[i], own[j]))
+                own = [x if o == y else o for o in own]
+    return own
+
+
+@pytest.mark.parametrize("block", [12 << 20, 25_000])
+def test_ngram_join_five_words(spark, block):
+    rows = near_copies()
+    for n in (49, 53, 58, 12, 10, 9):  # one changed word in the middle: 5-word similarity of 0.8 or more from 49 words on
+        one = [f"s{n}x{i}" for i in range(n)]
+        for w in (one, [*one[: n // 2], "changed", *one[n // 2 + 1 :]], one[1:]):
+            rows.append((len(rows), " ".join(w)))
+    want = linked_components([t for _, t in rows], 5, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op5_join.join_components(df, block_bytes=block, like=op5_join.STAGE).orderBy("id").collect()
+    assert [r["component_id"] for r in got] == want and want != linked_components([t for _, t in rows], 3, 90)
+    kept = op5_join.stage(spark, df, SF).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in kept] == [i for i, c in enumerate(want) if i == c]
+
+
 def test_ngram_join_odd(spark, odd, docs):
     got = op5_join.join_components(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["id"] in (4, 5)} == {4}
