@@ -16,8 +16,8 @@ too short (remaining-length bound) or when all its sets are linked with it alrea
 blocks that are joined one by one, then their representatives, then the blocks against each other as far as they are still
 apart, so that no task holds more than two blocks and no link between different components is lost.
 
-Null and empty texts have the empty set and are linked with nothing. Equal ids with different texts each keep a row;
-components name ids. Hashes of 64 bits stand for shingles and for sets: among 10**9 sets some two meet with odds of 3 %.
+Null and empty texts have the empty set and are linked with nothing. Rows are told apart by a hash of id and text, so null and
+repeated ids take part like others; components name ids, null where none of the rows has one. Hashes of 64 bits stand for shingles and for sets: among 10**9 sets some two meet with odds of 3 %.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import mix, split_words, windows
-from .common import checkpoint, components, key_groups, slices, table, utf8
+from .common import WORD, checkpoint, components, key_groups, slices, table, utf8
 
 BLOCK_BYTES = 12 << 20
 #: Sizes fall into bands, each from CUT times its upper bound; a set meets partners of its own band and of the next.
@@ -112,7 +112,7 @@ def _members(like: Likeness):
                 for s in sets_of(texts[i:j], like.width):
                     n.append(len(s))
                     ids.append(set_id(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2).slice(i, j - i)], ["id", "n_shingles", "node", "row"])
 
     return run
 
@@ -251,7 +251,7 @@ def _join_groups(like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, ["grp", "i", "j"]):
             texts = [t for chunk in group.column("text").chunks for t in utf8(chunk)]
-            own = {}  # rows that repeat an id may bring another text than the node's
+            own = {}  # should two rows have one key, the text is another than the node's
             for s, node, apart in zip(sets_of(texts, like.width), group.column("node").to_pylist(), group.column("apart").to_pylist()):
                 if len(s) and set_id(s) == node:
                     own[node] = s, apart
@@ -269,10 +269,15 @@ def _joined(placed: DataFrame, like: Likeness) -> DataFrame:
     return placed.select(*keys, "node", "apart", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_join_groups(like), "a long, b long")
 
 
+def row_key(doc_id: str, text: str):
+    """A hash of id and text, with null ids told apart from given ones; equal only for repeated rows."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text))
+
+
 def memberships(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Likeness = QUERY) -> DataFrame:
-    """(id, n_shingles, node) of every row; node, the hash of the set, is null for the empty set."""
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_members(like), "id long, n_shingles long, node long")
+    """(id, n_shingles, node, row) of every row; node, the hash of the set, is null for the empty set."""
+    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row"))
+    return slim.mapInArrow(_members(like), "id long, n_shingles long, node long, row long")
 
 
 def _rarest(docs: DataFrame, members: DataFrame, text: str, like: Likeness) -> DataFrame:
@@ -302,10 +307,11 @@ def candidate_groups(docs: DataFrame, members: DataFrame, text: str = "text", li
 def linked_nodes(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, like: Likeness = QUERY) -> DataFrame:
     """(node, component): the components of two nodes at least."""
     groups = candidate_groups(docs, members, text, like)
-    holders = members.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+    holders = members.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
     chosen = groups.join(holders, "node")
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sized = checkpoint(own.join(chosen, "id").select("node", "grp", "text", F.octet_length("text").cast("long").alias("bytes")))
+    own = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    once = own.join(chosen, "row").groupBy("node", "grp").agg(F.first("text").alias("text"))  # repeated rows have one key
+    sized = checkpoint(once.withColumn("bytes", F.octet_length("text").cast("long")))
     weight = sized.groupBy("grp").agg(F.ceil(F.sum("bytes") / block_bytes).alias("blocks"))
     large = checkpoint(weight.where("blocks > 1"))
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.coalesce("blocks", F.lit(1))).cast("int")
@@ -348,12 +354,12 @@ def _across(rows: DataFrame, links: DataFrame, block_bytes: int, like: Likeness)
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, like: Likeness = QUERY) -> DataFrame:
-    """(id, n_shingles, node, component_id) for every row; component_id is the smallest id that links reach."""
+    """(id, n_shingles, node, row, class, component_id) for every row; component_id is the smallest id of the class, the rows that links reach."""
     members = checkpoint(memberships(docs, doc_id, text, like))
     linked = linked_nodes(docs, members, doc_id, text, block_bytes, like)
     named = members.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("node is not null").groupBy("class").agg(F.min("id").alias("least"))
-    return named.join(least, "class", "left").select("id", "n_shingles", "node", F.coalesce("least", "id").alias("component_id"))
+    return named.join(least, "class", "left").select("id", "n_shingles", "node", "row", "class", F.coalesce("least", "id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +368,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without those that are linked (five words, 80 of 100) to one with a smaller id; documents without words stay."""
-    done = join_components(docs, like=STAGE)
-    keep = done.where("id = component_id").select(F.col("id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    """One document of each class of linked ones (five words, 80 of 100): that of the smallest id, a null id only where no other is there.
+
+    Of repeated rows, and of different texts under one id, one stays as well. Documents without words are in no class and all stay.
+    """
+    done = join_components(docs, like=STAGE).where("node is not null")
+    classes = done.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
+    keep = checkpoint(classes.select(F.col("first.row").alias("_row")))
+    rows = docs.withColumn("_row", row_key("doc_id", "text"))
+    wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
+    repeated = done.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row"))
+    repeated = checkpoint(repeated.join(keep, "_row", "left_semi"))
+    one = rows.where(~wordless).join(keep.join(repeated, "_row", "left_anti"), "_row", "left_semi")
+    many = rows.where(~wordless).join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return rows.where(wordless).unionByName(one).unionByName(many).select(*docs.columns)

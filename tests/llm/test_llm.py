@@ -215,6 +215,20 @@ def test_ngram_join_odd(spark, odd, docs):
     assert [(r["n_shingles"], r["component_id"]) for r in found] == [(a, docs["doc_id"][b]) for a, b in zip(n, c)]
 
 
+def test_ngram_join_keys_rows(spark):
+    w = [f"w{i}" for i in range(100)]
+    a, b, c = (" ".join([*w[:k], *(f"z{i}" for i in range(100 - k))]) for k in (100, 94, 88))  # a is linked with b, b with c, a not with c
+    x, y, z, single = (" ".join(f"{p}{i}" for i in range(20)) for p in "xyzs")
+    rows = [(1, a), (None, b), (2, c), (None, None), (None, ""), (None, " "), (3, x), (3, x), (4, x), (None, x), (5, y), (5, z), (6, z), (None, single), (None, single), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["id"], r["component_id"]) for r in op5_join.join_components(df, like=op5_join.STAGE).where("id is not null").collect()}
+    assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)} <= found
+    kept = op5_join.stage(spark, df, SF)
+    assert kept.columns == df.columns
+    want = [(1, a), (None, None), (None, ""), (None, " "), (3, x), (5, y), (5, z), (None, single), (7, None), (7, None)]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 def test_linked_sets_share_a_part():
     rng = np.random.RandomState(8)
     for _ in range(1500):
