@@ -66,7 +66,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, max_ratio: float = 0.1, min_pages: int = 20) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """documents with the boilerplate lines of each source taken out of their texts; n_chars follows the text."""
     done = dedup_lines(docs, F.split("text", "\n"), F.col("source"), max_ratio, min_pages)
     text = F.array_join("_lines.kept", "\n")

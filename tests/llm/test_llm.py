@@ -85,6 +85,12 @@ def test_line_dedup(spark, odd):
     assert staged.columns == odd.columns and staged.count() == len(ODD)
 
 
+def test_line_dedup_small_source(spark):
+    rows = [(i, f"license\nown {i}", "small") for i in range(5)] + [(5, "twice\none", "tiny"), (6, "twice\ntwo", "tiny")]
+    got = op2_lines.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [*(f"own {i}" for i in range(5)), "twice\none", "twice\ntwo"]
+
+
 def test_bpe(spark, odd):
     path = public_tokenizers.path(op3_bpe.RANKS)
     with open(path, "rb") as f:
