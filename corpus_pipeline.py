@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparktriage.llm import op2_lines, op3_bpe, op5_join, op6_rules, op7_mix
-from sparktriage.llm.common import checkpoint, table
+from sparktriage.llm.common import reread, table
 
 #: (name, function); each function takes (spark, docs, sf_dir), and its result is written and read again as the next one's docs.
 STAGES = [
@@ -21,8 +21,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder before the next one reads them."""
+    """All stages over documents; each stage's rows are written to the shared folder as Parquet files before the next one reads them."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        docs = reread(stage(spark, docs, sf_dir), "pipeline")
     return STAGES[-1][1](spark, docs, sf_dir)

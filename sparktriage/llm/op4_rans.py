@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, utf8
+from .common import new_path, table, utf8
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SCALE = 20  # frequencies sum to 2**SCALE
@@ -243,13 +243,19 @@ def _write_segments(path: str, vocabulary: int):
     return run
 
 
-def write_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the ids of docs as files of segments into the shared folder; the files as a table."""
+#: A segment is a row of megabytes; Parquet would look at the size of what it holds only every hundred rows.
+_FILES = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def write_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", out: str | None = None) -> str:
+    """Writes the ids of docs as Parquet files of segments to out, else to a new path in the shared folder; returns that path. path: the vocabulary."""
+    out = out or new_path(docs.sparkSession, "rans-ids")
     path = path or public_tokenizers.path(VOCABULARY)
     vocabulary = tokenizer(path).tokenizer.get_vocab_size()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return checkpoint(ordered.mapInArrow(_write_segments(path, vocabulary), SEGMENTS))
+    ordered.mapInArrow(_write_segments(path, vocabulary), SEGMENTS).write.options(**_FILES).parquet(out)
+    return out
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +272,17 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == -(1 << 63)), pa.array(row["start"] + ends - n), pa.array(n), pa.array(pieces, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
 
-def read_ids(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary little-endian unsigned 32-bit) of the documents in files of segments."""
+def read_ids(path: str, spark: SparkSession | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary little-endian unsigned 32-bit) of the documents in the files of segments at path."""
+    segments = (spark or SparkSession.active()).read.schema(SEGMENTS).parquet(path)
     per_part = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per file
     part_start = per_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("ord")) - F.col("n_ids")
     starts = segments.select("part", "ord", "n_ids").withColumn("within", within).join(part_start, "part").select("part", "ord", (F.col("part_start") + F.col("within")).alias("start"))
-    joined = segments.join(starts, ["part", "ord"]).select("start", "docs", "lengths", "freq", "blocks")
+    joined = segments.join(F.broadcast(starts), ["part", "ord"]).select("start", "docs", "lengths", "freq", "blocks")
     return joined.mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = write_ids(table(spark, sf_dir, "documents"))
-    return read_ids(segments).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = write_ids(table(spark, sf_dir, "documents"))
+    return read_ids(path, spark).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

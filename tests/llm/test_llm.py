@@ -145,6 +145,21 @@ def test_rans_files(spark, odd):
     assert op4_rans.read_ids(segments).count() == 0
 
 
+def test_rans_files_of_another_session(spark, odd, tmp_path):
+    out = f"{tmp_path}/ids"
+    assert op4_rans.write_ids(odd, out=out) == out
+    records = spark.newSession().read.parquet(out)
+    assert records.columns == [x.split()[0] for x in op4_rans.SEGMENTS.split(", ")] and records.agg(F.sum(F.length("docs") / 8)).first()[0] == len(ODD)
+    got = [tuple(r) for r in op4_rans.read_ids(out, spark.newSession()).collect()]
+    assert Counter(r[0] for r in got) == Counter(r[0] for r in ODD) and got == [tuple(r) for r in op4_rans.read_ids(out).collect()]
+
+
+def test_pipeline_writes_parquet(spark):
+    from sparktriage.llm.common import reread
+
+    assert reread(spark.range(3), "numbers").inputFiles() and reread(spark.range(0), "numbers").count() == 0
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
