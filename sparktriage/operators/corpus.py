@@ -311,11 +311,11 @@ def extract_assignments(functions: DataFrame) -> DataFrame:
     return one.where(F.col("lhs").isNotNull() | (F.size("given") > 0))
 
 
-def index_origin(starts: DataFrame, assignments: DataFrame, params: DataFrame, decls: DataFrame, limit: int = 40, rounds: int = 12) -> DataFrame:
+def index_origin(starts: DataFrame, assignments: DataFrame, params: DataFrame, decls: DataFrame, limit: int = 41) -> DataFrame:
     """Where an index (pver_id, file_id, fn, token) comes from: followed back over assignments, parameter beats global beats local.
 
     A parameter ends its branch; a name that is not declared is global and is still followed. A function's assignments are one map
-    beside its index, so all rounds run inside one row after one join; `limit` bounds the names.
+    beside its index, so all rounds run inside one row after one join; `limit` bounds the names (the reference stops once it has passed 40), and as many rounds suffice, as each but the last adds one.
     """
     step = assignments.where("lhs is not null").select(*FILE, "fn", F.col("lhs").alias("name"), F.explode("names").alias("source"))
     step = step.join(params.select(*FILE, "fn", F.col("symbol").alias("name")).distinct(), [*FILE, "fn", "name"], "left_anti")
@@ -323,7 +323,7 @@ def index_origin(starts: DataFrame, assignments: DataFrame, params: DataFrame, d
     none = F.array().cast("array<string>")
     more = lambda s: F.flatten(F.transform(s, lambda x: F.coalesce(F.try_element_at("to", x), none)))
     key = [*FILE, "fn", "token"]
-    seen = starts.join(to, [*FILE, "fn"], "left").select(*key, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array("token"), lambda s, _: F.slice(F.array_distinct(F.concat(s, more(s))), 1, limit)).alias("seen"))
+    seen = starts.join(to, [*FILE, "fn"], "left").select(*key, F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.array("token"), lambda s, _: F.slice(F.array_distinct(F.concat(s, more(s))), 1, limit)).alias("seen"))
     names = seen.select(*key, F.explode("seen").alias("name"))
     p = params.select(*FILE, "fn", F.col("symbol").alias("name"), F.lit(True).alias("is_param")).distinct()
     d = decls.select(*FILE, F.col("symbol").alias("name"), F.lit(True).alias("declared")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -69,13 +70,22 @@ def caller_chain(starts: DataFrame, edges: DataFrame, max_len: int = 12) -> Data
     return chains.select("pver_id", "fn", F.array_join(F.reverse("chain"), ">").alias("chain"))
 
 
-def leaf_distance(edges: DataFrame, leaves: DataFrame, max_depth: int = 4) -> DataFrame:
-    """The least number of calls from a function to the leaf (pver_id, leaf), up to max_depth; breadth first over callers."""
-    callers = edges.select("pver_id", F.col("callee").alias("fn"), "caller").distinct()
-    frontier = seen = leaves.select("pver_id", "leaf", F.col("leaf").alias("fn"), F.lit(0).alias("distance"))
-    for depth in range(1, max_depth + 1):
+def _checkpoint(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def leaf_distance(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The least number of calls from a function to the leaf (pver_id, leaf); breadth first over callers until no function is new."""
+    callers = _checkpoint(edges.select("pver_id", F.col("callee").alias("fn"), "caller").distinct())
+    frontier = seen = _checkpoint(leaves.select("pver_id", "leaf", F.col("leaf").alias("fn"), F.lit(0).alias("distance")).distinct())
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         step = frontier.join(callers, ["pver_id", "fn"]).select("pver_id", "leaf", F.col("caller").alias("fn")).distinct()
-        frontier = step.join(seen, ["pver_id", "leaf", "fn"], "left_anti").withColumn("distance", F.lit(depth))
+        frontier = _checkpoint(step.join(seen, ["pver_id", "leaf", "fn"], "left_anti").withColumn("distance", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 

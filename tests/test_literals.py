@@ -37,6 +37,23 @@ def test_unique_paths_and_edges(spark):
     assert (counts["no_of_traces"], counts["no_of_paths"]) == (3, 2)
 
 
+def test_leaf_distance_of_long_chains(spark):
+    edges = spark.createDataFrame([("p", f"f{i + 1}", f"f{i}") for i in range(9)] + [("p", "f0", "f9"), ("p", "f6", "f0")], "pver_id string, caller string, callee string")
+    leaves = spark.createDataFrame([("p", "f0")], "pver_id string, leaf string")
+    want = {"f0": 0, "f6": 1, "f7": 2, "f8": 3, "f9": 4, **{f"f{i}": i for i in range(1, 6)}}
+    assert {r["fn"]: r["distance"] for r in graph.leaf_distance(edges, leaves).collect()} == want
+
+
+def test_index_origin_of_long_chains(spark):
+    key = "pver_id string, file_id long, fn string"
+    starts = spark.createDataFrame([("p", 1, "f", "n0"), ("p", 1, "g", "n0")], f"{key}, token string")
+    sets = spark.createDataFrame([("p", 1, fn, f"n{i}", [f"n{i + 1}"]) for fn, n in (("f", 40), ("g", 60)) for i in range(n)], f"{key}, lhs string, names array<string>")
+    params = spark.createDataFrame([("p", 1, "f", "n40"), ("p", 1, "g", "n60")], f"{key}, symbol string")
+    decls = spark.createDataFrame([("p", 1, f"n{i}") for i in range(61)], "pver_id string, file_id long, symbol string")
+    got = {r["fn"]: (r["origin"], r["n_names"]) for r in corpus.index_origin(starts, sets, params, decls).collect()}
+    assert got == {"f": ("parameter", 41), "g": ("local", 41)}
+
+
 def test_kahn_order():
     names = ["global", "leaf", "main", "mid", "other"]
     out = graph.kahn_order(names, [("main", "mid"), ("mid", "leaf"), ("other", "mid")], {}, {}, "leaf")
