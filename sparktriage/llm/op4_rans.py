@@ -6,8 +6,10 @@ texts are tokenized once, and a task holds the ids of one segment. A block is co
 one stream of 32-bit words, kept in the order in which a decoder reads them. Every CHECKPOINT rows of ids the decoder's
 place in the stream and its states are noted, so that the parts of a block can be decoded at once; each part has a crc32.
 
-The files are Parquet files of segment records, written by Spark, so lost tasks leave no half files: docs, lengths (unsigned
-32-bit each), n_ids, freq (the table: unsigned 32-bit each, zlib), blocks (n, stream, checkpoints, checksums).
+The files are Parquet files of segment records, written by Spark, so lost tasks leave no half files: part (the file's number in
+order), first (ids in the file before this segment), docs, of which the first n_null are null, lengths (unsigned 32-bit each),
+n_ids, freq (the table: unsigned 32-bit each, zlib), blocks (n, stream, checkpoints, checksums). A document's start thus
+needs one number per file besides its own segment.
 
 Null text is empty: only the end id. An empty table gives no segment. Documents with equal ids stand next to each other;
 null ids come first.
@@ -16,9 +18,11 @@ null ids come first.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,15 +45,29 @@ KNOWN_WORDS = 500_000
 # --- tokens ---
 
 
+#: The settings under which words of letters are single pieces, letters are lower-cased and a piece's last id ends in _END_MARK.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_END_MARK = "</w>"
+#: Lower-case Latin letters that neither composition nor lower-casing changes; those beyond ASCII (ß to ö, ø to ÿ) have the lead byte C3.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_LETTER, _TAIL, _SIGN, _BLANK = (
+    np.isin(np.arange(256), list(x))
+    for x in (b"abcdefghijklmnopqrstuvwxyz", [*range(0x9F, 0xB7), *range(0xB8, 0xC0)], bytes(x for x in range(33, 127) if not chr(x).isalnum()), b" \t\n\x0b\f\r")
+)
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizers file whose pieces never cross white space; each different word is encoded once.
 
     The library's pieces of a text are those of its words when it drops white space and treats words one by one; then words
     are looked up, and only new ones go through the library. Results are those of encoding the whole text.
+
+    If the file's settings are those above (known), letters are lower-cased first, a sign between a Latin letter and white space is
+    a word of its own, and new words of Latin letters skip the normalizer: their pieces are told apart by the ids that end a piece.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,6 +75,31 @@ class WordTokenizer:
         self.mark = mark[0] if len(mark) == 1 else None  # ids of a word that is only this sign, between the words of a call
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.known = (
+            steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _SPLIT}
+            and told["model"].get("end_of_word_suffix") == _END_MARK and not any(x["content"].isalpha() for x in told["added_tokens"])
+        )
+        if self.known:
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer = normalizers.Sequence([])
+            self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(_END_MARK)]] = True
+
+    def _pieces(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of _LATIN letters, each of which is one piece."""
+        out = []
+        for i in range(0, len(words), 1000):
+            text = b" ".join(words[i : i + 1000]).decode("latin-1")  # as the library writes bytes: each as the character of its number, but for three
+            text = text.replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            cut, raw = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
 
     def _library(self, words: list[bytes]) -> list[bytes]:
         if self.mark is None:
@@ -70,28 +113,44 @@ class WordTokenizer:
             out += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
         return out
 
-    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A table that knows the ids of all words. Words seen lately are kept: when a generation is full, the one before it goes."""
         if len(self.young) >= KNOWN_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = [w for w in words if w not in young]
-        young.update((w, old[w]) for w in new if w in old)
-        new = [w for w in new if w not in young]
-        odd = [w for w in new if b"|" in w or len(w) > 1000]
-        plain = [w for w in new if not (b"|" in w or len(w) > 1000)]
+        new = words.difference(young)
+        if old:
+            young.update((w, old[w]) for w in new.intersection(old))
+            new = new.difference(old)
+        simple, plain, odd = [], [], []
+        for w in new:
+            if self.known and _LATIN.fullmatch(w):
+                simple.append(w)
+            else:
+                (odd if b"|" in w or len(w) > 1000 else plain).append(w)
+        young.update(zip(simple, self._pieces(simple)))
         young.update(zip(plain, self._library(plain)))
         for w in odd:
             young[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
         return young
 
+    def words(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The words of each text, made alike where that changes no id."""
+        if not self.known:
+            return [t.split() for t in texts]
+        # Lower-casing comes after composition in the library: before letters with combining marks (lead bytes CC, CD) it is left to it.
+        raw = np.frombuffer(b"\n".join([t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]), np.uint8)
+        at = np.flatnonzero(_SIGN[raw[1:-1]]) + 1
+        at = at[(_LETTER[raw[at - 1]] | _TAIL[raw[at - 1]] & (raw[at - 2] == 0xC3)) & _BLANK[raw[at + 1]]]
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        starts = (starts + np.searchsorted(at, starts)).tolist()
+        joined = np.insert(raw, at, 32).tobytes()
+        return [joined[a : b - 1].split() for a, b in zip(starts, starts[1:])]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
+        words = self.words(texts)
         flat = list(itertools.chain.from_iterable(words))
-        got = list(map(self.young.get, flat))
-        if None in got:
-            known = self.learn({w for w, ids in zip(flat, got) if ids is None})
-            got = [known[w] if ids is None else ids for w, ids in zip(flat, got)]
+        got = list(map(self.learn(set(flat)).__getitem__, flat))
         out, at = [], 0
         for ws in words:
             out.append(np.frombuffer(b"".join(got[at : at + len(ws)]), "<u2").astype(np.uint32))
@@ -201,7 +260,7 @@ def decode_block(stream: bytes, marks: bytes, sums: bytes, n: int, t: Table) ->
 # --- jobs ---
 
 
-SEGMENTS = "part int, ord int, docs binary, lengths binary, n_ids long, freq binary, blocks array<struct<n:int,stream:binary,checkpoints:binary,checksums:binary>>"
+SEGMENTS = "part int, first long, n_null int, docs binary, lengths binary, n_ids long, freq binary, blocks array<struct<n:int,stream:binary,checkpoints:binary,checksums:binary>>"
 _BLOCKS = pa.list_(pa.struct([("n", pa.int32()), ("stream", pa.binary()), ("checkpoints", pa.binary()), ("checksums", pa.binary())]))
 
 
@@ -211,10 +270,10 @@ def _write_segments(path: str, vocabulary: int):
 
         own, part = tokenizer(path), TaskContext.get().partitionId()
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), _BLOCKS]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), _BLOCKS]
         docs: list[int | None] = []
         held: list[np.ndarray] = []
-        total = number = 0
+        total = first = 0
 
         def segment() -> pa.RecordBatch:
             flat = np.concatenate(held)
@@ -223,8 +282,9 @@ def _write_segments(path: str, vocabulary: int):
             for i in range(0, total, BLOCK_IDS):
                 ids = flat[i : i + BLOCK_IDS]
                 blocks.append(dict(zip(("n", "stream", "checkpoints", "checksums"), (len(ids), *encode_block(ids, t)))))
-            order = np.array([-(1 << 63) if d is None else d for d in docs], "<i8").tobytes()
-            values = [part, number, order, np.array([len(x) for x in held], "<u4").tobytes(), total, zlib.compress(t.freq.astype("<u4").tobytes(), 1), blocks]
+            nulls = docs.count(None)  # they come first
+            order = np.array([d or 0 for d in docs], "<i8").tobytes()
+            values = [part, first, nulls, order, np.array([len(x) for x in held], "<u4").tobytes(), total, zlib.compress(t.freq.astype("<u4").tobytes(), 1), blocks]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
@@ -236,7 +296,7 @@ def _write_segments(path: str, vocabulary: int):
                     total += len(held[-1])
                     if total >= SEGMENT_IDS:
                         yield segment()
-                        docs, held, total, number = [], [], 0, number + 1
+                        docs, held, total, first = [], [], 0, first + total
         if docs:
             yield segment()
 
@@ -269,17 +329,15 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = np.frombuffer(row["docs"], "<i8")
             raw = ids.astype("<u4").tobytes()
             pieces = [raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == -(1 << 63)), pa.array(row["start"] + ends - n), pa.array(n), pa.array(pieces, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.arange(len(docs)) < row["n_null"]), pa.array(row["start"] + ends - n), pa.array(n), pa.array(pieces, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
 
 def read_ids(path: str, spark: SparkSession | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary little-endian unsigned 32-bit) of the documents in the files of segments at path."""
     segments = (spark or SparkSession.active()).read.schema(SEGMENTS).parquet(path)
-    per_part = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per file
-    part_start = per_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("ord")) - F.col("n_ids")
-    starts = segments.select("part", "ord", "n_ids").withColumn("within", within).join(part_start, "part").select("part", "ord", (F.col("part_start") + F.col("within")).alias("start"))
-    joined = segments.join(F.broadcast(starts), ["part", "ord"]).select("start", "docs", "lengths", "freq", "blocks")
+    per_part = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = per_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))  # one row per file, that is per writing task
+    joined = segments.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("first")).alias("start"), "n_null", "docs", "lengths", "freq", "blocks")
     return joined.mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
 
 

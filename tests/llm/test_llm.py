@@ -131,6 +131,8 @@ def test_rans_files(spark, odd):
     random.seed(5)
     texts = ["".join(random.choice(["a", "B", "́", "Σ", " ", "\n", " ", "é", "1", "'s", "<|endoftext|>", "漢", "x", ".", ",", "!", "'", "|", "_", "'ve"]) for _ in range(30)) for _ in range(300)]
     own = op4_rans.WordTokenizer(public_tokenizers.path(op4_rans.VOCABULARY))
+    texts += ["Ärger größer à í ÿ ÷ × ß. é, É, ŁŒ ǰ J̌ H̱ é. ñ! Ñ?", "x", ".", "", " a. ", "İ. K. Σας ΣΑΣ.", *("".join(random.choice("aßàíéÉz .,!\n̈") for _ in range(40)) for _ in range(300))]
+    assert own.known
     for t, ids in zip(texts, own.encode([t.encode() for t in texts])):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
     segments = op4_rans.write_ids(odd)
