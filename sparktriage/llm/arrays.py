@@ -14,18 +14,18 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.RandomState(20).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
 _powers: dict[int, np.ndarray] = {}
 LONG_WORD = 64
+#: Words are hashed by pieces of so many bytes, so that a long text needs no more room than its bytes and words.
+HASHED_BYTES = 1 << 18
 _STEPS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93)]
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64, at least n of them."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
+def _power(base: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64, for the bytes of one piece."""
+    if base not in _powers:
+        have = np.full(HASHED_BYTES, base, np.uint64)
         have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have
+        _powers[base] = np.multiply.accumulate(have)
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,13 +49,20 @@ class Words:
     def hashes(self) -> np.ndarray:
         """One 64-bit hash per word, equal for equal bytes (polynomial over the bytes; words over LONG_WORD by xxhash)."""
         raw, starts, ends = self.raw, self.starts, self.ends
-        if not len(starts):
-            return np.empty(0, np.uint64)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUES[raw] * _power(_BASE, len(raw))[: len(raw)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts]
-        h = mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
-        for i in np.flatnonzero(ends - starts > LONG_WORD):
+        h = np.empty(len(starts), np.uint64)
+        long = ends - starts > LONG_WORD
+        at = 0
+        while at < len(starts):
+            origin = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, origin + HASHED_BYTES, "right")))
+            last = min(int(ends[to - 1]), origin + HASHED_BYTES)  # a word beyond it is a long one
+            piece = raw[origin:last]
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_VALUES[piece] * _power(_BASE)[: len(piece)], out=sums[1:])
+            s, e = starts[at:to] - origin, np.minimum(ends[at:to] - origin, len(piece))
+            h[at:to] = mix((sums[e] - sums[s]) * _power(_INVERSE)[s] ^ ((e - s).astype(np.uint64) << np.uint64(56)))
+            at = to
+        for i in np.flatnonzero(long):
             h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
         return h
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,13 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def text_slices(batch: pa.RecordBatch, place: int, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Consecutive rows [i, j) of a batch and their texts of at most limit bytes together, or a single longer one; only these are held."""
+    column = batch.column(place)
+    for i, j in slices(pc.binary_length(column).fill_null(0).to_pylist(), limit):
+        yield i, j, utf8(column.slice(i, j - i))
+
+
 def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Splits a stream that is sorted by keys into one table per key value; only the open group is held."""
     held: list[pa.RecordBatch] = []

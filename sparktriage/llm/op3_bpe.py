@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import slices, table, text_slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The encoder forgets its known pieces when it holds so many; results do not depend on it.
@@ -212,10 +212,9 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            texts = utf8(batch.column(place))
-            for start, end in slices([len(t) + 64 for t in texts], TEXT_BYTES):  # the output of a few rows at a time bounds what a worker holds
+            for start, end, texts in text_slices(batch, place, TEXT_BYTES):  # the output of a few rows at a time bounds what a worker holds
                 part = batch.slice(start, end - start)
-                ids = own.encode_all([t.decode() for t in texts[start:end]])
+                ids = own.encode_all([t.decode() for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], [*part.schema.names, "_ids", "_decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -230,9 +229,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = encoder(path)
         for batch in batches:
             n, a, b = [], [], []
-            texts = utf8(batch.column(1))
-            for start, end in slices([len(t) + 64 for t in texts], TEXT_BYTES):
-                for ids in own.encode_all([t.decode() for t in texts[start:end]]):
+            for _, _, texts in text_slices(batch, 1, TEXT_BYTES):
+                for ids in own.encode_all([t.decode() for t in texts]):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(own.decode(ids)).hexdigest())

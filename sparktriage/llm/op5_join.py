@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import mix, split_words, windows
-from .common import WORD, checkpoint, components, key_groups, slices, table, utf8
+from .common import WORD, checkpoint, components, key_groups, slices, table, text_slices, utf8
 
 BLOCK_BYTES = 12 << 20
 #: Sizes fall into bands, each from CUT times its upper bound; a set meets partners of its own band and of the next.
@@ -67,18 +67,23 @@ class Likeness:
 QUERY, STAGE = Likeness(), Likeness(5, 80, 100)
 
 
+#: Texts whose words are looked at together; a single longer one goes alone.
+SLICE_BYTES = 1 << 18
+
+
 def sets_of(texts: list[bytes], width: int = QUERY.width) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
-    w = split_words(texts, lower=True)
-    h = w.hashes()
-    shingles = windows(h, width)
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        if b - a >= width:
-            yield np.unique(shingles[a : b - width + 1])
-        elif b > a:
-            yield np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), b - a)], np.uint64)
-        else:
-            yield np.empty(0, np.uint64)
+    for i, j in slices([len(t) for t in texts], SLICE_BYTES):
+        w = split_words(texts[i:j], lower=True)
+        h = w.hashes()
+        shingles = windows(h, width)
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+            if b - a >= width:
+                yield np.unique(shingles[a : b - width + 1])
+            elif b > a:
+                yield np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), b - a)], np.uint64)
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -106,10 +111,9 @@ def part_keys(s: np.ndarray, like: Likeness = QUERY) -> np.ndarray:
 def _members(like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for i, j in slices([len(t) for t in texts], 2 << 20):
+            for i, j, texts in text_slices(batch, 1, SLICE_BYTES):
                 n, ids = [], []
-                for s in sets_of(texts[i:j], like.width):
+                for s in sets_of(texts, like.width):
                     n.append(len(s))
                     ids.append(set_id(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2).slice(i, j - i)], ["id", "n_shingles", "node", "row"])
@@ -120,10 +124,9 @@ def _members(like: Likeness):
 def _keys(like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for i, j in slices([len(t) for t in texts], 2 << 20):
+            for _, _, texts in text_slices(batch, 0, SLICE_BYTES):
                 keys, nodes = [], []
-                for s in sets_of(texts[i:j], like.width):
+                for s in sets_of(texts, like.width):
                     if len(s):
                         keys.append(part_keys(s, like))
                         nodes.append(np.full(len(keys[-1]), set_id(s), np.int64))
@@ -136,9 +139,8 @@ def _keys(like: Likeness):
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for i, j in slices([len(t) for t in texts], 2 << 20):
-                sets = [s for s in sets_of(texts[i:j], width) if len(s)]
+            for _, _, texts in text_slices(batch, 0, SLICE_BYTES):
+                sets = [s for s in sets_of(texts, width) if len(s)]
                 if sets:
                     nodes = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(s) for s in sets])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], ["key", "node"])

@@ -7,7 +7,7 @@ conditional expression.
 
 Null text has no words and no lines. Without labelled rows of both kinds the list is empty and nothing but the base rule
 rejects. Repeated label rows count as often as they stand; labels for unknown documents and null labels are not used.
-Extra columns of docs stay in score().
+score() gives the id and what it finds; stage() keeps all columns of docs, also those named like a statistic.
 """
 
 from __future__ import annotations
@@ -19,15 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrays import mix, split_words, windows3
-from .common import slices, table, utf8
+from .common import table, text_slices
 
 #: At most so many labelled rows are fitted on, those with the least hash of their id.
 MAX_LABELLED = 20_000
 #: A rule must be so precise on the rows held back for pruning, by a one-sided lower bound, and cover so many rows.
 MIN_PRECISION, MIN_COVER, MAX_RULES, MAX_TERMS = 0.8, 10, 12, 3
 
+#: Texts that are looked at together; a single longer one goes alone.
+SLICE_BYTES = 1 << 18
+
 STATS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_chars_all": "long", "n_alpha": "long", "n_upper": "long", "n_digit": "long", "n_stop": "long", "n_distinct": "long"}
 #: What the rules compare, as SQL over the statistics.
 FEATURES = {
@@ -66,14 +70,17 @@ def text_stats(texts: list[bytes]) -> np.ndarray:
     if not n:
         return out
     gap = np.concatenate([w.text_start, [len(w.raw) + 1]])
-    sums = np.concatenate([np.zeros((5, 1), np.int64), np.cumsum(_KIND[:, w.raw], axis=1)], axis=1)
-    per_text = sums[:, np.minimum(gap[1:] - 1, len(w.raw))] - sums[:, gap[:-1]]
-    chars = sums[4, w.ends] - sums[4, w.starts]
+    per_text = []
+    for kind in _KIND:  # one at a time: a running sum is four times as long as the texts
+        sums = np.zeros(len(w.raw) + 1, np.int32)
+        np.cumsum(kind[w.raw], out=sums[1:])
+        per_text.append(sums[np.minimum(gap[1:] - 1, len(w.raw))] - sums[gap[:-1]])
+    chars = (sums[w.ends] - sums[w.starts]).astype(np.int64)
     out[:, 0] = np.diff(w.first)
     out[:, 1] = np.bincount(w.doc, chars, n)
     out[:, 2] = per_text[0]
     out[:, 6] = per_text[4]
-    out[:, 7:10] = per_text[1:4].T
+    out[:, 7:10] = np.array(per_text[1:4]).T
     out[:, 10] = np.bincount(w.doc, chars <= 3, n)
     out[:, 11] = np.bincount(w.doc[np.unique(mix(h ^ mix(w.doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1]], minlength=n)
     out[:, 5], out[:, 3] = np.array([_dup_lines(t) for t in texts]).T
@@ -95,9 +102,8 @@ def text_stats(texts: list[bytes]) -> np.ndarray:
 
 def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = utf8(batch.column(1))
-        for i, j in slices([len(t) for t in texts], 2 << 20):
-            values = text_stats(texts[i:j])
+        for i, j, texts in text_slices(batch, 1, SLICE_BYTES):
+            values = text_stats(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(c) for c in values.T]], ["_key", *STATS])
 
 
@@ -210,18 +216,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents that neither the base rule nor a learned rule rejects."""
+    """documents that neither the base rule nor a learned rule rejects; all their columns, whatever their names, are as they were."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
-    fields = [f"{k} {v}" for k, v in {**{c: docs.schema[c].dataType.simpleString() for c in docs.columns}, **{f"_{k}": v for k, v in STATS.items()}}.items()]
     place = docs.columns.index("text")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of the statistics begins with c and a number
+    fields = StructType([*rows.schema.fields, *[StructField(k, LongType()) for k in STATS]])
 
     def with_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(place))
-            values = np.concatenate([text_stats(texts[i:j]) for i, j in slices([len(t) for t in texts], 2 << 20)]) if texts else np.zeros((0, len(STATS)), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in values.T]], [*batch.schema.names, *[f"_{k}" for k in STATS]])
-
-    full = docs.mapInArrow(with_stats, ", ".join(fields))
-    names = {f"_{k}": k for k in STATS}
-    checked = full.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[F.col(k).alias(v) for k, v in names.items()])
-    return checked.where(~F.expr(BASE_FAILED) & verdict(rules).isNull()).select("_row.*")
+            for i, j, texts in text_slices(batch, place, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *[pa.array(c) for c in text_stats(texts).T]], [*batch.schema.names, *STATS])
+
+    kept = rows.mapInArrow(with_stats, fields).where(~F.expr(BASE_FAILED) & verdict(rules).isNull())
+    return kept.select(*rows.columns).toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import table, text_slices
 
 
 @dataclass(frozen=True)
@@ -308,6 +308,7 @@ def scan(texts: list[bytes], rules: tuple[SecretRule, ...] = RULES) -> list[list
     if not len(at):
         return out
     starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    points = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)  # code points up to each byte, all texts counted on
     owner = np.searchsorted(starts, at, "right") - 1
     free = [0] * len(rules)
     last = -1
@@ -323,7 +324,7 @@ def scan(texts: list[bytes], rules: tuple[SecretRule, ...] = RULES) -> list[list
             free[i] = end
             if end - (_longest(prefixes[i], joined, p, stop) if rule.prefix else p) < rule.least:
                 continue
-            before = len(joined[starts[d] : p].decode("utf-8", "replace"))
+            before = int(points[p]) - int(points[starts[d]])  # the rules' matches begin with ASCII characters, of one byte each
             out[d].append((rule.kind, before, before + end - p))
     return out
 
@@ -334,9 +335,8 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for i, j in slices([len(t) for t in texts], 4 << 20):
-                found = [[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in scan(texts[i:j], rules)]
+            for i, j, texts in text_slices(batch, 1, 4 << 20):
+                found = [[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in scan(texts, rules)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, kind)], ["_key", "spans"])
 
     slim = docs.select(F.col(doc_id).alias("_key"), F.col(text).alias("_text"))

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, slices, table, utf8
+from .common import fold, table, text_slices
 
 WINDOW, HIDDEN = 48, 8
 SAMPLE, PER_TEXT = 6000, 4
@@ -177,9 +177,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for i, j in slices([len(t) for t in texts], 1 << 20):
-                some = [t if model and _LETTER.search(t.decode()) else b"" for t in texts[i:j]]
+            for i, j, texts in text_slices(batch, 1, 1 << 20):
+                some = [t if model and _LETTER.search(t.decode()) else b"" for t in texts]
                 p = model.texts(some) if model else np.zeros((j - i, 1))
                 best = p.argmax(1)
                 names = [model.languages[k] if t else "und" for k, t in zip(best, some)]
