@@ -46,6 +46,11 @@ def reread(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def near(df: DataFrame, rows: int) -> DataFrame:
+    """df, a cheap one to count (a checkpoint), to be broadcast if it has no more rows than that, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id's decimal text, modulo; null ids fall into fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus, F.lit(0))
