@@ -3,11 +3,11 @@
 Every source's target is its share of the total size by weight, at most max_repeats times its own size; what is cut off is
 shared again by weight among the others. A source first gives each document floor(target / size) whole times. For the rest
 of its budget, documents are counted by exact size, the same share of each size is taken, and a bounded-knapsack dynamic
-program over the counts that are left fits the remaining budget as closely as sums of sizes allow. Which documents of a size
-are taken is decided by a seeded hash of their ids, so reruns agree.
+program over the counts that are left fits the remaining budget as closely as sums of sizes allow (fit). Which documents of a
+size are taken is decided by a seeded hash of their ids, so reruns agree.
 
 Null texts have size 0 and are never taken. A null source is a source of its own, in last place. Without rows, or if all
-sizes are 0, targets are 0. Rows that repeat an id with the same size are taken or left together. Extra columns stay.
+sizes are 0, targets are 0. Rows that repeat an id with the same size are taken or left together. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, table
+from .common import WORD, checkpoint, near, table
 
-WEIGHTS, MAX_REPEATS, SEED, BUCKETS = (5.0, 2.0, 1.0), 3, 7, 256
+WEIGHTS, MAX_REPEATS, SEED = (5.0, 2.0, 1.0), 3, 7
+#: The knapsack's window in words; a bound of memory (5 bytes each).
+MAX_WINDOW = 1 << 25
+#: Documents of one source and size are cut by hash into as many buckets as leave so few rows of the whole table in each.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 64
+#: Plans (one row per source and size) of more rows than this are not broadcast.
+PLAN_ROWS = 1 << 19
 
 
 def word_count(text: Column) -> Column:
@@ -44,45 +50,76 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     return levels.select("source", "source_size", "weight", F.least("cap", F.coalesce(free * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
-    """How many documents of each size to take, at most counts, so that the summed size comes as near to budget as can be found.
+def _nearest(sizes: np.ndarray, counts: np.ndarray, budget: float, enough: float) -> tuple[float, np.ndarray]:
+    """How many of each size (at most counts) sum as near to budget as any choice does, by a bounded knapsack; and how far off that is.
 
-    The even share of every size comes first. The rest is a bounded knapsack: sizes join, each with what is left of it in
-    powers of two, until their sum is four times the rest; bit sets hold which sums can be reached.
+    Sizes join from the least on, each in powers of two, and every sum notes the item that first reached it. A sum at most
+    enough off ends the search; sums past budget and the largest size are never nearest.
     """
-    total = int((sizes * counts).sum())
-    if total <= 0 or budget <= 0:
-        return np.zeros(len(sizes), np.int64)
-    take = np.minimum(counts, np.floor(counts * min(1.0, budget / total)).astype(np.int64))
-    left = counts - take
-    rest = int(round(budget - float((sizes * take).sum())))
-    for i in np.argsort(-sizes, kind="stable"):  # larger sizes first, so that what is left for the program is small
-        n = min(int(left[i]), max(0, rest - 2 * int(sizes.max())) // int(sizes[i])) if sizes[i] else 0
-        take[i] += n
-        left[i] -= n
-        rest -= n * int(sizes[i])
-    if rest <= 0:
-        return take
-    items, reach, room = [], 1, 0
+    width = int(budget) + int(sizes.max()) + 1
+    reach, made_by = np.zeros(width + 1, bool), np.full(width + 1, -1, np.int32)
+    reach[0] = True
+    near = [x for x in range(max(0, int(np.ceil(budget - enough - 1e-9))), min(width, int(budget + enough + 1e-9)) + 1)]
+    items: list[tuple[int, int]] = []
+    top = 0
     for i in np.argsort(sizes, kind="stable"):
-        n, step = int(left[i]), 1
-        if sizes[i] <= 0 or sizes[i] > 2 * rest:
-            continue
-        n = min(n, 2 * rest // int(sizes[i]))
+        size = int(sizes[i])
+        n, step = min(int(counts[i]), width // size), 1
         while n:
             k = min(step, n)
-            items.append((int(i), k, reach))
-            reach |= reach << (k * int(sizes[i]))
-            reach &= (1 << (2 * rest + 1)) - 1
-            room += k * int(sizes[i])
+            weight = k * size
+            to = min(top, width - weight)
+            new = np.flatnonzero(reach[: to + 1] & ~reach[weight : weight + to + 1]) + weight
+            reach[new], made_by[new] = True, len(items)
+            items.append((int(i), k))
+            top = min(width, top + weight)
             n, step = n - k, step * 2
-        if room > 4 * rest and reach >> rest & 1:
+        if reach[near].any():
+            break
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
+    off, take = abs(at - budget), np.zeros(len(sizes), np.int64)
+    while at:
+        i, k = items[made_by[at]]
+        take[i] += k
+        at -= k * int(sizes[i])
+    return off, take
+
+
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
+    """How many documents of each size to take, at most counts, so that the summed size comes as near to budget as any choice does.
+
+    No sum is nearer than the nearest multiple of the sizes' greatest common divisor. The even share of every size comes first,
+    and a knapsack over the counts that are left fits the rest; if that misses the multiple, less is given by share and more is
+    left to the knapsack, in the end everything. Only where that last window would pass MAX_WINDOW can a nearer sum be missed.
+    """
+    take = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero((sizes > 0) & (counts > 0))
+    if not len(some) or budget <= 0:
+        return take
+    s, c = sizes[some].astype(np.int64), counts[some].astype(np.int64)
+    total, unit = int((s * c).sum()), int(np.gcd.reduce(s))
+    if budget >= total:
+        take[some] = c
+        return take
+    enough = min(budget % unit, unit - budget % unit)
+    share = np.floor(c * (budget / total)).astype(np.int64)
+    largest = share.copy()  # beyond the share, large documents until a few of their sizes are left: a small window
+    rest = budget - float((s * share).sum())
+    for i in np.argsort(-s, kind="stable"):
+        n = min(int(c[i] - largest[i]), max(0, int(rest - 2 * int(s.max())) // int(s[i])))
+        largest[i] += n
+        rest -= n * int(s[i])
+    best = np.inf
+    for first in (largest, share, share // 2, share // 8, share * 0):
+        rest = max(0.0, budget - float((s * first).sum()))
+        if rest + int(s.max()) > MAX_WINDOW:
+            continue
+        off, more = _nearest(s, c - first, rest, enough)
+        if off < best:
+            best, take[some] = off, first + more
+        if best <= enough + 1e-6:
             break
-    at = next(s for d in range(rest + 1) for s in (rest - d, rest + d) if reach >> s & 1)
-    for i, k, before in reversed(items):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(sizes[i])
     return take
 
 
@@ -91,52 +128,53 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     size, n = rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     whole = int(rows["target"][0] // rows["source_size"][0]) if rows["source_size"][0] else 0
     quota = fit(size, n, rows["target"][0] - whole * rows["source_size"][0])
-    return rows[["source_key", "size", "source_size", "target"]].assign(whole=whole, quota=quota)
+    return rows[["key", "size", "source_size", "target"]].assign(whole=whole, quota=quota)
 
 
 def mix(docs: DataFrame, source: str, size: Column, doc_id: str, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """docs and the columns _size, _source_size, _target and _times (how often the mix takes the document).
+    """(row, size, source_size, target, times): row holds all columns of docs, times is how often the mix takes the document.
 
     The largest group is never gathered: documents of one source and size are counted within hash buckets, running sums of
-    these counts tell in which bucket the quota ends, and only that bucket's rows are numbered to find the cut.
+    these counts tell in which bucket the quota ends, and only that bucket's rows are numbered to find the cut. The plan, a row
+    per source and size, is broadcast if it is small by its counted rows; then no document moves.
     """
-    own = docs.withColumns({
-        "_size": size,
-        "_hash": F.xxhash64(F.col(doc_id), F.lit(seed)),
-        "_source": F.to_json(F.struct(F.col(source).alias("s"))),  # null is a key like any other
-    }).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
-    slim = checkpoint(own.select("_source", "_size", "_bucket", "_hash", F.col(source).alias("source"), F.col(doc_id).alias("id")))
-    counts = slim.groupBy("_source", "_size", "_bucket").agg(F.count("*").alias("n"), F.first("source").alias("source"))
-    per_source = counts.groupBy("_source").agg(F.sum(F.col("n") * F.col("_size")).alias("source_size"), F.first("source").alias("source"))
-    named = targets(per_source.select("source", "source_size"), weights, max_repeats)
-    aims = named.select(F.to_json(F.struct(F.col("source").alias("s"))).alias("source_key"), "source_size", "target")
-    by_size = counts.groupBy(F.col("_source").alias("source_key"), F.col("_size").alias("size")).agg(F.sum("n").alias("n"))
-    quotas = checkpoint(by_size.join(aims, "source_key").groupBy("source_key").applyInPandas(_fit_source, "source_key string, size long, source_size long, target double, whole long, quota long"))
-    start = F.coalesce(F.sum("n").over(Window.partitionBy("_source", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = (
-        counts.withColumn("start", start)
-        .join(quotas, (F.col("_source") == F.col("source_key")) & (F.col("_size") == F.col("size")))
-        .where((F.col("start") < F.col("quota")) & (F.col("quota") <= F.col("start") + F.col("n")))
-        .select("_source", "_size", "_bucket", (F.col("quota") - F.col("start")).alias("here"))
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.to_json(F.struct(F.col(f"`{source}`").alias("s"))).alias("key"),  # null is a key like any other
+        size.alias("size"),
+        F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed)).alias("hash"),
+        F.col(f"`{doc_id}`").alias("id"),
+        F.col(f"`{source}`").alias("source"),
     )
-    number = F.row_number().over(Window.partitionBy("_source", "_size", "_bucket").orderBy("_hash", "id"))
+    slim = checkpoint(own.drop("row"))
+    buckets = max(LEAST_BUCKETS, slim.count() // BUCKET_ROWS)
+    bucket = F.pmod("hash", F.lit(buckets))
+    counts = checkpoint(slim.groupBy("key", "size", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.first("source").alias("source")))
+    per_source = counts.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.first("source").alias("source"))
+    aims = targets(per_source.select("source", "source_size"), weights, max_repeats)
+    aims = aims.select(F.to_json(F.struct(F.col("source").alias("s"))).alias("key"), "source_size", "target")
+    by_size = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
+    quotas = checkpoint(by_size.join(aims, "key").groupBy("key").applyInPandas(_fit_source, "key string, size long, source_size long, target double, whole long, quota long"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("start", start).join(near(quotas.select("key", "size", "quota"), PLAN_ROWS), ["key", "size"]).where((F.col("start") < F.col("quota")) & (F.col("quota") <= F.col("start") + F.col("n")))
+    number = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("hash", "id"))
+    ends = checkpoint(ends.select("key", "size", "bucket", (F.col("quota") - F.col("start")).alias("here")))
     cuts = (
-        slim.join(ends, ["_source", "_size", "_bucket"]).withColumn("number", number).where("number = here")
-        .select(F.col("_source").alias("source_key"), F.col("_size").alias("size"), F.struct("_bucket", "_hash", "id").alias("cut"))
+        slim.withColumn("bucket", bucket).join(near(ends, PLAN_ROWS), ["key", "size", "bucket"])
+        .withColumn("number", number).where("number = here").select("key", "size", F.struct("bucket", "hash", "id").alias("cut"))
     )
-    plan = quotas.join(cuts, ["source_key", "size"], "left").withColumnsRenamed({"size": "plan_size"})
-    joined = own.join(plan, (F.col("_source") == F.col("source_key")) & (F.col("_size") == F.col("plan_size")))
-    more = (F.struct("_bucket", "_hash", F.col(doc_id).alias("id")) <= F.col("cut")) & (F.col("_size") > 0)
-    return joined.select(*[own[c] for c in docs.columns], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("_times"))
+    plan = checkpoint(quotas.join(cuts, ["key", "size"], "left"))
+    more = (F.struct(bucket.alias("bucket"), "hash", "id") <= F.col("cut")) & (F.col("size") > 0)
+    return own.join(near(plan, PLAN_ROWS), ["key", "size"]).select("row", "size", "source_size", "target", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("times"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = checkpoint(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
     done = mix(sized, "source", F.col("size"), "doc_id")
-    return done.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
+    return done.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents as the mix takes them: a document taken twice stands in two rows, one that is not taken goes."""
-    done = mix(docs, "source", word_count(F.col("text")), "doc_id").where("_times > 0")
-    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = mix(docs, "source", word_count(F.col("text")), "doc_id").where("times > 0")
+    return done.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
