@@ -205,7 +205,9 @@ def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """All rows and columns of docs with _ids (binary, little-endian unsigned 32-bit) and _decoded (binary)."""
+    """All rows and columns of docs with _ids (binary, little-endian unsigned 32-bit) and _decoded (binary); docs must not have these two."""
+    if taken := {"_ids", "_decoded"}.intersection(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} are there already")
     path = path or public_tokenizers.path(RANKS)
     place = docs.columns.index(text)
 

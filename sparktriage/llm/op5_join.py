@@ -376,11 +376,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     done = join_components(docs, like=STAGE).where("node is not null")
     classes = done.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-    keep = checkpoint(classes.select(F.col("first.row").alias("_row")))
-    rows = docs.withColumn("_row", row_key("doc_id", "text"))
-    wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
-    repeated = done.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row"))
-    repeated = checkpoint(repeated.join(keep, "_row", "left_semi"))
-    one = rows.where(~wordless).join(keep.join(repeated, "_row", "left_anti"), "_row", "left_semi")
-    many = rows.where(~wordless).join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return rows.where(wordless).unionByName(one).unionByName(many).select(*docs.columns)
+    keep = checkpoint(classes.select(F.col("first.row").alias("key")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key("doc_id", "text").alias("key"), F.coalesce(~F.col("text").rlike(WORD), F.lit(True)).alias("wordless")
+    )
+    repeated = done.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("key"))
+    repeated = checkpoint(repeated.join(keep, "key", "left_semi"))
+    one = rows.where(~F.col("wordless")).join(keep.join(repeated, "key", "left_anti"), "key", "left_semi")
+    many = rows.where(~F.col("wordless")).join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return rows.where("wordless").select("row").unionByName(one.select("row")).unionByName(many.select("row")).select("row.*")

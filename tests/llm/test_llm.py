@@ -75,7 +75,8 @@ def test_exchange_finds_classes():
 def test_line_dedup(spark, odd):
     pages = [(i, f"top {i % 2}\nown {i}\n\n top 0 ", "h" if i % 4 else None) for i in range(12)]
     df = spark.createDataFrame([*pages, (99, None, "h")], "doc_id long, text string, source string")
-    done = op2_lines.dedup_lines(df, F.split("text", "\n"), F.col("source"), 0.6, 3).select("doc_id", F.array_join("_lines.kept", "\n").alias("t")).collect()
+    done, salted = (op2_lines.dedup_lines(df, F.split("text", "\n"), F.col("source"), 0.6, 3, limit).select("row.doc_id", F.array_join("kept", "\n").alias("t")).collect() for limit in (10, 0))
+    assert sorted(done) == sorted(salted) and len(done) == 13
     n = Counter((s, x) for _, t, s in pages for x in {x.strip() for x in t.split("\n")} if x)
     total = Counter(s for _, _, s in pages) + Counter(["h"])
     for r in done:
@@ -325,8 +326,31 @@ def test_mix(spark, odd):
     df = spark.createDataFrame(sizes, "source string, source_size long")
     want = brute_targets(dict(sizes))
     assert all(abs(r["target"] - want[r["source"]]) < 1e-6 for r in op7_mix.targets(df).collect())
+    done = op7_mix.query(spark, SF).toPandas()
+    again = op7_mix.query(spark, SF).toPandas()
+    assert done.sort_values("doc_id").values.tolist() == again.sort_values("doc_id").values.tolist()
+    assert (done["taken"] <= 3 * done["size"]).all() and (done["taken"] % done["size"].clip(lower=1) == 0).all()
+    texts = table(spark, SF, "documents").select("doc_id", "source", "text").toPandas()
+    assert dict(zip(done["doc_id"], done["size"])) == {i: len(words(t)) for i, t in zip(texts["doc_id"], texts["text"])}
+    named = done.merge(texts[["doc_id", "source"]], on="doc_id")
+    per = named.groupby("source")["size"].sum()
+    want = brute_targets({s: int(per[s]) for s in sorted(per.index)})
+    for source, rows in named.groupby("source"):  # what is taken is as near to the target as any choice of documents comes
+        own = int(per[source])
+        assert (rows["source_size"] == own).all() and np.allclose(rows["target"], want[source])
+        whole = int(want[source] // own)
+        reach = 1
+        for n in rows["size"]:
+            reach |= reach << int(n)
+        nearest = min(abs(whole * own + x - want[source]) for x in range(own + 1) if reach >> x & 1)
+        assert abs(abs(int(rows["taken"].sum()) - want[source]) - nearest) < 1e-3
+        assert (rows["taken"] >= whole * rows["size"]).all()
+    assert op7_mix.mix(odd.limit(0), "source", op7_mix.word_count(F.col("text")), "doc_id").count() == 0
+
+
+def test_mix_fit_is_nearest():
     random.seed(11)
-    for _ in range(200):
+    for _ in range(2000):
         s = np.array(sorted(random.sample(range(1, 60), random.randint(1, 8))))
         c = np.array([random.randint(1, 6) for _ in s])
         budget = random.uniform(0, float((s * c).sum()))
@@ -335,15 +359,25 @@ def test_mix(spark, odd):
         for size, n in zip(s.tolist(), c.tolist()):
             reach = {x + k * size for x in reach for k in range(n + 1)}
         assert (take >= 0).all() and (take <= c).all()
-        assert abs((s * take).sum() - budget) <= max(s) and min(abs(x - budget) for x in reach) <= abs((s * take).sum() - budget) + 1e-9
-    done = op7_mix.query(spark, SF).toPandas()
-    again = op7_mix.query(spark, SF).toPandas()
-    assert done.sort_values("doc_id").values.tolist() == again.sort_values("doc_id").values.tolist()
-    assert (done["taken"] <= 3 * done["size"]).all() and (done["taken"] % done["size"].clip(lower=1) == 0).all()
-    by = done.groupby("target")["taken"].sum()
-    assert len(by) > 1
-    assert op7_mix.stage(spark, odd, SF).columns == odd.columns
-    assert op7_mix.mix(odd.limit(0), "source", op7_mix.word_count(F.col("text")), "doc_id").count() == 0
+        assert abs(abs((s * take).sum() - budget) - min(abs(x - budget) for x in reach)) < 1e-6
+    sizes, counts = np.arange(1, 3000), np.full(2999, 7)
+    assert abs((sizes * op7_mix.fit(sizes, counts, 12_345_678.4)).sum() - 12_345_678.4) < 0.5
+    assert op7_mix.fit(np.array([0, 5]), np.array([3, 0]), 4.0).tolist() == [0, 0]
+
+
+CLASHING = ["key", "size", "source_size", "target", "times", "row", "hash", "id", "n_words", "_n_words", "_lines", "keys", "site", "_row", "_ids", "_decoded", "c0", "node", "class", "grp"]
+
+
+@pytest.mark.parametrize("stage", [op6_rules.stage, op2_lines.stage, op5_join.stage, op7_mix.stage])
+def test_stages_keep_columns_of_any_name(spark, odd, stage):
+    """Rows of a stage are whole rows of docs, whatever the columns are called; null, empty and repeated rows among them."""
+    own = ["doc_id", "text", "source", "n_chars"]
+    named = odd.select(*own, *[F.concat_ws("|", F.lit(c), "doc_id").alias(c) for c in CLASHING])
+    got, plain = stage(spark, named, SF), stage(spark, odd.select(*own), SF)
+    assert got.columns == named.columns and stage(spark, named.limit(0), SF).count() == 0
+    rows = got.collect()
+    assert Counter(tuple(r[c] for c in own) for r in rows) == Counter(tuple(r) for r in plain.collect())
+    assert all(r[c] == (c if r["doc_id"] is None else f"{c}|{r['doc_id']}") for r in rows for c in CLASHING)
 
 
 def brute_secrets(text):
