@@ -1,15 +1,16 @@
 """Operator 10, exact top-k search by inner product: Voronoi kNN join.
 
-Pivots, a bounded sample of the data, cut the space into cells; every row belongs to the nearest pivot. For each cell the
-queries' and the candidates' largest distance from the pivot, and for each candidate cell the counts within a ladder of
-distances, are summarised. By Cauchy-Schwarz a query q and a candidate x of cell c with pivot p have
-q.p - |q| |x - p| <= q.x <= q.p + |q| |x - p|: the summaries thus give each group of queries a floor that its k-th best score
-can't be under, and a ceiling over every cell. Candidates of a cell go only to groups whose floor is not above the ceiling.
-Queries and candidates meet in blocks of bounded size; each block keeps its own k best, and these are merged.
+Pivots, a bounded sample of the data whose number grows with it, cut the space into cells; every query belongs to the nearest
+pivot's. A query's floor is its k-th best score among SAMPLE candidates: no result of it scores less. A cell's queries are
+summarised by their largest distance r from the pivot p and their least floor. For a candidate x and a query q of the cell
+q.x <= p.x + r |x| (Cauchy-Schwarz on q - p), so x goes to the cell only if that reaches the floor: each candidate is tested
+with each cell's summary, and copies are made only for the cells that may need it. Cells that most of the sample would go to
+are put together, as they need one copy of a candidate and not one each. Queries and candidates meet in blocks of bounded
+size; each block keeps its own k best, and these are merged.
 
 Ties go to the smaller id. Vectors that are null, hold null or non-finite components, or whose length is not the most common
-one, take no part. Fewer than k candidates give fewer rows. Repeated ids are rows of their own, but for the query's own id.
-Components are turned into floor(1024 * x) as 64-bit integers; scores beyond 64 bits are not defined.
+one, take no part, nor do rows without an id. Fewer than k candidates give fewer rows. Repeated ids are rows of their own, but
+for the query's own id. Components are turned into floor(1024 * x) as 64-bit integers; scores beyond 64 bits are not defined.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, key_groups, table
 
-K, PIVOTS, LADDER = 10, 32, 16
+K = 10
+#: Rows whose scores give the floors; of these the first are pivots, a quarter of the root of the rows but at least LEAST_PIVOTS.
+SAMPLE, LEAST_PIVOTS = 2048, 16
 QUERY_BLOCK, DATA_BLOCK = 1024, 20_000
+#: Cells that more than this share of the sample would go to are one group.
+WIDE = 0.25
 #: Below this a sum of products is exact in double precision.
 EXACT = 2.0**53
 
@@ -40,71 +44,70 @@ def valid_vectors(vectors: DataFrame, vec_id: str, vec: str) -> DataFrame:
     """(id, v array<bigint>) of the vectors that take part."""
     scaled = F.transform(F.col(vec), lambda x: F.floor(F.lit(1024.0) * x.cast("double")))
     fine = F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    good = vectors.where(fine & (F.size(vec) > 0)).select(F.col(vec_id).alias("id"), scaled.alias("v"))
+    good = vectors.where(F.col(vec_id).isNotNull() & fine & (F.size(vec) > 0)).select(F.col(vec_id).alias("id"), scaled.alias("v"))
     usual = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
     return good.join(F.broadcast(usual), F.size("v") == F.col("d")).drop("d")
 
 
-def _assign(pivots: np.ndarray):
-    square = (pivots**2).sum(1)
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All inner products as 64-bit integers."""
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if bound < EXACT else q.astype(np.int64) @ x.astype(np.int64).T
+
+
+def _floors(pivots: int, sample: np.ndarray, sample_id: np.ndarray, k: int):
+    """(id, v, cell, distance, floor) of queries: the nearest pivot, and the k-th best score among the sample, null if it has no k others."""
+    centers = sample[:pivots].astype(np.float64)
+    square = (centers**2).sum(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(1)).astype(np.float64)
-            away = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + square
-            cell = away.argmin(1)
-            distance = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(distance), pa.array(np.sqrt((x**2).sum(1)))], [*batch.schema.names, "cell", "distance", "norm"])
+            for i in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(i, QUERY_BLOCK)
+                q, ids = matrix(part.column(1)), part.column(0).to_numpy()
+                x = q.astype(np.float64)
+                cell = ((x**2).sum(1)[:, None] - 2 * x @ centers.T + square).argmin(1)
+                distance = np.sqrt(((x - centers[cell]) ** 2).sum(1))
+                score = scores(q, sample)
+                score[ids[:, None] == sample_id[None, :]] = np.iinfo(np.int64).min
+                least = np.partition(score, -k, 1)[:, -k] if len(sample) >= k else np.full(len(q), np.iinfo(np.int64).min)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(distance), pa.array(least, mask=least == np.iinfo(np.int64).min)], ["id", "v", "cell", "distance", "floor"])
 
     return run
 
 
-def _summaries(cells: DataFrame, is_query) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Per cell: of the queries and of the candidates; the candidates' ladder is a count within each quantile distance. Bounded by PIVOTS rows."""
-    data = cells.groupBy("cell").agg(F.max("distance").alias("radius"), F.percentile_approx("distance", [i / LADDER for i in range(1, LADDER + 1)], 1000).alias("ladder"), F.count("*").alias("n"))
-    steps = cells.join(F.broadcast(data.select("cell", F.posexplode("ladder").alias("step", "within"))), "cell").where("distance <= within")
-    counts = steps.groupBy("cell", "step").agg(F.count("*").alias("count"), F.max("within").alias("within"))
-    queries = cells.where(is_query).groupBy("cell").agg(F.max("distance").alias("radius"), F.max("norm").alias("norm"), F.count("*").alias("n"))
-    ladder = counts.join(data.select("cell", "radius", "n"), "cell").toPandas()
-    return queries.toPandas(), ladder
-
-
-def needed(pivots: np.ndarray, queries: pd.DataFrame, ladder: pd.DataFrame, k: int) -> list[tuple[int, int]]:
-    """(query cell, candidate cell) pairs that may hold one of the k best scores of one of the queries."""
-    pairs = []
-    radius = ladder.groupby("cell")["radius"].first()
-    for cell, r, norm in queries[["cell", "radius", "norm"]].itertuples(index=False):
-        cell = int(cell)
-        center = pivots[cell]
-        # q.p over the queries of this cell lies within center.p -+ r |p|
-        low = pivots @ center - r * np.sqrt((pivots**2).sum(1))
-        high = pivots @ center + r * np.sqrt((pivots**2).sum(1))
-        steps = ladder.assign(floor=low[ladder["cell"]] - norm * ladder["within"]).sort_values("floor", ascending=False)
-        # counts of one cell's steps contain each other: the largest reached so far counts
-        best: dict[int, int] = {}
-        floor = -np.inf
-        for c, n, f in steps[["cell", "count", "floor"]].itertuples(index=False):
-            best[c] = max(best.get(c, 0), n)
-            if sum(best.values()) >= k + 1:  # the query itself may be among them
-                floor = f
-                break
-        slack = 1e-6 * (1 + abs(floor)) if np.isfinite(floor) else 0
-        pairs += [(cell, int(c)) for c, rc in radius.items() if high[c] + norm * rc >= floor - slack]
-    return pairs
+def passes(x: np.ndarray, centers: np.ndarray, radius: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """(row, cell): whether a query of the cell may have the row among its best."""
+    v = x.astype(np.float64)
+    most = v @ centers.T + np.sqrt((v**2).sum(1))[:, None] * radius
+    return most + 1 + 1e-9 * np.abs(most) >= floor  # a little more than rounding can take away
+
+
+def _place(centers: np.ndarray, radius: np.ndarray, floor: np.ndarray, group: np.ndarray):
+    """(id, v, groups) of candidates: the groups that hold a cell which may need the candidate."""
+    groups = int(group.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, DATA_BLOCK):
+                part = batch.slice(i, DATA_BLOCK)
+                ok = passes(matrix(part.column(1)), centers, radius, floor)
+                hit = np.zeros((part.num_rows, groups), bool)
+                for c, g in enumerate(group):
+                    hit[:, g] |= ok[:, c]
+                row, g = np.nonzero(hit)
+                ends = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(g, pa.int32()))], ["id", "v", "groups"])
+
+    return run
 
 
 def top_k(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of each query's k best in x without itself, ties to the smaller id."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
     order = np.argsort(x_id, kind="stable")
     x, x_id = x[order], x_id[order]
-    if bound < EXACT:
-        score = (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    else:
-        score = q.astype(np.int64) @ x.astype(np.int64).T
-    ids, cands, scores = [], [], []
+    score = scores(q, x)
+    ids, cands, best_scores = [], [], []
     for i in range(len(q)):
         keep = np.flatnonzero(x_id != q_id[i])
         s = score[i, keep]
@@ -115,13 +118,13 @@ def top_k(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: i
         best = np.lexsort((x_id[keep], -s))[:k]
         ids.append(np.full(len(best), q_id[i]))
         cands.append(x_id[keep][best])
-        scores.append(s[best])
-    return np.concatenate(ids), np.concatenate(cands), np.concatenate(scores)
+        best_scores.append(s[best])
+    return np.concatenate(ids), np.concatenate(cands), np.concatenate(best_scores)
 
 
 def _solve(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_groups(batches, ["qb", "db"]):
+        for group in key_groups(batches, ["group", "qb", "db"]):
             side = group.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
             v, ids = matrix(group.column("v")), group.column("id").to_numpy()
             if side.any() and (~side).any():
@@ -131,28 +134,41 @@ def _solve(k: int):
     return run
 
 
-def knn(vectors: DataFrame, is_query, vec_id: str = "vec_id", vec: str = "embedding", k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def placed(rows: DataFrame, k: int, pivots: int | None) -> tuple[DataFrame, DataFrame] | None:
+    """Queries (id, v, group) and candidates (id, v, groups) of rows (id, v, asks); None without any query."""
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    if sample.empty or rows.where("asks").isEmpty():
+        return None
+    known, known_id = np.stack(sample["v"].to_numpy()), sample["id"].to_numpy(np.int64)
+    n_pivots = min(len(known), pivots or max(LEAST_PIVOTS, int(rows.count() ** 0.5) // 4))
+    told = checkpoint(rows.where("asks").select("id", "v").mapInArrow(_floors(n_pivots, known, known_id, k), "id long, v array<bigint>, cell int, distance double, floor long"))
+    cells = told.groupBy("cell").agg(F.max("distance").alias("radius"), F.min("floor").alias("floor"), F.bool_or(F.col("floor").isNull()).alias("open")).orderBy("cell").toPandas()  # a row per pivot at most
+    centers, radius = known[cells["cell"].to_numpy()].astype(np.float64), cells["radius"].to_numpy()
+    floor = np.where(cells["open"], -np.inf, cells["floor"].astype(float))
+    wide = passes(known, centers, radius, floor).mean(0) > WIDE
+    group = np.where(wide, 0, np.cumsum(~wide) - 1 + bool(wide.any()))  # all wide cells are one group
+    numbers = rows.sparkSession.createDataFrame([(int(c), int(g)) for c, g in zip(cells["cell"], group)], "cell int, group int")
+    asked = told.join(F.broadcast(numbers), "cell").select("id", "v", "group")
+    return asked, checkpoint(rows.select("id", "v").mapInArrow(_place(centers, radius, floor, group), "id long, v array<bigint>, groups array<int>"))
+
+
+def knn(vectors: DataFrame, is_query, vec_id: str = "vec_id", vec: str = "embedding", k: int = K, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest integer inner product with each query row, without itself."""
-    rows = checkpoint(valid_vectors(vectors, vec_id, vec))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
-    if sample.empty:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    centers = np.stack(sample["v"].to_numpy()).astype(np.float64)
-    cells = checkpoint(rows.mapInArrow(_assign(centers), "id long, v array<bigint>, cell int, distance double, norm double").withColumn("asks", is_query(F.col("id"))))
-    queries, ladder = _summaries(cells, F.col("asks"))
-    pairs = needed(centers, queries, ladder, k) if len(queries) else []
-    if not pairs:
+    rows = checkpoint(valid_vectors(vectors, vec_id, vec).withColumn("asks", F.coalesce(is_query(F.col("id")), F.lit(False))))
+    sides = placed(rows, k, pivots)
+    if sides is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # Blocks: a cell's queries and a cell's candidates are cut by hash so that a task holds a bounded number of each.
-    sizes = ladder.groupby("cell")["n"].first()
-    q_blocks = {int(c): -(-int(n) // QUERY_BLOCK) for c, n in zip(queries["cell"], queries["n"])}
-    d_blocks = {int(c): -(-int(n) // DATA_BLOCK) for c, n in sizes.items()}
-    plan = F.broadcast(rows.sparkSession.createDataFrame([(a, b, q_blocks[a], d_blocks[b]) for a, b in pairs], "qc int, dc int, nq int, nd int"))  # at most pivots ** 2 rows
-    asked = cells.where("asks").join(plan, F.col("cell") == F.col("qc"))
-    asked = asked.select("id", "v", F.lit(True).alias("is_query"), F.concat_ws(":", "qc", F.pmod(F.xxhash64("id"), "nq")).alias("qb"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nd") - 1), lambda d: F.concat_ws(":", "dc", d))).alias("db"))
-    given = cells.join(plan, F.col("cell") == F.col("dc"))
-    given = given.select("id", "v", F.lit(False).alias("is_query"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: F.concat_ws(":", "qc", q))).alias("qb"), F.concat_ws(":", "dc", F.pmod(F.xxhash64("id"), "nd")).alias("db"))
-    met = asked.unionByName(given).repartition("qb", "db").sortWithinPartitions("qb", "db")
+    asked, given = sides
+    copies = given.select("id", "v", F.explode("groups").alias("group"))
+    # Blocks: a group's queries and its candidates are cut by hash so that a task holds a bounded number of each.
+    n_data = copies.groupBy("group").agg(F.ceil(F.count("*") / DATA_BLOCK).alias("nd"))
+    n_queries = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("nq"))
+    plan = F.broadcast(checkpoint(n_queries.join(n_data, "group").select("group", F.col("nq").cast("int"), F.col("nd").cast("int"))))  # a row per group, that is per pivot at most
+    asked, copies = asked.join(plan, "group"), copies.join(plan, "group")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.select("id", "v", F.lit(True).alias("is_query"), "group", F.pmod(F.xxhash64("id"), "nq").cast("int").alias("qb"), every("nd").alias("db"))
+    copies = copies.select("id", "v", F.lit(False).alias("is_query"), "group", every("nq").alias("qb"), F.pmod(F.xxhash64("id"), "nd").cast("int").alias("db"))
+    met = asked.unionByName(copies).repartition("group", "qb", "db").sortWithinPartitions("group", "qb", "db")
     found = met.mapInArrow(_solve(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -448,10 +448,26 @@ def test_knn(spark):
         z = {i: [math.floor(1024 * float(x)) for x in v[i]] for i in ok}
         want = {(q, r, c, s) for q in range(0, 700, 100) for r, (s, c) in enumerate(sorted(((sum(a * b for a, b in zip(z[q], z[c])), c) for c in ok if c != q), key=lambda t: (-t[0], t[1]))[:10], 1)}
         assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
-    assert op10_knn.knn(df.limit(0), lambda i: i % 100 == 0).count() == 0
+    assert op10_knn.knn(df.limit(0), lambda i: i % 100 == 0).count() == 0 and op10_knn.knn(df, lambda i: i < 0).count() == 0
+    nameless = df.unionByName(spark.createDataFrame([(None, [9.0] * 6, 1)] * 2, df.schema))
+    assert op10_knn.knn(nameless, lambda i: i % 100 == 0).count() == len(want)
     assert op10_knn.knn(df.where("vec_id in (0, 1, 2)"), lambda i: i % 100 == 0).count() == 2
 
 
+def test_knn_copies(spark):
+    """In separate clusters a candidate goes to few of the groups, and results stay those of brute force."""
+    rng = np.random.RandomState(3)
+    v = np.repeat(rng.randn(30, 8) * 10, 100, 0) + rng.randn(3000, 8) * 0.1
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = op10_knn.valid_vectors(df, "vec_id", "embedding").withColumn("asks", F.col("id") % 50 == 0)
+    asked, given = op10_knn.placed(rows, 10, None)
+    groups, copies = asked.select("group").distinct().count(), given.select(F.explode("groups")).count()
+    assert groups > 5 and copies < 3000 * groups / 4
+    z = np.floor(1024 * v).astype(np.int64)
+    want = {(q, c, s) for q in range(0, 3000, 50) for s, c in sorted(((int(z[q] @ z[c]), -c) for c in range(3000) if c != q), reverse=True)[:10]}
+    assert {(r["query_id"], -r["vec_id"], r["score"]) for r in op10_knn.knn(df, lambda i: i % 50 == 0).collect()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
