@@ -13,8 +13,9 @@ sets share them; there the keys are the rarest shingles of a set, as many as mus
 Joining. Each group's sets travel once. They are put into a compressed trie in the global order; a set walks the trie from
 the root, counting the overlap of each node once for all sets below it, and leaves a subtree when what can still match is
 too short (remaining-length bound) or when all its sets are linked with it already. Groups above BLOCK_BYTES are cut into
-blocks that are joined one by one, then their representatives, then the blocks against each other as far as they are still
-apart, so that no task holds more than two blocks and no link between different components is lost.
+blocks that are joined one by one, then their representatives; what is then still apart meets under the keys that sets of
+different components share, in blocks again where one key has too many, so that no task holds more than two blocks and no
+link between different components is lost.
 
 Null and empty texts have the empty set and are linked with nothing. Rows are told apart by a hash of id and text, so null and
 repeated ids take part like others; components name ids, null where none of the rows has one. Hashes of 64 bits stand for shingles and for sets: among 10**9 sets some two meet with odds of 3 %.
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import mix, split_words, windows
-from .common import WORD, checkpoint, components, key_groups, slices, table, text_slices, utf8
+from .common import WORD, checkpoint, components, key_groups, near, slices, table, text_slices, utf8
 
 BLOCK_BYTES = 12 << 20
+#: Components (a number and an id each) that are broadcast at most.
+BROADCAST_CLASSES = 1 << 20
 #: Sizes fall into bands, each from CUT times its upper bound; a set meets partners of its own band and of the next.
 CUT = 0.9**3
 TINY = 3
@@ -298,9 +301,10 @@ def _rarest(docs: DataFrame, members: DataFrame, text: str, like: Likeness) -> D
     return checkpoint(ranked.where(F.col("rank") <= prefix - (F.col("n") - F.col("n_shared"))).select("key", "node"))
 
 
-def candidate_groups(docs: DataFrame, members: DataFrame, text: str = "text", like: Likeness = QUERY) -> DataFrame:
-    """(node, grp) of the nodes that share a key with another node."""
-    keys = docs.select(text).mapInArrow(_keys(like), "key long, node long") if like.by_parts else _rarest(docs, members, text, like)
+def candidate_groups(docs: DataFrame, keys: DataFrame | None, text: str = "text", like: Likeness = QUERY) -> DataFrame:
+    """(node, grp) of the nodes that share a key with another node; keys: (key, node) if they were counted."""
+    if keys is None:
+        keys = docs.select(text).mapInArrow(_keys(like), "key long, node long")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     edges = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return components(edges).toDF("node", "grp")
@@ -308,7 +312,8 @@ def candidate_groups(docs: DataFrame, members: DataFrame, text: str = "text", li
 
 def linked_nodes(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, like: Likeness = QUERY) -> DataFrame:
     """(node, component): the components of two nodes at least."""
-    groups = candidate_groups(docs, members, text, like)
+    keys = None if like.by_parts else _rarest(docs, members, text, like)
+    groups = candidate_groups(docs, keys, text, like)
     holders = members.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
     chosen = groups.join(holders, "node")
     own = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
@@ -321,47 +326,68 @@ def linked_nodes(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", te
     links = checkpoint(_joined(placed, like))
     if large.isEmpty():
         return components(links)
-    return components(links.unionByName(_across(sized.join(large, "grp"), links, block_bytes, like)))
+    return components(links.unionByName(_across(sized.join(large, "grp"), links, keys, block_bytes, like)))
 
 
-def _across(rows: DataFrame, links: DataFrame, block_bytes: int, like: Likeness) -> DataFrame:
-    """The links that are missing between the blocks of large groups, whose rows are (node, grp, text, bytes, blocks)."""
+def _across(rows: DataFrame, links: DataFrame, keys: DataFrame | None, block_bytes: int, like: Likeness) -> DataFrame:
+    """The links that are missing between the blocks of large groups, whose rows are (node, grp, text, bytes, blocks); keys: (key, node) if they were counted."""
 
     def labelled(known: DataFrame) -> DataFrame:
-        return rows.join(components(known), "node", "left").withColumn("apart", F.coalesce("component", "node"))
+        return rows.join(components(known), "node", "left").withColumn("apart", F.coalesce("component", "node")).drop("component")
 
     # Representatives first: where a group is one component in every block, this links the blocks.
     least = labelled(links).where("node = apart")
-    block = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.sum("bytes").over(Window.partitionBy("grp")) / block_bytes)).cast("int")
-    more = checkpoint(_joined(least.select("grp", block.alias("i"), block.alias("j"), "node", "apart", "text"), like))
-    known = links.unionByName(more)
-    # Then all that is still apart: the largest component's blocks meet those of the others, and these meet one another.
-    full = checkpoint(labelled(known).drop("component"))
-    sizes = full.groupBy("grp", "apart").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    ruler = sizes.groupBy("grp").agg(F.max_by("apart", F.struct("n", "apart")).alias("ruler"), F.count("*").alias("parts"))
-    open_ = full.join(ruler.where("parts > 1"), "grp").withColumn("side", (F.col("apart") == F.col("ruler")).cast("int"))
-    blocks = open_.groupBy("grp", "side").agg(F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("k"))
-    counts = blocks.groupBy("grp").agg(F.max(F.when(F.col("side") == 0, F.col("k"))).alias("k0"), F.max(F.when(F.col("side") == 1, F.col("k"))).alias("k1"))
-    at = F.pmod(F.xxhash64("node", F.lit(9)), F.when(F.col("side") == 1, F.col("k1")).otherwise(F.col("k0"))).cast("int")
-    placed = open_.join(counts, "grp").withColumn("at", at)
+    blocks = least.groupBy("grp").agg(F.ceil(F.sum("bytes") / block_bytes).alias("k"))
+    block = F.pmod(F.xxhash64("node", F.lit(5)), "k").cast("int")
+    more = checkpoint(_joined(least.join(blocks, "grp").select("grp", block.alias("i"), block.alias("j"), "node", "apart", "text"), like))
+    # Then what is still apart, and only where sets of different components share a key.
+    full = checkpoint(labelled(links.unionByName(more)))
+    parts = full.groupBy("grp").agg(F.min("apart").alias("low"), F.max("apart").alias("high")).where("low < high")
+    open_ = checkpoint(full.join(parts, "grp").select("node", "apart", "text", "bytes"))
+    if open_.isEmpty():
+        return more
+    held = (open_.select("text").mapInArrow(_keys(like), "key long, node long") if keys is None else keys).join(open_.select("node", "apart", "bytes"), "node")
+    mark = F.xxhash64("node", F.lit(7))
+    mixed = held.groupBy("key").agg(F.min("apart").alias("low"), F.max("apart").alias("high"), F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("y"))
+    chosen = mixed.where("low < high").groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # of keys with the same holders one is enough
+    meets = checkpoint(held.join(chosen.select("key"), "key").select(F.col("key").alias("grp"), "node"))
+    return more.unionByName(checkpoint(_joined(_paired(meets.join(open_, "node"), block_bytes), like)))
+
+
+def _paired(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(grp, i, j, node, apart, text) of rows (grp, node, apart, text, bytes): any two of a group but those of its largest component meet in one (i, j).
+
+    Small groups are one block. Of the others the largest component's blocks meet those of the rest, and these meet one another.
+    """
+    sizes = rows.groupBy("grp", "apart").agg(F.sum("bytes").alias("b"))
+    ruler = sizes.groupBy("grp").agg(F.max_by("apart", F.struct("b", "apart")).alias("ruler"), F.max("b").alias("b1"), F.sum("b").alias("b"))
+    count = lambda x: F.greatest(F.lit(1), F.ceil(x / block_bytes).cast("int"))
+    ruler = checkpoint(ruler.select("grp", "ruler", (F.col("b") <= block_bytes).alias("one"), count(F.col("b1")).alias("k1"), count(F.col("b") - F.col("b1")).alias("k0")))
+    placed = rows.join(ruler, "grp").withColumn("side", F.col("apart") == F.col("ruler"))
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("node", F.lit(9)), F.when(F.col("side"), F.col("k1")).otherwise(F.col("k0"))).cast("int"))
     small = F.sequence(F.lit(0), F.col("k0") - 1)
-    pairs = F.when(F.col("side") == 1, F.transform(small, lambda o: F.struct(o.alias("i"), (F.col("k0") + F.col("at")).alias("j")))).otherwise(
-        F.concat(
-            F.transform(small, lambda o: F.struct(F.least(o, "at").alias("i"), F.greatest(o, "at").alias("j"))),
-            F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda o: F.struct(F.col("at").alias("i"), (F.col("k0") + o).alias("j"))),
-        )
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    pairs = (
+        F.when(F.col("one"), F.array(pair(F.lit(0), F.lit(0))))
+        .when(F.col("side"), F.transform(small, lambda o: pair(o, F.col("k0") + F.col("at"))))
+        .otherwise(F.concat(F.transform(small, lambda o: pair(F.least(o, "at"), F.greatest(o, "at"))), F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda o: pair(F.col("at"), F.col("k0") + o))))
     )
-    spread = placed.withColumn("p", F.explode(F.array_distinct(pairs))).select("grp", "p.i", "p.j", "node", "apart", "text")
-    return more.unionByName(checkpoint(_joined(spread, like)))
+    return placed.withColumn("p", F.explode(F.array_distinct(pairs))).select("grp", "p.i", "p.j", "node", "apart", "text")
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, like: Likeness = QUERY) -> DataFrame:
-    """(id, n_shingles, node, row, class, component_id) for every row; component_id is the smallest id of the class, the rows that links reach."""
+    """(id, n_shingles, node, row, class, component_id) for every row; component_id is the smallest id of the class, the rows that links reach.
+
+    Smallest ids are found per node, then per component, and come back to the rows by their node, so that neither a node of very
+    many copies nor a component of very many nodes is one task's work.
+    """
     members = checkpoint(memberships(docs, doc_id, text, like))
-    linked = linked_nodes(docs, members, doc_id, text, block_bytes, like)
-    named = members.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = named.where("node is not null").groupBy("class").agg(F.min("id").alias("least"))
-    return named.join(least, "class", "left").select("id", "n_shingles", "node", "row", "class", F.coalesce("least", "id").alias("component_id"))
+    nodes = checkpoint(members.where("node is not null").groupBy("node").agg(F.min("id").alias("least")))
+    linked = checkpoint(linked_nodes(docs, members, doc_id, text, block_bytes, like).join(nodes, "node"))
+    best = checkpoint(linked.groupBy("component").agg(F.min("least").alias("best")))
+    told = checkpoint(nodes.join(linked.join(near(best, BROADCAST_CLASSES), "component").select("node", F.col("component").alias("class"), "best"), "node", "left"))
+    named = members.join(told.select("node", F.coalesce("class", "node").alias("class"), F.coalesce("best", "least").alias("least")), "node", "left")
+    return named.select("id", "n_shingles", "node", "row", "class", F.coalesce("least", "id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
