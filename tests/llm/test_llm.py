@@ -60,6 +60,46 @@ def test_brown(spark, odd, docs):
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # better than the unigram base on held-out texts
     assert op1_brown.brown_scores(odd.limit(0), fold("doc_id", 7) != 2).count() == 0
+    assert op1_brown.brown_scores(odd, F.lit(False)).where("n_known > 0 or train_tokens > 0").count() == 0
+    df = spark.createDataFrame(docs[["doc_id", "text"]])
+    small = {r["doc_id"]: r["score"] for r in op1_brown.brown_scores(df, fold("doc_id", 7) != 2, block_bytes=20_000).collect()}  # of many blocks
+    assert all(abs(r["score"] - small[r["doc_id"]]) < 1e-6 * abs(r["score"]) for r in got) and len(small) == len(got)
+
+
+def test_brown_gives_every_word_the_class_of_most_gain(spark, docs):
+    texts = docs["text"].dropna().head(60).tolist()
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    toks = [[*words(lower(t)), None] for t in texts]
+    count = Counter(w for t in toks for w in t)
+    name = {int(h): w for t in texts for h, w in zip(op1_brown._tokens([t.encode()])[0], [*words(lower(t)), None])}
+    totals = spark.createDataFrame([(int(np.uint64(h).astype(np.int64)), count[w]) for h, w in name.items()], "h long, total long")
+    top, owner, top_count, others = op1_brown.word_classes(df, totals, 40)
+    classes = {name[int(np.int64(r["h"]).astype(np.uint64))]: r["class"] for r in others.collect()}
+    own = {name[int(h)]: int(c) for h, c in zip(top, owner)}
+    assert set(classes) | set(own) == set(count) and not set(classes) & set(own) and [count[name[int(h)]] for h in top] == top_count.tolist()
+    kind = lambda w: own.get(w, op1_brown.OTHER)
+    grid = np.zeros((op1_brown.WIDTH, op1_brown.WIDTH))
+    left, right = {w: np.zeros(op1_brown.WIDTH) for w in classes}, {w: np.zeros(op1_brown.WIDTH) for w in classes}
+    for t in toks:
+        for a, b in zip([op1_brown.START, *map(kind, t)], t):
+            grid[a, kind(b)] += 1
+            if b in left:
+                left[b][a] += 1
+        for a, b in zip(t, map(kind, t[1:])):
+            if a in right:
+                right[a][b] += 1
+
+    def likelihood(g):
+        return op1_brown._xlogx(g).sum() - op1_brown._xlogx(g.sum(0)).sum() - op1_brown._xlogx(g.sum(1)).sum()
+
+    for w in random.Random(1).sample(sorted(classes, key=str), 60):
+        worth = []
+        for c in range(op1_brown.CLASSES):
+            g = grid.copy()
+            g[:, c] += left[w]
+            g[c] += right[w]
+            worth.append(likelihood(g))
+        assert worth[classes[w]] >= max(worth) - 1e-6
 
 
 def test_exchange_finds_classes():
@@ -68,7 +108,8 @@ def test_exchange_finds_classes():
     a, b = np.arange(0, 20, 2), np.arange(1, 20, 2)
     grid[np.ix_(a, b)] = rng.poisson(30, (10, 10))
     grid[np.ix_(b, a)] = rng.poisson(30, (10, 10))
-    owner = op1_brown.exchange(grid, classes=2)
+    owner, by_class = op1_brown.exchange(grid, classes=2)
+    assert by_class.sum() == grid.sum()
     assert len(set(owner[a])) == len(set(owner[b])) == 1 and owner[0] != owner[1]
 
 
