@@ -33,7 +33,7 @@ from .common import checkpoint, fold, reread, table, text_slices
 
 #: Words that are exchanged one by one, classes, passes over these words at most, and the weight of class frequencies in smoothing.
 EXCHANGED, CLASSES, PASSES, PRIOR = 1000, 32, 20, 5.0
-BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
 END = np.uint64(0x656E64)
 #: Numbers beside the classes: in transitions a word that was never seen and the start of a text; in neighbours any word that was not exchanged, and the start.
 UNSEEN = OTHER = CLASSES
@@ -48,7 +48,9 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _code(block_bytes: int):
-    """Blocks of texts (doc_id, text, trains): a row (block, h, n_all, n) per distinct token, n counting training texts only, and rows (block, docs ...) of coded texts.
+    """Blocks of texts (doc_id, text, trains): a row (block, h, n_all, n, often) per distinct token, and rows (block, docs ...) of coded texts.
+
+    n counts training texts only; often marks the 4 * EXCHANGED most frequent tokens of the block.
 
     Tokens are numbered within the block by falling n_all, then h; a text is the numbers of its tokens, as unsigned 32-bit
     integers, compressed. Blocks are numbered by task, so a task that is run again gives the same rows.
@@ -68,7 +70,7 @@ def _code(block_bytes: int):
             order = np.lexsort((values.view(np.int64), -n_all))
             rank = np.empty(len(values), np.uint32)
             rank[order] = np.arange(len(values))
-            yield _rows({"block": np.full(len(values), block), "h": values[order].view(np.int64), "n_all": n_all[order], "n": n[order]})
+            yield _rows({"block": np.full(len(values), block), "h": values[order].view(np.int64), "n_all": n_all[order], "n": n[order], "often": np.arange(len(values)) < 4 * EXCHANGED})
             code, at, first = rank[code], 0, 0
             for h, m, docs, t in held:  # a slice's texts are a row
                 part = zlib.compress(code[at : at + len(h)].astype("<u4").tobytes(), 1)
@@ -89,7 +91,7 @@ def _code(block_bytes: int):
     return run
 
 
-_CODED = {"block": pa.int64(), "h": pa.int64(), "n_all": pa.int64(), "n": pa.int64(), "ord": pa.int32(), "docs": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "codes": pa.binary()}
+_CODED = {"block": pa.int64(), "h": pa.int64(), "n_all": pa.int64(), "n": pa.int64(), "often": pa.bool_(), "ord": pa.int32(), "docs": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "codes": pa.binary()}
 
 
 def _rows(columns: dict) -> pa.RecordBatch:
@@ -195,12 +197,13 @@ def _neighbours(top: np.ndarray, owner: np.ndarray):
 
         def counted() -> pa.RecordBatch:
             h, k = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            ends = np.append(edge[1:], len(h)) if len(h) else edge
-            raw = k[order].tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(h[edge].view(np.int64)), pa.array([raw[a:b] for a, b in zip(edge.tolist(), ends.tolist())], pa.binary())], ["h", "seen"])
+            held.clear()
+            order = np.argsort(h)
+            h, raw = h[order], k[order].tobytes()
+            edge = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+            ends = np.append(edge, len(h)).astype(np.int32)
+            seen = pa.BinaryArray.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            return pa.RecordBatch.from_arrays([pa.array(h[edge].view(np.int64)), seen], ["h", "seen"])
 
         for batch in batches:
             for _, _, texts in text_slices(batch, 0, SLICE_BYTES):
@@ -217,7 +220,7 @@ def _neighbours(top: np.ndarray, owner: np.ndarray):
                 size += sum(map(len, texts))
                 if size >= BLOCK_BYTES:
                     yield counted()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield counted()
 
@@ -225,7 +228,7 @@ def _neighbours(top: np.ndarray, owner: np.ndarray):
 
 
 def _choose(grid: np.ndarray):
-    """(h, class) of streams of (h, seen) that are sorted by h: the class of most gain."""
+    """(h, class, total) of streams of (h, seen) that are sorted by h: the class of most gain, and how often the word occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h, last = None, np.zeros(2 * WIDTH, np.int64)
@@ -233,7 +236,7 @@ def _choose(grid: np.ndarray):
         def best(h: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             left, right = counts[:, 0::2].astype(float), counts[:, 1::2].astype(float)
             own = np.concatenate([_gain(grid, left[i : i + 4096], right[i : i + 4096], np.zeros(len(left[i : i + 4096])), CLASSES).argmax(1) for i in range(0, len(h), 4096)])
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(own, pa.int32())], ["h", "class"])
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(own, pa.int32()), pa.array(left.sum(1).astype(np.int64))], ["h", "class", "total"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 8192):
@@ -241,7 +244,7 @@ def _choose(grid: np.ndarray):
                 h, seen = part.column(0).to_numpy(), part.column(1)
                 sizes = pc.binary_length(seen).to_numpy(zero_copy_only=False)
                 word, row = np.unique(h, return_inverse=True)
-                kinds = np.frombuffer(b"".join(seen.to_pylist()), np.uint8)
+                kinds = np.frombuffer(seen.buffers()[2], np.uint8, int(sizes.sum()), np.frombuffer(seen.buffers()[1], np.int32)[seen.offset])
                 counts = np.bincount(np.repeat(row, sizes) * 2 * WIDTH + kinds, minlength=len(word) * 2 * WIDTH).reshape(len(word), 2 * WIDTH)
                 if last_h is not None:  # the word that the rows before ended with may go on
                     if word[0] == last_h:
@@ -334,31 +337,35 @@ def _pair_array(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def word_classes(train: DataFrame, totals: DataFrame, exchanged: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
-    """(hashes, classes, counts) of the exchanged words, sorted by hash, and (h, class) of all others; train: texts, totals: (h, total)."""
-    spark = totals.sparkSession
-    best = totals.orderBy(F.desc("total"), "h").limit(exchanged).toPandas()
+def word_classes(train: DataFrame, words: DataFrame, exchanged: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """(hashes, classes, counts) of the exchanged words, sorted by hash, and (h, class, total) of all others.
+
+    train: texts, words: (h, n, often). Exchanged are those that are most frequent where they are often; their counts are exact.
+    """
+    spark = words.sparkSession
+    often = words.where("often and n > 0").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(exchanged)
+    best = words.join(F.broadcast(often.select("h")), "h").groupBy("h").agg(F.sum("n").alias("total")).toPandas()  # exchanged rows at most
     top = best["h"].to_numpy(np.int64).view(np.uint64)
     sort = np.argsort(top)
     top, top_count = top[sort], best["total"].to_numpy(np.int64)[sort]
     if not len(top):
-        return top, np.empty(0, np.int64), top_count, spark.createDataFrame([], "h long, class int")
+        return top, np.empty(0, np.int64), top_count, spark.createDataFrame([], "h long, class int, total long")
     width = len(top) + 2
     owner, grid = exchange(_pair_array(train.mapInArrow(_frequent_bigrams(top), "pair long, n long"), width * width).reshape(width, width))
     seen = train.mapInArrow(_neighbours(top, owner), "h long, seen binary").repartition("h").sortWithinPartitions("h")
-    return top, owner, top_count, seen.mapInArrow(_choose(grid), "h long, class int")
+    return top, owner, top_count, seen.mapInArrow(_choose(grid), "h long, class int, total long")
 
 
 def brown_scores(docs: DataFrame, trains, doc_id: str = "doc_id", text: str = "text", exchanged: int = EXCHANGED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row; trains: a condition."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(trains, F.lit(True)).alias("trains"))
-    schema = "block long, h long, n_all long, n long, ord int, docs array<long>, held array<boolean>, lengths array<long>, codes binary"
+    schema = "block long, h long, n_all long, n long, often boolean, ord int, docs array<long>, held array<boolean>, lengths array<long>, codes binary"
     coded = reread(own.mapInArrow(_code(block_bytes), schema), "brown-blocks")
-    words, texts = coded.where("h is not null").select("block", "h", "n_all", "n"), coded.where("h is null").select("block", "ord", "docs", "held", "lengths", "codes")
-    totals = reread(words.groupBy("h").agg(F.sum("n").alias("total")).where("total > 0"), "brown-totals")
-    n_total, vocabulary = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    top, owner, top_count, others = word_classes(own.where("trains").select("text"), totals, exchanged)
-    known = reread(totals.join(others, "h"), "brown-classes")
+    words, texts = coded.where("h is not null").select("block", "h", "n_all", "n", "often"), coded.where("h is null").select("block", "ord", "docs", "held", "lengths", "codes")
+    top, owner, top_count, others = word_classes(own.where("trains").select("text"), words, exchanged)
+    known = reread(others, "brown-classes")
+    n_total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    vocabulary = len(top) + known.count()
     class_mass, once = np.zeros(CLASSES), np.zeros(CLASSES)
     np.add.at(class_mass, owner, top_count)
     np.add.at(once, owner, top_count == 1)

@@ -72,9 +72,11 @@ def test_brown_gives_every_word_the_class_of_most_gain(spark, docs):
     toks = [[*words(lower(t)), None] for t in texts]
     count = Counter(w for t in toks for w in t)
     name = {int(h): w for t in texts for h, w in zip(op1_brown._tokens([t.encode()])[0], [*words(lower(t)), None])}
-    totals = spark.createDataFrame([(int(np.uint64(h).astype(np.int64)), count[w]) for h, w in name.items()], "h long, total long")
-    top, owner, top_count, others = op1_brown.word_classes(df, totals, 40)
-    classes = {name[int(np.int64(r["h"]).astype(np.uint64))]: r["class"] for r in others.collect()}
+    counts = spark.createDataFrame([(int(np.uint64(h).astype(np.int64)), count[w], True) for h, w in name.items()], "h long, n long, often boolean")
+    top, owner, top_count, others = op1_brown.word_classes(df, counts, 40)
+    others = [(name[int(np.int64(r["h"]).astype(np.uint64))], r["class"], r["total"]) for r in others.collect()]
+    classes = {w: c for w, c, _ in others}
+    assert all(count[w] == n for w, _, n in others)
     own = {name[int(h)]: int(c) for h, c in zip(top, owner)}
     assert set(classes) | set(own) == set(count) and not set(classes) & set(own) and [count[name[int(h)]] for h in top] == top_count.tolist()
     kind = lambda w: own.get(w, op1_brown.OTHER)
