@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .arrays import mix, split_words, windows
 from .common import WORD, checkpoint, components, key_groups, near, slices, table, text_slices, utf8
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: Components (a number and an id each) that are broadcast at most.
 BROADCAST_CLASSES = 1 << 20
 #: Sizes fall into bands, each from CUT times its upper bound; a set meets partners of its own band and of the next.
