@@ -136,17 +136,20 @@ from (select distinct pver_id from heads) p left join (select pver_id, count(*)
 
 # --- lines and symbols ---
 
-_GUARD = r"(?i)\b(if|while|for|switch|assert)\b|&&|<=|>=|==|!=|[^<]<[^<]|[^>\-]>[^>]|&\s*0x|%|\b(clamp|min|max|limit)\w*\s*\("
+_GUARD = r"(?i)\b(if|while|for|switch)\b|[<>]|&&|\|\||\b(min|max)\b|&\s*0x|%\s*\d|clamp"  # of alarms being prepared
+_MINED = r"(?i)\b(if|while|for|switch)\b|[<>]|&&|\|\||&\s*0x|%\s*\d|clamp|min|max"  # of mined bodies
+_WRITE = lambda t, token: f"regexp_matches(split_part({t}, '//', 1), '(^|[^\\w.>])\\*?\\s*{token}\\s*(\\[[^\\]]*\\])?\\s*([-+*/%&|^]|<<|>>)?=([^=]|$)') and not regexp_matches(split_part({t}, '=', 1), '\\b(if|while|return)\\b') and contains(split_part({t}, '=', 1), '{token}')"
 _OCC = r""", k as (select *, list_filter(regexp_extract_all(text, '([A-Za-z_]\w*|\d\w*|[^\sA-Za-z_\d]+|\s+)'), lambda x: true) as ps from code_lines),
 t as (select pver_id, file_id, line_no, text, ps, unnest(range(1, len(ps) + 1)) as i from k),
 s as (select pver_id, file_id, line_no, text, ps[i] as symbol, cast(1 + length(array_to_string(ps[1:i-1], '')) as integer) as col_start, array_to_string(ps[1:i-1], '') as before, array_to_string(ps[i+1:], '') as after from t
  where regexp_matches(ps[i], '^[A-Za-z_]') and ps[i] not in ('auto','break','case','char','const','continue','default','do','double','else','enum','extern','float','for','goto','if','int','long','register','return','short','signed','sizeof','static','struct','switch','typedef','union','unsigned','void','volatile','while')),
 o0 as (select *, regexp_matches(before, '^\s*(?:(?:static|const|extern)\s+)*[A-Za-z_]\w*\s+\**$') and not regexp_matches(before, '^\s*return\b') as decl,
- length(regexp_replace(before, '[^(]', '', 'g')) - length(regexp_replace(before, '[^)]', '', 'g')) as depth from s
+ length(regexp_replace(before, '[^(]', '', 'g')) - length(regexp_replace(before, '[^)]', '', 'g')) as depth,
+ regexp_replace(regexp_replace(before, '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g') as bare from s
  where not regexp_matches(after, '^\s*\(') and not (regexp_matches(after, '^\s+\**[A-Za-z_]') and trim(before) = '')),
 o1 as (select *, case when decl then 'declaration' when regexp_matches(before, '(^|[^&])&\s*$') then 'address' when regexp_matches(after, '^(\s*\[[^\]]*\])?\s*(=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)') then 'write'
- when depth > 0 and regexp_matches(before, '\w\s*\([^()]*$') and not regexp_matches(before, '\b(if|while|for|switch|return)\s*\(+[^()]*$') then 'parameter' else 'read' end as access from o0),
-occ as (select pver_id, file_id, line_no, symbol, col_start, cast(col_start + length(symbol) as integer) as col_end, access, case when access in ('parameter', 'address') then regexp_extract(before, '([A-Za-z_]\w*)\s*\([^()]*$', 1) end as callee, text as line_text from o1)
+ when depth > 0 and regexp_matches(bare, '\w\s*\([^()]*$') and not regexp_matches(bare, '\b(if|while|for|switch|return)\s*\(+[^()]*$') then 'parameter' else 'read' end as access from o0),
+occ as (select pver_id, file_id, line_no, symbol, col_start, cast(col_start + length(symbol) as integer) as col_end, access, case when access in ('parameter', 'address') then regexp_extract(bare, '([A-Za-z_]\w*)\s*\([^()]*$', 1) end as callee, text as line_text from o1)
 """
 register("x06_occurrences", "code_lines", sy.occurrences, _OCC + "select * from occ")
 register("j10_wanted_tokens", "code_lines", lambda c: sy.wanted_tokens(sy.line_tokens(c), c.select(F.lit("idx_3").alias("symbol")).distinct()).select(*sy.LINE, "symbol", "col_start"), _OCC + "select pver_id, file_id, line_no, symbol, col_start from s where symbol = 'idx_3'")
@@ -179,14 +182,15 @@ select pver_id, file_id, cast(run as bigint) as run, first(shape) as shape, min(
 _code = lambda f: lambda c: c.select(*sy.LINE, f(F.col("text")).alias("v"))
 register("p09_index_tokens", "code_lines", lambda c: _flat(_code(S.index_tokens)(c), "v"), r", e as (select pver_id, file_id, line_no, list_filter(regexp_extract_all(text, '(?:^|[^\w.])([A-Za-z_]\w*)', 1), lambda x: x not in ('if', 'return')) as l from code_lines) select pver_id, file_id, line_no, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') as v from e")
 register("p10_ident_pieces", "code_lines", lambda c: _flat(_code(S.ident_pieces)(c), "v"), "select pver_id, file_id, line_no, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))), ',') as v from code_lines")
-register("p15_is_guard", "code_lines", _code(S.is_guard), "select pver_id, file_id, line_no, regexp_matches(text, '" + _GUARD + "') as v from code_lines")
-register("p16_is_lhs_write", "code_lines", _code(lambda t: S.is_lhs_write(t, F.lit("idx_3"))), r"select pver_id, file_id, line_no, text like '%idx_3 = %' as v from code_lines")
 register("p17_collapse_clip", "code_lines", _code(lambda t: S.clip(S.collapse_ws(t), 12)), r"select pver_id, file_id, line_no, case when length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 12 then left(trim(regexp_replace(text, '\s+', ' ', 'g')), 12) || '… [' || (length(trim(regexp_replace(text, '\s+', ' ', 'g'))) - 12) || ' more chars]' else trim(regexp_replace(text, '\s+', ' ', 'g')) end as v from code_lines")
-register("p20_normalize_stmt", "code_lines", _code(S.normalize_stmt), r"select pver_id, file_id, line_no, regexp_replace(regexp_replace(text, '\b(\d+)u', '\1', 'g'), '(^|[^\w\s]|\s)\((\w+)\)', '\1\2', 'g') as v from code_lines")
-register("p21_is_noise", "code_lines", _code(S.is_noise), "select pver_id, file_id, line_no, trim(text) = '}' as v from code_lines")
 register("p08_clean_index", "code_lines", _code(lambda t: S.clean_index(F.regexp_extract(t, r"\(.*", 0))), r""", e as (select pver_id, file_id, line_no, regexp_extract(text, '\(.*', 0) as t from code_lines), q as (select *, length(t) - length(replace(t, '(', '')) as o, length(t) - length(replace(t, ')', '')) as c, length(regexp_extract(t, '^\(*', 0)) as ld, length(regexp_extract(t, '\)*$', 0)) as tl from e),
 r as (select *, greatest(0, least(o - c, ld)) as fr, greatest(0, least(c - o, tl)) as en from q) select pver_id, file_id, line_no, trim(regexp_replace(substring(t, fr + 1, length(t) - fr - en), '^\(([^()]*)\)$', '\1')) as v from r""")
-register("a21_compression_stats", "code_lines", sy.compression_stats, r", n as (select pver_id, length(text) as a, case when trim(text) = '}' then 0 else length(regexp_replace(regexp_replace(text, '\b(\d+)u', '\1', 'g'), '(^|[^\w\s]|\s)\((\w+)\)', '\1\2', 'g')) end as b from code_lines) select pver_id, cast(sum(a) as bigint) as original, cast(sum(b) as bigint) as compressed, round(sum(b) / sum(a), 3) as ratio from n group by 1")
+register("p15_is_guard", "code_lines", _code(S.is_guard), "select pver_id, file_id, line_no, regexp_matches(text, '" + _GUARD + "') as v from code_lines")
+register("p16_is_lhs_write", "code_lines", _code(lambda t: S.is_lhs_write(t, F.lit("idx_3"))), f"select pver_id, file_id, line_no, {_WRITE('text', 'idx_3')} as v from code_lines")
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(trim(text), '\b(\d+)u\b', '\1', 'g'), '(^|[^A-Za-z_0-9])\(\s*([\w.]+)\s*\)', '\1\2', 'g'), '\b(if|while|switch)\s+([^(].+)$', '\1 (\2)')"
+register("p20_normalize_stmt", "code_lines", _code(S.normalize_stmt), f"select pver_id, file_id, line_no, {_NORMAL} as v from code_lines")
+register("p21_is_noise", "code_lines", _code(S.is_noise), "select pver_id, file_id, line_no, trim(text) = '}' as v from code_lines")
+register("a21_compression_stats", "code_lines", sy.compression_stats, f", n as (select pver_id, length(text) as a, case when trim(text) = '}}' then 0 else length({_NORMAL}) end as b from code_lines) select pver_id, cast(sum(a) as bigint) as original, cast(sum(b) as bigint) as compressed, round(sum(b) / sum(a), 3) as ratio from n group by 1")
 
 # --- facts ---
 
@@ -214,17 +218,37 @@ register("x15_visit_sequence", "facts", lambda f: fa.visit_sequence(_cls(f), f.w
 
 # --- verdicts ---
 
-_R = ", r as (select *, fp_claim = 'fp' and index_range <> 'unknown' and array_size <> 'unknown' and coverage = 'full' and tp_witness <> 'found' as ok from prove_reports)\n"
-register("p23_fp_reasons", "prove_reports", lambda r: r.select("pver_id", "group_id", F.array_join(ve.fp_reasons(), ";").alias("reasons"), (F.size(ve.fp_reasons()) == 0).alias("ironclad")), _R + "select pver_id, group_id, concat_ws(';', case when fp_claim <> 'fp' then 'no fp claim' end, case when index_range = 'unknown' then 'index range unknown' end, case when array_size = 'unknown' then 'array size unknown' end, case when coverage <> 'full' then 'coverage not full' end, case when tp_witness = 'found' then 'tp witness found' end) as reasons, ok as ironclad from r")
-register("p24_hard_gate", "prove_reports", lambda r: ve.hard_gate(r).drop("reasons"), _R + "select pver_id, group_id, case when tp_claim = 'tp' and tp_witness = 'found' then 'TP' when ok and tp_claim <> 'tp' then 'FP' when fp_claim <> 'fp' and tp_claim <> 'tp' then 'uncertain' else 'none' end as gate from r")
-register("p25_clamp_vote", "votes prove_reports", lambda v, r: ve.clamp_vote(v, r.withColumn("pver_id", (F.col("group_id") % 8).cast("string"))).select("pver_id", "group_id", "run", "label", "clamped"), _R + "select v.pver_id, v.group_id, run, label, case when tp_witness = 'found' then 'TP' when label = 'FP' and not coalesce(ok, false) then case when tp_claim = 'tp' then 'TP' else 'uncertain' end else label end as clamped from votes v left join r on v.pver_id = r.pver_id and v.group_id = r.group_id")
-register("p26_coerce_report", "prove_reports", lambda r: ve.coerce_report(r.withColumn("fp_claim", F.upper("fp_claim")).withColumn("coverage", F.when(F.col("group_id") % 5 == 0, "odd").otherwise(F.col("coverage")))).select("pver_id", "group_id", "fp_claim", "index_range", "coverage"), "select pver_id, group_id, fp_claim, index_range, case when group_id % 5 = 0 then 'partial' else coverage end as coverage from prove_reports")
-register("a18_final_verdict", "votes prove_reports", ve.final_verdict, _R + """, n as (select pver_id, group_id, count(*) as n, count(*) filter (label = 'TP') as tp, count(*) filter (label = 'FP') as fp, count(*) filter (label = 'uncertain') as uncertain from votes group by 1, 2),
-b as (select n.*, coalesce(ok, false) as ok, coalesce(tp_claim = 'tp', false) as tc, coalesce(tp_witness = 'found', false) as wi, greatest(tp, fp, uncertain) as top from n left join r using (pver_id, group_id)),
-c as (select *, case when fp > 0 and ok and 2 * fp >= n then 'FP' when (tp = top)::int + (fp = top)::int + (uncertain = top)::int > 1 then case when tp > 0 and (wi or tc) then 'TP' else 'uncertain' end when tp = top then 'TP' when fp = top then case when ok then 'FP' else 'uncertain' end else 'uncertain' end as raw from b)
-select pver_id, group_id, n, tp, fp, uncertain, case when wi then 'TP' when raw = 'FP' and not ok then case when tc then 'TP' else 'uncertain' end else raw end as label from c""")
-register("u03_class_coverage", "facts", lambda f: ve.class_coverage(_cls(f.where("kind = 'guard'")).select("pver_id", "group_id", "class_id"), _cls(f).select("pver_id", "group_id", "class_id").distinct()), _C + ", a as (select distinct pver_id, group_id, 'C' || (line % 3 + 1) as class_id, 1 as hit from facts where kind = 'guard'), k as (select distinct pver_id, group_id, class_id from cf) select k.pver_id, k.group_id, count(hit) as addressed, count(*) as classes, coalesce(string_agg(case when hit is null then k.class_id end, ',' order by k.class_id), '') as unaddressed from k left join a using (pver_id, group_id, class_id) group by 1, 2")
-register("u04_validate_reports", "prove_reports facts", lambda r, f: ve.validate_reports(r, f.select("pver_id", "group_id", F.col("verified").alias("supported"))), _R + ", c as (select pver_id, group_id, count(*) filter (verified) as kept, count(*) filter (not verified) as dropped from facts group by 1, 2), b as (select r.*, coalesce(kept, 0) as kept, coalesce(dropped, 0) as dropped from r left join c using (pver_id, group_id)) select pver_id, group_id, case when tp_claim = 'tp' and tp_witness = 'found' and kept > 0 then 'tp' else 'no_credible_case' end as tp_claim, case when ok then 'fp' else 'no_credible_case' end as fp_claim, case when tp_witness = 'found' and kept > 0 then 'found' else 'none' end as tp_witness, kept, dropped from b")
+_LST = lambda c: f"list_filter(string_split({c}, ','), lambda x: x <> '')"
+_WHY = """concat_ws(';', case when tp_claim = 'tp' and tp_witness = 'found' then 'tp witness found' end, case when fp_claim <> 'fp' then 'no fp claim' end, case when coverage <> 'full' then 'coverage not full' end,
+ case when unaddressed <> '' then 'classes unaddressed' end, case when fp_error <> '' then 'prover error' end, case when index_range = 'unknown' then 'index range unknown' end,
+ case when array_size <> 'known' then 'array size unknown' end, case when fp_witness = 'found' then 'fp witness found' end, case when n_findings = 0 then 'no findings' end,
+ case when n_missing > 0 then 'evidence missing' end, case when merged_coverage = 'partial' then 'merged coverage partial' end, case when coverage_cap = 'partial' then 'coverage capped' end,
+ case when classes <> '' and addressed <> classes and (addressed = '' or starts_with(classes, addressed || ',')) then 'classes not addressed' end, case when not has_bound and index_range <> 'constant' then 'no bound' end)"""
+_R = f", r0 as (select *, {_WHY} as why from prove_reports), r as (select *, why = '' as ok, case when tp_error <> '' and fp_error <> '' then 'uncertain' when tp_claim = 'tp' and tp_witness = 'found' then 'TP' when fp_claim = 'fp' and why = '' then 'FP' else 'none' end as gate from r0)\n"
+register("p23_fp_reasons", "prove_reports", lambda r: r.select("pver_id", "group_id", F.array_join(ve.fp_reasons(), ";").alias("reasons"), (F.size(ve.fp_reasons()) == 0).alias("ironclad")), _R + "select pver_id, group_id, why as reasons, ok as ironclad from r")
+register("p24_hard_gate", "prove_reports", ve.hard_gate, _R + "select pver_id, group_id, gate, why as reasons from r")
+_V = _R + """, v as (select v.*, coalesce(ok, false) as ok, coalesce(tp_claim = 'tp', false) as tc, coalesce(tp_witness = 'found', false) as wi, coalesce(gate, 'none') as gate from votes v left join r using (pver_id, group_id)),
+k as (select *, case when tc and wi then 'TP' when label = 'FP' and not ok then case when tc then 'TP' else 'uncertain' end else label end as clamped from v)
+"""
+register("p25_clamp_vote", "votes prove_reports", lambda v, r: ve.clamp_vote(v, r).select("pver_id", "group_id", "run", "label", "clamped"), _V + "select pver_id, group_id, run, label, clamped from k")
+register("p26_coerce_report", "prove_reports", lambda r: ve.coerce_report(r.withColumns({"fp_claim": F.when(F.col("group_id") % 4 == 1, "tp").otherwise(F.upper("fp_claim")), "tp_claim": F.upper("tp_claim"), "array_size": F.when(F.col("group_id") % 3 == 0, "big").otherwise(F.initcap("array_size")), "coverage": F.when(F.col("group_id") % 5 == 0, "odd").otherwise(F.col("coverage"))})).select("pver_id", "group_id", "fp_claim", "tp_claim", "index_range", "array_size", "coverage", "fp_witness", "tp_witness", "empty_report"), """
+select pver_id, group_id, case when group_id % 4 = 1 then 'no_credible_case' else fp_claim end as fp_claim, tp_claim, index_range, case when group_id % 3 = 0 then 'unknown' else array_size end as array_size, case when group_id % 5 = 0 then 'partial' else coverage end as coverage, fp_witness, tp_witness,
+ rationale = ' ' and n_findings = 0 and n_missing = 0 and addressed = '' as empty_report from prove_reports""")
+register("a18_final_verdict", "votes prove_reports", ve.final_verdict, _V + """, n as (select pver_id, group_id, clamped, count(*) as c, min(run) as fi from k group by 1, 2, 3), f as (select pver_id, group_id, arg_max(clamped, (c, -fi)) as lead, max(c) as top from n group by 1, 2), tt as (select pver_id, group_id, count(*) as ties from n join f using (pver_id, group_id) where c = top group by 1, 2),
+g as (select pver_id, group_id, count(*) as n, count(*) filter (clamped = 'TP') as tp, count(*) filter (clamped = 'FP') as fp, count(*) filter (clamped = 'uncertain') as uncertain, first(ok) as ok, first(tc) as tc, first(wi) as wi, first(gate) as gate, bool_or(reexplore and clamped = 'uncertain') as asked from k group by 1, 2),
+w as (select g.*, case when fp > 0 and ok and 2 * fp >= n then 'FP' when fp > 0 and not ok then case lead when 'FP' then 'uncertain' else lead end when ties > 1 then case when tp > 0 and (wi or tc) then 'TP' else 'uncertain' end else lead end as won from g join f using (pver_id, group_id) join tt using (pver_id, group_id)),
+z as (select *, case when gate <> 'none' then gate when tc and wi then 'TP' when won = 'FP' and not ok then case when tc then 'TP' else 'uncertain' end else won end as label from w)
+select pver_id, group_id, n, tp, fp, uncertain, label, asked and label = 'uncertain' and gate = 'none' as reexplore from z""")
+_U3 = lambda src: f""", u0 as (select *, list_filter({_LST('addressed')}, lambda x: list_contains({_LST('classes')}, x)) as gv, {_LST('classes')} as cl from {src}), u1 as (select *, index_origin = 'local' and len(gv) > 0 and n_findings > 0 as closes from u0),
+u as (select * replace (case when (not closes and len(list_filter(cl, lambda x: not list_contains(gv, x))) > 0) or merged_coverage = 'partial' then 'partial' else coverage end as coverage, array_to_string(case when closes then cl else gv end, ',') as addressed,
+ array_to_string(case when closes then [] else list_filter(cl, lambda x: not list_contains(gv, x)) end, ',') as unaddressed) from u1)
+"""
+register("u03_class_coverage", "prove_reports", lambda r: ve.class_coverage(r).select("pver_id", "group_id", "coverage", "addressed", "unaddressed"), _U3("prove_reports") + "select pver_id, group_id, coverage, addressed, unaddressed from u")
+register("u04_validate_reports", "prove_reports findings", ve.validate_reports, """, c as (select pver_id, group_id, count(*) filter (agent = 'FP_PROVE' and supported) as fp_kept, count(*) filter (agent = 'FP_PROVE' and not supported) as fp_lost, count(*) filter (agent = 'TP_PROVE' and supported) as tp_kept, count(*) filter (agent = 'TP_PROVE' and not supported) as tp_lost from findings group by 1, 2),
+b0 as (select p.* exclude (n_findings), coalesce(fp_kept, 0) as n_findings, coalesce(fp_kept, 0) as fp_kept, coalesce(fp_lost, 0) as fp_lost, coalesce(tp_kept, 0) as tp_kept, coalesce(tp_lost, 0) as tp_lost, tp_claim = 'tp' and tp_witness = 'found' and coalesce(tp_kept, 0) = 0 as cleared from prove_reports p left join c using (pver_id, group_id)),
+b1 as (select * replace (case when cleared then 'none' else tp_witness end as tp_witness) from b0), b2 as (select *, tp_claim = 'tp' and tp_witness <> 'found' as down from b1), b3 as (select * replace (case when down then 'no_credible_case' else tp_claim end as tp_claim) from b2)""" + _U3("b3") + f""", x as (select *, fp_claim = 'fp' and {_WHY} <> '' as soft from u)
+select pver_id, group_id, tp_claim, case when soft then 'no_credible_case' else fp_claim end as fp_claim, tp_witness, coverage, addressed, unaddressed, fp_kept, fp_lost, tp_kept, tp_lost,
+ concat_ws(';', case when tp_error <> '' then 'tp prover failed' end, case when fp_error <> '' then 'fp prover failed' end, case when tp_lost > 0 then 'tp findings' end, case when fp_lost > 0 then 'fp findings' end, case when cleared then 'tp witness' end, case when down then 'tp claim' end, case when soft then 'fp claim' end) as dropped from x""")
 register("a19_score", "expert_labels", ve.score, """, e as (select case when lower(human_label) in ('true', 'tp') then 'TP' when lower(human_label) in ('false', 'fp') then 'FP' end as h, prediction as p, case when contains(comment, 'TOOL') then 'tool' else 'person' end as reviewer from expert_labels)
 select reviewer, count(*) as n, count(*) filter (h = 'TP' and p = 'TP') as tp_tp, count(*) filter (h = 'FP' and p = 'FP') as fp_fp, count(*) filter (h = 'TP' and p = 'FP') as wrong_fp, count(*) filter (h = 'FP' and p = 'TP') as wrong_tp, count(*) filter (p = 'uncertain') as uncertain,
  round(count(*) filter (h = 'TP' and p = 'TP') / greatest(count(*) filter (h = 'TP'), 1), 6) as recall_tp, round(count(*) filter (h = 'FP' and p = 'FP') / greatest(count(*) filter (h = 'FP'), 1), 6) as recall_fp from e where h is not null group by 1""")

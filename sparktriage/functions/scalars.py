@@ -7,7 +7,24 @@ from pyspark.sql import functions as F
 
 # C keywords and primitive types that are never symbols.
 KEYWORDS = ["auto", "break", "case", "char", "const", "continue", "default", "do", "double", "else", "enum", "extern", "float", "for", "goto", "if", "int", "long", "register", "return", "short", "signed", "sizeof", "static", "struct", "switch", "typedef", "union", "unsigned", "void", "volatile", "while"]
-GUARD = r"(?i)\b(if|while|for|switch|assert)\b|&&|<=|>=|==|!=|[^<]<[^<]|[^>\-]>[^>]|&\s*0x|%|\b(clamp|min|max|limit)\w*\s*\("
+# What marks a line as a guard when alarms are prepared, and when bodies are mined.
+GUARD = r"(?i)\b(if|while|for|switch)\b|<=|>=|<|>|&&|\|\||\bmin\b|\bmax\b|&\s*0x|%\s*\d+|clamp"
+MINED_GUARD = r"(?i)\b(if|while|for|switch)\b|<=|>=|<|>|&&|\|\||&\s*0x|%\s*\d+|clamp|MIN|MAX"
+# The rewriting steps of a statement, in order.
+NORMAL_STEPS = [
+    (r"\(\s*\(void\)\s*\([^)]*\)\s*\)\s*;?", ""),
+    (r"\(\s*\(?\s*([\w.]+)\s*\)?\s*!=\s*\(\s*0\s*!=\s*0\s*\)\s*\)", "$1"),
+    (r"\(\s*1\s*!=\s*0\s*\)", "1"),
+    (r"\(\s*0\s*!=\s*0\s*\)", "0"),
+    (r"\(\s*(?:uint\d*|int|unsigned|signed|bool)\s*\)\s*", ""),
+    (r"(?i)\b(0x[0-9a-f]+)u\b", "$1"),
+    (r"\b(\d+)u\b", "$1"),
+    *[(r"(?<![A-Za-z_0-9])\(\s*([\w.]+)\s*\)", "$1")] * 6,
+    (r"\s+", " "),
+    (r"^ | $", ""),
+    (r"\b(if|while|for|switch|elif)\(", "$1 ("),
+    (r"\b(if|while|switch|elif)\s+([^(].+)$", "$1 ($2)"),
+]
 
 
 def is_aoob(text: Column) -> Column:
@@ -75,17 +92,23 @@ def ident_pieces(*names: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.concat_ws("_", *names)), "[^a-z0-9]+"), lambda x: x != "")))
 
 
-def is_guard(text: Column) -> Column:
+def is_guard(text: Column, pattern: str = GUARD) -> Column:
     """P15."""
-    return text.rlike(GUARD)
+    return text.rlike(pattern)
 
 
 def is_lhs_write(text: Column, token: Column) -> Column:
-    """Token is assigned, by = or a compound operator, or stepped by ++ or --; heads of conditions don't count."""
-    name = F.concat(F.lit(r"\b"), token, F.lit(r"\b"))
-    assign = F.regexp_like(text, F.concat(name, F.lit(r"(\s*\[[^\]]*\])?\s*(=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)")))
-    step = F.regexp_like(text, F.concat(F.lit(r"(\+\+|--)\s*"), name))
-    return (assign | step) & ~text.rlike(r"^\s*(if|while|switch)\b")
+    """Token itself (no member of another) is assigned, by = or a compound operator, or stepped by ++ or --.
+
+    Comments don't count, nor does an assignment whose left side holds if, while or return; such a line is no step either.
+    """
+    code = F.substring_index(text, "//", 1)
+    name = F.concat(F.lit(r"\b\Q"), token, F.lit(r"\E\b"))
+    free = F.lit(r"(?<![\w.>])")
+    assigned = F.regexp_like(code, F.concat(free, F.lit(r"\*?\s*"), name, F.lit(r"\s*(?:\[[^\]]*\])?\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)")))
+    head = F.substring_index(code, "=", 1)
+    step = F.regexp_like(code, F.concat(free, name, F.lit(r"\s*(?:\+\+|--)|(?:\+\+|--)\s*"), name))
+    return F.when(assigned, head.contains(token) & ~head.rlike(r"\b(if|while|return)\b")).otherwise(step)
 
 
 def collapse_ws(text: Column) -> Column:
@@ -106,29 +129,40 @@ def display_variable(given: Column, symbol: Column, index: Column) -> Column:
 
 
 def normalize_stmt(text: Column) -> Column:
-    """P20: void casts go, constant truths fold, scalar casts and u suffixes go, brackets around single names open up to six times."""
-    text = F.regexp_replace(text, r"\(\s*void\s*\)\s*", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"\(\s*1\s*!=\s*0\s*\)", "(true)"), r"\(\s*0\s*!=\s*0\s*\)", "(false)")
-    text = F.regexp_replace(text, r"\(\s*(?:u?int(?:8|16|32|64)|unsigned|int|char|long|short|float|double)\s*\)\s*", "")
-    text = F.regexp_replace(text, r"\b(\d+)[uU][lL]*\b", "$1")
-    for _ in range(6):
-        text = F.regexp_replace(text, r"(^|[^\w\s]|\s)\((\w+)\)", "$1$2")
-    return collapse_ws(F.regexp_replace(text, r"\bif\s*\(", "if ("))
+    """P20: void casts go, constant truths fold, scalar casts and u suffixes go, brackets around single names open, conditions are in brackets."""
+    text = F.trim(text)
+    for pattern, into in NORMAL_STEPS:
+        text = F.regexp_replace(text, pattern, into)
+    return text
+
+
+def strip_line(text: Column) -> Column:
+    """A line without its blanks and the comment at its end."""
+    return F.regexp_replace(F.regexp_replace(text, r"//[\s\S]*$", ""), r"^\s+|\s+$", "")
 
 
 def is_noise(text: Column) -> Column:
-    """Blank, preprocessor, only braces, or a comment of one line."""
-    return F.trim(text).rlike(r"^$|^#|^[{};\s]*$|^//|^/\*.*\*/$")
+    """Blank, preprocessor, only braces and semicolons, or a line that begins with a comment which ends there."""
+    line = strip_line(text)
+    return (line == "") | line.rlike(r"^#|^[{};]+$") | (line.startswith("/*") & line.contains("*/"))
+
+
+def open_call(before: Column) -> Column:
+    """What stands before a place, without the bracket pairs that are closed there, four levels deep."""
+    for _ in range(4):
+        before = F.regexp_replace(before, r"\([^()]*\)", "")
+    return before
 
 
 def access_kind(text: Column, before: Column, after: Column, declared: Column) -> Column:
     """What an occurrence does, by what stands before and after it: declaration, address, write, parameter, read; the first that fits."""
     depth = F.length(F.regexp_replace(before, r"[^(]", "")) - F.length(F.regexp_replace(before, r"[^)]", ""))
+    bare = open_call(before)
     return (
         F.when(declared, "declaration")
         .when(before.rlike(r"(^|[^&])&\s*$"), "address")
         .when(after.rlike(r"^(\s*\[[^\]]*\])?\s*(=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)") | before.rlike(r"(\+\+|--)\s*$"), "write")
-        .when((depth > 0) & before.rlike(r"\w\s*\([^()]*$") & ~before.rlike(r"\b(if|while|for|switch|return)\s*\(+[^()]*$"), "parameter")
+        .when((depth > 0) & bare.rlike(r"\w\s*\([^()]*$") & ~bare.rlike(r"\b(if|while|for|switch|return)\s*\(+[^()]*$"), "parameter")
         .otherwise("read")
     )
 

@@ -34,7 +34,7 @@ def occurrences(lines: DataFrame) -> DataFrame:
     tokens = line_tokens(lines)
     declared = F.col("before").rlike(r"^\s*(?:(?:static|const|extern)\s+)*[A-Za-z_]\w*\s+\**$") & ~F.col("before").rlike(r"^\s*return\b") & ~F.col("after").rlike(r"^\s*\(")
     called = F.col("after").rlike(r"^\s*\(")
-    callee = F.regexp_extract("before", r"([A-Za-z_]\w*)\s*\([^()]*$", 1)
+    callee = F.regexp_extract(S.open_call(F.col("before")), r"([A-Za-z_]\w*)\s*\([^()]*$", 1)
     access = S.access_kind(F.col("text"), F.col("before"), F.col("after"), declared)
     typed = F.col("after").rlike(r"^\s+\**[A-Za-z_]") & (F.trim("before") == "")
     return tokens.where(~called & ~typed).select(*LINE, "symbol", "col_start", "col_end", access.alias("access"), F.when(access.isin("parameter", "address"), callee).alias("callee"), F.col("text").alias("line_text"))

@@ -64,10 +64,20 @@ select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as group_id,
  case cast(o_custkey % 5 as int) when 0 then 'unknown' else 'known' end as array_size,
  case when o_orderstatus = 'F' then 'full' else 'partial' end as coverage,
  case cast(o_orderkey % 7 as int) when 0 then 'tp' else 'no_credible_case' end as tp_claim,
- case cast(o_orderkey % 14 as int) when 0 then 'found' else 'none' end as tp_witness from orders""",
+ case cast(o_orderkey % 14 as int) when 0 then 'found' when 3 then 'found' else 'none' end as tp_witness,
+ case when o_custkey % 11 < 2 then 'timeout' else '' end as tp_error, case when o_custkey % 22 = 0 then 'timeout' else '' end as fp_error,
+ case when o_orderkey % 9 = 0 then 'found' else 'none' end as fp_witness, cast(o_custkey % 4 as bigint) as n_findings, cast(case when o_custkey % 6 = 1 then 1 else 0 end as bigint) as n_missing,
+ left('C1,C2,C3', cast(o_orderkey % 3 * 3 + 2 as int)) as classes, case when o_custkey % 5 = 4 then '' else left('C1,C2,C3', cast(o_custkey % 3 * 3 + 2 as int)) end as addressed,
+ case when o_orderkey % 8 = 5 then 'C9' else '' end as unaddressed, case when o_custkey % 7 = 0 then 'partial' else 'full' end as merged_coverage,
+ case when o_orderkey % 10 = 0 then 'partial' else 'full' end as coverage_cap, o_custkey % 8 <> 0 as has_bound,
+ case cast(o_orderkey % 5 as int) when 0 then 'local' when 1 then 'global' else 'parameter' end as index_origin,
+ case when o_custkey % 3 = 1 then ' ' else 'text' end as rationale from orders""",
+    "findings": """
+select cast(l_orderkey % 8 as string) as pver_id, l_orderkey as group_id, case when l_suppkey % 2 = 0 then 'FP_PROVE' else 'TP_PROVE' end as agent, l_returnflag <> 'N' as supported from lineitem""",
     "votes": """
 select cast(e.user_id % 8 as string) as pver_id, e.user_id as group_id, e.event_id as run,
- case e.event_type when 'click' then 'TP' when 'view' then 'FP' when 'signup' then 'FP' else 'uncertain' end as label from events e""",
+ case e.event_type when 'click' then 'TP' when 'view' then 'FP' when 'signup' then 'FP' else 'uncertain' end as label,
+ e.event_id % 3 = 0 as reexplore from events e""",
     "expert_labels": """
 select d.doc_id, cast(d.doc_id % 8 as string) as pver_id,
  case when l.quality is null then '' when l.quality = 1 then 'true' else 'FP' end as human_label,

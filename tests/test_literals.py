@@ -72,7 +72,13 @@ def test_scalars(spark):
     assert one(S.clean_index(F.lit("(numClass"))) == "numClass"
     assert one(S.clean_index(F.lit("(i + 1)"))) == "i + 1"
     assert one(S.index_tokens(F.lit("a.b + 0x1F + idx + sizeof idx"))) == ["a", "idx"]
-    assert one(S.normalize_stmt(F.lit("if((x) < 5u) (void)f();"))) == "if (x < 5) f();"
+    for text, want in {"if((x) < 5u) ((void)(f));": "if (x < 5)", "if ((1 != 0)) x = 0x1Fu;": "if (1 x = 0x1F;)", "x = ((ok) != (0 != 0));": "x = ok;", "while(a)": "while (a)", "f(a.b)(c)": "f(a.b)c", "y = (uint16)((z));": "y = z;"}.items():
+        assert one(S.normalize_stmt(F.lit(text))) == want, text
+    assert [one(S.is_guard(F.lit(t))) for t in ("a || b", "ok = a == b;", "x % 8", "Max(a)", "f(x)")] == [True, False, True, True, False]
+    writes = {"idx = 1": True, "s.idx = 1": False, "p->idx = 1": False, "// idx = 1": False, "*idx += 2;": True, "idx[3] <<= 1": True, "idx == 2": False, "if (idx = 1)": False, "return idx = 2;": False, "x = idx;": False, "++idx;": True, "idx--;": True}
+    for text, want in writes.items():
+        assert one(S.is_lhs_write(F.lit(text), F.lit("idx"))) == want, text
+    assert [one(S.is_noise(F.lit(t))) for t in ("  // x", "};", "/* a */", "# if", "x; // y", "/* open")] == [True, True, True, True, False, False]
     assert one(S.clip(F.lit("abcdef"), 4)) == "abcd… [2 more chars]"
     assert one(S.safe_name(F.lit("1,0/é"))) == "1_0_é"
     assert one(S.symbol_kind(F.lit(False), F.lit(1), F.array().cast("array<int>"), F.lit(False))) == "pointer"
@@ -85,13 +91,41 @@ def test_function_ranges(spark):
     assert [(r["start_line"], r["end_line"]) for r in symbols.function_ranges(lines).orderBy("body").collect()] == [(2, 6), (8, 9)]
 
 
+REPORT = {"pver_id": "p", "group_id": 1, "fp_claim": "fp", "index_range": "constant", "array_size": "known", "coverage": "full", "tp_claim": "no_credible_case", "tp_witness": "none", "tp_error": "", "fp_error": "", "fp_witness": "none", "n_findings": 1, "n_missing": 0, "classes": "C1,C2", "addressed": "C1,C2", "unaddressed": "", "merged_coverage": "full", "coverage_cap": "full", "has_bound": True, "index_origin": "parameter", "rationale": "because"}
+REPORT_SCHEMA = ", ".join(f"{k} {'long' if k[:2] == 'n_' or k == 'group_id' else 'boolean' if k == 'has_bound' else 'string'}" for k in REPORT)
+
+
+def reports_of(spark, *changes):
+    return spark.createDataFrame([tuple({**REPORT, "group_id": i, **c}.values()) for i, c in enumerate(changes, 1)], REPORT_SCHEMA)
+
+
+def test_fp_checklist(spark):
+    one_wrong = [{"fp_claim": "no_credible_case"}, {"coverage": "partial"}, {"unaddressed": "C2"}, {"fp_error": "timeout"}, {"index_range": "unknown"}, {"array_size": "unknown"}, {"fp_witness": "found"}, {"n_findings": 0}, {"n_missing": 1}, {"merged_coverage": "partial"}, {"coverage_cap": "partial"}, {"addressed": "C1"}, {"has_bound": False, "index_range": "guard_bounded"}, {"tp_claim": "tp", "tp_witness": "found"}]
+    fine = [{}, {"has_bound": False}, {"tp_witness": "found"}, {"addressed": "C2,C1,C1"}, {"addressed": "C9"}, {"classes": ""}]  # a witness without a claim, and classes that are no strict subset, fail nothing
+    n = [len(r[0]) for r in reports_of(spark, *one_wrong, *fine).orderBy("group_id").select(verdict.fp_reasons()).collect()]
+    assert n == [1] * len(one_wrong) + [0] * len(fine)
+
+
 def test_policy(spark):
-    schema = "pver_id string, group_id long, fp_claim string, index_range string, array_size string, coverage string, tp_claim string, tp_witness string"
-    reports = spark.createDataFrame([("p", 1, "fp", "constant", "known", "full", "no_credible_case", "none"), ("p", 2, "fp", "constant", "unknown", "full", "tp", "found"), ("p", 3, "no_credible_case", "unknown", "known", "full", "no_credible_case", "none")], schema)
+    reports = reports_of(spark, {}, {"array_size": "unknown", "tp_claim": "tp", "tp_witness": "found"}, {"fp_claim": "no_credible_case"}, {"tp_error": "x", "fp_error": "y"}, {"array_size": "unknown", "tp_claim": "tp"}, {"array_size": "unknown"}, {"fp_claim": "no_credible_case", "tp_witness": "found"})
     gates = {r["group_id"]: r["gate"] for r in verdict.hard_gate(reports).collect()}
-    assert gates == {1: "FP", 2: "TP", 3: "uncertain"}
-    votes = spark.createDataFrame([("p", g, r, v) for g, vs in {1: ["FP", "uncertain"], 2: ["FP", "FP"], 3: ["FP", "FP"]}.items() for r, v in enumerate(vs)], "pver_id string, group_id long, run int, label string")
-    assert {r["group_id"]: r["label"] for r in verdict.final_verdict(votes, reports).collect()} == {1: "FP", 2: "TP", 3: "uncertain"}
+    assert gates == {1: "FP", 2: "TP", 3: "none", 4: "uncertain", 5: "none", 6: "none", 7: "none"}
+    cast = {1: ["uncertain"], 2: ["FP", "FP"], 3: ["uncertain", "TP"], 4: ["FP", "TP"], 5: ["FP", "uncertain"], 6: ["FP", "uncertain", "TP"], 7: ["uncertain", "TP"], 8: ["FP", "uncertain"]}
+    votes = spark.createDataFrame([("p", g, r, v, True) for g, vs in cast.items() for r, v in enumerate(vs)], "pver_id string, group_id long, run int, label string, reexplore boolean")
+    got = {r["group_id"]: (r["label"], r["reexplore"]) for r in verdict.final_verdict(votes, reports).collect()}
+    assert got == {1: ("FP", False), 2: ("TP", False), 3: ("uncertain", True), 4: ("uncertain", False), 5: ("TP", False), 6: ("uncertain", True), 7: ("TP", False), 8: ("uncertain", True)}
+
+
+def test_coverage_and_validation(spark):
+    reports = reports_of(spark, {"index_origin": "local", "classes": "C1,C2,C3", "addressed": "C1"}, {"index_origin": "parameter", "classes": "C1,C2,C3", "addressed": "C1,C7"}, {"index_origin": "local", "addressed": "C1", "n_findings": 0}, {"merged_coverage": "partial"})
+    got = [(r["addressed"], r["unaddressed"], r["coverage"]) for r in verdict.class_coverage(reports).orderBy("group_id").collect()]
+    assert got == [("C1,C2,C3", "", "full"), ("C1", "C2,C3", "partial"), ("C1", "C2", "partial"), ("C1,C2", "", "partial")]
+    reports = reports_of(spark, {}, {"array_size": "unknown"}, {"tp_claim": "tp", "tp_witness": "found"}, {"tp_claim": "tp", "tp_witness": "found"}, {})
+    findings = spark.createDataFrame([("p", g, a, ok) for g, a, ok in [(1, "FP_PROVE", True), (2, "FP_PROVE", True), (3, "TP_PROVE", False), (3, "FP_PROVE", True), (4, "TP_PROVE", True), (5, "FP_PROVE", False)]], "pver_id string, group_id long, agent string, supported boolean")
+    got = {r["group_id"]: (r["fp_claim"], r["tp_claim"], r["tp_witness"], r["dropped"]) for r in verdict.validate_reports(reports, findings).collect()}
+    none = "no_credible_case"
+    assert got == {1: ("fp", none, "none", ""), 2: (none, none, "none", "fp claim"), 3: ("fp", none, "none", "tp findings;tp witness;tp claim"), 4: (none, "tp", "found", "fp claim"), 5: (none, none, "none", "fp findings;fp claim")}
+    assert verdict.coerce_report(reports_of(spark, {"fp_claim": "TP", "index_range": "Modulo", "coverage": "FULL", "rationale": " ", "n_findings": 0, "addressed": ""})).select("fp_claim", "index_range", "coverage", "empty_report").first() == (none, "unknown", "full", True)
 
 
 def test_trim_brief(spark):
