@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -98,22 +98,18 @@ register("a07_edge_weights", "cfg_edges", gr.edge_weights, "select pver_id, call
 register("a22_merge_callees", "cfg_edges", lambda e: _flat(gr.merge_callees(e.withColumn("seq", -F.col("w"))), "callees"), ", s as (select pver_id, caller, callee, min(-w) as seq from cfg_edges group by 1, 2, 3) select pver_id, caller, string_agg(callee, ',' order by seq, callee) as callees from s group by 1, 2")
 register("l01_hubs", "cfg_edges", lambda e: gr.hubs(gr.degrees(e)), _E + ", r as (select *, cast(row_number() over (partition by pver_id order by degree desc, fn) as integer) as rank from dg) select * from r where rank <= 40")
 register("l02_search_functions", "cfg_edges", lambda e: gr.search_functions(gr.degrees(e), "FN_1"), _E + ", r as (select *, cast(row_number() over (partition by pver_id order by fn) as integer) as rank from dg where contains(lower(fn), 'fn_1')) select * from r where rank <= 30")
-register("j15_neighborhood", "cfg_edges", lambda e: gr.neighborhood(e, e.where("callee in ('fn_1', 'fn_20', 'fn_77')").select("pver_id", F.col("callee").alias("fn")).distinct()), _E + """, n as (select pver_id, callee as fn, caller as other, 'caller' as side from e union all select pver_id, caller, callee, 'callee' from e),
-w as (select distinct pver_id, callee from e where callee in ('fn_1', 'fn_20', 'fn_77')),
-r as (select n.*, cast(row_number() over (partition by n.pver_id, fn, side order by other) as integer) as rank, count(*) over (partition by n.pver_id, fn, side) as total from n join w on n.pver_id = w.pver_id and fn = callee)
-select * from r where rank <= 10""")
+_near = "n as (select pver_id, callee as fn, caller as other, 'caller' as side from e union all select pver_id, caller, callee, 'callee' from e)"
+register("j15_neighborhood", "cfg_edges", lambda e: gr.neighborhood(e, gr.close_graph(e).select("pver_id", "fn")), _E + f""", {_near}, r as (select *, cast(row_number() over (partition by pver_id, fn, side order by other) as integer) as rank, count(*) over (partition by pver_id, fn, side) as total from n) select * from r where rank <= 10""")
+_leaves = lambda f: f.groupBy("pver_id", "block_no").agg(F.max_by(S.bare_fn(S.frame_fn(F.col("entry"))), "pos").alias("leaf")).select("pver_id", "leaf").distinct()
+register("g02_leaf_distance", "cfg_edges frames", lambda e, f: gr.leaf_distance(e, _leaves(f)), _E.replace(", e as", "--recursive, e as", 1) + r""", lf as (select distinct pver_id, leaf from (select pver_id, block_no, arg_max(regexp_extract(entry, '^call#([^ |]*)', 1), pos) as leaf from frames group by 1, 2)), many as (select count(distinct caller) as n from e),
+b(pver_id, leaf, fn, distance) as (select pver_id, leaf, leaf, 0 from lf union select b.pver_id, leaf, caller, distance + 1 from b join e on e.pver_id = b.pver_id and callee = fn where caller <> leaf and distance < (select n from many)) select pver_id, leaf, fn, min(distance) as distance from b group by 1, 2, 3""")
+_members = lambda f: f.groupBy("pver_id", F.col("block_no").alias("grp"), S.bare_fn(S.frame_fn(F.col("entry"))).alias("fn")).agg(F.min("pos").alias("position"), F.max("pos").alias("last")).withColumn("is_leaf", F.col("last") == F.max("last").over(Window.partitionBy("pver_id", "grp"))).drop("last")
+register("g03_execution_order", "cfg_edges frames", lambda e, f: gr.execution_order(_members(f), e), None)
+register("g04_execution_role", "frames", lambda f: gr.execution_role(_members(f).withColumn("place", F.row_number().over(Window.partitionBy("pver_id", "grp").orderBy("position")))).select("pver_id", "grp", "fn", "role"), r""", m as (select pver_id, block_no as grp, regexp_extract(entry, '^call#([^ |]*)', 1) as fn, min(pos) as p from frames group by 1, 2, 3)
+select pver_id, grp, fn, case when fn = 'global' then 'declaration' when p = max(p) over (partition by pver_id, grp) then 'leaf' else 'intermediate' end as role from m""")
 register("g01_caller_chain", "cfg_edges", lambda e: gr.caller_chain(e.select("pver_id", F.col("callee").alias("fn")).distinct(), e), _E.replace(", e as", "--recursive, e as", 1) + """, c(pver_id, fn, cur, chain, n) as (select distinct pver_id, callee, callee, [callee], 1 from e
  union all select pver_id, fn, nx, list_append(chain, nx), n + 1 from (select c.pver_id, c.fn, c.chain, c.n, (select min(e.caller) from e where e.pver_id = c.pver_id and e.callee = c.cur and not list_contains(c.chain, e.caller)) as nx from c where c.n < 12) t where nx is not null),
 m as (select pver_id, fn, arg_max(chain, n) as chain from c group by 1, 2) select pver_id, fn, array_to_string(list_reverse(chain), '>') as chain from m""")
-register("g02_leaf_distance", "cfg_edges", lambda e: gr.leaf_distance(e, e.where("callee = 'fn_7'").select("pver_id", F.col("callee").alias("leaf")).distinct()), _E + """, d0 as (select distinct pver_id, callee as leaf, callee as fn, 0 as distance from e where callee = 'fn_7'),
-d1 as (select distinct d.pver_id, leaf, caller as fn, 1 as distance from d0 d join e on e.pver_id = d.pver_id and callee = fn), d2 as (select distinct d.pver_id, leaf, caller as fn, 2 as distance from d1 d join e on e.pver_id = d.pver_id and callee = fn),
-d3 as (select distinct d.pver_id, leaf, caller as fn, 3 as distance from d2 d join e on e.pver_id = d.pver_id and callee = fn), d4 as (select distinct d.pver_id, leaf, caller as fn, 4 as distance from d3 d join e on e.pver_id = d.pver_id and callee = fn),
-u as (select * from d0 union all select * from d1 union all select * from d2 union all select * from d3 union all select * from d4) select pver_id, leaf, fn, cast(min(distance) as integer) as distance from u group by 1, 2, 3""")
-_members = lambda e: e.select("pver_id", F.explode(F.array("caller", "callee")).alias("fn")).distinct().where(F.regexp_extract("fn", r"(\d+)$", 1).cast("int") < 40).select("pver_id", F.lit(1).cast("long").alias("grp"), "fn", F.regexp_extract("fn", r"(\d+)$", 1).cast("int").alias("position"), (F.col("fn") == "fn_7").alias("is_leaf"))
-register("g03_execution_order", "cfg_edges", lambda e: gr.execution_order(_members(e), e), None)
-register("g04_execution_role", "cfg_edges", lambda e: gr.execution_role(_members(e).withColumn("place", F.col("position"))).select("pver_id", "fn", "role"), r""", m as (select distinct pver_id, unnest([caller, callee]) as fn from cfg_edges), n as (select *, cast(regexp_extract(fn, '(\d+)$', 1) as integer) as p from m where cast(regexp_extract(fn, '(\d+)$', 1) as integer) < 40)
-select pver_id, fn, case when fn = 'global' then 'declaration' when p = max(p) over (partition by pver_id) then 'leaf' else 'intermediate' end as role from n""")
-
 # --- alarm records ---
 
 _G = ", g as (select pver_id, location, min(block_no) as fb from heads group by 1, 2), gi as (select pver_id, location, cast(row_number() over (partition by pver_id order by fb) as integer) as group_id from g)\n"
@@ -154,10 +150,7 @@ occ as (select pver_id, file_id, line_no, symbol, col_start, cast(col_start + le
 register("x06_occurrences", "code_lines", sy.occurrences, _OCC + "select * from occ")
 register("j10_wanted_tokens", "code_lines", lambda c: sy.wanted_tokens(sy.line_tokens(c), c.select(F.lit("idx_3").alias("symbol")).distinct()).select(*sy.LINE, "symbol", "col_start"), _OCC + "select pver_id, file_id, line_no, symbol, col_start from s where symbol = 'idx_3'")
 register("a03_access_counts", "code_lines", lambda c: sy.access_counts(sy.occurrences(c)), _OCC + "select pver_id, symbol, count(*) filter (access = 'declaration') as n_declaration, count(*) filter (access = 'address') as n_address, count(*) filter (access = 'write') as n_write, count(*) filter (access = 'parameter') as n_parameter, count(*) filter (access = 'read') as n_read, count(*) as occurrence_count from occ group by 1, 2")
-register("a04_used_in", "code_lines", lambda c: sy.used_in(sy.occurrences(c)), _OCC + "select pver_id, symbol, count(distinct file_id) as n_files, min(file_id) as first_file, max(file_id) as last_file from occ group by 1, 2")
 register("a05_passed_to", "code_lines", lambda c: sy.passed_to(sy.occurrences(c)), _OCC + "select distinct pver_id, symbol, callee, file_id, line_no, case when access = 'address' then 'address' else 'value' end as mode from occ where access in ('parameter', 'address') and callee <> ''")
-register("a12_function_rows", "code_lines", lambda c: sy.function_rows(sy.occurrences(c)), _OCC + "select pver_id, symbol, file_id, count(*) as uses, string_agg(distinct access, ',' order by access) as accesses from occ group by 1, 2, 3")
-register("a13_access_filter", "code_lines", lambda c: sy.access_filter(sy.function_rows(sy.occurrences(c)), "with_read"), _OCC + "select pver_id, symbol, file_id, count(*) as uses, string_agg(distinct access, ',' order by access) as accesses from occ group by 1, 2, 3 having bool_or(access = 'read')")
 register("w07_sample_occurrences", "code_lines", lambda c: sy.sample_occurrences(sy.occurrences(c)).select("pver_id", "symbol", "file_id", "line_no", "col_start", "rn", "total"), _OCC + ", r as (select *, cast(row_number() over (partition by pver_id, symbol order by file_id, line_no, col_start) as integer) as rn, count(*) over (partition by pver_id, symbol) as total from occ) select pver_id, symbol, file_id, line_no, col_start, rn, total from r where total <= 80 or rn <= 40 or rn > total - 40")
 _FR = r""", d as (select *, sum(length(regexp_replace(text, '[^{]', '', 'g')) - length(regexp_replace(text, '[^}]', '', 'g'))) over (partition by pver_id, file_id order by line_no) as d from code_lines),
 d2 as (select *, d - least(0, min(d) over (partition by pver_id, file_id order by line_no)) as depth from d), d3 as (select *, coalesce(lag(depth) over (partition by pver_id, file_id order by line_no), 0) as bf from d2),
@@ -167,18 +160,43 @@ fr as (select pver_id, file_id, cast(body as bigint) as body, min(line_no) as st
 _INT = lambda df: df.withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line", "body") if c in df.columns})
 register("w04_function_ranges", "code_lines", lambda c: _INT(sy.function_ranges(c)), _FR + "select * from fr")
 register("j04_enclosing_function", "code_lines", lambda c: sy.enclosing_function(c, sy.function_ranges(c)), _FR + "select c.pver_id, c.file_id, c.line_no, coalesce('body_' || fr.body, 'global') as fn from code_lines c left join fr on c.pver_id = fr.pver_id and c.file_id = fr.file_id and c.line_no between start_line and end_line")
-register("j06_nearest_span", "code_lines", lambda c: _INT(sy.nearest_span(c.where("line_no % 3 = 1"), sy.function_ranges(c))), _FR + "select c.pver_id, c.file_id, c.line_no, arg_min(body, (abs(floor((start_line + end_line) / 2.0) - c.line_no), start_line)) as body from code_lines c join fr on c.pver_id = fr.pver_id and c.file_id = fr.file_id where c.line_no % 3 = 1 group by 1, 2, 3")
+_BODY = " left join fr on {0}.pver_id = fr.pver_id and {0}.file_id = fr.file_id and {0}.line_no between fr.start_line and fr.end_line"
+_OF = _OCC + _FR + ", ow as (select occ.*, coalesce('body_' || body, 'global') as fn from occ" + _BODY.format("occ") + ")\n"
+_occ = lambda c: sy.occurrences(c, sy.function_ranges(c))
+register("a04_used_in", "code_lines", lambda c: sy.used_in(_occ(c)), _OF + ", uf as (select pver_id, symbol, file_id, fn, min((line_no, col_start)) as f from ow group by 1, 2, 3, 4) select pver_id, symbol, row_number() over (partition by pver_id, symbol order by file_id, f) as place, file_id, fn from uf")
+_wide = lambda c: sy.line_tokens(sy.lines_in_functions(c, sy.function_ranges(c))).select("pver_id", "symbol", "file_id", "fn")
+_A12 = _OF + ", tk as (select distinct s.pver_id, symbol, s.file_id, coalesce('body_' || body, 'global') as fn from s" + _BODY.format("s") + "), rw as (select pver_id, symbol, file_id, fn, count(*) as uses, string_agg(distinct access, ',' order by access) as accesses from ow group by 1, 2, 3, 4)\n"
+register("a12_function_rows", "code_lines", lambda c: sy.function_rows(_occ(c), _wide(c)), _A12 + "select * from rw union all select tk.*, 1, '' from tk where not exists (select 1 from rw where rw.pver_id = tk.pver_id and rw.symbol = tk.symbol and rw.file_id = tk.file_id and rw.fn = tk.fn)")
+register("a13_access_filter", "code_lines", lambda c: sy.access_filter(sy.function_rows(_occ(c)), "without_read"), _A12 + "select * from rw where not regexp_matches(accesses, '(^|,)read(,|$)')")
+_NM = r"'(idx_\d+)'"
+register("j06_nearest_span", "code_lines", lambda c: _INT(sy.nearest_span(c.select(*sy.LINE, F.regexp_extract("text", r"(idx_\d+)", 1).alias("fn")).where("fn <> ''"), sy.function_ranges(c).withColumn("fn", F.regexp_extract("sig_text", r"(idx_\d+)", 1)))), _FR + f""", sp as (select *, regexp_extract(sig_text, {_NM}, 1) as fn from fr), rf as (select pver_id, file_id, line_no, regexp_extract(text, {_NM}, 1) as fn from code_lines where regexp_matches(text, {_NM}))
+select rf.pver_id, rf.file_id, rf.line_no, rf.fn, arg_min(body, (abs(floor((start_line + end_line) / 2.0) - rf.line_no), start_line)) as body from rf join sp on rf.pver_id = sp.pver_id and rf.file_id = sp.file_id and rf.fn = sp.fn group by 1, 2, 3, 4""")
+
+
+def _uses(c: DataFrame) -> DataFrame:
+    reads = sy.occurrences(c).where("access = 'read'").select(*sy.LINE, "symbol", "line_text").distinct()
+    return sy._with_span(reads, sy.function_ranges(c)).select(*sy.LINE, "symbol", F.col("near.start_line").alias("start_line"), F.col("near.end_line").alias("end_line"), F.regexp_extract_all("line_text", F.lit(r"(\d+u)"), 1).alias("tokens")).distinct()
+
+
+_decls = lambda c: sy.occurrences(c).where("access = 'declaration'").select(*sy.LINE, "symbol", F.regexp_extract("line_text", r"^\s*(\w+)", 1).alias("datatype"), F.col("line_text").alias("d_text"), F.lit("").alias("dims"), F.lit(None).cast("string").alias("owner"))
+register("j05_resolve_declaration", "code_lines", lambda c: sy.resolve_declaration(_uses(c), _decls(c)), _OCC + _FR + r""", u as (select distinct o.pver_id, o.file_id, o.symbol, o.line_no, start_line, end_line, regexp_extract_all(line_text, '(\d+u)', 1) as tk from occ o""" + _BODY.format("o") + r""" where access = 'read'),
+dl0 as (select pver_id, file_id, symbol, line_no as dl, regexp_extract(line_text, '^\s*(\w+)', 1) as datatype, line_text as d_text from occ where access = 'declaration'),
+j1 as (select u.*, dl, datatype, d_text, coalesce(dl between start_line and end_line, false) as i from u join dl0 using (pver_id, file_id, symbol)),
+j2 as (select *, max(i) over w as mi, dl <= line_no as h from j1 window w as (partition by pver_id, file_id, symbol, line_no)), j3 as (select *, max(h) over (partition by pver_id, file_id, symbol, line_no) as mh from j2 where i = mi),
+j4 as (select *, case when len(tk) > 0 then 5 * len(list_filter(tk, lambda x: list_contains(regexp_split_to_array(lower(d_text), '[^a-z0-9]+'), x))) else 0 end as score from j3 where h = mh)
+select pver_id, file_id, symbol, line_no, max(score) as score, arg_max(dl, (score, dl)) as d_line, arg_max(datatype, (score, dl)) as datatype, '' as dims, cast(null as string) as owner, arg_max(d_text, (score, dl)) as d_text from j4 group by 1, 2, 3, 4""")
+_indexed = lambda c: c.select(*sy.LINE, F.regexp_extract("text", r"\[(idx_\d+)\]", 1).alias("index")).where("index <> ''").withColumn("array_size", F.lit(17))
+register("j11_local_guard", "code_lines", lambda c: sy.local_guard(_indexed(c), sy.function_ranges(c), c), _FR + r""", a as (select pver_id, file_id, line_no, regexp_extract(text, '\[(idx_\d+)\]', 1) as ix from code_lines where regexp_matches(text, '\[(idx_\d+)\]')), af as (select a.*, start_line from a join fr on a.pver_id = fr.pver_id and a.file_id = fr.file_id and a.line_no between start_line and end_line)
+select af.pver_id, af.file_id, af.line_no, ix as "index", 17 as array_size, min(g.line_no) as guard_line, arg_min(trim(g.text), g.line_no) as guard_text from af join code_lines g on g.pver_id = af.pver_id and g.file_id = af.file_id and g.line_no between start_line and af.line_no
+where regexp_matches(g.text, '""" + _GUARD + r"""') and contains(g.text, ix) and (contains(g.text, '17') or regexp_matches(g.text, '<\s*=?\s*\d+|&\s*0x[0-9A-Fa-f]+|%\s*\d+')) group by 1, 2, 3, 4""")
+register("w12_cite_lines", "code_lines", lambda c: sy.cite_lines(c, keys=["pver_id"]), r""", h as (select pver_id, file_id, line_no, trim(text) as text from code_lines where trim(text) <> '}' and regexp_matches(text, '\[|if|while|for|switch|return|case|=')), r as (select *, row_number() over (partition by pver_id order by case when regexp_matches(text, '\[|if|<|>|sizeof') then 0 else 1 end, file_id, line_no) as rk from h)
+select pver_id, file_id, line_no, text, cast(row_number() over (partition by pver_id order by file_id, line_no) as integer) as place from r where rk <= 36""")
+register("w10_collapse_runs", "copy_lines", sy.collapse_indexed_runs, r""", s as (select pver_id, file_id, line_no, text, regexp_extract(text, '^(cfg\d_)', 1) as p, cast(regexp_extract(text, '_(\d+) =', 1) as bigint) as n, cast(regexp_extract(text, 'tab.(\d+)', 1) as bigint) as k from copy_lines where text <> 'break;' union all select pver_id, file_id, line_no, text, '', -1, -2 from copy_lines where text = 'break;'),
+m as (select *, case when n = k and lag(n) over w = lag(k) over w and lag(p) over w = p and lag(n) over w + 1 = n then 0 else 1 end as nw from s window w as (partition by pver_id, file_id order by line_no)), r as (select *, sum(nw) over (partition by pver_id, file_id order by line_no) as run from m)
+select pver_id, file_id, min(line_no) as line_no, count(*) as n_lines, case when count(*) > 1 then first(p) || '[' || min(n) || '..' || max(n) || ']=tab[' || min(n) || '..' || max(n) || ']' else first(text) end as text from r group by pver_id, file_id, run""")
 register("x04_constants", "code_lines", sy.extract_constants, r", c as (select *, regexp_extract(text, '\b(\w+) = (\d+)u?;', 1) as name, regexp_extract(text, '\b(\w+) = (\d+)u?;', 2) as v from code_lines) select pver_id, name, cast(arg_min(v, (file_id, line_no)) as integer) as value from c where name <> '' group by 1, 2")
 register("j09_constant_values", "code_lines", lambda c: sy.constant_values(c.select("pver_id", F.explode(F.array(F.lit("idx_1"), F.lit("idx_2___ab12"), F.lit("none"))).alias("name")).distinct(), sy.extract_constants(c)), r", c as (select *, regexp_extract(text, '\b(\w+) = (\d+)u?;', 1) as name, regexp_extract(text, '\b(\w+) = (\d+)u?;', 2) as v from code_lines), k as (select pver_id, name, cast(arg_min(v, (file_id, line_no)) as integer) as value from c where name <> '' group by 1, 2), n as (select distinct pver_id, unnest(['idx_1', 'idx_2___ab12', 'none']) as name from code_lines) select n.pver_id, n.name, k.value from n left join k on k.pver_id = n.pver_id and k.name = replace(n.name, '___ab12', '')")
-register("j05_resolve_declaration", "code_lines", lambda c: sy.resolve_declaration(sy.occurrences(c).where("access = 'read' and symbol like 'idx%' and file_id % 16 = pver_id").select(*sy.LINE, "symbol").distinct(), sy.occurrences(c).where("access = 'declaration' and file_id % 5 = 0")), _OCC + """, u as (select distinct pver_id, file_id, line_no, symbol from occ where access = 'read' and symbol like 'idx%' and file_id % 16 = cast(pver_id as bigint)), dc as (select pver_id, symbol, file_id as df, line_no as dl from occ where access = 'declaration' and file_id % 5 = 0),
-b as (select u.*, df, dl, case when df = file_id and dl <= line_no then 2 when df = file_id then 1 else 0 end as p from u join dc using (pver_id, symbol)), m as (select *, max(p) over (partition by pver_id, file_id, line_no, symbol) as mp from b)
-select pver_id, file_id, line_no, symbol, max(df) as d_file, arg_max(dl, (df, dl)) as d_line from m where p = mp group by 1, 2, 3, 4""")
-register("j11_local_guard", "code_lines", lambda c: sy.local_guard(c.where("line_no >= 3").select(*sy.LINE, F.lit("idx_3").alias("token")), c), r", g as (select pver_id, file_id, line_no as gl, text as gt from code_lines where regexp_matches(text, '" + _GUARD + r"') and regexp_matches(text, '\bidx_3\b')) select c.pver_id, c.file_id, c.line_no, 'idx_3' as token, min(gl) as guard_line, arg_min(gt, gl) as guard_text from code_lines c join g on c.pver_id = g.pver_id and c.file_id = g.file_id and gl <= c.line_no where c.line_no >= 3 group by 1, 2, 3")
 register("w11_line_context", "code_lines", sy.line_context, "select pver_id, file_id, line_no, concat_ws(chr(10), lag(text, 2) over w, lag(text, 1) over w, text) as lookback, lead(text) over w as next_text from code_lines window w as (partition by pver_id, file_id order by line_no)")
-register("w12_cite_lines", "code_lines", lambda c: sy.cite_lines(c, "idx_2"), r", h as (select *, cast(regexp_matches(text, '" + _GUARD + r"') as integer) as signal from code_lines where regexp_matches(text, '\bidx_2\b')), r as (select *, cast(row_number() over (partition by pver_id order by signal desc, file_id, line_no) as integer) as rank from h) select * from r where rank <= 36")
-register("w10_collapse_runs", "code_lines", lambda c: sy.collapse_indexed_runs(c.withColumn("text", F.concat(F.lit("p["), F.col("line_no"), F.lit("] = "), F.when(F.col("text").startswith("arr"), "a").otherwise("b")))).withColumn("run", F.col("run").cast("long")), """, s as (select pver_id, file_id, line_no, 'p[#] = ' || case when text like 'arr%' then 'a' else 'b' end as shape, cast(line_no as integer) as n from code_lines),
-m as (select *, case when lag(shape) over w = shape and lag(n) over w + 1 = n then 0 else 1 end as nw from s window w as (partition by pver_id, file_id order by line_no)), r as (select *, sum(nw) over (partition by pver_id, file_id order by line_no) as run from m)
-select pver_id, file_id, cast(run as bigint) as run, first(shape) as shape, min(line_no) as line_no, count(*) as n_lines, min(n) as first_n, max(n) as last_n from r group by 1, 2, 3""")
 _code = lambda f: lambda c: c.select(*sy.LINE, f(F.col("text")).alias("v"))
 register("p09_index_tokens", "code_lines", lambda c: _flat(_code(S.index_tokens)(c), "v"), r", e as (select pver_id, file_id, line_no, list_filter(regexp_extract_all(text, '(?:^|[^\w.])([A-Za-z_]\w*)', 1), lambda x: x not in ('if', 'return')) as l from code_lines) select pver_id, file_id, line_no, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') as v from e")
 register("p10_ident_pieces", "code_lines", lambda c: _flat(_code(S.ident_pieces)(c), "v"), "select pver_id, file_id, line_no, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))), ',') as v from code_lines")
@@ -194,28 +212,60 @@ register("a21_compression_stats", "code_lines", sy.compression_stats, f", n as (
 
 # --- facts ---
 
-_P = "coalesce(nullif(list_position(['alarm_site','array_size_hint','local_guard','guard','write','declaration','call_edge','access'], kind), 0), 20)"
-_cls = lambda f: f.select("pver_id", "group_id", F.concat(F.lit("C"), F.col("line") % 3 + 1).alias("class_id"), "fn").distinct()
-_C = ", cf as (select distinct pver_id, group_id, 'C' || (line % 3 + 1) as class_id, fn from facts)\n"
-_SH = "('alarm_site', 'array_size_hint', 'declaration')"
-_AT = _C + f", att as (select distinct f.pver_id, f.group_id, class_id, kind, f.fn, line, quote from facts f join cf on f.pver_id = cf.pver_id and f.group_id = cf.group_id and f.fn = cf.fn where kind not in {_SH} union select distinct f.pver_id, f.group_id, class_id, kind, f.fn, line, quote from facts f join (select distinct pver_id, group_id, class_id from cf) c on f.pver_id = c.pver_id and f.group_id = c.group_id where kind in {_SH})\n"
-register("j12_verify_quotes", "code_lines", lambda c: fa.verify_quotes(c.where("line_no % 2 = 0").select("pver_id", "file_id", "line_no", F.lit("idx_3] = fn").alias("quote")), c), """, q as (select pver_id, file_id, line_no from code_lines where line_no % 2 = 0), h as (select q.*, c.line_no as fl, contains(c.text, 'idx_3] = fn') as ok, case c.line_no - q.line_no when 0 then 0 when -1 then 1 when 1 then 2 when -2 then 3 else 4 end as rk from q join code_lines c on c.pver_id = q.pver_id and c.file_id = q.file_id and c.line_no between q.line_no - 2 and q.line_no + 2)
-select pver_id, file_id, line_no, 'idx_3] = fn' as quote, bool_or(ok) as verified, arg_min(fl, rk) filter (ok) as found_line from h group by 1, 2, 3""")
-register("u02_merge_packs", "facts", lambda f: fa.merge_packs(f).select("pver_id", "group_id", "agent", "kind", "fn", "line", "quote", "seq"), ", r as (select *, row_number() over (partition by pver_id, group_id, line, kind, coalesce(symbol, ''), left(quote, 80) order by case when agent = 'call_path' then 0 else 1 end, seq, fn) as rn from facts where verified) select pver_id, group_id, agent, kind, fn, line, quote, seq from r where rn = 1")
-register("l03_order_facts", "facts", lambda f: fa.order_facts(f).select("pver_id", "group_id", "rank", "kind", "line", "fn"), f", r as (select *, cast(row_number() over (partition by pver_id, group_id order by {_P}, line, fn, quote, seq, agent, verified) as integer) as rank from facts) select pver_id, group_id, rank, kind, line, fn from r")
-register("j13_facts_by_class", "facts", lambda f: fa.facts_by_class(f, _cls(f)), _AT + "select * from att")
-register("j13_unattached", "facts", lambda f: fa.unattached_facts(f.where("verified"), _cls(f.where("not verified"))).select("pver_id", "group_id", "kind", "fn", "line").distinct(), f"select distinct pver_id, group_id, kind, fn, line from facts f where verified and kind not in {_SH} and not exists (select 1 from facts g where not g.verified and g.pver_id = f.pver_id and g.group_id = f.group_id and g.fn = f.fn)")
-register("j14_supported_findings", "facts", lambda f: fa.supported_findings(f.where("not verified").select("pver_id", "group_id", "fn", "line", F.substring("quote", 1, 6).alias("quote")).distinct(), f.where("verified")), ", a as (select distinct pver_id, group_id, fn, line, left(quote, 6) as quote from facts where not verified) select a.*, exists (select 1 from facts k where k.verified and k.pver_id = a.pver_id and k.group_id = a.group_id and k.line = a.line and k.fn = a.fn and (contains(k.quote, a.quote) or contains(a.quote, k.quote))) as supported from a")
+_CASE = lambda values: "case kind " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + " else 20 end"
+_IN = lambda kinds: "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
+_cls = lambda f: f.where("kind in ('guard', 'write')").select("pver_id", "group_id", F.concat(F.lit("C"), F.col("line") % 3 + 1).alias("class_id"), "fn").distinct()
+_shared = lambda f: f.where("kind = 'access' and line <= 20").select("pver_id", "group_id", "fn").distinct()
+_C = lambda v: f", cf as (select distinct pver_id, group_id, 'C' || (line % 3 + 1) as class_id, fn from {v} where kind in ('guard', 'write')), sh as (select distinct pver_id, group_id, fn from {v} where kind = 'access' and line <= 20)\n"
+_AT = lambda v: _C(v) + f", att as (select distinct f.pver_id, f.group_id, class_id, kind, f.fn, line, symbol, quote from {v} f join cf on f.pver_id = cf.pver_id and f.group_id = cf.group_id and f.fn = cf.fn union select distinct f.pver_id, f.group_id, class_id, kind, f.fn, line, symbol, quote from {v} f join sh on f.pver_id = sh.pver_id and f.group_id = sh.group_id and f.fn = sh.fn join (select distinct pver_id, group_id, class_id from cf) c on f.pver_id = c.pver_id and f.group_id = c.group_id)\n"
+_quotes = lambda c: sy.line_context(c).join(c, sy.LINE).select(*sy.LINE, F.explode(F.array(F.try_element_at(F.split("lookback", "\n"), F.lit(-2)), F.concat_ws("  ", "text", "next_text"))).alias("quote")).where("quote is not null")
+_WIDE = ", wl as (select *, concat_ws(' ', lag(text) over w, text, lead(text) over w) as wide from code_lines window w as (partition by pver_id, file_id order by line_no))\n"
+register("j12_verify_quotes", "code_lines", lambda c: fa.verify_quotes(_quotes(c), c), _WIDE + """, q as (select distinct * from (select pver_id, file_id, line_no, lag(text) over w as quote from code_lines window w as (partition by pver_id, file_id order by line_no) union all select pver_id, file_id, line_no, concat_ws('  ', text, lead(text) over w) from code_lines window w as (partition by pver_id, file_id order by line_no)) where quote is not null),
+h as (select q.*, wl.line_no as fl, contains(text, replace(quote, '  ', ' ')) as ok, contains(wide, replace(quote, '  ', ' ')) as wd, case wl.line_no - q.line_no when 0 then 0 when -1 then 1 when 1 then 2 when -2 then 3 else 4 end as rk from q join wl on wl.pver_id = q.pver_id and wl.file_id = q.file_id and wl.line_no between q.line_no - 2 and q.line_no + 2)
+select pver_id, file_id, line_no, quote, bool_or(ok or wd) as verified, arg_min(fl, rk) filter (ok) as found_line from h group by 1, 2, 3, 4""")
+_guards = lambda f: f.where("kind = 'guard'").groupBy("pver_id", "group_id").agg(F.min(F.struct("line", "fn", "quote", "symbol")).alias("g")).select("pver_id", "group_id", "g.*")
+register("u02_merge_packs", "facts", lambda f: fa.merge_packs(f, _guards(f)).select("pver_id", "group_id", "agent", "kind", "fn", "line", "quote", "seq"), """, gd as (select pver_id, group_id, min((line, fn, quote, symbol)) as g from facts where kind = 'guard' group by 1, 2), af as (select pver_id, group_id, agent, kind, fn, line, quote, symbol, seq, case when agent = 'call_path' then 0 else 1 end as pack from facts where verified
+ union all select pver_id, group_id, 'var_value', 'local_guard', g[2], g[1], g[3], g[4], null, 2 from gd), r as (select *, row_number() over (partition by pver_id, group_id, line, kind, coalesce(symbol, ''), left(quote, 80) order by pack, seq, fn) as rn from af) select pver_id, group_id, agent, kind, fn, line, quote, seq from r where rn = 1""")
+register("l03_order_facts", "facts", lambda f: fa.order_facts(f).select("pver_id", "group_id", "rank", "kind", "line", "fn"), f", r as (select *, cast(row_number() over (partition by pver_id, group_id order by {_CASE(fa.BRIEF_WEIGHT)} desc, line, fn, quote, seq, agent, verified) as integer) as rank from facts) select pver_id, group_id, rank, kind, line, fn from r")
+register("j13_facts_by_class", "facts", lambda f: fa.facts_by_class(f, _cls(f), _shared(f)), _AT("facts") + "select * from att")
+register("j13_unattached", "order_facts", lambda f: fa.unattached_facts(f.where("verified"), _cls(f), _shared(f)).select("pver_id", "group_id", "kind", "fn", "line").distinct(), _C("order_facts") + "select distinct pver_id, group_id, kind, fn, line from order_facts f where verified and not exists (select 1 from cf where cf.pver_id = f.pver_id and cf.group_id = f.group_id and cf.fn = f.fn) and not exists (select 1 from sh where sh.pver_id = f.pver_id and sh.group_id = f.group_id and sh.fn = f.fn)")
+_found = lambda f, c: c.select("pver_id", F.col("file_id").alias("group_id"), "file_id", F.lit("").alias("fn"), (F.col("line_no") + 1).alias("line"), F.col("text").alias("quote")).unionByName(f.where("not verified").select("pver_id", "group_id", F.col("group_id").alias("file_id"), "fn", "line", F.substring("quote", 1, 6).alias("quote")))
+register("j14_supported_findings", "order_facts code_lines", lambda f, c: fa.supported_findings(_found(f, c), f.where("verified"), c), _WIDE + """, a as (select distinct * from (select pver_id, file_id as group_id, file_id, '' as fn, line_no + 1 as line, text as quote from code_lines union all select pver_id, group_id, group_id, fn, line, left(quote, 6) from order_facts where not verified)),
+bf as (select distinct a.* from a join order_facts k on k.verified and k.pver_id = a.pver_id and k.group_id = a.group_id and k.line = a.line where (a.fn = '' or k.fn = a.fn) and (contains(k.quote, trim(a.quote)) or contains(trim(a.quote), k.quote))),
+bs as (select distinct a.* from a join wl on wl.pver_id = a.pver_id and wl.file_id = a.file_id where wl.line_no between a.line - 2 and a.line + 2 and (contains(wl.text, trim(quote)) or contains(wide, trim(quote))))
+select a.*, case when bf.quote is not null then 'fact' when bs.quote is not null then 'source' end as how from a left join bf using (pver_id, group_id, file_id, fn, line, quote) left join bs using (pver_id, group_id, file_id, fn, line, quote)""")
+_packs = lambda f: fa.compact_pack(f.where("agent = 'call_path'"), "call_path").unionByName(fa.compact_pack(f.where("agent = 'var_value'")))
+register("w08_compact_pack", "facts", lambda f: _packs(f).select("pver_id", "group_id", "agent", "rn", "kind", "fn", "line", "symbol"), f""", al as (select * from facts where (agent = 'call_path' and kind in {_IN(fa.CALL_KINDS)}) or (agent = 'var_value' and kind in {_IN(fa.VALUE_KINDS)})), a as (select *, row_number() over (partition by pver_id, group_id, agent, fn, line, kind, left(symbol, 40) order by verified desc, {_CASE(fa.PACK_RANK)}, line, seq, fn, quote) as d from al),
+b as (select *, row_number() over (partition by pver_id, group_id, agent order by verified desc, {_CASE(fa.PACK_RANK)}, line, seq, fn, quote) as rn from a where d = 1),
+c as (select *, row_number() over (partition by pver_id, group_id, agent, kind, symbol order by rn) as again from b), e as (select * exclude (rn), cast(row_number() over (partition by pver_id, group_id, agent order by rn) as integer) as rn from c where not (kind = 'declaration' and again > 1 and rn - 1 > 24)) select pver_id, group_id, agent, rn, kind, fn, line, symbol from e where rn <= 48""")
+register("w09_trim_brief", "facts", lambda f: fa.trim_brief(fa.order_facts(f), 400), f"""--recursive, r as (select *, row_number() over (partition by pver_id, group_id order by {_CASE(fa.BRIEF_WEIGHT)} desc, line, fn, quote, seq, agent, verified) as rank from facts), s as (select pver_id, group_id, rank, sum(length(concat_ws('|', kind, fn, line, quote))) over (partition by pver_id, group_id order by rank) as reach from r),
+n as (select pver_id, group_id, count(*) as n from facts group by 1, 2), t(pver_id, group_id, n, k) as (select pver_id, group_id, n, n from n union select pver_id, group_id, n, greatest(8, cast(floor(k * 0.75) as bigint)) from t where k > 8)
+select t.pver_id, t.group_id, n as n_facts, max(k) filter (reach <= 400 or k <= 8) as n_kept from t join s on s.pver_id = t.pver_id and s.group_id = t.group_id and s.rank = k group by 1, 2, 3""")
+register("a16_compact_facts", "facts", lambda f: fa.compact_facts(fa.facts_by_class(f, _cls(f), _shared(f)), f, _cls(f).groupBy("pver_id", "group_id").agg(F.countDistinct("class_id").alias("n"))), _AT("facts") + """, n as (select pver_id, group_id, count(distinct class_id) as n from cf group by 1, 2), g as (select pver_id, group_id, line, kind, symbol, left(quote, 80) as quote80, count(distinct class_id) as c, coalesce(string_agg(distinct class_id, ',' order by class_id), '') as ids from (select pver_id, group_id, line, kind, symbol, quote, class_id from att union all select pver_id, group_id, line, kind, symbol, quote, null from facts) group by 1, 2, 3, 4, 5, 6)
+select g.pver_id, g.group_id, line, kind, symbol, quote80, case when c = n then 'all' else ids end as classes from g left join n using (pver_id, group_id)""")
+_symbols = lambda f: f.select("pver_id", "group_id", "symbol").distinct().select("*", F.col("symbol").isin("idx_0", "idx_1").alias("is_array"), F.col("symbol").isin("idx_2", "idx_3").alias("is_index"), (F.col("group_id") % 4 == 0).alias("declared"), (F.col("group_id") % 5 == 0).alias("sized"), (F.col("group_id") % 3 == 0).alias("local"))
+register("a17_unclear_symbols", "order_facts", lambda f: fa.unclear_symbols(_symbols(f), f), """, s as (select pver_id, group_id, symbol, bool_or(kind = 'declaration') as d, bool_or(kind in ('write', 'arg_binding')) as w, bool_or(kind in ('guard', 'clamp', 'mask', 'loop_bound', 'local_guard')) as b, bool_or(kind = 'array_size_hint') as z from order_facts group by 1, 2, 3),
+r as (select *, case when symbol in ('idx_0', 'idx_1') and not z and group_id % 5 <> 0 then 'array_size_unknown' when symbol in ('idx_2', 'idx_3') and not b and not w and group_id % 3 <> 0 then 'index_value_unclear' when not d and group_id % 4 <> 0 and not w and not b then 'no_decl_or_write' end as reason from s)
+select pver_id, group_id, symbol, reason from r where reason is not null""")
+_alarms = lambda c: c.select("pver_id", F.col("file_id").alias("group_id")).distinct().select("*", F.lit("arr_3").alias("array"), F.lit("idx_3").alias("index"), F.lit(3).alias("alarm_line"))
+register("x12_mine_facts", "code_lines", lambda c: fa.mine_facts(_alarms(c), c.select("pver_id", F.col("file_id").alias("group_id"), "line_no", "text")), r"""select pver_id, file_id as group_id, line_no, case when line_no = 3 then 'alarm_site' else 'access' end as kind, case when contains(text, 'idx_3') then 'idx_3' else 'arr_3' end as symbol, text as quote from code_lines where regexp_matches(text, '\barr_3\s*\[\s*[^\]\s]')
+ union all select pver_id, file_id, line_no, 'guard', 'idx_3', text from code_lines where contains(text, 'idx_3') and regexp_matches(text, '""" + _MINED + r"""') and not contains(right(split_part(text, 'idx_3', 1), 3), '[') and regexp_matches(text, '\b(if|while|for|switch)\b|\bidx_3\b\s*(<|>|==|!=)')
+ union all select pver_id, file_id, line_no, 'write', 'idx_3', text from code_lines where """ + _WRITE("text", "idx_3"))
+_steps = lambda f: f.select("pver_id", F.col("block_no").alias("group_id"), F.concat(F.lit("C"), F.col("pos") % 2 + 1).alias("class_id"), "pos", S.bare_fn(S.frame_fn(F.col("entry"))).alias("fn"))
+_own = lambda f: f.select("pver_id", F.col("block_no").alias("group_id")).distinct().withColumn("fn", F.lit("fn_7"))
+_X15 = r""", st as (select pver_id, block_no as group_id, 'C' || (pos % 2 + 1) as class_id, pos, regexp_extract(entry, '^call#([^ |]*)', 1) as fn from frames), ow as (select distinct pver_id, block_no as group_id, 'fn_7' as fn from frames),
+u as (select pver_id, group_id, fn, 0 as s, class_id as c, pos as p from st union all select pver_id, group_id, fn, 1, '', 0 from ow), m as (select pver_id, group_id, fn, min((s, c, p)) as r from u group by 1, 2, 3), cp as (select pver_id, group_id, fn, cast(row_number() over (partition by pver_id, group_id order by r, fn) as integer) as place from m)
+"""
+register("x15_visit_sequence", "frames", lambda f: fa.visit_sequence(_steps(f), _own(f)), _X15 + "select * from cp")
+_used = lambda f: f.groupBy("pver_id", "group_id", "symbol", F.when(F.col("line") % 4 == 0, "global").otherwise(F.col("fn")).alias("fn")).agg(F.min("line").alias("place"))
+_origin = lambda f: _own(f).withColumn("index_origin", F.when(F.col("group_id") % 2 == 0, "local").otherwise("parameter"))
+_SY = ", us as (select pver_id, group_id, symbol, case when line % 4 = 0 then 'global' else fn end as fn, min(line) as place from order_facts group by 1, 2, 3, 4)\n"
+register("x15_value_sequence", "frames order_facts", lambda f, o: fa.value_sequence(_origin(f), o.where("kind = 'call_edge'").groupBy("pver_id", "group_id", "fn").agg(F.min("seq").alias("place")), _used(o), fa.visit_sequence(_steps(f), _own(f)), 6), _X15 + _SY + """, v as (select pver_id, group_id, fn, 0 as s, 0 as p from ow union all select pver_id, group_id, fn, 1, min(seq) from order_facts where kind = 'call_edge' group by 1, 2, 3 union all select pver_id, group_id, fn, 2, place from us union all select pver_id, group_id, fn, 3, place from cp where group_id % 2 = 1),
+w as (select pver_id, group_id, fn, min((s, p)) as r from v where fn <> 'global' group by 1, 2, 3), z as (select pver_id, group_id, fn, cast(row_number() over (partition by pver_id, group_id order by r, fn) as integer) as place from w) select * from z where place <= 6""")
+register("x15_symbol_chains", "frames order_facts", lambda f, o: fa.symbol_chains(_used(o).withColumn("place", F.row_number().over(Window.partitionBy("pver_id", "group_id", "symbol").orderBy("place", "fn"))), _own(f)), _X15 + _SY + """, nm as (select *, row_number() over (partition by pver_id, group_id, symbol order by place, fn) as pl from us), inn as (select pver_id, group_id, symbol, fn, pl from nm where fn <> 'global'), al as (select * from inn union all select distinct us.pver_id, us.group_id, us.symbol, ow.fn, 1 from us join ow using (pver_id, group_id) where not exists (select 1 from inn where inn.pver_id = us.pver_id and inn.group_id = us.group_id and inn.symbol = us.symbol)),
+k as (select pver_id, group_id, symbol, cast(row_number() over w as integer) as step, fn as source, lead(fn) over w as target from al window w as (partition by pver_id, group_id, symbol order by pl)) select * from k where target is not null or step = 1""")
 register("w05_merge_windows", "facts", lambda f: fa.merge_windows(f.where("kind = 'guard'"), ["pver_id", "group_id"]).withColumn("island", F.col("island").cast("long")), """, s as (select distinct pver_id, group_id, greatest(1, line - 3) as s, line + 3 as e from facts where kind = 'guard'), m as (select *, case when s > max(e) over (partition by pver_id, group_id order by s, e rows between unbounded preceding and 1 preceding) + 1 then 1 when row_number() over (partition by pver_id, group_id order by s, e) = 1 then 1 else 0 end as nw from s),
 i as (select *, sum(nw) over (partition by pver_id, group_id order by s, e) as island from m) select pver_id, group_id, cast(island as bigint) as island, min(s) as start_line, max(e) as end_line from i group by 1, 2, 3""")
-register("w08_compact_pack", "facts", lambda f: fa.compact_pack(f).select("pver_id", "group_id", "rn", "kind", "fn", "line", "symbol"), f""", a as (select *, row_number() over (partition by pver_id, group_id, fn, line, kind, left(symbol, 40) order by verified desc, {_P}, line, seq, fn, quote, agent) as d from facts), b as (select *, row_number() over (partition by pver_id, group_id order by verified desc, {_P}, line, seq, fn, quote, agent) as rn from a where d = 1),
-c as (select *, row_number() over (partition by pver_id, group_id, kind, symbol order by rn) as again from b), e as (select * exclude (rn), cast(row_number() over (partition by pver_id, group_id order by rn) as integer) as rn from c where not (kind = 'declaration' and again > 1 and rn - 1 > 24)) select pver_id, group_id, rn, kind, fn, line, symbol from e where rn <= 48""")
-register("w09_trim_brief", "facts", lambda f: fa.trim_brief(fa.order_facts(f), 400), None)
-register("a16_compact_facts", "facts", lambda f: fa.compact_facts(fa.facts_by_class(f, _cls(f)), _cls(f).select("pver_id", "group_id", "class_id").distinct().groupBy("pver_id", "group_id").agg(F.count("*").alias("n"))), _AT + ", n as (select pver_id, group_id, count(distinct class_id) as n from cf group by 1, 2), g as (select pver_id, group_id, line, kind, quote, count(distinct class_id) as c, string_agg(distinct class_id, ',' order by class_id) as ids from att group by 1, 2, 3, 4, 5) select g.pver_id, g.group_id, line, kind, quote, case when c = n then 'all' else ids end as classes from g join n using (pver_id, group_id)")
-register("a17_unclear_symbols", "facts", fa.unclear_symbols, ", s as (select pver_id, group_id, symbol, bool_or(kind = 'array_size_hint') as z, bool_or(kind in ('guard', 'local_guard', 'write')) as b, bool_or(kind = 'declaration') as d from facts group by 1, 2, 3) select pver_id, group_id, symbol, case when not z and not b and not d then 'nothing_known' when not b then 'no_bound' else 'no_size' end as reason from s where not b or not z")
-register("x12_mine_facts", "code_lines", lambda c: fa.mine_facts(c, "idx_3"), r"select distinct pver_id, file_id, line_no, case when regexp_matches(text, '" + _GUARD + r"') then 'guard' when text like '%idx_3 = %' then 'write' else 'access' end as kind, left(text, 80) as quote from code_lines where regexp_matches(text, '\bidx_3\b')")
-register("x15_visit_sequence", "facts", lambda f: fa.visit_sequence(_cls(f), f.where("kind = 'alarm_site'").select("pver_id", "group_id", "fn").distinct()), _C + ", u as (select pver_id, group_id, fn, 0 as s, class_id as c from cf union all select distinct pver_id, group_id, fn, 1, '' from facts where kind = 'alarm_site'), m as (select pver_id, group_id, fn, min((s, c, fn)) as r from u group by 1, 2, 3), p as (select pver_id, group_id, fn, cast(row_number() over (partition by pver_id, group_id order by r) as integer) as place from m) select * from p where place <= 24")
-
 # --- verdicts ---
 
 _LST = lambda c: f"list_filter(string_split({c}, ','), lambda x: x <> '')"

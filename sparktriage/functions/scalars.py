@@ -149,9 +149,10 @@ def is_noise(text: Column) -> Column:
 
 def open_call(before: Column) -> Column:
     """What stands before a place, without the bracket pairs that are closed there, four levels deep."""
+    bare = before
     for _ in range(4):
-        before = F.regexp_replace(before, r"\([^()]*\)", "")
-    return before
+        bare = F.regexp_replace(bare, r"\([^()]*\)", "")
+    return F.when(before.contains(")"), bare).otherwise(before)
 
 
 def access_kind(text: Column, before: Column, after: Column, declared: Column) -> Column:

@@ -90,45 +90,53 @@ def leaf_distance(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     return seen
 
 
-def kahn_order(names: list[str], edges: list[tuple[str, str]], position: dict[str, int], distance: dict[str, int], leaf: str | None) -> list[str]:
-    """`global` first, then topological with the least (path position, distance to the leaf reversed, name) first; cycles by the same order; the leaf last."""
-    far = 1 << 30
-    rank = {n: (position.get(n, far), -distance.get(n, -far), n) for n in names}
-    after: dict[str, set[str]] = {n: set() for n in names}
+def kahn_order(names: list[str], edges: list[tuple[str, str]], path: list[str], leaf: str | None) -> list[str]:
+    """`global` first, then callers before callees, the leaf last.
+
+    Of functions that are ready the one first on the path comes first, then those farthest from the leaf, then the others, by
+    name. What waits in or behind a cycle follows in the same order. Distances count calls to the leaf among these names.
+    """
+    body = [n for n in dict.fromkeys(names) if n and n != "global"]
+    after: dict[str, set[str]] = {n: set() for n in body}
+    before: dict[str, set[str]] = {n: set() for n in body}
     for a, b in edges:
-        if a in after and b in after and a != b and b not in after[a]:
+        if a in after and b in after and a != b:
             after[a].add(b)
-    body = [n for n in names if n not in ("global", leaf)]
-    left = {n: sum(1 for m in body if n in after[m]) for n in body}
-    heap = [(rank[n], n) for n in body if not left[n]]
+            before[b].add(a)
+    far = {leaf: 0} if leaf else {}
+    reached = [leaf] if leaf else []
+    for n in reached:  # grows while it is read
+        fresh = [m for m in before.get(n, ()) if m not in far]
+        far |= dict.fromkeys(fresh, far[n] + 1)
+        reached += fresh
+    at = {n: i for i, n in enumerate(path) if n in after}
+    rank = {n: (0, at[n], n) if n in at else (1, -far[n], n) if n in far else (2, 0, n) for n in body}
+    left = {n: len(before[n]) for n in body}
+    heap = [rank[n] for n in body if not left[n]]
     heapq.heapify(heap)
-    out, done = [], set()
-    while heap or len(done) < len(body):
-        if not heap:  # only cycles are left
-            heap = [min((rank[n], n) for n in body if n not in done)]
-        _, n = heapq.heappop(heap)
-        if n in done:
-            continue
-        done.add(n)
+    out: list[str] = []
+    while heap:
+        n = heapq.heappop(heap)[2]
         out.append(n)
         for m in after[n]:
-            if m in left and m not in done:
-                left[m] -= 1
-                if left[m] == 0:
-                    heapq.heappush(heap, (rank[m], m))
-    return [*(n for n in names if n == "global"), *out, *([leaf] if leaf in names else [])]
+            left[m] -= 1
+            if not left[m]:
+                heapq.heappush(heap, rank[m])
+    out += sorted((n for n in body if left[n]), key=rank.__getitem__)
+    return [*(["global"] if "global" in names else []), *(n for n in out if n != leaf), *(n for n in out if n == leaf)]
 
 
 def execution_order(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members (pver_id, grp, fn, position, is_leaf) of each group in execution order; groups are an alarm's few functions."""
+    """Members (pver_id, grp, fn, position on the path or null, is_leaf) of each group in execution order; groups are an alarm's few functions."""
     inner = members.alias("a").join(edges.alias("e"), F.expr("a.pver_id = e.pver_id and a.fn = e.caller")).join(members.alias("b"), F.expr("a.pver_id = b.pver_id and a.grp = b.grp and e.callee = b.fn"))
     calls = inner.groupBy(F.col("a.pver_id").alias("pver_id"), F.col("a.grp").alias("grp"), F.col("a.fn").alias("fn")).agg(F.collect_set("b.fn").alias("calls"))
     rows = members.join(calls, ["pver_id", "grp", "fn"], "left")
 
     def order(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["position", "fn"])
         leaf = next(iter(frame.loc[frame["is_leaf"], "fn"]), None)
         edges_ = [(a, b) for a, bs in zip(frame["fn"], frame["calls"]) if bs is not None for b in bs]
-        names = kahn_order(sorted(frame["fn"]), edges_, dict(zip(frame["fn"], frame["position"])), {}, leaf)
+        names = kahn_order(sorted(frame["fn"]), edges_, frame.loc[frame["position"].notna(), "fn"].tolist(), leaf)
         return pd.DataFrame({"pver_id": frame["pver_id"].iloc[0], "grp": frame["grp"].iloc[0], "fn": names, "place": range(1, len(names) + 1)})
 
     return rows.groupBy("pver_id", "grp").applyInPandas(order, "pver_id string, grp long, fn string, place int")

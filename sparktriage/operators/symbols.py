@@ -12,16 +12,17 @@ LINE = [*FILE, "line_no"]
 
 
 def line_tokens(lines: DataFrame) -> DataFrame:
-    """Each identifier at each place: its column (from 1), what stands before and what after."""
+    """Each identifier at each place: its column (from 1), what stands before and what after; the lines' other columns stay.
+
+    A line is cut into pieces once; what stands before is put together only for pieces that are identifiers.
+    """
     pieces = F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*|\d\w*|[^\sA-Za-z_\d]+|\s+)"), 1)
-    placed = F.aggregate(
-        pieces,
-        F.expr("cast(struct(1 as col, array() as out) as struct<col:int,out:array<struct<token:string,col:int>>>)"),
-        lambda acc, x: F.struct((acc["col"] + F.length(x)).cast("int").alias("col"), F.array_append(acc["out"], F.struct(x.alias("token"), acc["col"].alias("col"))).alias("out")),
-    )["out"]
-    tokens = lines.select(*LINE, "text", F.explode(placed).alias("t")).where(F.col("t.token").rlike(r"^[A-Za-z_]") & ~F.col("t.token").isin(S.KEYWORDS))
-    end = F.col("t.col") + F.length("t.token")
-    return tokens.select(*LINE, "text", F.col("t.token").alias("symbol"), F.col("t.col").alias("col_start"), F.expr("substring(text, 1, t.col - 1)").alias("before"), F.expr("substring(text, t.col + length(t.token))").alias("after"), end.alias("col_end"))
+    every = lines.select("*", pieces.alias("pieces")).select("*", F.posexplode("pieces").alias("place", "symbol"))
+    found = every.where(F.col("symbol").rlike(r"^[A-Za-z_]") & ~F.col("symbol").isin(S.KEYWORDS))
+    found = found.withColumn("before", F.array_join(F.slice("pieces", 1, F.col("place")), ""))
+    start = (F.length("before") + 1).cast("int")
+    found = found.withColumns({"col_start": start, "col_end": (start + F.length("symbol")).cast("int"), "after": F.expr("substring(text, length(before) + 1 + length(symbol))")})
+    return found.drop("pieces", "place")
 
 
 def wanted_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -29,15 +30,16 @@ def wanted_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     return tokens.join(wanted, "symbol", "left_semi")
 
 
-def occurrences(lines: DataFrame) -> DataFrame:
-    """Every occurrence with its access; a type name right before makes it a declaration."""
-    tokens = line_tokens(lines)
+def occurrences(lines: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """Every occurrence with its access and, if functions are given, the function it is in (fn); a type name right before makes it a declaration."""
+    tokens = line_tokens(lines.select(*LINE, "text") if functions is None else lines_in_functions(lines.select(*LINE, "text"), functions))
     declared = F.col("before").rlike(r"^\s*(?:(?:static|const|extern)\s+)*[A-Za-z_]\w*\s+\**$") & ~F.col("before").rlike(r"^\s*return\b") & ~F.col("after").rlike(r"^\s*\(")
     called = F.col("after").rlike(r"^\s*\(")
     callee = F.regexp_extract(S.open_call(F.col("before")), r"([A-Za-z_]\w*)\s*\([^()]*$", 1)
     access = S.access_kind(F.col("text"), F.col("before"), F.col("after"), declared)
     typed = F.col("after").rlike(r"^\s+\**[A-Za-z_]") & (F.trim("before") == "")
-    return tokens.where(~called & ~typed).select(*LINE, "symbol", "col_start", "col_end", access.alias("access"), F.when(access.isin("parameter", "address"), callee).alias("callee"), F.col("text").alias("line_text"))
+    own = [] if functions is None else ["fn"]
+    return tokens.where(~called & ~typed).select(*LINE, "symbol", "col_start", "col_end", access.alias("access"), F.when(access.isin("parameter", "address"), callee).alias("callee"), F.col("text").alias("line_text"), *own)
 
 
 def access_counts(occ: DataFrame) -> DataFrame:
@@ -47,9 +49,10 @@ def access_counts(occ: DataFrame) -> DataFrame:
 
 
 def used_in(occ: DataFrame) -> DataFrame:
-    """The files of a symbol's occurrences, in first-seen order."""
-    first = occ.groupBy("pver_id", "symbol", "file_id").agg(F.min("line_no").alias("line_no"))
-    return first.groupBy("pver_id", "symbol").agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))
+    """The functions of a symbol's occurrences (with fn), numbered in first-seen order."""
+    first = occ.groupBy("pver_id", "symbol", "file_id", "fn").agg(F.min(F.struct("line_no", "col_start")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("pver_id", "symbol").orderBy("file_id", "first"))
+    return first.select("pver_id", "symbol", place.alias("place"), "file_id", "fn")
 
 
 def passed_to(occ: DataFrame) -> DataFrame:
@@ -59,13 +62,18 @@ def passed_to(occ: DataFrame) -> DataFrame:
     return given.select("pver_id", "symbol", "callee", "file_id", "line_no", mode.alias("mode")).distinct()
 
 
-def function_rows(occ: DataFrame) -> DataFrame:
-    """Uses of a symbol per file and the kinds of access there."""
-    return occ.groupBy("pver_id", "symbol", "file_id").agg(F.count("*").alias("uses"), F.array_join(F.array_sort(F.collect_set("access")), ",").alias("accesses"))
+def function_rows(occ: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Uses of a symbol per function and the kinds of access there; functions that are only listed (pver_id, symbol, file_id, fn) count once."""
+    keys = ["pver_id", "symbol", "file_id", "fn"]
+    rows = occ.groupBy(*keys).agg(F.count("*").alias("uses"), F.array_join(F.array_sort(F.collect_set("access")), ",").alias("accesses"))
+    if listed is None:
+        return rows
+    more = listed.select(*keys).distinct().join(rows, keys, "left_anti").select(*keys, F.lit(1).cast("long").alias("uses"), F.lit("").alias("accesses"))
+    return rows.unionByName(more)
 
 
 def access_filter(rows: DataFrame, mode: str) -> DataFrame:
-    """All, with_read or without_read."""
+    """Of function rows all, with_read or without_read."""
     reads = F.array_contains(F.split("accesses", ","), "read")
     return rows if mode == "all" else rows.where(reads if mode == "with_read" else ~reads)
 
@@ -92,23 +100,45 @@ def function_ranges(lines: DataFrame) -> DataFrame:
     return bodies.groupBy(*FILE, "body").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.min_by("text", "line_no").alias("sig_text"))
 
 
-def enclosing_function(points: DataFrame, functions: DataFrame) -> DataFrame:
-    """The body around each point (pver_id, file_id, line_no), by one sort per file instead of a range join; `global` when none.
+def _with_span(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """points with near, the span (start_line, end_line, body) around each, null when none, by one sort per file instead of a range join.
 
     Starts and points are ordered together; a point takes the last start before it if that body has not ended.
     """
-    starts = functions.select(*FILE, F.col("start_line").alias("line_no"), F.lit(0).alias("side"), F.struct("start_line", "end_line", "body").alias("span"))
-    asked = points.select(*LINE, F.lit(1).alias("side"), F.lit(None).cast(starts.schema["span"].dataType).alias("span"))
+    rest = [c for c in points.columns if c not in LINE]
+    starts = functions.select(*FILE, F.col("start_line").cast("long").alias("line_no"), F.lit(0).alias("side"), F.struct("start_line", "end_line", "body").alias("span"))
+    asked = points.select(*FILE, F.col("line_no").cast("long").alias("line_no"), F.lit(1).alias("side"), F.lit(None).cast(starts.schema["span"].dataType).alias("span"), *rest)
     before = F.last("span", ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("line_no", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = starts.unionByName(asked).withColumn("near", before).where("side = 1")
-    return placed.select(*LINE, F.when(F.col("near.end_line") >= F.col("line_no"), F.concat(F.lit("body_"), F.col("near.body"))).otherwise("global").alias("fn"))
+    placed = starts.unionByName(asked, allowMissingColumns=True).withColumn("near", before).where("side = 1")
+    return placed.select(*FILE, F.col("line_no").cast(points.schema["line_no"].dataType).alias("line_no"), *rest, F.when(F.col("near.end_line") >= F.col("line_no"), F.col("near")).alias("near"))
+
+
+def lines_in_functions(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """Points (pver_id, file_id, line_no, more) with fn, the name of the body around them; `global` when none."""
+    return _with_span(points, functions).withColumn("fn", F.coalesce(F.concat(F.lit("body_"), F.col("near.body")), F.lit("global"))).drop("near")
+
+
+def enclosing_function(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """The body around each point (pver_id, file_id, line_no)."""
+    return lines_in_functions(points.select(*LINE), functions)
 
 
 def nearest_span(refs: DataFrame, functions: DataFrame) -> DataFrame:
-    """Of the bodies of a file the one whose middle is nearest to a line; the first on a tie."""
-    both = refs.join(functions, FILE)
-    away = F.abs(F.floor((F.col("start_line") + F.col("end_line")) / 2) - F.col("line_no"))
-    return both.groupBy(*LINE).agg(F.min_by("body", F.struct(away, "start_line")).alias("body"))
+    """Of the spans (fn, start_line, end_line, body) that have a reference's name (fn), the one whose middle is nearest to its line; the first on a tie.
+
+    Middles and references of a file and name are ordered together, so each reference looks at one middle before and one after it.
+    """
+    keys = [*FILE, "fn"]
+    middle = F.floor((F.col("start_line") + F.col("end_line")) / 2)
+    spans = functions.select(*keys, middle.cast("long").alias("line_no"), F.lit(0).alias("side"), F.struct(middle.cast("long").alias("middle"), "body").alias("span"))
+    asked = refs.select(*keys, F.col("line_no").cast("long").alias("line_no"), F.lit(1).alias("side"), F.lit(None).cast(spans.schema["span"].dataType).alias("span"))
+    order = Window.partitionBy(*keys).orderBy("line_no", "side")
+    both = spans.unionByName(asked).withColumns({
+        "low": F.last("span", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "high": F.first("span", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+    }).where("side = 1")
+    nearer = F.col("high").isNotNull() & (F.col("low").isNull() | (F.col("high.middle") - F.col("line_no") < F.col("line_no") - F.col("low.middle")))
+    return both.select(*LINE, "fn", F.when(nearer, F.col("high.body")).otherwise(F.col("low.body")).alias("body")).where("body is not null")
 
 
 def extract_constants(lines: DataFrame) -> DataFrame:
@@ -126,24 +156,50 @@ def constant_values(names: DataFrame, constants: DataFrame) -> DataFrame:
 
 
 def resolve_declaration(uses: DataFrame, decls: DataFrame) -> DataFrame:
-    """Of a name's declarations in a use's project: those of its file if there are any; of these the ones before it if any; then the last line.
+    """Of a name's declarations in the file of a use (start_line, end_line of its function, null outside; tokens, its context): those in
+    its function if there are any; of these the ones not after it if any; then, if several are left and there are tokens, the best score; the last line.
 
-    Both steps look at window maxima per use, so each falls back to all candidates when nothing fits.
+    A score has 1 for dims, 1 for a struct's member, 5 for each token that is a piece of type or text, 4 for each that is in the owner's name.
+    Uses of one function, line, name and context are looked up once; each step looks at the window's maxima, so it falls back to all candidates.
     """
-    d = decls.select("pver_id", "symbol", F.col("file_id").alias("d_file"), F.col("line_no").alias("d_line"))
-    use = Window.partitionBy(*LINE, "symbol")
-    cand = uses.join(d, ["pver_id", "symbol"]).withColumn("local", F.col("file_id") == F.col("d_file"))
-    cand = cand.withColumn("local_any", F.bool_or("local").over(use)).where(F.col("local") | ~F.col("local_any"))
-    cand = cand.withColumn("preceding", F.col("local") & (F.col("d_line") <= F.col("line_no")))
-    cand = cand.withColumn("preceding_any", F.bool_or("preceding").over(use)).where(F.col("preceding") | ~F.col("preceding_any"))
-    return cand.groupBy(*LINE, "symbol").agg(F.max(F.struct("d_file", "d_line")).alias("d")).select(*LINE, "symbol", "d.d_file", "d.d_line")
-
-
-def local_guard(alarms: DataFrame, lines: DataFrame) -> DataFrame:
-    """The first line up to an alarm (pver_id, file_id, line_no, token) that is a guard and names its token."""
-    own = lines.select(*FILE, F.col("line_no").alias("g_line"), F.col("text").alias("g_text")).where(S.is_guard(F.col("text")))
-    hit = alarms.join(own, FILE).where((F.col("g_line") <= F.col("line_no")) & F.regexp_like("g_text", F.concat(F.lit(r"\b"), F.col("token"), F.lit(r"\b"))))
-    return hit.groupBy(*LINE, "token").agg(F.min("g_line").alias("guard_line"), F.min_by("g_text", "g_line").alias("guard_text"))
+    key = [*FILE, "symbol", "line_no"]
+    d = decls.select(*FILE, "symbol", F.col("line_no").alias("d_line"), "datatype", "d_text", "dims", "owner")
+    use = Window.partitionBy(*key)
+    cand = uses.join(d, [*FILE, "symbol"]).withColumn("inside", F.coalesce(F.col("d_line").between(F.col("start_line"), F.col("end_line")), F.lit(False)))
+    cand = cand.withColumn("any_inside", F.max("inside").over(use)).where(F.col("inside") | ~F.col("any_inside"))
+    cand = cand.withColumn("ahead", F.col("d_line") <= F.col("line_no")).withColumn("any_ahead", F.max("ahead").over(use)).where(F.col("ahead") | ~F.col("any_ahead"))
+    pieces, low = S.ident_pieces(F.col("datatype"), F.col("d_text")), F.transform("tokens", lambda t: F.lower(t))
+    hits = F.size(F.filter(low, lambda t: (t != "") & F.array_contains(pieces, t)))
+    owned = F.size(F.filter(low, lambda t: (t != "") & F.lower(F.coalesce("owner", F.lit(""))).contains(t)))
+    score = (F.col("dims") != "").cast("int") + F.col("owner").isNotNull().cast("int") + 5 * hits + 4 * owned
+    best = F.max(F.struct(F.when(F.size("tokens") > 0, score).otherwise(0).alias("score"), F.col("d_line"), F.col("datatype"), F.col("dims"), F.col("owner"), F.col("d_text"))).alias("d")
+    return cand.groupBy(*key).agg(best).select(*key, "d.score", "d.d_line", "d.datatype", "d.dims", "d.owner", "d.d_text")
+
+
+# Names in an index that no guard is looked for, and what bounds an index by a literal.
+UNGUARDED = ["Mo_Inst_GetCoreIdx", "sizeof"]
+LITERAL_BOUND = r"<\s*=?\s*\d+|&\s*0x[0-9A-Fa-f]+|%\s*\d+"
+
+
+def local_guard(alarms: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """The first guard from the start of an alarm's function to its line that names one of the first six identifiers of its index
+    (any guard if there are none) and holds the array size, or a literal bound, mask or modulo.
+
+    alarms: (pver_id, file_id, line_no, index, array_size). Guards meet the distinct (index, size) of their own function only.
+    """
+    at = [*FILE, "start_line"]
+    inside = lambda df: _with_span(df, functions).where("near is not null").withColumn("start_line", F.col("near.start_line")).drop("near")
+    asked = inside(alarms.select(*LINE, "index", "array_size"))
+    names = F.slice(F.filter(F.regexp_extract_all("index", F.lit(r"([A-Za-z_]\w*)"), 1), lambda t: ~t.isin(UNGUARDED)), 1, 6)
+    wanted = asked.groupBy(*at, "index", "array_size").agg(F.max("line_no").alias("last")).withColumn("names", F.coalesce(names, F.array().cast("array<string>")))
+    guards = inside(lines.select(*LINE, "text").where(S.is_guard(F.col("text")))).withColumnsRenamed({"line_no": "guard_line", "text": "guard_text"})
+    both = guards.join(wanted, at).where("guard_line <= last")
+    named = (F.size("names") == 0) | F.exists("names", lambda t: F.col("guard_text").contains(t))
+    bounded = F.coalesce(S.collapse_ws(F.col("guard_text")).contains(F.col("array_size").cast("string")), F.lit(False)) | F.col("guard_text").rlike(LITERAL_BOUND)
+    first = both.where(named & bounded).groupBy(*at, "index", "array_size").agg(F.min(F.struct("guard_line", "guard_text")).alias("g"))
+    same = [F.col("a.pver_id") == F.col("f.pver_id"), F.col("a.file_id") == F.col("f.file_id"), F.col("a.start_line") == F.col("f.start_line"), F.col("a.index").eqNullSafe(F.col("f.index")), F.col("a.array_size").eqNullSafe(F.col("f.array_size"))]
+    hit = asked.alias("a").join(first.alias("f"), same).where("f.g.guard_line <= a.line_no")
+    return hit.select(*[f"a.{c}" for c in LINE], "a.index", "a.array_size", "f.g.guard_line", F.trim("f.g.guard_text").alias("guard_text"))
 
 
 def line_context(lines: DataFrame) -> DataFrame:
@@ -152,20 +208,35 @@ def line_context(lines: DataFrame) -> DataFrame:
     return lines.select(*LINE, F.concat_ws("\n", F.lag("text", 2).over(w), F.lag("text", 1).over(w), "text").alias("lookback"), F.lead("text").over(w).alias("next_text"))
 
 
-def cite_lines(lines: DataFrame, token: str, cap: int = 36) -> DataFrame:
-    """Lines that name the token, guards first, at most cap per project; in line order."""
-    hit = lines.where(F.col("text").rlike(rf"\b{token}\b")).withColumn("signal", S.is_guard(F.col("text")).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("pver_id").orderBy(F.desc("signal"), "file_id", "line_no"))
-    return hit.withColumn("rank", rank).where(F.col("rank") <= cap)
+def cite_lines(lines: DataFrame, focus: list[str] | None = None, cap: int = 36, keys: list[str] = FILE) -> DataFrame:
+    """Per keys (a function's or file's lines) those that name a focus token, or without focus those of high signal; over cap the ones with a bracket, if, < or sizeof first; place is the line order of what is left."""
+    text = S.strip_line(F.col("text"))
+    kept = lines.withColumn("text", text).where(~S.is_noise(F.col("text")))
+    if focus:
+        kept = kept.where(F.col("text").rlike(r"\b(" + "|".join(focus) + r")\b"))
+    else:
+        kept = kept.where(~F.col("text").rlike(r"^(break|continue);?$") & F.col("text").rlike(r"\[|if|while|for|switch|return|case|="))
+    bounds = (~F.col("text").rlike(r"\[|if|<|>|sizeof")).cast("int")
+    w = Window.partitionBy(*keys)
+    ranked = kept.withColumn("rank", F.row_number().over(w.orderBy(bounds, *[c for c in LINE if c not in keys]))).where(F.col("rank") <= cap)
+    return ranked.withColumn("place", F.row_number().over(w.orderBy(*[c for c in LINE if c not in keys]))).drop("rank")
 
 
 def collapse_indexed_runs(lines: DataFrame) -> DataFrame:
-    """Consecutive lines of one shape but for a bracketed number that counts up become one row (first, last)."""
-    shaped = lines.select(*LINE, F.regexp_replace("text", r"\[\d+\]", "[#]").alias("shape"), F.regexp_extract("text", r"\[(\d+)\]", 1).try_cast("int").alias("n"))
+    """Consecutive statements P0 = S[0], P1 = S[1], ... of one prefix and base whose two numbers are equal and count up become one, P[0..k]=S[0..k]; all others stay.
+
+    Runs are islands: within consecutive lines of one shape the number less the line's place is the same.
+    """
+    m = lambda i: F.regexp_extract("text", r"^([\w.]+?)(\d+)\s*=\s*([\w.]+)\s*\[\s*(\d+)\s*\]\s*;?\s*$", i)
+    shaped = lines.select(*LINE, F.col("text"), m(1).alias("prefix"), m(3).alias("base"), m(2).try_cast("int").alias("n"), m(4).try_cast("int").alias("k"))
+    shape = F.when(F.col("n") == F.col("k"), F.struct("prefix", "base"))
     w = Window.partitionBy(*FILE).orderBy("line_no")
-    goes_on = (F.lag("shape").over(w) == F.col("shape")) & (F.lag("n").over(w) + 1 == F.col("n"))
+    shaped = shaped.withColumn("shape", shape)
+    goes_on = F.lag("shape").over(w).eqNullSafe(F.col("shape")) & F.col("shape").isNotNull() & (F.lag("n").over(w) + 1 == F.col("n"))
     runs = shaped.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy(*FILE, "run").agg(F.first("shape").alias("shape"), F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
+    one = runs.groupBy(*FILE, "run").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), F.min("n").alias("a"), F.max("n").alias("b"), F.min_by("text", "line_no").alias("text"), F.first("prefix").alias("prefix"), F.first("base").alias("base"))
+    both = F.format_string("%s[%d..%d]=%s[%d..%d]", "prefix", "a", "b", "base", "a", "b")
+    return one.select(*LINE, "n_lines", F.when(F.col("n_lines") > 1, both).otherwise(F.col("text")).alias("text"))
 
 
 def compression_stats(lines: DataFrame) -> DataFrame:

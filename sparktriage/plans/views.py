@@ -57,6 +57,18 @@ select cast(l_orderkey % 8 as string) as pver_id, l_orderkey % 50 as group_id,
  concat('fn_', cast(l_suppkey % 12 as string)) as fn, l_partkey % 40 + 1 as line,
  concat('idx_', cast(l_suppkey % 5 as string), ' = x;') as quote, concat('idx_', cast(l_suppkey % 5 as string)) as symbol,
  l_returnflag <> 'N' as verified, l_linenumber as seq from lineitem""",
+    "order_facts": """
+select cast(l_orderkey % 8 as string) as pver_id, l_orderkey as group_id,
+ case when l_linestatus = 'F' then 'call_path' else 'var_value' end as agent,
+ case cast(l_suppkey % 8 as int) when 0 then 'alarm_site' when 1 then 'array_size_hint' when 2 then 'declaration' when 3 then 'write'
+  when 4 then 'guard' when 5 then 'call_edge' when 6 then 'access' else 'local_guard' end as kind,
+ concat('fn_', cast(l_suppkey % 12 as string)) as fn, l_partkey % 40 + 1 as line,
+ concat('idx_', cast(l_suppkey % 5 as string), ' = x;') as quote, concat('idx_', cast(l_suppkey % 5 as string)) as symbol,
+ l_returnflag <> 'N' as verified, l_linenumber as seq from lineitem""",
+    "copy_lines": f"""
+select cast(l_orderkey % 8 as string) as pver_id, l_orderkey as file_id, n as line_no,
+ case when l_quantity > 45 then 'break;' else concat('cfg', cast(l_suppkey % 2 as string), '_', cast(n as string), ' = tab[', cast(case when l_quantity < 3 then n + 1 else n end as string), '];') end as text
+ from (select l_orderkey, l_suppkey, l_quantity, row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as n from lineitem) as r""",
     "prove_reports": """
 select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as group_id,
  case cast(o_custkey % 3 as int) when 0 then 'fp' else 'no_credible_case' end as fp_claim,

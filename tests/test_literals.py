@@ -55,16 +55,102 @@ def test_index_origin_of_long_chains(spark):
 
 
 def test_kahn_order():
-    names = ["global", "leaf", "main", "mid", "other"]
-    out = graph.kahn_order(names, [("main", "mid"), ("mid", "leaf"), ("other", "mid")], {}, {}, "leaf")
-    assert out[0] == "global" and out[-1] == "leaf" and out.index("main") < out.index("mid") > out.index("other")
+    out = graph.kahn_order(["leaf", "global", "other", "main", "mid"], [("main", "mid"), ("mid", "leaf"), ("other", "mid")], [], "leaf")
+    assert out == ["global", "main", "other", "mid", "leaf"]
+    assert graph.kahn_order(["a", "b", "c"], [], ["c", "b"], None) == ["c", "b", "a"]
+    assert graph.kahn_order(["x", "far", "near", "l"], [("far", "near"), ("near", "l")], [], "l") == ["far", "near", "x", "l"]  # by distance to the leaf, then the rest
+    assert graph.kahn_order(["m", "z", "n", "w"], [("m", "z"), ("z", "m"), ("n", "w"), ("w", "n")], [], None) == ["m", "n", "w", "z"]
     random.seed(2)
     for _ in range(50):
         ns = [f"f{i}" for i in range(8)]
         es = [(a, b) for a in ns for b in ns if a < b and random.random() < 0.3]
-        got = graph.kahn_order(ns, es, {}, {}, None)
+        got = graph.kahn_order(ns, es, [], None)
         assert sorted(got) == ns and all(got.index(a) < got.index(b) for a, b in es)
-    assert sorted(graph.kahn_order(["a", "b"], [("a", "b"), ("b", "a")], {}, {}, None)) == ["a", "b"]
+
+
+def test_execution_order(spark):
+    """Groups by brute force: of the functions that no waiting one calls, the one of least rank is next."""
+    random.seed(3)
+    rows, edges = [], sorted({(f"f{random.randrange(9)}", f"f{random.randrange(9)}") for _ in range(14)})
+    for g in range(12):
+        some = random.sample(range(9), random.randint(1, 6))
+        rows += [("p", g, f"f{k}", i if random.random() < 0.5 else None, i == len(some) - 1) for i, k in enumerate(some)]
+    members = spark.createDataFrame(rows, "pver_id string, grp long, fn string, position int, is_leaf boolean")
+    got = graph.execution_order(members, spark.createDataFrame([("p", a, b) for a, b in edges], "pver_id string, caller string, callee string"))
+    found = {}
+    for r in got.orderBy("grp", "place").collect():
+        found.setdefault(r["grp"], []).append(r["fn"])
+    for g in range(12):
+        own = {r[2]: r[3] for r in rows if r[1] == g}
+        leaf = next(r[2] for r in rows if r[1] == g and r[4])
+        calls = {(a, b) for a, b in edges if a in own and b in own and a != b}
+        far = {leaf: 0}
+        for d in range(9):
+            far |= {a: d + 1 for a, b in calls if far.get(b) == d and a not in far}
+        path = sorted((n for n in own if own[n] is not None), key=own.get)
+        rank = lambda n: (0, path.index(n), n) if n in path else (1, -far[n], n) if n in far else (2, 0, n)
+        want, waiting = [], set(own)
+        while ready := [n for n in waiting if not any(b == n and a in waiting for a, b in calls)]:
+            want.append(min(ready, key=rank))
+            waiting.remove(want[-1])
+        want += sorted(waiting, key=rank)
+        assert found[g] == [n for n in want if n != leaf] + [leaf]
+
+
+def test_facts(spark):
+    fact = "pver_id string, group_id long, agent string, kind string, fn string, line long, quote string, symbol string, verified boolean, seq long"
+    seeds = [("p", 1, agent, "declaration", "global", 5, "uint8  a[4];", "a", True, 1) for agent in ("call_path", "var_value")]
+    rows = spark.createDataFrame([*seeds, ("p", 1, "call_path", "guard", "Leaf", 9, "if (i < 4)", "i", True, 2), ("p", 1, "call_path", "write", "Far", 30, "i = 1;", "i", True, 3), ("p", 1, "call_path", "write", "Leaf", 8, "i = 0;", "i", False, 4)], fact)
+    guards = spark.createDataFrame([("p", 1, "Leaf", 9, "if (i < 4)", "i"), ("p", 2, "Leaf", 9, "x", "i")], "pver_id string, group_id long, fn string, line long, quote string, symbol string")
+    merged = facts.merge_packs(rows, guards)
+    assert {(r["group_id"], r["agent"], r["kind"], r["line"]) for r in merged.collect()} == {(1, "call_path", "declaration", 5), (1, "call_path", "guard", 9), (1, "call_path", "write", 30), (1, "var_value", "local_guard", 9), (2, "var_value", "local_guard", 9)}
+    one = merged.where("group_id = 1")
+    classes = spark.createDataFrame([("p", 1, "C1", "Caller"), ("p", 1, "C1", "Leaf"), ("p", 1, "C2", "Other")], "pver_id string, group_id long, class_id string, fn string")
+    shared = spark.createDataFrame([("p", 1, "GetCls")], "pver_id string, group_id long, fn string")
+    attached = facts.facts_by_class(one, classes, shared)
+    n = spark.createDataFrame([("p", 1, 2)], "pver_id string, group_id long, n long")
+    assert {(r["kind"], r["classes"]) for r in facts.compact_facts(attached, one, n).collect()} == {("declaration", "all"), ("guard", "C1"), ("local_guard", "C1"), ("write", "")}
+    assert [r["fn"] for r in facts.unattached_facts(one, classes, shared).collect()] == ["Far"]
+    assert [r["kind"] for r in facts.order_facts(one).orderBy("rank").collect()] == ["local_guard", "guard", "declaration", "write"]
+    noisy = spark.createDataFrame([("p", 1, "call_path", k, "f", i, f"q{i}", f"s{i % 2}", True, i) for i, k in enumerate(["access"] * 30 + ["declaration"] * 10 + ["call_edge"] * 5)], fact)
+    pack = facts.compact_pack(noisy, "call_path", 8).orderBy("rn").collect()
+    assert [r["kind"] for r in pack] == ["declaration"] * 5 + ["call_edge"] * 3  # a second declaration of a symbol goes once more than half is kept
+
+
+def test_quotes_over_lines(spark):
+    lines = spark.createDataFrame([("p", 1, i, t) for i, t in enumerate(["a = 1;", "b  = f(x,", "      y);", "c;", "d;", "e;"], 1)], "pver_id string, file_id long, line_no int, text string")
+    asked = {(2, "b = f(x, y);"): (True, None), (4, "f(x,"): (True, 2), (6, "c;"): (True, 4), (6, "a = 1;"): (False, None), (3, "  "): (False, None), (5, "c; d; e;"): (True, None), (1, "c;"): (True, None)}
+    quotes = spark.createDataFrame([("p", 1, n, q) for n, q in asked], "pver_id string, file_id long, line_no int, quote string")
+    assert {(r["line_no"], r["quote"]): (r["verified"], r["found_line"]) for r in facts.verify_quotes(quotes, lines).collect()} == asked
+    findings = spark.createDataFrame([("p", 1, 1, "", 2, "b = f(x,"), ("p", 1, 1, "g", 2, "only here"), ("p", 1, 1, "h", 2, "only here"), ("p", 1, 1, "h", 4, "c;")], "pver_id string, group_id long, file_id long, fn string, line int, quote string")
+    known = spark.createDataFrame([("p", 1, "g", 2, "only  here;")], "pver_id string, group_id long, fn string, line int, quote string")
+    assert {(r["fn"], r["line"]): r["how"] for r in facts.supported_findings(findings, known, lines).collect()} == {("", 2): "source", ("g", 2): "fact", ("h", 2): None, ("h", 4): "source"}
+
+
+def test_mined_facts(spark):
+    alarms = spark.createDataFrame([("p", 1, "tbl", "cls", 7)], "pver_id string, group_id long, array string, index string, alarm_line int")
+    text = {1: "uint8 tbl[] = {1, 2};", 2: "const uint8 cls,", 3: "/* tbl[cls] */", 5: "cls = get(); if (cls < 3) { tbl[cls] = 0; }", 7: "x = tbl[cls];", 8: "cls++;", 9: "while (other) {}", 10: "y = cls == 2;"}
+    lines = spark.createDataFrame([("p", 1, n, t) for n, t in text.items()], "pver_id string, group_id long, line_no int, text string")
+    got = {(r["line_no"], r["kind"], r["symbol"]) for r in facts.mine_facts(alarms, lines).collect()}
+    assert got == {(1, "declaration", "tbl"), (5, "access", "cls"), (5, "guard", "cls"), (5, "write", "cls"), (7, "alarm_site", "cls"), (8, "write", "cls")}
+
+
+def test_guards_runs_and_declarations(spark):
+    text = ["int f(int i) {", "  if (i < n) {", "  if (i < SIZE_17) {", "  if (k < 9) {", "  x = i & 0x0F;", "  t[i] = 0;", "}", "int g() {", "  t[i] = 1;", "}"]
+    lines = spark.createDataFrame([("p", 1, i, t) for i, t in enumerate(text, 1)], "pver_id string, file_id long, line_no int, text string")
+    functions = spark.createDataFrame([("p", 1, 1, 7, 1), ("p", 1, 8, 10, 2)], "pver_id string, file_id long, start_line int, end_line int, body long")
+    alarms = spark.createDataFrame([("p", 1, 6, "i", 17), ("p", 1, 6, "i", None), ("p", 1, 6, "", None), ("p", 1, 9, "i", 17), ("p", 1, 2, "i", 17)], "pver_id string, file_id long, line_no int, index string, array_size int")
+    got = {(r["line_no"], r["index"], r["array_size"]): r["guard_line"] for r in symbols.local_guard(alarms, functions, lines).collect()}
+    assert got == {(6, "i", 17): 3, (6, "i", None): 4, (6, "", None): 4}  # names are looked for anywhere in the text, as in if
+    runs = ["P0=S[0]", "P1 = S[1];", "P2=S[2]", "P3=T[3]", "Q5=S[5]", "P4=S[5]", "P5=S[5]", "P6=S[6]"]
+    lines = spark.createDataFrame([("p", 1, i, t) for i, t in enumerate(runs, 1)], "pver_id string, file_id long, line_no int, text string")
+    assert [r["text"] for r in symbols.collapse_indexed_runs(lines).orderBy("line_no").collect()] == ["P[0..2]=S[0..2]", "P3=T[3]", "Q5=S[5]", "P4=S[5]", "P[5..6]=S[5..6]"]
+    decls = [(1, "uint8", "uint8 CH;", "", None), (4, "A_Tom_tst", "A_Tom_tst CH[2];", "[2]", "Tom_s"), (6, "A_Atom_tst", "A_Atom_tst CH[2];", "[2]", "Atom_s"), (20, "int", "int CH;", "", None)]
+    decls = spark.createDataFrame([("p", 1, "CH", *d) for d in decls], "pver_id string, file_id long, symbol string, line_no int, datatype string, d_text string, dims string, owner string")
+    uses = [(9, None, None, ["TOM"]), (9, None, None, []), (30, 15, 40, ["TOM"]), (0, None, None, [])]
+    for (line, start, end, tokens), want in zip(uses, [4, 6, 20, 20], strict=True):
+        use = spark.createDataFrame([("p", 1, "CH", line, start, end, tokens)], "pver_id string, file_id long, symbol string, line_no int, start_line int, end_line int, tokens array<string>")
+        assert symbols.resolve_declaration(use, decls).first()["d_line"] == want
 
 
 def test_scalars(spark):
