@@ -63,14 +63,16 @@ select pver_id, block_no, cast(regexp_extract(location, ':(\d+)\.(\d+)-', 1) as
   cast(case when regexp_matches(location, '-\d+\.\d+$') then regexp_extract(location, '-(\d+)\.', 1) else regexp_extract(location, ':(\d+)', 1) end as integer) as line2,
   cast(regexp_extract(location, '(\d+)$', 1) as integer) as col2, regexp_extract(location, ':(.*)$', 1) as numeric_key from heads""")
 register("a01_trace_counts", "frames heads", pa.trace_counts, _TR + "select pver_id, location, count(*) as no_of_traces, count(distinct stack) as no_of_paths from tr group by 1, 2")
-register("a02_path_records", "frames heads", lambda f, h: pa.path_records(f, h).select(*pa.GROUP, "path_id", "first_block", "n", F.array_join("call_stack", " > ").alias("stack")), _TR + "select pver_id, location, cast(path_id as integer) as path_id, first_block, n, stack from pt")
+_around = lambda h: h.select(*pa.GROUP).distinct().withColumn("fn", F.concat(F.lit("near_"), F.col("pver_id")))
+register("a02_path_records", "frames heads", lambda f, h: pa.path_records(f, h, _around(h)).select(*pa.GROUP, "path_id", "first_block", "n", F.array_join("call_stack", " > ").alias("stack"), F.array_join("fns", ">").alias("fns")), _TR + "select pver_id, location, cast(path_id as integer) as path_id, first_block, n, stack, case when fns = '' then 'near_' || pver_id else fns end as fns from pt")
+_centers = lambda h: h.select(*pa.GROUP).distinct().withColumn("fn", F.lit("fn_5"))
 register("w01_group_ids", "heads", pa.group_ids, ", g as (select pver_id, location, min(block_no) as first_block from heads group by 1, 2) select *, cast(row_number() over (partition by pver_id order by first_block) as integer) as group_id from g")
 register("a08_path_classes", "frames heads", lambda f, h: _flat(_classes(f, h).select(*pa.GROUP, "class_id", "size", "representative_path_id", "member_path_ids", F.array_join("steps", ",").alias("steps")), "member_path_ids"), _TR + "select pver_id, location, 'C' || rank as class_id, size, cast(rep as integer) as representative_path_id, members as member_path_ids, steps from cl")
-register("a09_cluster_classes", "frames heads", lambda f, h: _flat(pa.cluster_classes(_classes(f, h), 3), "member_path_ids"), _TR + """, m as (select *, max(rank) over (partition by pver_id, location) as nc, case when len(sl) > 3 then sl[-3:] else sl end as suffix from cl),
+register("a09_cluster_classes", "frames heads", lambda f, h: _flat(pa.cluster_classes(_classes(f, h), 3, h.where("pver_id < '4'")), "member_path_ids"), _TR + """, m as (select *, max(rank) over (partition by pver_id, location) as nc, case when len(sl) > 3 then sl[-3:] else sl end as suffix from cl),
 k0 as (select pver_id, location, suffix, cast(sum(size) as bigint) as size, min(rank) as best, array_to_string(list_sort(list_distinct(flatten(list(ml)))), ',') as members, arg_min(rep, rank) as rep from m where nc > 3 group by 1, 2, 3),
 k as (select *, row_number() over (partition by pver_id, location order by size desc, best) as kr from k0)
 select pver_id, location, 'C' || rank as class_id, size, members as member_path_ids, cast(rep as integer) as representative_path_id, 'full' as coverage from m where nc <= 3
-union all select pver_id, location, 'K' || kr, size, members, cast(rep as integer), 'partial' from k where kr <= 3""")
+union all select pver_id, location, 'K' || kr, size, members, cast(rep as integer), case when pver_id < '4' then 'full' else 'partial' end from k where kr <= 3""")
 register("a10_class_edges", "frames heads", lambda f, h: pa.class_edges(_classes(f, h)), _TR + ", e as (select pver_id, location, rank, unnest(list_zip(sl[:-2], sl[2:])) as e from cl where len(sl) > 1) select pver_id, location, e[1] as src, e[2] as dst, 'C' || min(rank) as class_id from e group by 1, 2, 3, 4")
 register("a11_call_tree", "frames heads", lambda f, h: pa.call_tree(pa.path_records(f, h)), _TR + ", e as (select pver_id, location, fl, unnest(range(1, len(fl) + 1)) as i from pt) select pver_id, location, array_to_string(fl[1:i], '>') as prefix, count(*) as n_paths from e group by 1, 2, 3")
 register("w02_unique_sequences", "frames heads", pa.unique_sequences, _TR + """, d as (select *, lag(fn) over (partition by pver_id, block_no order by pos) as was from p),
@@ -85,9 +87,12 @@ x as (select g.pver_id, g.location, h.block_no, 'exact' as how from g join heads
 r as (select *, regexp_extract(location, ':(.*)$', 1) as k from g where not exists (select 1 from heads h where h.pver_id = g.pver_id and h.location = g.location))
 select * from x union all select r.pver_id, r.location, h.block_no, case when h.block_no is null then 'none' else 'numbers' end from r left join heads h on r.pver_id = h.pver_id and k = regexp_extract(h.location, ':(.*)$', 1)""")
 register("j17_paths_with_variable", "frames heads", lambda f, h: pa.paths_with_variable(pa.path_records(f, h), h.select("pver_id", F.lit("fn_3").alias("fn")).distinct()), _TR + "select pver_id, location, cast(path_id as integer) as path_id from pt where list_contains(fl, 'fn_3')")
-register("a14_path_roles", "frames heads", lambda f, h: pa.path_roles(pa.path_records(f, h)), _TR + """, e as (select pver_id, location, path_id, fl, unnest(range(1, len(fl) + 1)) as i from pt),
+
+register("a14_path_roles", "frames heads", lambda f, h: pa.path_roles(pa.path_records(f, h), _centers(h)), _TR + """, e as (select pver_id, location, path_id, fl, unnest(range(1, len(fl) + 1)) as i from pt),
 r as (select pver_id, location, fl[i] as fn, bool_or(i = 1) as a, bool_or(i = len(fl)) as z, count(distinct path_id) as n_paths from e group by 1, 2, 3)
-select pver_id, location, fn, case when a and z then 'origin_and_alarm' when z then 'alarm' when a then 'origin' else 'hop' end as role, n_paths from r""")
+select pver_id, location, fn, case when a and z then 'origin_and_alarm' when z or fn = 'fn_5' then 'alarm' when a then 'origin' else 'hop' end as role, n_paths from r""")
+register("a14_primary_paths", "frames heads", lambda f, h: pa.primary_paths(pa.path_records(f, h), _centers(h)), _TR + """, q as (select pver_id, location, path_id, list_filter(fl, lambda x, i: i = 1 or x <> fl[i - 1]) as sq from pt where len(fl) > 0), b as (select *, row_number() over (partition by pver_id, location order by sq[-1] = 'fn_5' desc, len(sq) desc, path_id) as k from q)
+select pver_id, location, cast(path_id as integer) as path_id, sq[-1] = 'fn_5' as at_center, array_to_string(sq, '>') as seq from b where k = 1""")
 
 # --- graph ---
 
@@ -124,8 +129,10 @@ register("j02_resolve_orders", "alarms heads", lambda a, h: re_.resolve_orders(a
 select q.pver_id, q.key, coalesce(g1.group_id, g2.group_id) as group_id, case when g1.group_id is not null then 'group' when g2.group_id is not null then 'order' else 'none' end as how
 from q left join gi g1 on g1.pver_id = q.pver_id and cast(g1.group_id as string) = q.k left join o on o.pver_id = q.pver_id and o.k = q.k left join gi g2 on g2.pver_id = o.pver_id and g2.location = o.location""")
 register("w13_latest_runs", "run_events", lambda e: re_.latest_runs(e.select("pver_id", "order_key", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))), "select pver_id, order_key, max(strftime(ts, '%Y%m%dT%H%M%SZ')) as stamp, count(*) as runs from run_events group by 1, 2")
-register("a15_enrichment_report", "heads cfg_edges", lambda h, e: re_.enrichment_report(h, pa.group_ids(h), e), """, b as (select pver_id, count(*) as blocks, count(*) filter (contains(lower(alarm), 'array_out_of_bounds')) as matched, count(distinct location) as groups from heads group by 1), c as (select pver_id, count(*) as edges, count(distinct caller) as functions from cfg_edges group by 1)
-select b.*, c.edges, c.functions from b left join c using (pver_id)""")
+_sized = lambda o: o.groupBy("pver_id", "group_id", "symbol").agg(F.bool_or(F.col("kind") == "array_size_hint").alias("size_known")).withColumn("is_array", F.col("symbol").isin("idx_0", "idx_1"))
+register("a15_enrichment_report", "heads cfg_edges order_facts", lambda h, e, o: re_.enrichment_report(h, pa.group_ids(h), e, _sized(o)), """, b as (select pver_id, count(*) as blocks, count(*) filter (contains(lower(alarm), 'array_out_of_bounds')) as matched, count(distinct location) as groups from heads group by 1), c as (select pver_id, count(*) as edges, count(distinct caller) as functions from cfg_edges group by 1),
+z as (select pver_id, group_id, symbol, bool_or(kind = 'array_size_hint') as k from order_facts group by 1, 2, 3), y as (select pver_id, count(*) as symbols, count(distinct group_id) as groups_with_info, count(*) filter (symbol in ('idx_0', 'idx_1') and not k) as unknown_sizes from z group by 1)
+select b.*, c.edges, c.functions, symbols, groups_with_info, unknown_sizes from b left join c using (pver_id) left join y using (pver_id)""")
 register("s09_project_inventory", "alarms heads", lambda a, h: re_.project_inventory(h.select("pver_id", F.explode(F.array(F.lit("Alarms.csv"), F.lit("input.c"), F.when(F.col("pver_id") > "4", F.lit("cfg.json")))).alias("name")).where("name is not null").distinct(), a), """
 select p.pver_id, 'Alarms.csv' as alarm_file, cast(null as string) as log_file, 'input.c' as source_file, case when p.pver_id > '4' then 'cfg.json' end as graph_file, coalesce(n, 0) as n_alarms, case when p.pver_id > '4' then 'ready' else 'needs_build' end as state
 from (select distinct pver_id from heads) p left join (select pver_id, count(*) as n from alarms group by 1) c using (pver_id)""")
@@ -302,16 +309,19 @@ select pver_id, group_id, tp_claim, case when soft then 'no_credible_case' else
 register("a19_score", "expert_labels", ve.score, """, e as (select case when lower(human_label) in ('true', 'tp') then 'TP' when lower(human_label) in ('false', 'fp') then 'FP' end as h, prediction as p, case when contains(comment, 'TOOL') then 'tool' else 'person' end as reviewer from expert_labels)
 select reviewer, count(*) as n, count(*) filter (h = 'TP' and p = 'TP') as tp_tp, count(*) filter (h = 'FP' and p = 'FP') as fp_fp, count(*) filter (h = 'TP' and p = 'FP') as wrong_fp, count(*) filter (h = 'FP' and p = 'TP') as wrong_tp, count(*) filter (p = 'uncertain') as uncertain,
  round(count(*) filter (h = 'TP' and p = 'TP') / greatest(count(*) filter (h = 'TP'), 1), 6) as recall_tp, round(count(*) filter (h = 'FP' and p = 'FP') / greatest(count(*) filter (h = 'FP'), 1), 6) as recall_fp from e where h is not null group by 1""")
-register("a20_run_report", "run_events", ve.run_report, "select pver_id, count(distinct order_key) as orders, count(*) as events, count(*) filter (kind = 'agent_error') as errors, min(ts) as first_ts, max(ts) as last_ts from run_events group by 1")
+
+register("a20_run_report", "runs", ve.run_report, "select pver_id, count(*) as orders, count(*) filter (status = 'done') as completed, count(*) filter (status = 'error') as errors, count(*) filter (label = 'TP') as tp, count(*) filter (label = 'FP') as fp, count(*) filter (label = 'uncertain') as uncertain, cast(sum(calls) as bigint) as calls, cast(sum(tokens_in) as bigint) as tokens_in, cast(sum(tokens_out) as bigint) as tokens_out, epoch_us(max(ended)) - epoch_us(min(started)) as wall_micros from runs group by 1")
 
 # --- streams (batch twins) ---
 
-register("t02_focus_state", "run_events", ev.focus_state, "select pver_id, order_key, arg_max(agent, (ts, event_id)) filter (agent is not null) as agent, arg_max(activity, (ts, event_id)) filter (activity is not null) as activity, count(*) as n from run_events group by 1, 2")
-register("t03_job_status", "run_events", ev.job_status, "select pver_id, order_key, count(*) as n, arg_max(kind, (ts, event_id)) as last_kind, case when bool_or(kind = 'agent_error') then 'error' else 'running' end as state from run_events group by 1, 2")
-register("l04_tail_events", "run_events", lambda e: ev.tail_events(e, 5).select("event_id", "pver_id", "order_key", "rank"), ", r as (select *, cast(row_number() over (partition by pver_id, order_key order by ts desc, event_id desc) as integer) as rank from run_events) select event_id, pver_id, order_key, rank from r where rank <= 5")
-_opens = lambda e: e.select("pver_id", "order_key", "ts", "event_id", F.col("activity").alias("fn"), (F.col("kind") == "agent_output").alias("is_submit"))
+_LAST = lambda v, cond, name: f"arg_max({v}, (ts, event_id)) filter ({cond}) as {name}"
+_VF = "coalesce(case when agent = 'VAR_VALUE_EXPLORE' then cursor end, var_focus)"
+register("t02_focus_state", "run_events", ev.focus_state, "select pver_id, order_key, " + ", ".join(_LAST(c, f"{c} is not null", c) for c in ("agent", "activity", "functions", "edges", "call_path", "var_paths")) + ", " + _LAST(_VF, f"{_VF} is not null", "var_focus") + ", " + ", ".join(_LAST("cursor", f"cursor is not null and agent = '{a}'", f"cursor_{a.lower()}") for a in ev.AGENTS) + ", count(*) as n from run_events group by 1, 2")
+register("t03_job_status", "run_events", ev.job_status, "select pver_id, order_key, count(*) as n, arg_max(title, (ts, event_id)) filter (title is not null) as message, coalesce(arg_max(case when kind = 'done' then 'done' else 'error' end, (ts, event_id)) filter (kind in ('done', 'agent_error')), 'running') as state from run_events group by 1, 2")
+_opens = lambda e: e.select("pver_id", "order_key", "ts", "event_id", F.col("activity").alias("fn"), (F.col("kind") == "agent_output").alias("is_submit"), (F.col("event_id") % 3).alias("n_facts"))
 register("t04_visit_gate", "run_events", lambda e: ev.visit_gate(_opens(e), e.select("pver_id", "order_key").distinct().withColumn("fns", F.array(F.lit("act_1"), F.lit("act_2")))), """, o as (select *, kind = 'agent_output' as sub from run_events), w as (select *, count(*) filter (not sub and activity = 'act_1') over q as a, count(*) filter (not sub and activity = 'act_2') over q as b from o window q as (partition by pver_id, order_key order by ts, event_id rows unbounded preceding))
-select pver_id, order_key, event_id, a > 0 and b > 0 as accepted, concat_ws(',', case when a = 0 then 'act_1' end, case when b = 0 then 'act_2' end) as remaining from w where sub""")
+select pver_id, order_key, event_id, a > 0 and b > 0 and event_id % 3 > 0 as accepted, concat_ws(',', case when a = 0 then 'act_1' end, case when b = 0 then 'act_2' end) as remaining from w where sub""")
+register("l04_tail_events", "run_events", lambda e: ev.tail_events(e, 5).select("event_id", "pver_id", "order_key", "rank"), ", r as (select *, cast(row_number() over (partition by pver_id, order_key order by ts desc, event_id desc) as integer) as rank from run_events) select event_id, pver_id, order_key, rank from r where rank <= 5")
 
 # --- C files ---
 

@@ -17,27 +17,51 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumns({"fn_raw": raw, "fn": S.bare_fn(raw), "call_site_line": S.frame_line(F.col("entry"))})
 
 
-def traces(frames: DataFrame, heads: DataFrame) -> DataFrame:
-    """One row per head: its location, raw call stack, (fn, line) steps and function names in order; empty arrays without frames."""
+def traces(frames: DataFrame, heads: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """One row per head: its location, raw call stack, (fn, line) steps and function names in order; empty arrays without frames.
+
+    P05: a trace none of whose entries is a call has the names given for it (named: pver_id, block_no, fns) as its functions, without lines.
+    """
     stacks = parse_frames(frames).groupBy(*TRACE).agg(F.array_sort(F.collect_list(F.struct("pos", "entry", "fn", "fn_raw", "call_site_line"))).alias("f"))
     both = heads.join(stacks, TRACE, "left").withColumn("f", F.coalesce("f", F.expr("array()").cast(stacks.schema["f"].dataType)))
-    steps = F.transform("f", lambda x: F.concat(x["fn"], F.lit(":"), F.coalesce(x["call_site_line"].cast("string"), F.lit("?"))))
-    return both.select(*TRACE, "location", "alarm", F.transform("f", lambda x: x["entry"]).alias("call_stack"), steps.alias("steps"), F.transform("f", lambda x: x["fn"]).alias("fns"))
+    calls = F.filter("f", lambda x: x["fn"] != "")
+    steps = F.transform(calls, lambda x: F.concat(x["fn"], F.lit(":"), F.coalesce(x["call_site_line"].cast("string"), F.lit("?"))))
+    fns = F.transform(calls, lambda x: x["fn"])
+    if named is not None:
+        both = both.join(named.select(*TRACE, F.col("fns").alias("given")), TRACE, "left")
+        none = (F.size(calls) == 0) & F.col("given").isNotNull()
+        steps = F.when(none, F.transform("given", lambda x: F.concat(S.bare_fn(x), F.lit(":?")))).otherwise(steps)
+        fns = F.when(none, F.transform("given", S.bare_fn)).otherwise(fns)
+    return both.select(*TRACE, "location", "alarm", F.transform("f", lambda x: x["entry"]).alias("call_stack"), steps.alias("steps"), fns.alias("fns"))
 
 
 def alarm_location_paths(frames: DataFrame, heads: DataFrame) -> DataFrame:
     """Per alarm location: traces, unique call stacks and path classes."""
-    return traces(frames, heads).groupBy(*GROUP).agg(F.count("*").alias("n_traces"), F.countDistinct("call_stack").alias("n_paths"), F.countDistinct("steps").alias("n_classes"))
+    return _counted(traces(frames, heads), n_traces="n", n_paths="stacks", n_classes="classes")
+
+
+def _counted(own: DataFrame, **names: str) -> DataFrame:
+    """Traces, different call stacks and different step lists of a location, by way of hashes: stacks are not copied once per distinct count.
+
+    Two 64-bit hashes of a list differ from another's but for one pair in 2**128.
+    """
+    key = lambda c: F.struct(F.xxhash64(c), F.xxhash64(c, F.lit(1)))
+    slim = own.select(*GROUP, key("call_stack").alias("stack"), key("steps").alias("steps"))
+    per = slim.groupBy(*GROUP, "stack", "steps").agg(F.count("*").alias("n"))
+    return per.groupBy(*GROUP).agg(*[{"n": F.sum("n"), "stacks": F.countDistinct("stack"), "classes": F.countDistinct("steps")}[what].alias(name) for name, what in names.items()])
 
 
 def trace_counts(frames: DataFrame, heads: DataFrame) -> DataFrame:
     """A01."""
-    return traces(frames, heads).groupBy(*GROUP).agg(F.count("*").alias("no_of_traces"), F.countDistinct("call_stack").alias("no_of_paths"))
+    return _counted(traces(frames, heads), no_of_traces="n", no_of_paths="stacks")
 
 
-def path_records(frames: DataFrame, heads: DataFrame) -> DataFrame:
-    """Unique call stacks of a location, numbered from 1 by first block."""
+def path_records(frames: DataFrame, heads: DataFrame, enclosing: DataFrame | None = None) -> DataFrame:
+    """Unique call stacks of a location, numbered from 1 by first block; a path without functions has the enclosing one (pver_id, location, fn)."""
     unique = traces(frames, heads).groupBy(*GROUP, "call_stack").agg(F.min("block_no").alias("first_block"), F.count("*").alias("n"), F.first("fns").alias("fns"), F.first("steps").alias("steps"))
+    if enclosing is not None:
+        unique = unique.join(enclosing.select(*GROUP, F.col("fn").alias("around")), GROUP, "left")
+        unique = unique.withColumn("fns", F.when((F.size("fns") == 0) & F.col("around").isNotNull(), F.array("around")).otherwise(F.col("fns"))).drop("around")
     return unique.withColumn("path_id", F.row_number().over(Window.partitionBy(*GROUP).orderBy("first_block")))
 
 
@@ -54,8 +78,11 @@ def path_classes(paths: DataFrame) -> DataFrame:
     return classes.withColumn("rank", rank).withColumn("class_id", F.concat(F.lit("C"), F.col("rank")))
 
 
-def cluster_classes(classes: DataFrame, cap: int = 15) -> DataFrame:
-    """Above cap classes, those with equal last three steps form clusters; cap clusters stay. Coverage tells whether all did."""
+def cluster_classes(classes: DataFrame, cap: int = 15, local: DataFrame | None = None) -> DataFrame:
+    """Above cap classes, those with equal last three steps form clusters; cap clusters stay, and coverage is partial.
+
+    It stays full for alarms (local: pver_id, location) whose index is made in their own function, as callers can't change it.
+    """
     n = F.max("rank").over(Window.partitionBy(*GROUP))
     marked = classes.withColumn("n_classes", n)
     few = marked.where(F.col("n_classes") <= cap).select(*GROUP, "class_id", "size", "member_path_ids", "representative_path_id", F.lit("full").alias("coverage"))
@@ -66,6 +93,8 @@ def cluster_classes(classes: DataFrame, cap: int = 15) -> DataFrame:
     )
     rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc("size"), "best"))
     many = clusters.withColumn("k", rank).where(F.col("k") <= cap).select(*GROUP, F.concat(F.lit("K"), F.col("k")).alias("class_id"), "size", "member_path_ids", "representative_path_id", F.lit("partial").alias("coverage"))
+    if local is not None:
+        many = many.join(local.select(*GROUP).distinct().withColumn("own", F.lit(True)), GROUP, "left").withColumn("coverage", F.when(F.col("own"), "full").otherwise("partial")).drop("own")
     return few.unionByName(many)
 
 
@@ -120,9 +149,21 @@ def paths_with_variable(paths: DataFrame, functions: DataFrame) -> DataFrame:
     return names.join(functions.where("fn <> 'global'"), ["pver_id", "fn"], "left_semi").select(*GROUP, "path_id").distinct()
 
 
-def path_roles(paths: DataFrame) -> DataFrame:
-    """What each function is in an alarm's paths: origin, alarm, both or a hop."""
+def path_roles(paths: DataFrame, centers: DataFrame | None = None) -> DataFrame:
+    """What each function is in an alarm's paths: origin, alarm (also the alarm's own function, centers: pver_id, location, fn), both or a hop."""
     steps = paths.select(*GROUP, "path_id", F.size("fns").alias("n"), F.posexplode("fns").alias("i", "fn"))
     roles = steps.groupBy(*GROUP, "fn").agg(F.bool_or(F.col("i") == 0).alias("first"), F.bool_or(F.col("i") == F.col("n") - 1).alias("last"), F.countDistinct("path_id").alias("n_paths"))
-    role = F.when(F.col("first") & F.col("last"), "origin_and_alarm").when(F.col("last"), "alarm").when(F.col("first"), "origin").otherwise("hop")
+    if centers is not None:
+        roles = roles.join(centers.select(*GROUP, "fn").distinct().withColumn("center", F.lit(True)), [*GROUP, "fn"], "left")
+    center = F.lit(False) if centers is None else F.coalesce("center", F.lit(False))
+    role = F.when(F.col("first") & F.col("last"), "origin_and_alarm").when(F.col("last") | center, "alarm").when(F.col("first"), "origin").otherwise("hop")
     return roles.select(*GROUP, "fn", role.alias("role"), "n_paths")
+
+
+def primary_paths(paths: DataFrame, centers: DataFrame) -> DataFrame:
+    """The path of each alarm that is shown first: one that ends in its own function (centers: pver_id, location, fn) if there is one, the longest, the first; direct repeats count once."""
+    flat = F.expr("filter(fns, (x, i) -> i = 0 or x <> fns[i - 1])")
+    own = paths.withColumn("seq", flat).where(F.size("seq") > 0).join(centers.select(*GROUP, F.col("fn").alias("center")), GROUP, "left")
+    ends = F.coalesce(F.element_at("seq", -1) == F.col("center"), F.lit(False))
+    best = own.groupBy(*GROUP).agg(F.max(F.struct(ends.alias("ends"), F.size("seq").alias("n"), (-F.col("path_id")).alias("at"), "seq")).alias("b"))
+    return best.select(*GROUP, (-F.col("b.at")).alias("path_id"), F.col("b.ends").alias("at_center"), F.array_join("b.seq", ">").alias("seq"))

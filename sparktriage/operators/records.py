@@ -31,12 +31,13 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("pver_id", "order_key").agg(F.max("stamp").alias("stamp"), F.count("*").alias("runs"))
 
 
-def enrichment_report(heads: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per project its blocks, matching blocks, groups, functions and edges."""
+def enrichment_report(heads: DataFrame, groups: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per project its blocks, matching blocks, groups, functions and edges, and of its symbols (pver_id, group_id, is_array, size_known) how many there are, in how many groups, and how many arrays of unknown size."""
     blocks = heads.groupBy("pver_id").agg(F.count("*").alias("blocks"), F.count_if(S.is_aoob(F.col("alarm"))).alias("matched"))
     counted = groups.groupBy("pver_id").agg(F.count("*").alias("groups"))
     graph = edges.groupBy("pver_id").agg(F.count("*").alias("edges"), F.countDistinct("caller").alias("functions"))
-    return blocks.join(counted, "pver_id", "left").join(graph, "pver_id", "left")
+    told = symbols.groupBy("pver_id").agg(F.count("*").alias("symbols"), F.countDistinct("group_id").alias("groups_with_info"), F.count_if(F.col("is_array") & ~F.col("size_known")).alias("unknown_sizes"))
+    return blocks.join(counted, "pver_id", "left").join(graph, "pver_id", "left").join(told, "pver_id", "left").fillna(0, ["symbols", "groups_with_info", "unknown_sizes"])
 
 
 def project_inventory(files: DataFrame, alarms: DataFrame) -> DataFrame:

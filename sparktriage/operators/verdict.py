@@ -167,6 +167,10 @@ def score(labelled: DataFrame) -> DataFrame:
         F.count_if(F.col("prediction") == "uncertain").alias("uncertain"), recall("TP").alias("recall_tp"), recall("FP").alias("recall_fp"))
 
 
-def run_report(events: DataFrame) -> DataFrame:
-    """Per project its orders, events, errors and the time from first to last."""
-    return events.groupBy("pver_id").agg(F.countDistinct("order_key").alias("orders"), F.count("*").alias("events"), F.count_if(F.col("kind") == "agent_error").alias("errors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def run_report(runs: DataFrame) -> DataFrame:
+    """Per project its orders, how many are done or failed, predictions by label, calls, tokens in and out, and the time from the first start to the last end, in microseconds."""
+    label = lambda v: F.count_if(F.col("label") == v)
+    return runs.groupBy("pver_id").agg(
+        F.count("*").alias("orders"), F.count_if(F.col("status") == "done").alias("completed"), F.count_if(F.col("status") == "error").alias("errors"),
+        label("TP").alias("tp"), label("FP").alias("fp"), label("uncertain").alias("uncertain"), F.sum("calls").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
+        (F.unix_micros(F.max("ended").cast("timestamp")) - F.unix_micros(F.min("started").cast("timestamp"))).alias("wall_micros"))

@@ -98,9 +98,17 @@ select d.doc_id, cast(d.doc_id % 8 as string) as pver_id,
  from documents d left join labels l on d.doc_id = l.doc_id""",
     "run_events": """
 select event_id, ts, cast(user_id % 8 as string) as pver_id, cast(user_id as string) as order_key,
- case event_type when 'click' then 'agent_thinking' when 'view' then 'tool_result' when 'signup' then 'agent_input' when 'error' then 'agent_error' else 'agent_output' end as kind,
+ case when event_id % 40 = 39 then 'done' when event_type = 'click' then 'agent_thinking' when event_type = 'view' then 'tool_result' when event_type = 'signup' then 'agent_input' when event_type = 'error' then 'agent_error' else 'agent_output' end as kind,
  case when cast(floor(value) as bigint) % 3 = 0 then null when cast(floor(value) as bigint) % 3 = 1 then 'CALL_PATH_EXPLORE' else 'VAR_VALUE_EXPLORE' end as agent,
- case when event_id % 4 = 0 then null else concat('act_', cast(event_id % 10 as string)) end as activity, props from events""",
+ case when event_id % 4 = 0 then null else concat('act_', cast(event_id % 10 as string)) end as activity, props,
+ case when event_id % 3 = 0 then concat('title ', cast(event_id % 17 as string)) end as title, case when event_id % 5 = 0 then concat('fn_', cast(event_id % 12 as string)) end as functions,
+ case when event_id % 7 = 0 then concat('fn_', cast(event_id % 12 as string), '>fn_1') end as edges, case when event_id % 11 = 0 then concat('C', cast(event_id % 3 as string)) end as call_path,
+ case when event_id % 13 = 0 then concat('idx_', cast(event_id % 5 as string)) end as var_paths, case when event_id % 9 = 0 then concat('v', cast(event_id as string)) end as var_focus,
+ case when event_id % 2 = 0 then concat('c', cast(event_id as string)) end as cursor from events""",
+    "runs": """
+select cast(user_id % 8 as string) as pver_id, cast(user_id as string) as order_key, min(ts) as started, max(ts) as ended, cast(sum(case when event_type = 'click' then 1 else 0 end) as bigint) as calls,
+ cast(sum(length(props)) as bigint) as tokens_in, count(*) as tokens_out, case when max(case when event_type = 'error' then 1 else 0 end) = 1 then 'error' when count(*) > 3 then 'done' else 'running' end as status,
+ case when max(case when event_type = 'error' then 1 else 0 end) = 1 then '' when count(*) % 3 = 0 then 'TP' when count(*) % 3 = 1 then 'FP' else 'uncertain' end as label from events group by user_id""",
 }
 _TABLE = re.compile(r"\b(from|join)\s+(lineitem|orders|customer|events|documents|labels)\b")
 

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_name
 
-VARIABLE_INFO = "group_id int, location string, variable string, no_of_paths int, no_of_traces int, paths array<struct<path_id:int,function_sequence:array<string>,call_stack:array<string>>>"
+VARIABLE_INFO = "group_id int, location string, variable string, no_of_paths int, no_of_traces int, paths array<struct<path_id:int,function_sequence:array<string>,call_stack:array<string>>>, "
+_OCCURRENCE = "struct<location:string,access:string,function:string,callee:string,line_text:string>"
+VARIABLE_INFO = VARIABLE_INFO + (
+    "variable_info struct<symbol_name:string,index_expression:string,member_path:array<string>>, symbol_infos array<struct<symbol_name:string,role:string,kind:string,datatype:string,array_dims:array<string>,"
+    "resolved_sizes:array<int>,size_known:boolean,scope:string,declared_in_function:string,declaration_line:int,declaration_text:string,declaration_kind:string,access_counts:map<string,bigint>,"
+    f"used_in_functions:array<string>,passed_to:array<struct<function:string,location:string,mode:string>>,occurrence_count:int,occurrences_truncated:boolean,occurrences:array<{_OCCURRENCE}>>>"
+)
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +52,10 @@ def read_alarms(texts: DataFrame) -> DataFrame:
     """Alarm rows of CSV texts: an optional `sep=` line, a header, `;` between fields; each row as a map of trimmed names to trimmed values."""
     lines = source_lines(texts).where("trim(text) <> '' and not lower(text) like 'sep=%'")
     head = lines.groupBy("path").agg(F.min_by("text", "line_no").alias("head"), F.min("line_no").alias("first"))
-    fields = lambda c: F.transform(F.split(F.regexp_replace(c, "^﻿", ""), ";"), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
+    # A field is quoted, and may then hold the separator and doubled quotes, or runs up to the separator.
+    cut = lambda c: F.regexp_extract_all(F.concat(F.lit(";"), F.regexp_replace(c, "^\ufeff", "")), F.lit(r';\s*("(?:[^"]|"")*"[^;]*|[^;]*)'), 1)
+    bare = lambda x: F.when(x.rlike('^".*"\\s*$'), F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+    fields = lambda c: F.transform(cut(c), lambda x: F.trim(bare(x)))
     rows = lines.join(head, "path").where(F.col("line_no") > F.col("first"))
     return rows.select("pver_id", "path", F.col("line_no").alias("alarm_seq"), F.map_from_entries(F.arrays_zip(fields(F.col("head")), F.slice(F.concat(fields(F.col("text")), F.array_repeat(F.lit(""), F.size(fields(F.col("head"))))), F.lit(1), F.size(fields(F.col("head")))))).alias("row"))
 
@@ -68,7 +77,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def read_variable_info(spark: SparkSession, path: str) -> DataFrame:
-    """S05."""
+    """Groups with their paths, the alarmed access and all that is known of its symbols."""
     return spark.read.schema(VARIABLE_INFO).option("multiLine", True).json(path)
 
 
@@ -96,3 +105,8 @@ def write_events(events: DataFrame, path: str) -> None:
 def write_artifact(df: DataFrame, path: str, stage: str) -> None:
     """Rows under pver_id / safe order / stamp."""
     df.withColumn("safe_order", safe_name(F.col("order_key"))).write.mode("append").partitionBy("pver_id", "safe_order", "stamp").parquet(f"{path}/{stage}")
+
+
+def read_artifact(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """The rows of a stage, of all projects, orders and stamps."""
+    return spark.read.option("basePath", f"{path}/{stage}").parquet(f"{path}/{stage}")

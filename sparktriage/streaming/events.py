@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 
-SCHEMA = "event_id long, ts timestamp, pver_id string, order_key string, kind string, agent string, activity string, props string"
+SCHEMA = "event_id long, ts timestamp, pver_id string, order_key string, kind string, agent string, activity string, props string, title string, functions string, edges string, call_path string, var_paths string, var_focus string, cursor string"
 JOB = ["pver_id", "order_key"]
+# The agents that keep a cursor of their own, and the one whose cursor is the focus on a value.
+AGENTS = ["CALL_PATH_EXPLORE", "TP_PROVE", "FP_PROVE", "FINAL_CLASSIFICATION"]
+VALUE_AGENT = "VAR_VALUE_EXPLORE"
 
 
 def stream_events(spark: SparkSession, path: str, preview: int = 200) -> DataFrame:
@@ -16,16 +22,23 @@ def stream_events(spark: SparkSession, path: str, preview: int = 200) -> DataFra
     return spark.readStream.schema(SCHEMA).json(path).withColumn("props", clip(F.col("props"), preview))
 
 
+def _latest(value: Column, where: Column) -> Column:
+    return F.max_by(value, F.when(where, F.struct("ts", "event_id")))
+
+
 def focus_state(events: DataFrame) -> DataFrame:
-    """The latest agent and activity that are not null, per job; the same aggregation runs on streams and on tables."""
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(c)
-    return events.groupBy(*JOB).agg(latest("agent"), latest("activity"), F.count("*").alias("n"))
+    """Per job the latest of each field that is not null, and the latest cursor of each agent; the value agent's goes to var_focus. The same aggregation runs on streams and on tables."""
+    latest = [_latest(F.col(c), F.col(c).isNotNull()).alias(c) for c in ("agent", "activity", "functions", "edges", "call_path", "var_paths")]
+    value = F.coalesce(F.when(F.col("agent") == VALUE_AGENT, F.col("cursor")), F.col("var_focus"))
+    cursors = [_latest(F.col("cursor"), F.col("cursor").isNotNull() & (F.col("agent") == a)).alias(f"cursor_{a.lower()}") for a in AGENTS]
+    return events.groupBy(*JOB).agg(*latest, _latest(value, value.isNotNull()).alias("var_focus"), *cursors, F.count("*").alias("n"))
 
 
 def job_status(events: DataFrame) -> DataFrame:
-    """Events, the last kind, and error if any event is one, else running."""
-    state = F.when(F.bool_or(F.col("kind") == "agent_error"), "error").otherwise("running")
-    return events.groupBy(*JOB).agg(F.count("*").alias("n"), F.max_by("kind", F.struct("ts", "event_id")).alias("last_kind"), state.alias("state"))
+    """Events, the last title, and the state: that of the last event that ends a job (done or agent_error), else running."""
+    ended = F.col("kind").isin("done", "agent_error")
+    state = F.coalesce(_latest(F.when(F.col("kind") == "done", "done").otherwise("error"), ended), F.lit("running"))
+    return events.groupBy(*JOB).agg(F.count("*").alias("n"), _latest(F.col("title"), F.col("title").isNotNull()).alias("message"), state.alias("state"))
 
 
 def tail_events(events: DataFrame, n: int = 2000) -> DataFrame:
@@ -34,23 +47,67 @@ def tail_events(events: DataFrame, n: int = 2000) -> DataFrame:
     return events.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+BUCKETS = 64
+
+
+def read_tail(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """What event_tail_sink keeps: of each bucket the newest version (older than before)."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows if before is None else rows.where(F.col("v") < before)
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # a row per bucket
+    return rows.join(F.broadcast(newest), ["bucket", "v"])
+
+
 def event_tail_sink(events: DataFrame, path: str, checkpoint: str, n: int = 2000):
-    """Keeps a table of the last n events of each job; every batch is merged with what is there and written beside it."""
+    """Keeps a table of the last n events of each job. Jobs are dealt into buckets; a batch merges and rewrites only the buckets
+    that it has events of, as a new version of these, and the versions before go. A batch that is run again writes the same."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        tail_events(old.unionByName(batch).dropDuplicates(["event_id"]), n).drop("rank").write.mode("overwrite").parquet(f"{path}/v{number}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*JOB), F.lit(BUCKETS)).cast("int"))
+        touched = new.select("bucket").distinct()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        old = None
+        if number and store.exists(folder):
+            old = read_tail(spark, path, number).join(touched, "bucket", "left_semi")
+            passed = [(r["v"], r["bucket"]) for r in old.select("v", "bucket").distinct().collect()]  # BUCKETS rows at most
+            new = old.drop("v").unionByName(new)
+        tail_events(new.dropDuplicates(["event_id"]), n).drop("rank").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        for v, b in passed if old is not None else ():
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/bucket={b}"), True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def visit_gate(opens: DataFrame, needed: DataFrame) -> DataFrame:
-    """T04, batch twin: per job and event the functions still to be opened; a submit is accepted only when none is left.
+    """T04, batch twin: per job and submit the functions still to be opened; it is accepted only when none is left and it has facts.
 
-    opens: (pver_id, order_key, ts, event_id, fn, is_submit); needed: (pver_id, order_key, fns array).
+    opens: (pver_id, order_key, ts, event_id, fn, is_submit, n_facts); needed: (pver_id, order_key, fns array).
     """
     run = Window.partitionBy(*JOB).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = opens.withColumn("seen", F.collect_set(F.when(~F.col("is_submit"), F.col("fn"))).over(run))
     left = seen.join(needed, JOB).withColumn("remaining", F.array_sort(F.array_except("fns", "seen")))
-    return left.where("is_submit").select(*JOB, "event_id", (F.size("remaining") == 0).alias("accepted"), F.array_join("remaining", ",").alias("remaining"))
+    return left.where("is_submit").select(*JOB, "event_id", ((F.size("remaining") == 0) & (F.col("n_facts") > 0)).alias("accepted"), F.array_join("remaining", ",").alias("remaining"))
+
+
+def visit_gate_stream(opens: DataFrame, needed: DataFrame) -> DataFrame:
+    """T04 on a stream of opens: the functions a job has opened are its state, at most as many as its sequence names; each submit gives one row.
+
+    Events of one batch are taken by time; state is kept until the query is stopped.
+    """
+    both = opens.join(needed, JOB)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        opened = set(state.get[0]) if state.exists else set()
+        out = []
+        for row in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
+            if row.is_submit:
+                left = sorted(set(row.fns) - opened)
+                out.append((*key, row.event_id, not left and row.n_facts > 0, ",".join(left)))
+            elif row.fn in row.fns:
+                opened.add(row.fn)
+        state.update((sorted(opened),))
+        yield pd.DataFrame(out, columns=[*JOB, "event_id", "accepted", "remaining"])
+
+    return both.groupBy(*JOB).applyInPandasWithState(step, "pver_id string, order_key string, event_id long, accepted boolean, remaining string", "opened array<string>", "append", "NoTimeout")

@@ -247,8 +247,57 @@ def test_stream_equals_batch(spark, tmp_path):
         query.awaitTermination()
         assert sorted(map(str, spark.table(fold.__name__).collect())) == sorted(map(str, fold(batch).collect()))
     events.event_tail_sink(stream, str(tmp_path / "tail"), str(tmp_path / "check"), 3).awaitTermination()
-    last = max((tmp_path / "tail").iterdir(), key=lambda p: int(p.name[1:]))
-    assert spark.read.parquet(str(last)).count() == 9
+    assert events.read_tail(spark, str(tmp_path / "tail")).count() == 9
+    more = [(i, f"2024-01-01 00:01:{i:02d}", "p", "1", "done", None, None, "{}") for i in range(30, 35)]
+    files.write_events(spark.createDataFrame(more, schema).coalesce(1), str(source))
+    events.event_tail_sink(stream, str(tmp_path / "tail"), str(tmp_path / "check"), 3).awaitTermination()
+    kept = {(r["order_key"], r["event_id"]) for r in events.read_tail(spark, str(tmp_path / "tail")).collect()}
+    assert len(kept) == 9 and {i for k, i in kept if k == "1"} == {32, 33, 34} and {i for k, i in kept if k == "0"} == {12, 15, 18}
+    versions = sorted(x.parent.name for x in (tmp_path / "tail").glob("v=*/bucket=*"))
+    assert len(versions) == len({r[0] for r in events.read_tail(spark, str(tmp_path / "tail")).select("bucket").collect()})  # older versions are gone
+
+
+def test_visit_gate_stream(spark, tmp_path):
+    fields = "ts timestamp, event_id long, pver_id string, order_key string, fn string, is_submit boolean, n_facts int"
+    rows = [(0, None, True, 1), (1, "a", False, 0), (2, None, True, 1), (3, "b", False, 0), (4, "x", False, 0), (5, None, True, 0), (6, None, True, 2), (7, "c", False, 0)]
+    table = spark.createDataFrame([(i, "p", k, *r) for k in ("1", "2") for i, *r in rows], "event_id long, pver_id string, order_key string, fn string, is_submit boolean, n_facts int").withColumn("ts", F.timestamp_seconds("event_id"))
+    needed = spark.createDataFrame([("p", "1", ["a", "b"]), ("p", "2", ["a", "c"])], "pver_id string, order_key string, fns array<string>")
+    for low, high in ((0, 3), (3, 9)):
+        table.where(f"event_id >= {low} and event_id < {high}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = events.visit_gate_stream(stream, needed).writeStream.format("memory").queryName("gate").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.table("gate").collect()))
+    assert got == sorted(map(tuple, events.visit_gate(table, needed).collect()))
+    assert [r[3] for r in got] == [False, False, False, True, False, False, False, False]
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("p1", "1,002", "20240101T000000Z", "x"), ("p1", "7/8", "20240102T000000Z", "y"), ("p2", "9", "20240102T000000Z", "z")], "pver_id string, order_key string, stamp string, text string")
+    files.write_artifact(rows, str(tmp_path), "merge")
+    back = files.read_artifact(spark, str(tmp_path), "merge")
+    assert sorted(map(tuple, back.select("pver_id", "safe_order", "stamp", "text").collect())) == [("p1", "1_002", "20240101T000000Z", "x"), ("p1", "7_8", "20240102T000000Z", "y"), ("p2", "9", "20240102T000000Z", "z")]
+    group = '{"group_id": 3, "location": "a.c:1.2-3", "paths": [{"path_id": 1, "function_sequence": ["f"]}], "variable_info": {"symbol_name": "t", "member_path": ["s", "t"]}, "symbol_infos": [{"symbol_name": "t", "access_counts": {"read": 2}, "occurrences": [{"location": "a.c:1.2", "access": "read"}]}]}'
+    (tmp_path / "info.json").write_text(f"[{group}]")
+    groups = files.read_variable_info(spark, str(tmp_path / "info.json"))
+    files.write_variable_info(groups, str(tmp_path / "info"))
+    for df in (groups, files.read_variable_info(spark, str(tmp_path / "info"))):
+        r = df.first()
+        assert (r["group_id"], r["paths"][0]["function_sequence"], r["variable_info"]["member_path"], r["symbol_infos"][0]["access_counts"], r["symbol_infos"][0]["occurrences"][0]["access"]) == (3, ["f"], ["s", "t"], {"read": 2}, "read")
+    text = 'sep=;\nOrder;Message;Type\n1;"a; ""b"" ";x\n2;;\n'
+    got = files.read_alarms(spark.createDataFrame([("p", "f", text)], "pver_id string, path string, text string")).orderBy("alarm_seq").collect()
+    assert [r["row"] for r in got] == [{"Order": "1", "Message": 'a; "b"', "Type": "x"}, {"Order": "2", "Message": "", "Type": ""}]
+
+
+def test_given_names_and_primary_path(spark):
+    frames = spark.createDataFrame([("p", 1, 1, "no call here"), ("p", 2, 1, "call#a at x.c:1.1-2"), ("p", 2, 2, "call#a at x.c:1.1-2"), ("p", 2, 3, "call#b at x.c:2.1-2"), ("p", 3, 1, "call#c at x.c:2.1-2"), ("p", 3, 2, "call#d at x.c:2.1-2"), ("p", 3, 3, "call#e at x.c:2.1-2")], "pver_id string, block_no long, pos int, entry string")
+    heads = spark.createDataFrame([("p", i, "l", "x") for i in (1, 2, 3)], "pver_id string, block_no long, location string, alarm string")
+    named = spark.createDataFrame([("p", 1, ["m|separate", "n"]), ("p", 2, ["zz"])], "pver_id string, block_no long, fns array<string>")
+    assert {r["block_no"]: r["fns"] for r in paths.traces(frames, heads, named).collect()} == {1: ["m", "n"], 2: ["a", "a", "b"], 3: ["c", "d", "e"]}
+    records = paths.path_records(frames, heads, spark.createDataFrame([("p", "l", "own")], "pver_id string, location string, fn string"))
+    assert {r["path_id"]: r["fns"] for r in records.collect()}[1] == ["own"]
+    for center, want in (("b", "a>b"), ("zz", "c>d>e"), ("own", "own")):
+        assert paths.primary_paths(records, spark.createDataFrame([("p", "l", center)], "pver_id string, location string, fn string")).first()["seq"] == want
 
 
 def test_c_corpus(spark):
