@@ -342,6 +342,12 @@ register("x05_parameters", "c_files", lambda c: co.extract_parameters(co.extract
 register("x07_resolve_access", "c_files", lambda c: co.resolve_access(_points(c), _lines(c)), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], 'tab_') as col, tab as "array", tab as member_path, 'loc' as "index" from c union all select pver_id, file_id, 16, instr(ls[16], 's.f_'), mem, 's.' || mem, 'ptr[0] + 1u' from c""")
 register("x08_relevant_symbols", "c_files", lambda c: co.relevant_symbols(co.resolve_access(_points(c), _lines(c))), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], 'tab_') as col, unnest(['array', 'index']) as role, unnest([tab, 'loc']) as symbol from c
  union all select pver_id, file_id, 16, instr(ls[16], 's.f_'), unnest(['array', 'parent', 'index']), unnest([mem, 's', 'ptr']) from c""")
+register("x09_symbol_infos", "c_files", lambda c: _flat(co.symbol_infos(co.resolve_access(_points(c), _lines(c)), c).drop("index"), "sizes"), _CF + """, i as (select *, instr(ls[14], 'tab_') as c1, instr(ls[16], 's.f_') as c2 from c)
+select pver_id, file_id, unnest([14, 14, 16, 16, 16]) as line_no, unnest([c1, c1, c2, c2, c2]) as col, unnest(['array', 'index', 'array', 'parent', 'index']) as role, unnest([tab, 'loc', mem, 's', 'ptr']) as symbol,
+ unnest(['array', 'symbol', 'array', 'symbol', 'pointer']) as kind, unnest(['global', 'local', 'struct_member', 'global', 'parameter']) as scope, unnest(['uint16', 'uint8', 'uint8', null, 'uint16']) as datatype,
+ unnest(['[' || sz || '*2+1][2]', '', '[3]', '', '']) as dims, unnest([(n * 2 + 1) || ',2', null, '3', null, null]) as sizes, unnest([true, null, true, null, null]) as size_known, unnest([null, null, 'S', null, null]) as member_of, unnest([null, fn, null, null, fn]) as declared_in,
+ unnest([4, 11, 6, null, 9]) as declaration_line, unnest(['variable', 'variable', 'struct_member', 'unknown', 'parameter']) as declaration_kind, unnest([1, 1, 1, 0, 1]) as n_declaration, unnest([0, 1, 0, 0, 0]) as n_address, unnest([1, 0, 0, 0, 0]) as n_write,
+ unnest([0, 0, 0, 0, 0]) as n_parameter, unnest([0, 2, 1, 1, 1]) as n_read, unnest([2, 4, 2, 1, 2]) as occurrence_count, unnest([0, 1, 0, 0, 0]) as n_passed, unnest([2, 1, 2, 1, 1]) as n_functions from i""")
 register("x10_initializer_sizes", "c_files", co.initializer_sizes, _CF + "select pver_id, file_id, tab as symbol, 4 as line_no, 3 as n_items from c")
 register("p12_resolve_dims", "c_files", lambda c: _flat(co.resolve_dims(co.extract_declarations(c), co.extract_defines(c)), "sizes"), _CF + "select pver_id, file_id, unnest(['[' || sz || '*2+1][2]', '[3]']) as dims, unnest([(n * 2 + 1) || ',2', '3']) as sizes, true as all_known from c")
 register("j07_resolve_parameter", "c_files", lambda c: co.resolve_parameter(co.extract_functions(c).where("defined").select(*sy.FILE, "fn", F.explode(F.array(F.lit("ptr"), F.lit("none"))).alias("symbol")), co.extract_parameters(co.extract_functions(c))), _CF + "select pver_id, file_id, fn, 'ptr' as symbol, fn as owner, 'uint16' as datatype from c")

@@ -162,20 +162,20 @@ def access_kind(text: Column, before: Column, after: Column, declared: Column) -
     return (
         F.when(declared, "declaration")
         .when(before.rlike(r"(^|[^&])&\s*$"), "address")
-        .when(after.rlike(r"^(\s*\[[^\]]*\])?\s*(=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)") | before.rlike(r"(\+\+|--)\s*$"), "write")
+        .when(after.rlike(r"^(\s*\[[^\]]*\])*\s*(=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)") | before.rlike(r"(\+\+|--)\s*$"), "write")
         .when((depth > 0) & bare.rlike(r"\w\s*\([^()]*$") & ~bare.rlike(r"\b(if|while|for|switch|return)\s*\(+[^()]*$"), "parameter")
         .otherwise("read")
     )
 
 
-def symbol_kind(is_member: Column, pointer_depth: Column, dims: Column, is_parameter: Column) -> Column:
-    """P14."""
-    return F.when(is_parameter, "parameter").when(is_member, "struct_member").when(F.size(dims) > 0, "array").when(pointer_depth > 0, "pointer").otherwise("scalar")
+def symbol_kind(is_array: Column, is_member: Column, is_pointer: Column, is_parameter: Column, is_struct: Column) -> Column:
+    """The first that fits."""
+    return F.when(is_array, "array").when(is_member, "struct_member").when(is_pointer, "pointer").when(is_parameter, "parameter").when(is_struct, "struct").otherwise("symbol")
 
 
 def symbol_scope(function: Column, is_parameter: Column, is_member: Column) -> Column:
     """P14."""
-    return F.when(is_parameter, "parameter").when(is_member, "struct").when(function.isNull() | (function == "global"), "global").otherwise("local")
+    return F.when(is_parameter, "parameter").when(is_member, "struct_member").when(function.isNull() | (function == "global"), "global").otherwise("local")
 
 
 def safe_name(order: Column) -> Column:

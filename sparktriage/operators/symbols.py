@@ -101,12 +101,13 @@ def function_ranges(lines: DataFrame) -> DataFrame:
 
 
 def _with_span(points: DataFrame, functions: DataFrame) -> DataFrame:
-    """points with near, the span (start_line, end_line, body) around each, null when none, by one sort per file instead of a range join.
+    """points with near, the span (start_line, end_line, fn) around each, null when none, by one sort per file instead of a range join.
 
     Starts and points are ordered together; a point takes the last start before it if that body has not ended.
     """
     rest = [c for c in points.columns if c not in LINE]
-    starts = functions.select(*FILE, F.col("start_line").cast("long").alias("line_no"), F.lit(0).alias("side"), F.struct("start_line", "end_line", "body").alias("span"))
+    name = F.col("fn") if "fn" in functions.columns else F.concat(F.lit("body_"), F.col("body"))
+    starts = functions.select(*FILE, F.col("start_line").cast("long").alias("line_no"), F.lit(0).alias("side"), F.struct("start_line", "end_line", name.alias("fn")).alias("span"))
     asked = points.select(*FILE, F.col("line_no").cast("long").alias("line_no"), F.lit(1).alias("side"), F.lit(None).cast(starts.schema["span"].dataType).alias("span"), *rest)
     before = F.last("span", ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("line_no", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = starts.unionByName(asked, allowMissingColumns=True).withColumn("near", before).where("side = 1")
@@ -114,8 +115,8 @@ def _with_span(points: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def lines_in_functions(points: DataFrame, functions: DataFrame) -> DataFrame:
-    """Points (pver_id, file_id, line_no, more) with fn, the name of the body around them; `global` when none."""
-    return _with_span(points, functions).withColumn("fn", F.coalesce(F.concat(F.lit("body_"), F.col("near.body")), F.lit("global"))).drop("near")
+    """Points (pver_id, file_id, line_no, more) with fn, the function (fn, else the number of the body) around them; `global` when none."""
+    return _with_span(points, functions).withColumn("fn", F.coalesce("near.fn", F.lit("global"))).drop("near")
 
 
 def enclosing_function(points: DataFrame, functions: DataFrame) -> DataFrame:

@@ -167,7 +167,8 @@ def test_scalars(spark):
     assert [one(S.is_noise(F.lit(t))) for t in ("  // x", "};", "/* a */", "# if", "x; // y", "/* open")] == [True, True, True, True, False, False]
     assert one(S.clip(F.lit("abcdef"), 4)) == "abcd… [2 more chars]"
     assert one(S.safe_name(F.lit("1,0/é"))) == "1_0_é"
-    assert one(S.symbol_kind(F.lit(False), F.lit(1), F.array().cast("array<int>"), F.lit(False))) == "pointer"
+    no, yes = F.lit(False), F.lit(True)
+    assert [one(S.symbol_kind(*f)) for f in ((yes, yes, yes, yes, yes), (no, yes, yes, yes, yes), (no, no, yes, yes, yes), (no, no, no, yes, yes), (no, no, no, no, yes), (no,) * 5)] == ["array", "struct_member", "pointer", "parameter", "struct", "symbol"]
     assert one(S.symbol_scope(F.lit("global"), F.lit(False), F.lit(False))) == "global"
 
 
@@ -327,3 +328,41 @@ def test_c_helpers():
     assert corpus.array_from_bracket("a.b[2][j] = 0;", 7) == ("b", "a.b", "j")
     assert corpus.array_from_bracket("no bracket", 1) is None and corpus.array_from_bracket(None, 1) is None
     assert corpus.blank('a "x{" /* { */ b') == "a      " + " " * 8 + "b"
+
+
+def test_symbol_infos(spark):
+    text = """#define N 4u
+typedef uint8 row_t[3];
+static uint16 tbl[N + 1];
+uint8 cls;
+struct Dev {
+  row_t CH;
+};
+int Leaf(uint8 numClass, int *out) {
+  uint8 pos = numClass;
+  fill(&pos, tbl);
+  tbl[pos] = 1;
+  dev.CH[numClass] = pos;
+  return 0;
+}
+int Other(int numClass) {
+  uint8 pos = 1;
+  other.CH[pos] = cls;
+  return pos + numClass;
+}"""
+    texts = spark.createDataFrame([("p", 1, text), ("p", 2, None)], "pver_id string, file_id long, text string")
+    lines = files.source_lines(texts.withColumn("path", F.lit("x")).where("text is not null")).select("pver_id", F.lit(1).cast("long").alias("file_id"), "line_no", "text")
+    points = spark.createDataFrame([("p", 1, 11, 3), ("p", 1, 12, 3)], "pver_id string, file_id long, line_no int, col int")
+    got = {(r["line_no"], r["role"], r["symbol"]): r for r in corpus.symbol_infos(corpus.resolve_access(points, lines), texts).collect()}
+    assert set(got) == {(11, "array", "tbl"), (11, "index", "pos"), (12, "array", "CH"), (12, "parent", "dev"), (12, "index", "numClass")}
+    told = lambda k: tuple(got[k][c] for c in ("kind", "scope", "datatype", "dims", "sizes", "size_known", "declared_in", "declaration_line", "declaration_kind"))
+    assert told((11, "array", "tbl")) == ("array", "global", "uint16", "[N+1]", [5], True, None, 3, "variable")
+    assert told((11, "index", "pos")) == ("symbol", "local", "uint8", "", None, None, "Leaf", 9, "variable")
+    assert told((12, "array", "CH")) == ("array", "struct_member", "row_t", "[3]", [3], True, None, 6, "struct_member")
+    assert told((12, "index", "numClass")) == ("parameter", "parameter", "uint8", "", None, None, "Leaf", 8, "parameter")
+    assert told((12, "parent", "dev"))[-1] == "unknown"
+    count = lambda k: tuple(got[k][f"n_{c}"] for c in ("declaration", "address", "write", "parameter", "read"))
+    assert count((11, "index", "pos")) == (1, 1, 0, 0, 2) and got[11, "index", "pos"]["occurrence_count"] == 4 and got[11, "index", "pos"]["n_passed"] == 1
+    assert count((11, "array", "tbl")) == (1, 0, 1, 1, 0) and got[11, "array", "tbl"]["n_passed"] == 1
+    assert count((12, "array", "CH")) == (1, 0, 1, 0, 0)  # other.CH is another object's
+    assert got[12, "index", "numClass"]["occurrence_count"] == 3 and got[12, "index", "numClass"]["n_functions"] == 1
