@@ -330,7 +330,7 @@ _CF = r""", c as (select pver_id, file_id, text, string_split(text, chr(10)) as
  cast(regexp_extract(text, 'SZ_\d+ (\d+)u', 1) as bigint) as n, regexp_extract(text, '(fn_p\d+)', 1) as proto, regexp_extract(text, 'uint8 loc = (\w+);', 1) as src from c_files)
 """
 _lines = lambda c: c.select("pver_id", "file_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("pver_id", "file_id", (F.col("at") + 1).alias("line_no"), "text")
-_points = lambda c: _lines(c).where("line_no in (14, 16)").select(*sy.LINE, F.greatest(F.instr("text", "tab_"), F.instr("text", "s.f_")).alias("col"))
+_points = lambda c: _lines(c).where("line_no in (14, 16)").select(*sy.LINE, F.instr("text", "[").alias("col"))
 _starts = lambda c: co.extract_functions(c).where("defined").select(*sy.FILE, "fn", F.lit("loc").alias("token"))
 register("x01_functions", "c_files", lambda c: co.extract_functions(c).where("defined").select(*sy.FILE, "fn", "start_line", "end_line", "sig_line", "sig_text"), _CF + "select pver_id, file_id, fn, 10 as start_line, 17 as end_line, 9 as sig_line, ls[9] as sig_text from c")
 register("x02_calls", "c_files", lambda c: co.extract_calls(co.extract_functions(c)), _CF + "select pver_id, file_id, fn as caller, callee, 1 as pos from c union all select pver_id, file_id, fn, replace(fn, 'fn_', 'cb_'), 2 from c")
@@ -339,10 +339,12 @@ register("x03_declarations", "c_files", co.extract_declarations, _CF + """select
  unnest(['[' || sz || '*2+1][2]', '[3]', '', '']) as dims, unnest([4, 6, 11, 12]) as line_no, unnest([null, 'S', null, null]) as owner from c""")
 register("x04_defines", "c_files", co.extract_defines, _CF + "select pver_id, file_id, sz as name, n as value from c")
 register("x05_parameters", "c_files", lambda c: co.extract_parameters(co.extract_functions(c)), _CF + "select pver_id, file_id, fn, unnest([0, 1]) as place, unnest([par, 'ptr']) as symbol, unnest(['uint8', 'uint16']) as datatype, '' as dims, unnest([0, 1]) as pointer_depth from c")
-register("x07_resolve_access", "c_files", lambda c: co.resolve_access(_points(c), _lines(c)), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], 'tab_') as col, tab as "array", tab as member_path, 'loc' as "index" from c union all select pver_id, file_id, 16, instr(ls[16], 's.f_'), mem, 's.' || mem, 'ptr[0] + 1u' from c""")
-register("x08_relevant_symbols", "c_files", lambda c: co.relevant_symbols(co.resolve_access(_points(c), _lines(c))), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], 'tab_') as col, unnest(['array', 'index']) as role, unnest([tab, 'loc']) as symbol from c
- union all select pver_id, file_id, 16, instr(ls[16], 's.f_'), unnest(['array', 'parent', 'index']), unnest([mem, 's', 'ptr']) from c""")
-register("x09_symbol_infos", "c_files", lambda c: _flat(co.symbol_infos(co.resolve_access(_points(c), _lines(c)), c).drop("index"), "sizes"), _CF + """, i as (select *, instr(ls[14], 'tab_') as c1, instr(ls[16], 's.f_') as c2 from c)
+_spots = lambda c: _points(c).select("*", F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("int").alias("end_col")).unionByName(_lines(c).where("line_no = 14").select(*sy.LINE, F.expr("instr(text, '[1]')").alias("col"), F.lit(16).alias("end_line"), F.lit(9).alias("end_col")))
+register("x07_resolve_access", "c_files", lambda c: co.resolve_access(_spots(c), _lines(c)), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], '[') as col, tab as "array", tab as member_path, 'loc' as "index", 0 as dimension from c union all select pver_id, file_id, 16, instr(ls[16], '['), mem, 's.' || mem, 'ptr[0] + 1u', 0 from c
+ union all select pver_id, file_id, 14, instr(ls[14], '[1]'), tab, tab, substring(ls[14], instr(ls[14], '[1]') + 1) || chr(10) || ls[15] || chr(10) || '  return', 1 from c""")
+register("x08_relevant_symbols", "c_files", lambda c: co.relevant_symbols(co.resolve_access(_points(c), _lines(c))), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], '[') as col, unnest(['array', 'index']) as role, unnest([tab, 'loc']) as symbol from c
+ union all select pver_id, file_id, 16, instr(ls[16], '['), unnest(['array', 'parent', 'index']), unnest([mem, 's', 'ptr']) from c""")
+register("x09_symbol_infos", "c_files", lambda c: _flat(co.symbol_infos(co.resolve_access(_points(c), _lines(c)), c).drop("index"), "sizes"), _CF + """, i as (select *, instr(ls[14], '[') as c1, instr(ls[16], '[') as c2 from c)
 select pver_id, file_id, unnest([14, 14, 16, 16, 16]) as line_no, unnest([c1, c1, c2, c2, c2]) as col, unnest(['array', 'index', 'array', 'parent', 'index']) as role, unnest([tab, 'loc', mem, 's', 'ptr']) as symbol,
  unnest(['array', 'symbol', 'array', 'symbol', 'pointer']) as kind, unnest(['global', 'local', 'struct_member', 'global', 'parameter']) as scope, unnest(['uint16', 'uint8', 'uint8', null, 'uint16']) as datatype,
  unnest(['[' || sz || '*2+1][2]', '', '[3]', '', '']) as dims, unnest([(n * 2 + 1) || ',2', null, '3', null, null]) as sizes, unnest([true, null, true, null, null]) as size_known, unnest([null, null, 'S', null, null]) as member_of, unnest([null, fn, null, null, fn]) as declared_in,
@@ -354,8 +356,8 @@ register("j07_resolve_parameter", "c_files", lambda c: co.resolve_parameter(co.e
 register("j08_typedef_dims", "c_files", lambda c: co.typedef_dims(co.extract_declarations(c), co.extract_typedefs(c)), _CF + "select pver_id, file_id, 12 as line_no, 'rows' as symbol, '[4]' as dims from c")
 register("j18_attach_snippets", "c_files", lambda c: co.attach_snippets(_starts(c).select(*sy.FILE, F.concat("fn", F.lit("|separate")).alias("fn")), co.extract_functions(c), c), _CF + "select pver_id, file_id, fn || '|separate' as fn, 9 as from_line, 17 as to_line, array_to_string(ls[9:17], chr(10)) as snippet from c")
 register("p19_underlined_variable", "c_files", lambda c: co.underlined_variable(_lines(c).where("line_no = 14").select(*sy.FILE, F.col("text").alias("raw"), F.concat(F.lit("    "), F.repeat(F.lit("~"), 5)).alias("underline"))), _CF + "select pver_id, file_id, ls[14] as raw, '    ~~~~~' as underline, ls[14][5:9] as variable from c")
-register("g05_index_origin", "c_files", lambda c: co.index_origin(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, case when src = par then 'parameter' when src = 'g_all' then 'global' else 'local' end as origin, case when src = '3u' then 1 else 2 end as n_names from c")
-register("j19_value_origins", "c_files", lambda c: co.value_origins(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, callee, 1 as place from c where exists (select 1 from c d where d.pver_id = c.pver_id and d.fn = c.callee)")
+register("g05_index_origin", "c_files", lambda c: co.index_origin(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, case when src = par then 'parameter' when src = 'g_all' then 'global' else 'local' end as origin, case when src = '3u' then 1 else 2 end as n_names from c")
+register("j19_value_origins", "c_files", lambda c: co.value_origins(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_functions(c), co.extract_parameters(co.extract_functions(c))), _CF + "select pver_id, file_id, fn, 'loc' as token, callee, 1 as place from c where exists (select 1 from c d where d.pver_id = c.pver_id and d.fn = c.callee)")
 _one = lambda c: c.select(*sy.FILE, F.regexp_extract("text", r"uint16 (tab_\d+)", 1).alias("array"), F.lit(14).alias("line_no"))
 register("x14_fix_index_symbols", "c_files", lambda c: co.fix_index_symbols(_starts(c).select(*sy.FILE, "fn", F.explode(F.array(F.lit("loc"), F.lit("far"))).alias("symbol"), F.lit(4).alias("line_no")), _starts(c).select(*sy.FILE, "fn", F.explode(F.array(F.lit("loc"), F.lit("ptr"), F.lit("none"))).alias("token")), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, unnest(['loc', 'far', 'ptr']) as symbol, unnest([11, 4, 9]) as line_no, unnest(['local', null, 'parameter']) as scope, unnest(['re-pointed', 'kept', 'added']) as change from c")
 _RAW = [(13, "alarm_site", "tab_", None), (13, "write", "uint8 loc = ", "loc"), (15, "write", "if (loc < 4u) {", "loc"), (16, "guard", "return (*cb", "s"), (14, "guard", "if (loc < 4u)", "zz"), (2, "write", "far away", "loc"), (12, "fact", "row_t rows;", None)]
@@ -364,3 +366,4 @@ register("x13_normalize_facts", "c_files", lambda c: co.normalize_facts(_one(c).
 register("x11_seed_facts", "c_files", lambda c: co.seed_facts(co.extract_declarations(c), co.initializer_sizes(c), _one(c), _one(c).select(*sy.FILE, F.lit(13).alias("line_no"), F.lit("loc").alias("token")), _lines(c)), _CF + """, k as (select *, unnest([4, 6, 11, 12, 4, 14, 13]) as line_no,
  unnest(['declaration', 'declaration', 'declaration', 'declaration', 'array_size_hint', 'alarm_site', 'local_guard']) as kind, unnest([tab, mem, 'loc', 'rows', tab, tab, 'loc']) as symbol from c) select pver_id, file_id, line_no, kind, symbol, trim(ls[line_no]) as quote from k""")
 register("w06_symbol_packages", "c_files", lambda c: co.symbol_packages(_one(c).select(*sy.FILE, F.col("array").alias("symbol"), F.explode(F.array(F.lit(4), F.lit(14), F.lit(12))).alias("line")), _lines(c)), _CF + "select pver_id, file_id, tab as symbol, 16 as n_lines, array_to_string(list_transform(range(1, 18), lambda i: case when i <> 8 then i || ': ' || ls[i] end), chr(10)) as package from c")
+register("w06_key_lines", "c_files", lambda c: co.symbol_key_lines(sy.occurrences(_lines(c)), co.extract_declarations(c), _one(c).withColumn("index", F.lit("loc"))).where("symbol = 'loc' or symbol like 'tab%'"), _CF + "select pver_id, file_id, tab as symbol, unnest([4, 14]) as line from c union all select pver_id, file_id, 'loc', unnest([11, 13, 14]) from c")

@@ -186,38 +186,91 @@ def initializer_sizes(texts: DataFrame) -> DataFrame:
     return _per_file(texts, _initializers, "symbol string, line_no int, n_items int")
 
 
-def array_from_bracket(text: str | None, col: int | None) -> tuple[str, str, str] | None:
-    """(array, member path, index text) of the first bracket from a column (from 1) on; (p->f)[i] gives f."""
-    if text is None or col is None:
-        return None
-    at = text.find("[", max(0, col - 1))
-    if at < 0:
-        return None
-    depth, end = 0, at
-    for end in range(at, len(text)):
-        depth += (text[end] == "[") - (text[end] == "]")
-        if depth == 0:
-            break
-    head = re.search(r"((?:[A-Za-z_]\w*\s*(?:\[[^\[\]]*\]\s*)*(?:->|\.)\s*)*)([A-Za-z_]\w*)\s*\)*\s*(?:\[[^\[\]]*\]\s*)*$", text[:at])
-    return (head.group(2), re.sub(r"\s|\[[^\]]*\]", "", head.group(1) + head.group(2)), text[at + 1 : end].strip()) if head else None
+_HEAD = re.compile(r"((?:[A-Za-z_]\w*[\s\0]*(?:->|\.)\s*)*)([A-Za-z_]\w*)\s*\)*([\s\0]*)$")
+_ACCESS = re.compile(r"([A-Za-z_]\w*)\s*\)?\s*\[")
 
 
-def resolve_access(alarms: DataFrame, lines: DataFrame) -> DataFrame:
-    """Array, member path and index of the access at (line_no, col); null where the line has no bracket behind the column."""
+def array_from_bracket(text: str, at: int) -> tuple[str | None, str | None, int]:
+    """(array, member path, dimension) of the access whose bracket is text[at]; the name is None if there is no such access.
+
+    What is in closed brackets before it is blanked, so that earlier dimensions, however deep, stand between name and bracket.
+    """
+    if not 0 <= at < len(text) or text[at] != "[":
+        return None, None, 0
+    flat, n = text[:at], 1
+    while n:
+        flat, n = re.subn(r"\[[^\[\]]*\]", lambda m: "\0" * len(m.group()), flat)
+    head = _HEAD.search(flat)
+    if not head or head.group(2) in S.KEYWORDS:
+        return None, None, 0
+    depth = groups = 0
+    for sign in text[head.start(3) : at]:
+        depth += (sign == "[") - (sign == "]")
+        groups += sign == "]" and depth == 0
+    return head.group(2), re.sub(r"[\s\0]", "", head.group(1) + head.group(2)), groups
+
+
+def locate_access(before: list[str], lines: list[str], col: int, end_col: int | None) -> tuple[str | None, str | None, str | None, int]:
+    """(array, member path, index, dimension) of an access that begins at column col of lines[0] and ends at end_col of the last line.
+
+    The bracket is at the column, else the last one before it. Without a name there, the first name[ of the lines counts. Without
+    an end column the index runs to the bracket's partner.
+    """
+    prefix = "".join(f"{x}\n" for x in before)
+    first = prefix + lines[0]
+    text = prefix + "\n".join([*lines[:-1], lines[-1][:end_col] if end_col and len(lines) > 1 else lines[-1]])
+    place = len(prefix) + col - 1
+    own = len(prefix) if len(lines) == 1 else 0  # on one line, no bracket of a line before counts
+    at = place if 0 <= place < len(first) and first[place] == "[" else text.rfind("[", own, max(own, min(len(text), place + 1)))
+    name, path, dimension = array_from_bracket(text, at)
+    start = max(place, len(prefix))
+    if end_col:
+        index = text[start : len(prefix) + end_col] if len(lines) == 1 else text[start:]
+        index = index.removeprefix("[")
+    else:
+        depth = 0
+        end = len(text)
+        for end in range(max(at, 0), len(text)):
+            depth += (text[end] == "[") - (text[end] == "]")
+            if depth == 0:
+                break
+        index = text[at + 1 : end] if at >= 0 else None
+    if name is None and (found := _ACCESS.search(text)):
+        name, path = found.group(1), found.group(1)
+    return name, path, index and index.strip(), dimension
+
 
-    @F.pandas_udf("array string, member_path string, index string")
-    def access(text: pd.Series, col: pd.Series) -> pd.DataFrame:
-        found = [array_from_bracket(t, None if pd.isna(c) else int(c)) or (None, None, None) for t, c in zip(text, col)]
-        return pd.DataFrame(found, columns=["array", "member_path", "index"])
+def resolve_access(alarms: DataFrame, lines: DataFrame) -> DataFrame:
+    """Array, member path, index and dimension of the access of each alarm (pver_id, file_id, line_no, col, and if known end_line, end_col, underlined).
 
-    return alarms.join(lines.select(*LINE, "text"), LINE).select(*LINE, "col", access("text", "col").alias("a")).select(*LINE, "col", "a.*").withColumn("index", S.clean_index(F.col("index")))
+    Two lines before it are looked at, too. Without any access the underlined variable (P19) is taken if it is a name. An alarm's
+    few lines are put together by an equi-join on exploded line numbers.
+    """
+    for name, kind in (("end_line", "int"), ("end_col", "int"), ("underlined", "string")):
+        if name not in alarms.columns:
+            alarms = alarms.withColumn(name, F.lit(None).cast(kind))
+    key = [*LINE, "col", "end_line", "end_col", "underlined"]
+    spans = alarms.select(*key).distinct().withColumn("at", F.explode(F.sequence(F.col("line_no") - 2, F.coalesce("end_line", "line_no"))))
+    own = spans.join(lines.select(*FILE, F.col("line_no").alias("at"), "text"), [*FILE, "at"])
+    near = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("near"))
+    told = near.withColumns({"before": F.expr("transform(filter(near, x -> x.at < line_no), x -> x.text)"), "own": F.expr("transform(filter(near, x -> x.at >= line_no), x -> x.text)")}).where(F.size("own") > 0)
+
+    @F.pandas_udf("array string, member_path string, index string, dimension int")
+    def access(before: pd.Series, own: pd.Series, col: pd.Series, end_col: pd.Series) -> pd.DataFrame:
+        found = [locate_access(list(b), list(o), int(c), None if pd.isna(e) else int(e)) if not pd.isna(c) else (None, None, None, 0) for b, o, c, e in zip(before, own, col, end_col)]
+        return pd.DataFrame(found, columns=["array", "member_path", "index", "dimension"])
+
+    done = told.select(*LINE, "col", "underlined", access("before", "own", "col", "end_col").alias("a")).select(*LINE, "col", "underlined", "a.*")
+    name = F.when(F.col("underlined").rlike(r"^[A-Za-z_]\w*$"), F.col("underlined"))
+    lost = F.col("array").isNull() & name.isNotNull()
+    return done.select(*LINE, "col", F.coalesce("array", name).alias("array"), F.coalesce("member_path", name).alias("member_path"), F.when(~lost, S.clean_index(F.col("index"))).alias("index"), F.when(~lost & F.col("array").isNotNull(), F.col("dimension")).alias("dimension"))
 
 
 def relevant_symbols(access: DataFrame) -> DataFrame:
     """The flagged array, the parents of its member path and the identifiers of its index, once each; keywords drop out."""
     parents = F.filter(F.split("member_path", r"->|\."), lambda x: x != F.col("array"))
     one = lambda role, names: F.transform(names, lambda n: F.struct(F.lit(role).alias("role"), n.alias("symbol")))
-    every = F.concat(one("array", F.array("array")), one("parent", parents), one("index", S.index_tokens(F.col("index"))))
+    every = F.concat(one("array", F.array("array")), one("parent", parents), one("index", S.index_tokens(F.coalesce("index", F.lit("")))))
     return access.where("array is not null").select(*LINE, "col", F.explode(every).alias("s")).select(*LINE, "col", "s.*").where(~F.col("symbol").isin(S.KEYWORDS)).distinct()
 
 
@@ -301,44 +354,74 @@ def underlined_variable(blocks: DataFrame) -> DataFrame:
 
 
 def extract_assignments(functions: DataFrame) -> DataFrame:
-    """Assignments in bodies: what is set, the names on the right side that are not called, and the functions called there."""
-    body = functions.where("defined").select(*FILE, "fn", F.explode(F.split("body", r"[;{}]")).alias("s"))
+    """Assignments in bodies, by place: what is set, the names on the right side that are not called, and the functions called there."""
+    body = functions.where("defined").select(*FILE, "fn", F.posexplode(F.split("body", r"[;{}]")).alias("at", "s"))
     rhs = F.regexp_extract("s", r"^[^=]*[^=!<>]=([^=].*)$", 1)
     lhs = F.regexp_extract("s", r"([A-Za-z_]\w*)\s*(?:\[[^=]*\])?\s*[-+*/%&|^]?=[^=]", 1)
     calls = F.transform(F.regexp_extract_all(rhs, F.lit(CALL), 1), lambda x: F.regexp_replace(x, r"\W", ""))
     given = F.regexp_extract_all("s", F.lit(r"&\s*([A-Za-z_]\w*)"), 1)
-    one = body.select(*FILE, "fn", F.nullif(lhs, F.lit("")).alias("lhs"), F.array_except(S.index_tokens(rhs), calls).alias("names"), calls.alias("calls"), given.alias("given"), F.transform(F.regexp_extract_all("s", F.lit(CALL), 1), lambda x: F.regexp_replace(x, r"\W", "")).alias("all_calls"))
+    members = F.regexp_extract_all(rhs, F.lit(r"->\s*([A-Za-z_]\w*)"), 1)
+    one = body.select(*FILE, "fn", "at", F.nullif(lhs, F.lit("")).alias("lhs"), F.array_except(F.array_except(S.index_tokens(rhs), calls), members).alias("names"), calls.alias("calls"), given.alias("given"), F.transform(F.regexp_extract_all("s", F.lit(CALL), 1), lambda x: F.regexp_replace(x, r"\W", "")).alias("all_calls"))
     return one.where(F.col("lhs").isNotNull() | (F.size("given") > 0))
 
 
-def index_origin(starts: DataFrame, assignments: DataFrame, params: DataFrame, decls: DataFrame, limit: int = 41) -> DataFrame:
-    """Where an index (pver_id, file_id, fn, token) comes from: followed back over assignments, parameter beats global beats local.
+def _followed(starts: DataFrame, assignments: DataFrame, params: DataFrame, limit: int) -> DataFrame:
+    """starts (pver_id, file_id, fn, token) with seen, the names an index comes from in order of discovery, a parameter ending its branch.
 
-    A parameter ends its branch; a name that is not declared is global and is still followed. A function's assignments are one map
-    beside its index, so all rounds run inside one row after one join; `limit` bounds the names (the reference stops once it has passed 40), and as many rounds suffice, as each but the last adds one.
+    A function's assignments are one map beside its index, so all rounds run inside one row after one join; `limit` bounds the
+    names (a search ends once it has passed 40), and as many rounds suffice, as each but the last adds one.
     """
     step = assignments.where("lhs is not null").select(*FILE, "fn", F.col("lhs").alias("name"), F.explode("names").alias("source"))
     step = step.join(params.select(*FILE, "fn", F.col("symbol").alias("name")).distinct(), [*FILE, "fn", "name"], "left_anti")
     to = step.groupBy(*FILE, "fn", "name").agg(F.array_sort(F.collect_set("source")).alias("to")).groupBy(*FILE, "fn").agg(F.map_from_entries(F.collect_list(F.struct("name", "to"))).alias("to"))
     none = F.array().cast("array<string>")
     more = lambda s: F.flatten(F.transform(s, lambda x: F.coalesce(F.try_element_at("to", x), none)))
+    return starts.join(to, [*FILE, "fn"], "left").select(*FILE, "fn", "token", F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.array("token"), lambda s, _: F.slice(F.array_distinct(F.concat(s, more(s))), 1, limit)).alias("seen"))
+
+
+def index_origin(starts: DataFrame, assignments: DataFrame, params: DataFrame, decls: DataFrame, functions: DataFrame, limit: int = 41) -> DataFrame:
+    """Where an index (pver_id, file_id, fn, token) comes from: followed back over assignments, parameter beats global beats local.
+
+    A parameter ends its branch; a name that is not declared inside the function is global and is still followed.
+    """
     key = [*FILE, "fn", "token"]
-    seen = starts.join(to, [*FILE, "fn"], "left").select(*key, F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.array("token"), lambda s, _: F.slice(F.array_distinct(F.concat(s, more(s))), 1, limit)).alias("seen"))
-    names = seen.select(*key, F.explode("seen").alias("name"))
+    names = _followed(starts, assignments, params, limit).select(*key, F.explode("seen").alias("name"))
     p = params.select(*FILE, "fn", F.col("symbol").alias("name"), F.lit(True).alias("is_param")).distinct()
-    d = decls.select(*FILE, F.col("symbol").alias("name"), F.lit(True).alias("declared")).distinct()
-    known = names.join(p, [*FILE, "fn", "name"], "left").join(d, [*FILE, "name"], "left")
+    spans = functions.where("defined").select(*FILE, "fn", "start_line", "end_line")
+    inside = decls.select(*FILE, F.col("symbol").alias("name"), "line_no").join(spans, FILE).where("line_no between start_line and end_line")
+    d = inside.select(*FILE, "fn", "name", F.lit(True).alias("declared")).distinct()
+    known = names.join(p, [*FILE, "fn", "name"], "left").join(d, [*FILE, "fn", "name"], "left")
     agg = known.groupBy(*key).agg(F.bool_or(F.coalesce("is_param", F.lit(False))).alias("p"), F.bool_or(F.coalesce("is_param", "declared").isNull()).alias("g"), F.count("*").alias("n_names"))
     return agg.select(*key, F.when(F.col("p"), "parameter").when(F.col("g"), "global").otherwise("local").alias("origin"), "n_names")
 
 
-def value_origins(starts: DataFrame, assignments: DataFrame, functions: DataFrame, cap: int = 6) -> DataFrame:
-    """Functions of the project that set an index token: called on the right side of its assignments, or given its address; the first six by name."""
-    one = starts.join(assignments, [*FILE, "fn"]).where((F.col("lhs") == F.col("token")) | F.array_contains("given", F.col("token")))
-    made = one.select(*FILE, "fn", "token", F.explode(F.when(F.col("lhs") == F.col("token"), F.array_union("calls", F.when(F.array_contains("given", F.col("token")), F.col("all_calls")).otherwise(F.col("calls")))).otherwise(F.col("all_calls"))).alias("callee")).distinct()
+def value_origins(starts: DataFrame, assignments: DataFrame, functions: DataFrame, params: DataFrame, path_fns: DataFrame | None = None, cap: int = 6, limit: int = 41) -> DataFrame:
+    """The project's functions that an index (pver_id, file_id, fn, token) comes from: called on the right side of assignments to it or
+    to a name it comes from, or given the address of one; in order of discovery, the first cap.
+
+    path_fns: (pver_id, file_id, fn, caller, pos), the functions on the paths to fn; what sets the token itself there follows, unless it is on a path, too.
+    """
+    key = [*FILE, "fn", "token"]
+    names = _followed(starts, assignments, params, limit).select(*key, F.posexplode("seen").alias("n", "name"))
+    names = names.join(params.select(*FILE, "fn", F.col("symbol").alias("name")).distinct(), [*FILE, "fn", "name"], "left_anti")
+    every = _set_by(names.join(assignments, [*FILE, "fn"]), key, 0)
+    if path_fns is not None:
+        asked = starts.select(*key).distinct().join(path_fns, [*FILE, "fn"]).select(*key, "caller", F.col("pos").alias("n"), F.col("token").alias("name"))
+        callers = _set_by(asked.join(assignments.withColumnRenamed("fn", "caller"), [*FILE, "caller"]), key, 1)
+        every = every.unionByName(callers.join(path_fns.select(*FILE, "fn", F.col("caller").alias("callee")), [*FILE, "fn", "callee"], "left_anti"))
     defined = functions.where("defined").select("pver_id", F.col("fn").alias("callee")).distinct()
-    ranked = made.join(defined, ["pver_id", "callee"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(*FILE, "fn", "token").orderBy("callee")))
-    return ranked.where(F.col("place") <= cap).select(*FILE, "fn", "token", "callee", "place")
+    first = every.join(defined, ["pver_id", "callee"], "left_semi").groupBy(*key, "callee").agg(F.min("r").alias("r"))
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("r", "callee")))
+    return ranked.where(F.col("place") <= cap).select(*key, "callee", "place")
+
+
+def _set_by(rows: DataFrame, key: list[str], stage: int) -> DataFrame:
+    """(key, callee, r) of the calls in statements that set name, or take its address; r is their order."""
+    calls = lambda c, kind: F.transform(c, lambda x, i: F.struct(F.struct(F.lit(stage).alias("stage"), F.col("n").cast("int").alias("n"), F.lit(kind).alias("kind"), F.col("at").cast("int").alias("at"), i.cast("int").alias("i")).alias("r"), x.alias("callee")))
+    none = F.filter(calls("calls", 0), lambda x: F.lit(False))
+    made = F.when(F.col("lhs") == F.col("name"), calls("calls", 0)).otherwise(none)
+    filled = F.when(F.array_contains("given", F.col("name")), calls("all_calls", 1)).otherwise(none)
+    return rows.select(*key, F.explode(F.concat(made, filled)).alias("c")).select(*key, "c.callee", "c.r")
 
 
 def _names(text, name):
@@ -371,7 +454,7 @@ def normalize_facts(raw: DataFrame, alarms: DataFrame, lines: DataFrame, allowed
     bracket; a bound needs a guard, an empty dimension or sizeof. Plain facts and reads stay only if they name a token or the array.
     """
     asked = raw.where("trim(quote) <> '' and line_no is not null").withColumn("quote", F.trim("quote"))
-    at = verify_quotes(asked.select(*LINE, "quote").distinct(), lines).where("verified").select(*LINE, "quote", "found_line")
+    at = verify_quotes(asked.select(*LINE, "quote").distinct(), lines).where("found_line is not null").select(*LINE, "quote", "found_line")
     own = asked.join(at, [*LINE, "quote"]).join(alarms, FILE).join(lines.select(*FILE, F.col("line_no").alias("found_line"), "text"), [*FILE, "found_line"])
     text, given = F.col("text"), F.lower(F.trim(F.coalesce("kind", F.lit("fact"))))
     kind = F.when(given.isin(allowed), given).otherwise("fact")
@@ -384,7 +467,7 @@ def normalize_facts(raw: DataFrame, alarms: DataFrame, lines: DataFrame, allowed
         F.when((F.col("given") == "alarm_site") & ~F.coalesce(F.col("found_line") == F.col("alarm_line"), F.lit(False)), F.when(bracket, "access").otherwise("fact"))
         .when((F.col("given") == "write") & F.col("written").isNull(), F.when(token_here, "read").otherwise("fact"))
         .when((F.col("given") == "call_edge") & ~text.contains("("), "fact")
-        .when(F.col("given").isin(bounds) & ~S.is_guard(text) & ~text.rlike(r"\[\s*\]|\bsizeof\b"), "fact")
+        .when(F.col("given").isin(bounds) & ~S.is_guard(text, S.MINED_GUARD) & ~text.rlike(r"\[\s*\]|\bsizeof\b"), "fact")
         .otherwise(F.col("given"))
     )
     done = one.withColumn("kind", new).withColumn("symbol", F.when(F.col("kind") == "write", F.col("written")).otherwise(F.col("symbol")))
@@ -400,6 +483,13 @@ def seed_facts(decls: DataFrame, sizes: DataFrame, alarms: DataFrame, guards: Da
     return seeds.distinct().join(lines.select(*LINE, "text"), LINE).select(*LINE, "kind", "symbol", S.collapse_ws(F.col("text")).alias("quote"))
 
 
+def symbol_key_lines(occ: DataFrame, decls: DataFrame, alarms: DataFrame) -> DataFrame:
+    """The lines (pver_id, file_id, symbol, line) a symbol's package is made around: its occurrences, among them writes and guards, its declaration, and the line of an alarm whose array or index it is."""
+    at = alarms.select(*FILE, "line_no", F.explode(F.array("array", "index")).alias("symbol"))
+    every = [df.select(*FILE, "symbol", F.col("line_no").cast("int").alias("line")) for df in (occ, decls, at)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).where("symbol is not null and line is not null").distinct()
+
+
 def symbol_packages(centers: DataFrame, lines: DataFrame, radius: int = 3, clip: int = 24_000) -> DataFrame:
     """For each symbol the numbered lines around its key lines (pver_id, file_id, symbol, line), windows merged, text clipped."""
     key = [*FILE, "symbol"]

@@ -46,12 +46,13 @@ def test_leaf_distance_of_long_chains(spark):
 
 def test_index_origin_of_long_chains(spark):
     key = "pver_id string, file_id long, fn string"
-    starts = spark.createDataFrame([("p", 1, "f", "n0"), ("p", 1, "g", "n0")], f"{key}, token string")
+    starts = spark.createDataFrame([("p", 1, "f", "n0"), ("p", 1, "g", "n0"), ("p", 1, "h", "filewide")], f"{key}, token string")
     sets = spark.createDataFrame([("p", 1, fn, f"n{i}", [f"n{i + 1}"]) for fn, n in (("f", 40), ("g", 60)) for i in range(n)], f"{key}, lhs string, names array<string>")
     params = spark.createDataFrame([("p", 1, "f", "n40"), ("p", 1, "g", "n60")], f"{key}, symbol string")
-    decls = spark.createDataFrame([("p", 1, f"n{i}") for i in range(61)], "pver_id string, file_id long, symbol string")
-    got = {r["fn"]: (r["origin"], r["n_names"]) for r in corpus.index_origin(starts, sets, params, decls).collect()}
-    assert got == {"f": ("parameter", 41), "g": ("local", 41)}
+    functions = spark.createDataFrame([("p", 1, fn, True, at, at + 70) for fn, at in (("f", 100), ("g", 200), ("h", 300))], f"{key}, defined boolean, start_line int, end_line int")
+    decls = spark.createDataFrame([("p", 1, f"n{i}", at + i) for i in range(61) for at in (100, 200)] + [("p", 1, "filewide", 5)], "pver_id string, file_id long, symbol string, line_no int")
+    got = {r["fn"]: (r["origin"], r["n_names"]) for r in corpus.index_origin(starts, sets, params, decls, functions).collect()}
+    assert got == {"f": ("parameter", 41), "g": ("local", 41), "h": ("global", 1)}  # declared in the file, but not in the function
 
 
 def test_kahn_order():
@@ -324,9 +325,14 @@ int open_end(void) {
 
 def test_c_helpers():
     assert [corpus.dim_eval(t, {"N": 3}) for t in ("(N + 1u) * 2", "7 / 2 - 1", "M", "", "1 / 0", "2 2", "(1")] == [8, 2, None, None, None, None, None]
-    assert corpus.array_from_bracket("x = (p->f)[i + a[1]];", 1) == ("f", "p->f", "i + a[1]")
-    assert corpus.array_from_bracket("a.b[2][j] = 0;", 7) == ("b", "a.b", "j")
-    assert corpus.array_from_bracket("no bracket", 1) is None and corpus.array_from_bracket(None, 1) is None
+    text = "x = (p->f)[i + a[1]];"
+    assert corpus.array_from_bracket(text, text.index("[")) == ("f", "p->f", 0) and corpus.array_from_bracket("return [", 7) == (None, None, 0)
+    assert corpus.array_from_bracket("a.b[2][k[1]][j] = 0;", 12) == ("b", "a.b", 2) and corpus.array_from_bracket("no bracket", 1) == (None, None, 0)
+    assert corpus.locate_access([], [text], 11, 20) == ("f", "p->f", "i + a[1]]", 0) and corpus.locate_access([], [text], 11, None) == ("f", "p->f", "i + a[1]", 0)
+    assert corpus.locate_access(["x = 1;", "y = tbl"], ["  [i];"], 3, 4) == ("tbl", "tbl", "i", 0)  # the name on a line before
+    assert corpus.locate_access([], ["y = tbl[a", "  + b", "  ] + 1;"], 8, 2) == ("tbl", "tbl", "a\n  + b", 0)  # over three lines
+    assert corpus.locate_access(["q[1] = 0;"], ["f(x);"], 1, 2)[:2] == ("q", "q")  # the first access of the lines
+    assert corpus.locate_access([], ["f(x);"], 1, 2)[0] is None
     assert corpus.blank('a "x{" /* { */ b') == "a      " + " " * 8 + "b"
 
 
@@ -352,7 +358,7 @@ int Other(int numClass) {
 }"""
     texts = spark.createDataFrame([("p", 1, text), ("p", 2, None)], "pver_id string, file_id long, text string")
     lines = files.source_lines(texts.withColumn("path", F.lit("x")).where("text is not null")).select("pver_id", F.lit(1).cast("long").alias("file_id"), "line_no", "text")
-    points = spark.createDataFrame([("p", 1, 11, 3), ("p", 1, 12, 3)], "pver_id string, file_id long, line_no int, col int")
+    points = spark.createDataFrame([("p", 1, 11, 6), ("p", 1, 12, 9)], "pver_id string, file_id long, line_no int, col int")
     got = {(r["line_no"], r["role"], r["symbol"]): r for r in corpus.symbol_infos(corpus.resolve_access(points, lines), texts).collect()}
     assert set(got) == {(11, "array", "tbl"), (11, "index", "pos"), (12, "array", "CH"), (12, "parent", "dev"), (12, "index", "numClass")}
     told = lambda k: tuple(got[k][c] for c in ("kind", "scope", "datatype", "dims", "sizes", "size_known", "declared_in", "declaration_line", "declaration_kind"))
@@ -366,3 +372,17 @@ int Other(int numClass) {
     assert count((11, "array", "tbl")) == (1, 0, 1, 1, 0) and got[11, "array", "tbl"]["n_passed"] == 1
     assert count((12, "array", "CH")) == (1, 0, 1, 0, 0)  # other.CH is another object's
     assert got[12, "index", "numClass"]["occurrence_count"] == 3 and got[12, "index", "numClass"]["n_functions"] == 1
+
+
+def test_access_and_origins(spark):
+    text = ["int Get(int a) {", "  return a;", "}", "void Fill(int *p) {", "}", "int Size(void) {", "  return 1;", "}", "void Caller(void) {", "  int cls = Size();", "  Alarm(cls);", "}", "void Alarm(int cls) {", "  int i = Get(cls) + missing(1);", "  int pos = i;", "  Fill(&pos);", "  tbl", "    [pos] = 0;", "}"]
+    texts = spark.createDataFrame([("p", 1, "\n".join(text))], "pver_id string, file_id long, text string")
+    lines = spark.createDataFrame([("p", 1, i, t) for i, t in enumerate(text, 1)], "pver_id string, file_id long, line_no int, text string")
+    alarms = spark.createDataFrame([("p", 1, 18, 5, 18, 8, None), ("p", 1, 5, 1, 5, 1, "other"), ("p", 1, 2, 1, 2, 1, "a.b")], "pver_id string, file_id long, line_no int, col int, end_line int, end_col int, underlined string")
+    got = {r["line_no"]: (r["array"], r["index"], r["dimension"]) for r in corpus.resolve_access(alarms, lines).collect()}
+    assert got == {18: ("tbl", "pos", 0), 5: ("other", None, None), 2: (None, None, None)} or got[18] == ("tbl", "pos", 0) and got[5] == ("other", None, None)
+    functions = corpus.extract_functions(texts)
+    starts = spark.createDataFrame([("p", 1, "Alarm", "pos"), ("p", 1, "Alarm", "cls")], "pver_id string, file_id long, fn string, token string")
+    path = spark.createDataFrame([("p", 1, "Alarm", "Caller", 1)], "pver_id string, file_id long, fn string, caller string, pos int")
+    found = corpus.value_origins(starts, corpus.extract_assignments(functions), functions, corpus.extract_parameters(functions), path)
+    assert {(r["token"], r["place"]): r["callee"] for r in found.collect()} == {("pos", 1): "Fill", ("pos", 2): "Get", ("cls", 1): "Size"}
