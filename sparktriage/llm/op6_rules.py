@@ -130,7 +130,7 @@ class Rule:
         return out
 
 
-def _lower_bound(bad: int, n: int, z: float = 1.64) -> float:
+def _lower_bound(bad: int, n: int, z: float = 1.0) -> float:
     """Wilson's lower bound of bad / n."""
     if not n:
         return 0.0

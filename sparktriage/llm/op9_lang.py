@@ -3,7 +3,7 @@
 A text is cut into windows of WINDOW bytes, the last one filled up with blanks. One recurrence reads a window forwards, one
 backwards; from both states every position gets probabilities of the languages, and those of all positions of the text are
 averaged. Weights are trained in numpy by backpropagation through time on windows of labelled texts: at most SAMPLE texts,
-those of least hash, and PER_TEXT windows of each, at hashed places.
+those of least hash of each language in turn, and PER_TEXT windows of each, at hashed places.
 
 Null texts and texts without a letter get `und` with score 0, as does every text if there is nothing to learn from. Only the
 text decides; equal texts get equal answers. Empty tables give empty results.
@@ -17,13 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, table, text_slices
+from .common import checkpoint, fold, near, table, text_slices
 
 WINDOW, HIDDEN = 48, 8
 SAMPLE, PER_TEXT = 6000, 4
+#: Rows of a language that may be drawn at least, and languages that are broadcast at most.
+LEAST_PER_LANGUAGE, BROADCAST_LANGUAGES = 200, 100_000
 STEPS, BATCH, RATE = 260, 256, 0.02
 _LETTER = regex.compile(r"\p{L}")
 
@@ -159,14 +161,22 @@ def train(texts: list[bytes], labels: list[str], seed: int = 5, steps: int = STE
 
 
 def sample(labelled: DataFrame, size: int = SAMPLE, per_text: int = PER_TEXT) -> tuple[list[bytes], list[str]]:
-    """Windows and labels of at most size rows (doc_id, text, lang); what reaches the driver is bounded in bytes, too."""
+    """Windows and labels of at most size rows (doc_id, text, lang), as many of each language as there are; what reaches the driver is bounded in bytes, too.
+
+    Of each language the rows of least hash are taken in turn, so a rare one is learned as well. Rows whose hash can't be among
+    these never meet: a language's share of hashes follows from its count.
+    """
     usable = labelled.where("lang is not null and length(text) > 0")
-    share = min(1.0, 4 * size / max(1, usable.count()))  # rows that can't be among the size least hashes need not meet
+    counts = checkpoint(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    wanted = max(LEAST_PER_LANGUAGE, 8 * size // max(1, counts.count()))
+    share = F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("n"))
+    most = counts.select("lang", F.when(share < 1, ((share * 2 - 1) * 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("most"))
     places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) for i in range(per_text)]
     pieces = F.array(*[F.substring("text", (p + 1).cast("int"), F.lit(WINDOW)) for p in places])
     rank = F.xxhash64("doc_id")
-    few = usable.where(rank <= F.lit(min(2**63 - 1, int((share * 2 - 1) * 2.0**63)))).select("doc_id", "lang", pieces.alias("pieces"), rank.alias("rank"))
-    chosen = few.orderBy("rank", "doc_id", "lang").limit(size)
+    few = usable.join(near(checkpoint(most), BROADCAST_LANGUAGES), "lang").where(rank <= F.col("most")).select("doc_id", "lang", pieces.alias("pieces"), rank.alias("rank"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))
+    chosen = few.withColumn("turn", turn).orderBy("turn", "rank", "doc_id", "lang").limit(size)
     cut = chosen.select("doc_id", "lang", F.posexplode("pieces").alias("i", "piece"))
     rows = cut.orderBy("doc_id", "i").select("piece", "lang").toPandas()
     return [t.encode() for t in rows["piece"]], rows["lang"].tolist()

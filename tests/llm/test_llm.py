@@ -511,6 +511,112 @@ def test_knn_copies(spark):
     assert {(r["query_id"], -r["vec_id"], r["score"]) for r in op10_knn.knn(df, lambda i: i % 50 == 0).collect()} == want
 
 
+def feature_values(texts):
+    """The features of the rules, from brute-force statistics where there are any."""
+    rows = []
+    for t in texts:
+        w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+        n_words, word_chars, n_symbols, n_dup, n_repeat = brute_stats(t)
+        chars = "".join(w)
+        letters = sum(b in range(65, 91) or b in range(97, 123) or 0xC3 <= b <= 0xF4 for b in chars.encode())
+        n, c, k = max(n_words, 1), max(word_chars, 1), max(len(lines), 1)
+        rows.append((n_words, word_chars / n, n_symbols / n, n_dup / k, n_repeat / n, letters / c, sum("A" <= x <= "Z" for x in chars) / c, sum("0" <= x <= "9" for x in chars) / c, sum(len(x) <= 3 for x in w) / n, len(set(w)) / n, n_words / k))
+    return dict(zip(op6_rules.FEATURES, np.array(rows, float).reshape(-1, len(op6_rules.FEATURES)).T))
+
+
+def test_quality_query(spark, docs):
+    """The query's rows by brute force: statistics, the base rule, and the learned list evaluated rule by rule."""
+    small = "/root/testdata/sf0.01"
+    frame = table(spark, small, "documents").select("doc_id", "text")
+    rules = op6_rules.fit(frame, table(spark, small, "labels"))
+    assert rules  # the list has something to say at this scale
+    rows = frame.toPandas()
+    values = feature_values(rows["text"])
+    first = np.zeros(len(rows), int)
+    for i, r in reversed(list(enumerate(rules, 1))):
+        first[r.covers(values)] = i
+    want = {}
+    for doc, text, rule in zip(rows["doc_id"], rows["text"], first):
+        stats = brute_stats(text)
+        base = stats[0] < 50 or 100 * stats[4] > 50 * stats[0]
+        want[doc] = (*stats, base, not base and rule == 0, int(rule) or None)
+    got = {r["doc_id"]: tuple(r)[1:] for r in op6_rules.query(spark, small).collect()}
+    assert got == want
+    labels = table(spark, small, "labels").toPandas().dropna()
+    bad = labels["doc_id"].map(lambda d: want[d][-1] is not None)
+    assert (labels["quality"][bad] == 0).mean() > 0.8
+    assert op6_rules.fit(frame.limit(0), table(spark, small, "labels")) == op6_rules.fit(frame, table(spark, small, "labels").limit(0)) == []
+    assert op6_rules.fit(frame, spark.createDataFrame([(None, 0, 0), (1, None, 0), (1, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")) == []
+
+
+def test_language_sample_has_rare_languages(spark):
+    rows = [(i, f"word{i} " * 20, "rare" if i % 1000 == 7 else "often") for i in range(4000)]
+    _, labels = op9_lang.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=40)
+    assert Counter(labels) == {"often": 36 * op9_lang.PER_TEXT, "rare": 4 * op9_lang.PER_TEXT}
+
+
+def test_empty_tables(spark, odd):
+    none = odd.limit(0)
+    assert op3_bpe.digests(none).count() == op3_bpe.stage(spark, none, SF).count() == op8_secrets.find_secrets(none).count() == 0
+    assert op9_lang.predict(none, op9_lang.train(*op9_lang.sample(none))).count() == 0 and op9_lang.sample(none) == ([], [])
+    assert op2_lines.dedup_lines(none, F.split("text", "\n"), F.col("source")).count() == 0
+    with pytest.raises(ValueError):
+        op3_bpe.encode_documents(odd.withColumn("_ids", F.lit(1)))
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage of the pipeline on what the one before kept, against a plain version."""
+    import corpus_pipeline
+
+    start = table(spark, SF, "documents")
+    docs = start.unionByName(spark.createDataFrame([(None, None, "en", None, 0), (900_001, "", None, "x", 0), (900_002, None, "en", "x", None)], start.schema))
+    named = dict(corpus_pipeline.STAGES)
+    assert list(named) == [n for n, _ in corpus_pipeline.STAGES] and len(named) == 5
+    rows = docs.toPandas()
+    rules = op6_rules.fit(docs, table(spark, SF, "labels"))
+    values = feature_values(rows["text"])
+    bad = np.any([r.covers(values) for r in rules], axis=0) if rules else np.zeros(len(rows), bool)
+    base = np.array([s[0] < 50 or 100 * s[4] > 50 * s[0] for s in map(brute_stats, rows["text"])])
+    one = named["quality rules"](spark, docs, SF)
+    kept = one.toPandas()
+    assert sorted(kept["doc_id"]) == sorted(rows["doc_id"][~base & ~bad])
+
+    two = named["line dedup"](spark, one, SF)
+    pages, seen = Counter(kept["source"]), Counter((s, x) for s, t in zip(kept["source"], kept["text"]) for x in {x.strip(" ") for x in t.split("\n")} if x)
+    hot = {k for k, n in seen.items() if n >= 3 and n > 0.1 * pages[k[0]]}
+    want = {d: "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in hot) for d, s, t in zip(kept["doc_id"], kept["source"], kept["text"])}
+    lines = two.toPandas()
+    assert dict(zip(lines["doc_id"], lines["text"])) == want and (lines["n_chars"] == lines["text"].str.len()).all()
+
+    three = named["n-gram Jaccard join"](spark, two, SF)
+    lines = lines.sort_values("doc_id", ignore_index=True)
+    root = linked_components(lines["text"].tolist(), 5, 80)
+    joined = three.toPandas()
+    assert sorted(joined["doc_id"]) == [d for i, d in enumerate(lines["doc_id"]) if root[i] == i]
+
+    four = named["source mixing"](spark, three, SF)
+    mixed, size = Counter(four.toPandas()["doc_id"]), {d: len(words(t)) for d, t in zip(joined["doc_id"], joined["text"])}
+    per = {s: int(sum(size[d] for d in g["doc_id"])) for s, g in joined.groupby("source")}
+    targets = brute_targets({s: per[s] for s in sorted(per)})
+    for s, g in joined.groupby("source"):
+        whole, reach = int(targets[s] // per[s]), 1
+        for d in g["doc_id"]:
+            reach |= reach << size[d]
+            assert whole <= mixed[d] <= whole + 1
+        nearest = min(abs(whole * per[s] + x - targets[s]) for x in range(per[s] + 1) if reach >> x & 1)
+        assert abs(abs(sum(mixed[d] * size[d] for d in g["doc_id"]) - targets[s]) - nearest) < 1e-3
+
+    with open(public_tokenizers.path(op3_bpe.RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = dict(zip(joined["doc_id"], joined["text"]))
+    last = named["byte-level BPE"](spark, four, SF).collect()
+    assert Counter(r["doc_id"] for r in last) == mixed
+    for r in last:
+        ids = library.encode_ordinary(text[r["doc_id"]])
+        assert bytes(r["token_ids"]) == np.array(ids, "<u4").tobytes() and r["n_tokens"] == len(ids)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
