@@ -97,7 +97,7 @@ select pver_id, location, cast(path_id as integer) as path_id, sq[-1] = 'fn_5' a
 # --- graph ---
 
 _E = ", e as (select distinct pver_id, caller, callee from cfg_edges), x as (select pver_id, caller as fn, 1 as o, 0 as i from e union all select pver_id, callee, 0, 1 from e), dg as (select pver_id, fn, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree, cast(sum(o + i) as bigint) as degree from x group by 1, 2)\n"
-register("u01_close_graph", "cfg_edges", gr.close_graph, _E + "select pver_id, fn, out_degree > 0 as defined from dg")
+register("u01_close_graph", "cfg_edges c_files", lambda e, c: gr.close_graph(e, co.extract_functions(c).select("pver_id", "fn", "defined")), _E + r""", k as (select pver_id, fn, out_degree > 0 as d from dg union all select pver_id, regexp_extract(text, '(fn_\d+)\(uint8 par', 1), true from c_files union all select pver_id, regexp_extract(text, '(fn_p\d+)', 1), false from c_files) select pver_id, fn, bool_or(d) as defined from k group by 1, 2""")
 register("a06_degrees", "cfg_edges", gr.degrees, _E + "select * from dg")
 register("a07_edge_weights", "cfg_edges", gr.edge_weights, "select pver_id, caller, callee, cast(sum(w) as bigint) as weight from cfg_edges group by 1, 2, 3")
 register("a22_merge_callees", "cfg_edges", lambda e: _flat(gr.merge_callees(e.withColumn("seq", -F.col("w"))), "callees"), ", s as (select pver_id, caller, callee, min(-w) as seq from cfg_edges group by 1, 2, 3) select pver_id, caller, string_agg(callee, ',' order by seq, callee) as callees from s group by 1, 2")
@@ -133,9 +133,10 @@ _sized = lambda o: o.groupBy("pver_id", "group_id", "symbol").agg(F.bool_or(F.co
 register("a15_enrichment_report", "heads cfg_edges order_facts", lambda h, e, o: re_.enrichment_report(h, pa.group_ids(h), e, _sized(o)), """, b as (select pver_id, count(*) as blocks, count(*) filter (contains(lower(alarm), 'array_out_of_bounds')) as matched, count(distinct location) as groups from heads group by 1), c as (select pver_id, count(*) as edges, count(distinct caller) as functions from cfg_edges group by 1),
 z as (select pver_id, group_id, symbol, bool_or(kind = 'array_size_hint') as k from order_facts group by 1, 2, 3), y as (select pver_id, count(*) as symbols, count(distinct group_id) as groups_with_info, count(*) filter (symbol in ('idx_0', 'idx_1') and not k) as unknown_sizes from z group by 1)
 select b.*, c.edges, c.functions, symbols, groups_with_info, unknown_sizes from b left join c using (pver_id) left join y using (pver_id)""")
-register("s09_project_inventory", "alarms heads", lambda a, h: re_.project_inventory(h.select("pver_id", F.explode(F.array(F.lit("Alarms.csv"), F.lit("input.c"), F.when(F.col("pver_id") > "4", F.lit("cfg.json")))).alias("name")).where("name is not null").distinct(), a), """
-select p.pver_id, 'Alarms.csv' as alarm_file, cast(null as string) as log_file, 'input.c' as source_file, case when p.pver_id > '4' then 'cfg.json' end as graph_file, coalesce(n, 0) as n_alarms, case when p.pver_id > '4' then 'ready' else 'needs_build' end as state
-from (select distinct pver_id from heads) p left join (select pver_id, count(*) as n from alarms group by 1) c using (pver_id)""")
+_files = lambda h: h.select("pver_id", F.explode(F.array(F.when(F.col("pver_id") != "3", F.lit("Alarms.CSV")), F.lit("run.log"), F.when(F.col("pver_id") != "2", F.lit("input.c")), F.when(F.col("pver_id") > "4", F.lit("cfg.json")))).alias("name")).where("name is not null").distinct()
+register("s09_project_inventory", "alarms heads", lambda a, h: re_.project_inventory(_files(h), a), """
+select p.pver_id, case when p.pver_id <> '3' then 'Alarms.CSV' end as alarm_file, 'run.log' as log_file, case when p.pver_id <> '2' then 'input.c' end as source_file, case when p.pver_id > '4' then 'cfg.json' end as graph_file, coalesce(n, 0) as n_alarms,
+ case when p.pver_id > '4' then 'ready' when p.pver_id in ('2', '3') then 'incomplete' else 'needs_build' end as state from (select distinct pver_id from heads) p left join (select pver_id, count(*) as n from alarms group by 1) c using (pver_id)""")
 
 # --- lines and symbols ---
 
@@ -201,8 +202,9 @@ select pver_id, file_id, line_no, text, cast(row_number() over (partition by pve
 register("w10_collapse_runs", "copy_lines", sy.collapse_indexed_runs, r""", s as (select pver_id, file_id, line_no, text, regexp_extract(text, '^(cfg\d_)', 1) as p, cast(regexp_extract(text, '_(\d+) =', 1) as bigint) as n, cast(regexp_extract(text, 'tab.(\d+)', 1) as bigint) as k from copy_lines where text <> 'break;' union all select pver_id, file_id, line_no, text, '', -1, -2 from copy_lines where text = 'break;'),
 m as (select *, case when n = k and lag(n) over w = lag(k) over w and lag(p) over w = p and lag(n) over w + 1 = n then 0 else 1 end as nw from s window w as (partition by pver_id, file_id order by line_no)), r as (select *, sum(nw) over (partition by pver_id, file_id order by line_no) as run from m)
 select pver_id, file_id, min(line_no) as line_no, count(*) as n_lines, case when count(*) > 1 then first(p) || '[' || min(n) || '..' || max(n) || ']=tab[' || min(n) || '..' || max(n) || ']' else first(text) end as text from r group by pver_id, file_id, run""")
-register("x04_constants", "code_lines", sy.extract_constants, r", c as (select *, regexp_extract(text, '\b(\w+) = (\d+)u?;', 1) as name, regexp_extract(text, '\b(\w+) = (\d+)u?;', 2) as v from code_lines) select pver_id, name, cast(arg_min(v, (file_id, line_no)) as integer) as value from c where name <> '' group by 1, 2")
-register("j09_constant_values", "code_lines", lambda c: sy.constant_values(c.select("pver_id", F.explode(F.array(F.lit("idx_1"), F.lit("idx_2___ab12"), F.lit("none"))).alias("name")).distinct(), sy.extract_constants(c)), r", c as (select *, regexp_extract(text, '\b(\w+) = (\d+)u?;', 1) as name, regexp_extract(text, '\b(\w+) = (\d+)u?;', 2) as v from code_lines), k as (select pver_id, name, cast(arg_min(v, (file_id, line_no)) as integer) as value from c where name <> '' group by 1, 2), n as (select distinct pver_id, unnest(['idx_1', 'idx_2___ab12', 'none']) as name from code_lines) select n.pver_id, n.name, k.value from n left join k on k.pver_id = n.pver_id and k.name = replace(n.name, '___ab12', '')")
+_CONST = r", kc as (select pver_id, name, arg_min(cast(v as bigint), (file_id, line_no)) as value from (select *, regexp_extract(text, '(\w+)\s*=\s*(\d+)', 1) as name, regexp_extract(text, '(\w+)\s*=\s*(\d+)', 2) as v from code_lines) where name <> '' group by 1, 2)"
+register("x04_constants", "code_lines", sy.extract_constants, _CONST + "select * from kc")
+register("j09_constant_values", "code_lines", lambda c: sy.constant_values(c.select("pver_id", F.explode(F.array(F.lit("idx_1"), F.lit("idx_2___ab12"), F.lit("none"), F.lit("idx_3___ab"))).alias("name")).distinct(), sy.extract_constants(c)), _CONST + ", nm as (select distinct pver_id, unnest(['idx_1', 'idx_2___ab12', 'none', 'idx_3___ab']) as name from code_lines) select nm.pver_id, nm.name, kc.value from nm left join kc on kc.pver_id = nm.pver_id and kc.name = replace(nm.name, '___ab12', '')")
 register("w11_line_context", "code_lines", sy.line_context, "select pver_id, file_id, line_no, concat_ws(chr(10), lag(text, 2) over w, lag(text, 1) over w, text) as lookback, lead(text) over w as next_text from code_lines window w as (partition by pver_id, file_id order by line_no)")
 _code = lambda f: lambda c: c.select(*sy.LINE, f(F.col("text")).alias("v"))
 register("p09_index_tokens", "code_lines", lambda c: _flat(_code(S.index_tokens)(c), "v"), r", e as (select pver_id, file_id, line_no, list_filter(regexp_extract_all(text, '(?:^|[^\w.])([A-Za-z_]\w*)', 1), lambda x: x not in ('if', 'return')) as l from code_lines) select pver_id, file_id, line_no, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') as v from e")
@@ -337,7 +339,7 @@ register("x02_calls", "c_files", lambda c: co.extract_calls(co.extract_functions
 register("x02_prototypes", "c_files", lambda c: co.extract_functions(c).where("not defined").select(*sy.FILE, "fn", "sig_line"), _CF + "select pver_id, file_id, proto as fn, 8 as sig_line from c")
 register("x03_declarations", "c_files", co.extract_declarations, _CF + """select pver_id, file_id, unnest([tab, mem, 'loc', 'rows']) as symbol, unnest(['uint16', 'uint8', 'uint8', 'row_t']) as datatype, false as macro, 0 as pointer_depth,
  unnest(['[' || sz || '*2+1][2]', '[3]', '', '']) as dims, unnest([4, 6, 11, 12]) as line_no, unnest([null, 'S', null, null]) as owner from c""")
-register("x04_defines", "c_files", co.extract_defines, _CF + "select pver_id, file_id, sz as name, n as value from c")
+register("x04_defines", "c_files", co.extract_defines, _CF + "select pver_id, file_id, sz as name, n as value from c union all select pver_id, file_id, 'loc', 3 from c where src = '3u'")
 register("x05_parameters", "c_files", lambda c: co.extract_parameters(co.extract_functions(c)), _CF + "select pver_id, file_id, fn, unnest([0, 1]) as place, unnest([par, 'ptr']) as symbol, unnest(['uint8', 'uint16']) as datatype, '' as dims, unnest([0, 1]) as pointer_depth from c")
 _spots = lambda c: _points(c).select("*", F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("int").alias("end_col")).unionByName(_lines(c).where("line_no = 14").select(*sy.LINE, F.expr("instr(text, '[1]')").alias("col"), F.lit(16).alias("end_line"), F.lit(9).alias("end_col")))
 register("x07_resolve_access", "c_files", lambda c: co.resolve_access(_spots(c), _lines(c)), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], '[') as col, tab as "array", tab as member_path, 'loc' as "index", 0 as dimension from c union all select pver_id, file_id, 16, instr(ls[16], '['), mem, 's.' || mem, 'ptr[0] + 1u', 0 from c

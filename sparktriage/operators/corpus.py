@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .facts import merge_windows, verify_quotes
-from .symbols import FILE, LINE, _with_span, occurrences, resolve_declaration
+from .symbols import FILE, LINE, _with_span, extract_constants, occurrences, resolve_declaration
 
 _HIDDEN = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|^[ \t]*#(?:\\.|[^\\\n])*", re.S | re.M)
 _DECLARED = re.compile(r"^\s*(?:(?:static|extern|const|volatile|register)\s+)*(?:[A-Z_]+\(\s*([A-Za-z_]\w*)[^()]*\)|(?:struct\s+|union\s+|enum\s+)?([A-Za-z_]\w*))(?:\s+|(?=\*))((?:\*\s*)*)(?:const\s+)?([A-Za-z_]\w*)\s*((?:\[[^\]]*\]\s*)*)(?:=[^=]|=$|;|,)")
@@ -155,10 +155,9 @@ def extract_typedefs(texts: DataFrame) -> DataFrame:
 
 
 def extract_defines(texts: DataFrame) -> DataFrame:
-    """Integer constants of #define lines; the first of a name in a file."""
-    pattern = r"(?m)^[ \t]*#[ \t]*define[ \t]+(\w+)[ \t]+\(?(\d+)[uUlL]*\)?[ \t]*$"
-    found = texts.select(*FILE, F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("n"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("v"))).alias("at", "d"))
-    return found.groupBy(*FILE, F.col("d.n").alias("name")).agg(F.min_by(F.col("d.v").try_cast("long"), "at").alias("value"))
+    """The integer constants of each file."""
+    lines = texts.select(*FILE, F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return extract_constants(lines, tuple(FILE))
 
 
 def _initializers(text: str) -> Iterator[tuple]:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def close_graph(edges: DataFrame) -> DataFrame:
-    """nodes = callers (defined) and callees."""
-    ends = edges.select("pver_id", F.col("caller").alias("fn"), F.lit(True).alias("d")).unionByName(edges.select("pver_id", F.col("callee").alias("fn"), F.lit(False).alias("d")))
+def close_graph(edges: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """Nodes are callers (defined), callees, and the functions (pver_id, fn, defined) that are known besides: definitions without calls, and prototypes."""
+    ends = edges.select("pver_id", F.col("caller").alias("fn"), F.lit(True).alias("d")).unionByName(edges.where("callee is not null").select("pver_id", F.col("callee").alias("fn"), F.lit(False).alias("d")))
+    if functions is not None:
+        ends = ends.unionByName(functions.select("pver_id", "fn", F.col("defined").alias("d")))
     return ends.groupBy("pver_id", "fn").agg(F.bool_or("d").alias("defined"))
 
 

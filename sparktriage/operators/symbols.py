@@ -142,15 +142,20 @@ def nearest_span(refs: DataFrame, functions: DataFrame) -> DataFrame:
     return both.select(*LINE, "fn", F.when(nearer, F.col("high.body")).otherwise(F.col("low.body")).alias("body")).where("body is not null")
 
 
-def extract_constants(lines: DataFrame) -> DataFrame:
-    """The first integer that each name of a project is set to."""
-    found = lines.select(*LINE, F.regexp_extract("text", r"\b(\w+) = (\d+)u?;", 1).alias("name"), F.regexp_extract("text", r"\b(\w+) = (\d+)u?;", 2).alias("value")).where("name <> ''")
-    return found.groupBy("pver_id", "name").agg(F.min_by(F.col("value").cast("int"), F.struct("file_id", "line_no")).alias("value"))
+def extract_constants(lines: DataFrame, keys: tuple[str, ...] = ("pver_id",)) -> DataFrame:
+    """The first integer per keys (project, or file) that a #define gives a name, or that a name is set to on a line that is no directive, as in enums."""
+    define = r"^\s*#\s*define\s+([A-Za-z_]\w*)\s+\(?\s*([+-]?\d+)"
+    set_to = r"\b([A-Za-z_]\w*)\s*=\s*([+-]?\d+)"
+    every = lambda i: F.regexp_extract_all("text", F.lit(set_to), i)
+    own = F.when(F.col("text").rlike(define), F.array(F.struct(F.regexp_extract("text", define, 1).alias("name"), F.regexp_extract("text", define, 2).alias("value"))))
+    pairs = own.when(~F.col("text").rlike(r"^\s*#"), F.arrays_zip(every(1).alias("name"), every(2).alias("value")))
+    found = lines.select(*LINE, F.posexplode(pairs).alias("at", "c")).withColumn("value", F.col("c.value").try_cast("long")).where("value is not null")
+    return found.groupBy(*keys, F.col("c.name").alias("name")).agg(F.min_by("value", F.struct("file_id", "line_no", "at")).alias("value"))
 
 
 def constant_values(names: DataFrame, constants: DataFrame) -> DataFrame:
     """The value of a name, or of the name without its ___hex suffix."""
-    bare = names.withColumn("bare", F.regexp_replace("name", r"___[0-9a-fA-F]+$", ""))
+    bare = names.withColumn("bare", F.regexp_replace("name", r"___[0-9a-fA-F]{4,}$", ""))
     own = constants.select("pver_id", "name", F.col("value").alias("v1"))
     short = constants.select("pver_id", F.col("name").alias("bare"), F.col("value").alias("v2"))
     return bare.join(own, ["pver_id", "name"], "left").join(short, ["pver_id", "bare"], "left").select("pver_id", "name", F.coalesce("v1", "v2").alias("value"))

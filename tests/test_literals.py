@@ -386,3 +386,9 @@ def test_access_and_origins(spark):
     path = spark.createDataFrame([("p", 1, "Alarm", "Caller", 1)], "pver_id string, file_id long, fn string, caller string, pos int")
     found = corpus.value_origins(starts, corpus.extract_assignments(functions), functions, corpus.extract_parameters(functions), path)
     assert {(r["token"], r["place"]): r["callee"] for r in found.collect()} == {("pos", 1): "Fill", ("pos", 2): "Get", ("cls", 1): "Size"}
+
+
+def test_constants(spark):
+    text = ["#define N (4u)", "#define N 5", "enum { A = 2, B, C = -7 };", "#if X = 3", "x == 9; y = 0;", "#define M (N + 1)"]
+    lines = spark.createDataFrame([("p", 1, i, t) for i, t in enumerate(text, 1)], "pver_id string, file_id long, line_no int, text string")
+    assert {r["name"]: r["value"] for r in symbols.extract_constants(lines).collect()} == {"N": 4, "A": 2, "C": -7, "y": 0}
