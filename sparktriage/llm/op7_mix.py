@@ -25,7 +25,7 @@ MAX_WINDOW = 1 << 25
 #: Documents of one source and size are cut by hash into as many buckets as leave so few rows of the whole table in each.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 64
 #: Plans (one row per source and size) of more rows than this are not broadcast.
-PLAN_ROWS = 1 << 19
+PLAN_ROWS = 1 << 18
 
 
 def word_count(text: Column) -> Column:

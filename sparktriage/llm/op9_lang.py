@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fold, near, table, text_slices
@@ -170,13 +170,13 @@ def sample(labelled: DataFrame, size: int = SAMPLE, per_text: int = PER_TEXT) ->
     counts = checkpoint(usable.groupBy("lang").agg(F.count("*").alias("n")))
     wanted = max(LEAST_PER_LANGUAGE, 8 * size // max(1, counts.count()))
     share = F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("n"))
-    most = counts.select("lang", F.when(share < 1, ((share * 2 - 1) * 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("most"))
+    most = counts.select("lang", "n", F.when(share < 1, ((share * 2 - 1) * 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("most"))
     places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) for i in range(per_text)]
     pieces = F.array(*[F.substring("text", (p + 1).cast("int"), F.lit(WINDOW)) for p in places])
     rank = F.xxhash64("doc_id")
-    few = usable.join(near(checkpoint(most), BROADCAST_LANGUAGES), "lang").where(rank <= F.col("most")).select("doc_id", "lang", pieces.alias("pieces"), rank.alias("rank"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))
-    chosen = few.withColumn("turn", turn).orderBy("turn", "rank", "doc_id", "lang").limit(size)
+    few = usable.join(near(checkpoint(most), BROADCAST_LANGUAGES), "lang").where(rank <= F.col("most"))
+    few = few.select("doc_id", "lang", pieces.alias("pieces"), rank.alias("rank"), ((rank / 2.0**64 + 0.5) * F.col("n")).alias("turn"))  # its place among its language's hashes, as even hashes have it
+    chosen = few.orderBy("turn", "rank", "doc_id", "lang").limit(size)
     cut = chosen.select("doc_id", "lang", F.posexplode("pieces").alias("i", "piece"))
     rows = cut.orderBy("doc_id", "i").select("piece", "lang").toPandas()
     return [t.encode() for t in rows["piece"]], rows["lang"].tolist()
