@@ -29,7 +29,7 @@ from .common import slices, table, text_slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The encoder forgets its known pieces when it holds so many; results do not depend on it.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 120_000
 #: Pieces longer than this are not kept.
 LONG_PIECE = 64
 #: Bytes of new pieces that share a queue, and of texts that are encoded together; a single longer one goes alone.
