@@ -29,7 +29,7 @@ from .common import slices, table, text_slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The encoder forgets its known pieces when it holds so many; results do not depend on it.
-KNOWN_PIECES = 120_000
+KNOWN_PIECES = 300_000
 #: Pieces longer than this are not kept.
 LONG_PIECE = 64
 #: Bytes of new pieces that share a queue, and of texts that are encoded together; a single longer one goes alone.
@@ -190,6 +190,11 @@ class Encoder:
         """The ids of one text."""
         return self.encode_all([text])[0]
 
+    def forget(self) -> None:
+        """Gives up the known pieces: a worker that turns to other work needs the room."""
+        self.pieces.clear()
+        self.words.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -213,11 +218,14 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
-            for start, end, texts in text_slices(batch, place, TEXT_BYTES):  # the output of a few rows at a time bounds what a worker holds
-                part = batch.slice(start, end - start)
-                ids = own.encode_all([t.decode() for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], [*part.schema.names, "_ids", "_decoded"])
+        try:
+            for batch in batches:
+                for start, end, texts in text_slices(batch, place, TEXT_BYTES):  # the output of a few rows at a time bounds what a worker holds
+                    part = batch.slice(start, end - start)
+                    ids = own.encode_all([t.decode() for t in texts])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], [*part.schema.names, "_ids", "_decoded"])
+        finally:
+            own.forget()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, _ids binary, _decoded binary")
