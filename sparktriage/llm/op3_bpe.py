@@ -30,6 +30,8 @@ from .common import slices, table, text_slices
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The encoder forgets its known pieces when it holds so many; results do not depend on it.
 KNOWN_PIECES = 300_000
+#: The same where a worker does nothing else (about 250 MB).
+KNOWN_ALONE = 700_000
 #: Pieces longer than this are not kept.
 LONG_PIECE = 64
 #: Bytes of new pieces that share a queue, and of texts that are encoded together; a single longer one goes alone.
@@ -155,7 +157,7 @@ class Encoder:
         new = list({p for p in pieces if p not in self.pieces})
         self.pieces.update(zip(new, self.merge_all([p.encode() for p in new])))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[str], most: int = KNOWN_PIECES) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; what is new in them is merged together.
 
         A match of the pattern always begins at a blank that stands before something else than white space, so texts are cut
@@ -178,7 +180,7 @@ class Encoder:
         word = self.words.__getitem__
         out = [b"".join(map(piece, head)) + b"".join(map(word, rest)) for head, rest in zip(heads, words)]
         for known in (self.pieces, self.words):
-            if len(known) > KNOWN_PIECES:
+            if len(known) > most:
                 known.clear()
         for known, met in ((self.pieces, chain(chain.from_iterable(heads), chain.from_iterable(cuts))), (self.words, new)):
             for key in met:
@@ -240,7 +242,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             n, a, b = [], [], []
             for _, _, texts in text_slices(batch, 1, TEXT_BYTES):
-                for ids in own.encode_all([t.decode() for t in texts]):
+                for ids in own.encode_all([t.decode() for t in texts], KNOWN_ALONE):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(own.decode(ids)).hexdigest())
