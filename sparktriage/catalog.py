@@ -16,6 +16,7 @@ from .operators import records as re_
 from .operators import symbols as sy
 from .operators import verdict as ve
 from .plans.views import view, with_views
+from .sources.scratch import checkpoint
 from .streaming import events as ev
 
 FLAGSHIP = "alarm_location_paths"
@@ -333,6 +334,25 @@ _CF = r""", c as (select pver_id, file_id, text, string_split(text, chr(10)) as
 """
 _lines = lambda c: c.select("pver_id", "file_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("pver_id", "file_id", (F.col("at") + 1).alias("line_no"), "text")
 _points = lambda c: _lines(c).where("line_no in (14, 16)").select(*sy.LINE, F.instr("text", "[").alias("col"))
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    """The functions of all files, scanned once."""
+    return checkpoint(co.extract_functions(texts))
+
+
+def _origins(texts: DataFrame, token: str) -> DataFrame:
+    functions = _parsed(texts)
+    starts = functions.where("defined").select(*sy.FILE, "fn", F.lit(token).alias("token"))
+    return co.index_origin(starts, co.extract_assignments(functions), co.extract_parameters(functions), co.extract_declarations(texts), functions)
+
+
+def _sources(texts: DataFrame, token: str) -> DataFrame:
+    functions = _parsed(texts)
+    starts = functions.where("defined").select(*sy.FILE, "fn", F.lit(token).alias("token"))
+    return co.value_origins(starts, co.extract_assignments(functions), functions, co.extract_parameters(functions))
+
+
 _starts = lambda c: co.extract_functions(c).where("defined").select(*sy.FILE, "fn", F.lit("loc").alias("token"))
 register("x01_functions", "c_files", lambda c: co.extract_functions(c).where("defined").select(*sy.FILE, "fn", "start_line", "end_line", "sig_line", "sig_text"), _CF + "select pver_id, file_id, fn, 10 as start_line, 17 as end_line, 9 as sig_line, ls[9] as sig_text from c")
 register("x02_calls", "c_files", lambda c: co.extract_calls(co.extract_functions(c)), _CF + "select pver_id, file_id, fn as caller, callee, 1 as pos from c union all select pver_id, file_id, fn, replace(fn, 'fn_', 'cb_'), 2 from c")
@@ -356,10 +376,10 @@ register("x10_initializer_sizes", "c_files", co.initializer_sizes, _CF + "select
 register("p12_resolve_dims", "c_files", lambda c: _flat(co.resolve_dims(co.extract_declarations(c), co.extract_defines(c)), "sizes"), _CF + "select pver_id, file_id, unnest(['[' || sz || '*2+1][2]', '[3]']) as dims, unnest([(n * 2 + 1) || ',2', '3']) as sizes, true as all_known from c")
 register("j07_resolve_parameter", "c_files", lambda c: co.resolve_parameter(co.extract_functions(c).where("defined").select(*sy.FILE, "fn", F.explode(F.array(F.lit("ptr"), F.lit("none"))).alias("symbol")), co.extract_parameters(co.extract_functions(c))), _CF + "select pver_id, file_id, fn, 'ptr' as symbol, fn as owner, 'uint16' as datatype from c")
 register("j08_typedef_dims", "c_files", lambda c: co.typedef_dims(co.extract_declarations(c), co.extract_typedefs(c)), _CF + "select pver_id, file_id, 12 as line_no, 'rows' as symbol, '[4]' as dims from c")
-register("j18_attach_snippets", "c_files", lambda c: co.attach_snippets(_starts(c).select(*sy.FILE, F.concat("fn", F.lit("|separate")).alias("fn")), co.extract_functions(c), c), _CF + "select pver_id, file_id, fn || '|separate' as fn, 9 as from_line, 17 as to_line, array_to_string(ls[9:17], chr(10)) as snippet from c")
+register("j18_attach_snippets", "c_files", lambda c: co.attach_snippets(_starts(c).select(*sy.FILE, F.concat("fn", F.lit("|separate")).alias("fn")), co.extract_functions(c), _lines(c)), _CF + "select pver_id, file_id, fn || '|separate' as fn, 9 as from_line, 17 as to_line, array_to_string(ls[9:17], chr(10)) as snippet from c")
 register("p19_underlined_variable", "c_files", lambda c: co.underlined_variable(_lines(c).where("line_no = 14").select(*sy.FILE, F.col("text").alias("raw"), F.concat(F.lit("    "), F.repeat(F.lit("~"), 5)).alias("underline"))), _CF + "select pver_id, file_id, ls[14] as raw, '    ~~~~~' as underline, ls[14][5:9] as variable from c")
-register("g05_index_origin", "c_files", lambda c: co.index_origin(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, 'loc' as token, case when src = par then 'parameter' when src = 'g_all' then 'global' else 'local' end as origin, case when src = '3u' then 1 else 2 end as n_names from c")
-register("j19_value_origins", "c_files", lambda c: co.value_origins(_starts(c), co.extract_assignments(co.extract_functions(c)), co.extract_functions(c), co.extract_parameters(co.extract_functions(c))), _CF + "select pver_id, file_id, fn, 'loc' as token, callee, 1 as place from c where exists (select 1 from c d where d.pver_id = c.pver_id and d.fn = c.callee)")
+register("g05_index_origin", "c_files", lambda c: _origins(c, "loc"), _CF + "select pver_id, file_id, fn, 'loc' as token, case when src = par then 'parameter' when src = 'g_all' then 'global' else 'local' end as origin, case when src = '3u' then 1 else 2 end as n_names from c")
+register("j19_value_origins", "c_files", lambda c: _sources(c, "loc"), _CF + "select pver_id, file_id, fn, 'loc' as token, callee, 1 as place from c where exists (select 1 from c d where d.pver_id = c.pver_id and d.fn = c.callee)")
 _one = lambda c: c.select(*sy.FILE, F.regexp_extract("text", r"uint16 (tab_\d+)", 1).alias("array"), F.lit(14).alias("line_no"))
 register("x14_fix_index_symbols", "c_files", lambda c: co.fix_index_symbols(_starts(c).select(*sy.FILE, "fn", F.explode(F.array(F.lit("loc"), F.lit("far"))).alias("symbol"), F.lit(4).alias("line_no")), _starts(c).select(*sy.FILE, "fn", F.explode(F.array(F.lit("loc"), F.lit("ptr"), F.lit("none"))).alias("token")), co.extract_parameters(co.extract_functions(c)), co.extract_declarations(c), co.extract_functions(c)), _CF + "select pver_id, file_id, fn, unnest(['loc', 'far', 'ptr']) as symbol, unnest([11, 4, 9]) as line_no, unnest(['local', null, 'parameter']) as scope, unnest(['re-pointed', 'kept', 'added']) as change from c")
 _RAW = [(13, "alarm_site", "tab_", None), (13, "write", "uint8 loc = ", "loc"), (15, "write", "if (loc < 4u) {", "loc"), (16, "guard", "return (*cb", "s"), (14, "guard", "if (loc < 4u)", "zz"), (2, "write", "far away", "loc"), (12, "fact", "row_t rows;", None)]
@@ -367,5 +387,26 @@ register("x13_normalize_facts", "c_files", lambda c: co.normalize_facts(_one(c).
  unnest(['alarm_site', 'write', 'read', 'guard']) as kind, unnest([trim(ls[14]), 'uint8 loc =', 'if (loc < 4u) {', 'if (loc < 4u)']) as quote, unnest([null, 'loc', 'loc', null]) as symbol from c""")
 register("x11_seed_facts", "c_files", lambda c: co.seed_facts(co.extract_declarations(c), co.initializer_sizes(c), _one(c), _one(c).select(*sy.FILE, F.lit(13).alias("line_no"), F.lit("loc").alias("token")), _lines(c)), _CF + """, k as (select *, unnest([4, 6, 11, 12, 4, 14, 13]) as line_no,
  unnest(['declaration', 'declaration', 'declaration', 'declaration', 'array_size_hint', 'alarm_site', 'local_guard']) as kind, unnest([tab, mem, 'loc', 'rows', tab, tab, 'loc']) as symbol from c) select pver_id, file_id, line_no, kind, symbol, trim(ls[line_no]) as quote from k""")
-register("w06_symbol_packages", "c_files", lambda c: co.symbol_packages(_one(c).select(*sy.FILE, F.col("array").alias("symbol"), F.explode(F.array(F.lit(4), F.lit(14), F.lit(12))).alias("line")), _lines(c)), _CF + "select pver_id, file_id, tab as symbol, 16 as n_lines, array_to_string(list_transform(range(1, 18), lambda i: case when i <> 8 then i || ': ' || ls[i] end), chr(10)) as package from c")
+register("w06_symbol_packages", "c_files", lambda c: co.symbol_packages(_one(c).select(*sy.FILE, F.col("array").alias("symbol"), F.explode(F.array(F.lit(4), F.lit(14), F.lit(12))).alias("line")), _lines(c)), _CF + "select pver_id, file_id, tab as symbol, 16 as n_lines, array_to_string(list_transform(range(1, 18), lambda i: case when i = 8 then '' else i || ': ' || ls[i] end), chr(10)) as package from c")
 register("w06_key_lines", "c_files", lambda c: co.symbol_key_lines(sy.occurrences(_lines(c)), co.extract_declarations(c), _one(c).withColumn("index", F.lit("loc"))).where("symbol = 'loc' or symbol like 'tab%'"), _CF + "select pver_id, file_id, tab as symbol, unnest([4, 14]) as line from c union all select pver_id, file_id, 'loc', unnest([11, 13, 14]) from c")
+
+# --- C files of several shapes; positions come from where a file's blocks begin ---
+
+_at = lambda rows, *names: "(values " + ", ".join(str(r) for r in rows) + f") as v({', '.join(names)})"
+_SB = lambda rows, *names: f", v as (select * from {_at(rows, *names)}), s as (select b.*, v.* exclude (kind) from shape_blocks b join v using (kind))\n"
+_BODY = [(0, 1, 2, 8), (1, 1, 3, 11), (2, 1, 2, 7), (3, 1, 2, 9), (4, 5, 6, 10), (5, 1, 2, 8)]
+_tokens = lambda f, *names: co.extract_functions(f).where("defined").select(*sy.FILE, "fn", F.explode(F.array(*map(F.lit, names))).alias("token"))
+_NAMED = "case {0} when 'P' then p when 'F' then 'f_' || p when 'T' then t when 'U' then u when 'B' then b when 'C' then c when 'S' then fn || '_tag' else {0} end"
+register("x01_function_shapes", "shape_files shape_blocks", lambda f, b: co.extract_functions(f).select(*sy.FILE, "fn", "defined", "start_line", "end_line", "sig_line"), _SB(_BODY, "kind", "sig", "o", "e") + "select pver_id, file_id, fn, true as defined, head + o as start_line, head + e as end_line, head + sig as sig_line from s")
+register("x02_call_shapes", "shape_files shape_blocks", lambda f, b: co.extract_calls(co.extract_functions(f)), _SB([(1, 1, "cb"), (2, 1, "B"), (3, 1, "B"), (3, 2, "C")], "kind", "pos", "x") + f"""select distinct pver_id, file_id, fn as caller, {_NAMED.format('x')} as callee, pos from s""")
+_DECLS = [(0, "idx", "uint8", 0, "", 3, ""), (0, "m", "uint8", 0, "", 4, ""), (1, "k", "uint16", 0, "", 4, ""), (1, "idx", "uint16", 0, "", 5, ""), (2, "idx", "uint8", 0, "", 3, ""), (2, "at", "uint8", 1, "", 3, ""), (2, "rows", "uint8", 0, "[4][2]", 3, ""), (2, "j", "uint8", 0, "", 4, ""),
+          (3, "idx", "uint8", 0, "", 3, ""), (3, "sz", "uint8", 0, "", 4, ""), (4, "F", "uint8", 0, "[3]", 2, "S"), (4, "hook", "void", 1, "", 3, "S"), (4, "idx", "uint8", 0, "", 7, ""), (5, "a", "uint8", 0, "", 3, ""), (5, "idx", "uint8", 0, "", 3, "")]
+register("x03_declaration_shapes", "shape_files shape_blocks", lambda f, b: co.extract_declarations(f), _SB(_DECLS, "kind", "x", "datatype", "d", "dims", "l", "o") + f"select pver_id, file_id, {_NAMED.format('x')} as symbol, datatype, false as macro, d as pointer_depth, dims, head + l as line_no, nullif({_NAMED.format('o')}, '') as owner from s")
+_PARAMS = [(0, 0, "P", "uint8", 0), (0, 1, "n", "uint8", 0), (1, 0, "P", "uint16", 0), (1, 1, "cb", "uint16", 1), (3, 0, "src", "uint8", 1), (3, 1, "len", "uint8", 0), (4, 0, "s", "S", 1), (4, 1, "P", "uint8", 0), (5, 0, "q", "uint8", 0)]
+register("x05_parameter_shapes", "shape_files shape_blocks", lambda f, b: co.extract_parameters(co.extract_functions(f)), _SB(_PARAMS, "kind", "place", "x", "y", "d") + f"select pver_id, file_id, fn, place, {_NAMED.format('x')} as symbol, {_NAMED.format('y')} as datatype, '' as dims, d as pointer_depth from s")
+_WRITES = [(0, "idx", 5, 1), (0, "T", 6, 1), (1, "k", 6, 1), (1, "idx", 8, 1), (1, "T", 9, 1), (2, "idx", 5, 1), (2, "j", 5, 1), (2, "rows", 6, 1), (3, "idx", 6, 1), (3, "sz", 7, 2), (3, "T", 7, 1), (5, "idx", 3, 1), (5, "T", 4, 1), (5, "idx", 5, 1), (5, "a", 6, 1), (5, "idx", 6, 1)]
+register("x06_write_shapes", "shape_files shape_blocks", lambda f, b: sy.occurrences(_lines(f)).where("access = 'write'").groupBy(*sy.LINE, "symbol").agg(F.count("*").alias("n")), _SB(_WRITES, "kind", "x", "l", "n") + f"select pver_id, file_id, head + l as line_no, {_NAMED.format('x')} as symbol, n from s")
+register("g05_origin_shapes", "shape_files shape_blocks", lambda f, b: _origins(f, "idx"), _SB([(0, "parameter", 2), (1, "parameter", 3), (2, "global", 3), (3, "local", 2), (4, "parameter", 2), (5, "local", 2)], "kind", "origin", "n_names") + "select pver_id, file_id, fn, 'idx' as token, origin, n_names from s")
+register("j19_origin_shapes", "shape_files shape_blocks", lambda f, b: _sources(f, "idx"), _SB([(2, 1, "B"), (3, 1, "C"), (3, 2, "B")], "kind", "r", "x") + f""", k as (select *, {_NAMED.format('x')} as callee from s), d as (select distinct pver_id, fn as callee from shape_blocks)
+select pver_id, file_id, fn, 'idx' as token, callee, cast(row_number() over (partition by pver_id, file_id, fn order by r) as integer) as place from k join d using (pver_id, callee)""")
+register("j18_snippet_shapes", "shape_files shape_blocks", lambda f, b: co.attach_snippets(_tokens(f, "idx").select(*sy.FILE, F.concat("fn", F.lit("|separate")).alias("fn")), co.extract_functions(f), _lines(f)), _SB(_BODY, "kind", "sig", "o", "e") + ", t as (select pver_id, file_id, string_split(text, chr(10)) as ls from shape_files) select pver_id, file_id, fn || '|separate' as fn, head + sig as from_line, head + e as to_line, array_to_string(ls[head + sig:head + e], chr(10)) as snippet from s join t using (pver_id, file_id)")

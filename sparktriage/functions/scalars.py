@@ -155,6 +155,13 @@ def open_call(before: Column) -> Column:
     return F.when(before.contains(")"), bare).otherwise(before)
 
 
+#: Bracket groups that hold up to three levels of further ones, and what makes of the name before them a written one. The assignment signs.
+_GROUP = r"\[[^\[\]]*\]"
+for _ in range(3):
+    _GROUP = r"\[(?:[^\[\]]|" + _GROUP + r")*\]"
+WRITTEN = r"^(?:\s*" + _GROUP + r")*\s*(?:=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)"
+
+
 def access_kind(text: Column, before: Column, after: Column, declared: Column) -> Column:
     """What an occurrence does, by what stands before and after it: declaration, address, write, parameter, read; the first that fits."""
     depth = F.length(F.regexp_replace(before, r"[^(]", "")) - F.length(F.regexp_replace(before, r"[^)]", ""))
@@ -162,7 +169,7 @@ def access_kind(text: Column, before: Column, after: Column, declared: Column) -
     return (
         F.when(declared, "declaration")
         .when(before.rlike(r"(^|[^&])&\s*$"), "address")
-        .when(after.rlike(r"^(\s*\[[^\]]*\])*\s*(=[^=]|[-+*/%&|^]=|<<=|>>=|\+\+|--)") | before.rlike(r"(\+\+|--)\s*$"), "write")
+        .when(after.rlike(WRITTEN) | before.rlike(r"(\+\+|--)\s*$"), "write")
         .when((depth > 0) & bare.rlike(r"\w\s*\([^()]*$") & ~bare.rlike(r"\b(if|while|for|switch|return)\s*\(+[^()]*$"), "parameter")
         .otherwise("read")
     )

@@ -6,34 +6,27 @@ Null texts give no rows; brackets left open end with the file.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ctext
 from ..functions import scalars as S
+from ..functions.ctext import blank as blank
+from ..sources.scratch import checkpoint
 from .facts import merge_windows, verify_quotes
 from .symbols import FILE, LINE, _with_span, extract_constants, occurrences, resolve_declaration
 
-_HIDDEN = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|^[ \t]*#(?:\\.|[^\\\n])*", re.S | re.M)
-_DECLARED = re.compile(r"^\s*(?:(?:static|extern|const|volatile|register)\s+)*(?:[A-Z_]+\(\s*([A-Za-z_]\w*)[^()]*\)|(?:struct\s+|union\s+|enum\s+)?([A-Za-z_]\w*))(?:\s+|(?=\*))((?:\*\s*)*)(?:const\s+)?([A-Za-z_]\w*)\s*((?:\[[^\]]*\]\s*)*)(?:=[^=]|=$|;|,)")
-_UNTYPED = re.compile(r"^\s*((?:\*\s*)*)([A-Za-z_]\w*)\s*((?:\[[^\]]*\]\s*)*)(?:=[^=]|;)")
-_TYPE_ALONE = re.compile(r"^\s*(?:(?:static|extern|const|volatile)\s+)*([A-Za-z_]\w*)\s*$")
-_NOT_TYPES = {"return", "goto", "typedef", "else", "case", "break", "continue", "do", "sizeof", "struct", "union", "enum"}
 CALL = r"((?<!\w)[A-Za-z_]\w*|\(\s*\*\s*[A-Za-z_]\w*\s*\))\s*(?=\()"
 # Kinds a fact may have, and those that state a bound.
 ALLOWED = ["declaration", "alarm_site", "access", "write", "read", "guard", "clamp", "mask", "loop_bound", "arg_binding", "call_edge", "path_step", "value_site", "array_size_hint", "local_guard", "fact"]
 BOUNDS = ["guard", "clamp", "mask", "loop_bound", "local_guard", "array_size_hint"]
-#: Initializers longer than this many lines are not counted.
-INITIALIZER_LINES = 20_000
-
-
-def blank(text: str) -> str:
-    """Comments, strings and directives as blanks, so that offsets and lines stay."""
-    return _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+#: Rows of a scanner that are handed on together.
+SCANNED_ROWS = 10_000
 
 
 def _per_file(texts: DataFrame, scan: Callable[[str], Iterator[tuple]], fields: str) -> DataFrame:
@@ -41,8 +34,10 @@ def _per_file(texts: DataFrame, scan: Callable[[str], Iterator[tuple]], fields:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, f, *r) for p, f, t in zip(*[c.to_pylist() for c in batch.columns]) if t for r in scan(t)]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[*FILE, *names]), preserve_index=False, schema=schema)
+            texts = zip(*(c.to_pylist() for c in batch.columns))
+            found = ((p, f, *r) for p, f, text in texts if text for r in scan(text))  # a file at a time: no more than its rows are held
+            while rows := list(islice(found, SCANNED_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -53,56 +48,9 @@ def _per_file(texts: DataFrame, scan: Callable[[str], Iterator[tuple]], fields:
     return picked.mapInArrow(run, ddl)
 
 
-def _line_of(text: str) -> Callable[[int], int]:
-    ends = [m.start() for m in re.finditer("\n", text)]
-    return lambda at: bisect_right(ends, at - 1) + 1
-
-
-def _signature(head: str) -> tuple[str, int, str] | None:
-    """(name, offset, parameters) by the last balanced bracket group at the top whose name can be a function's."""
-    if "=" in head:
-        return None
-    found, depth, start = None, 0, 0
-    for m in re.finditer(r"[()]", head):
-        if m.group() == "(":
-            start = m.start() if depth == 0 else start
-            depth += 1
-        else:
-            depth -= 1
-            name = re.search(r"([A-Za-z_]\w*)\s*$", head[:start]) if depth == 0 else None
-            if name and name.group(1) not in S.KEYWORDS and not name.group(1).startswith("__"):
-                found = name.group(1), name.start(1), head[start + 1 : m.start()]
-    return found
-
-
-def _functions(text: str) -> Iterator[tuple]:
-    flat = blank(text)
-    line = _line_of(text)
-    depth, last, opened = 0, 0, 0
-    for m in re.finditer(r"[{};]", flat):
-        at, sign = m.start(), m.group()
-        if sign == "{":
-            opened = at if depth == 0 else opened
-            depth += 1
-        elif sign == "}":
-            depth = max(0, depth - 1)
-            if depth == 0:
-                found = _signature(flat[last:opened])
-                if found:
-                    where = line(last + found[1])
-                    yield found[0], True, line(opened), line(at), where, text.split("\n")[where - 1], found[2], flat[opened : at + 1]
-                last = at + 1
-        elif depth == 0:
-            found = _signature(flat[last:at])
-            if found and re.search(r"\w\s*[\s*]$", flat[last : last + found[1]]):
-                where = line(last + found[1])
-                yield found[0], False, None, None, where, text.split("\n")[where - 1], found[2], None
-            last = at + 1
-
-
 def extract_functions(texts: DataFrame) -> DataFrame:
     """Definitions (defined) and prototypes with the lines of the body's brackets and of the name, parameters and the blanked body."""
-    return _per_file(texts, _functions, "fn string, defined boolean, start_line int, end_line int, sig_line int, sig_text string, params string, body string")
+    return _per_file(texts, ctext.functions, "fn string, defined boolean, start_line int, end_line int, sig_line int, sig_text string, params string, body string")
 
 
 def extract_calls(functions: DataFrame) -> DataFrame:
@@ -114,38 +62,19 @@ def extract_calls(functions: DataFrame) -> DataFrame:
     return first.select(*FILE, "caller", "callee", pos.alias("pos"))
 
 
-def _declarations(text: str) -> Iterator[tuple]:
-    owners: list[str] = []
-    previous = None
-    for number, flat in enumerate(blank(text).split("\n"), 1):
-        m = _DECLARED.match(flat)
-        kind = m and (m.group(1) or m.group(2))
-        if m and kind not in _NOT_TYPES and m.group(4) not in S.KEYWORDS:
-            yield m.group(4), kind, m.group(1) is not None, m.group(3).count("*"), "".join(m.group(5).split()), number, owners[-1] if owners and owners[-1] else None
-        elif previous and previous not in _NOT_TYPES and (u := _UNTYPED.match(flat)) and u.group(2) not in S.KEYWORDS:
-            yield u.group(2), previous, False, u.group(1).count("*"), "".join(u.group(3).split()), number, owners[-1] if owners and owners[-1] else None
-        alone = _TYPE_ALONE.match(flat)
-        previous = alone.group(1) if alone else previous if not flat.strip() else None
-        struct = re.search(r"\b(?:struct|union)\s+(\w+)\s*\{", flat)
-        for sign in re.findall(r"[{}]", flat):
-            if sign == "{":
-                owners.append(struct.group(1) if struct else "")
-            elif owners:
-                owners.pop()
-
-
 def extract_declarations(texts: DataFrame) -> DataFrame:
-    """Declarations by line: type (also macro-wrapped or on the line before), pointer depth, dims as text, owning struct or null."""
-    return _per_file(texts, _declarations, "symbol string, datatype string, macro boolean, pointer_depth int, dims string, line_no int, owner string")
+    """Declarations: each name of a statement with its type (also macro-wrapped or on a line before), pointer depth, dims as text, line, owning struct or null."""
+    return _per_file(texts, ctext.declarations, "symbol string, datatype string, macro boolean, pointer_depth int, dims string, line_no int, owner string")
 
 
 def extract_parameters(functions: DataFrame) -> DataFrame:
-    """Parameters of definitions: name, type, dims, pointer depth; void gives none."""
-    one = functions.where("defined").select(*FILE, "fn", F.posexplode(F.split("params", ",")).alias("place", "p"))
-    p = F.trim("p")
-    kind = F.trim(F.regexp_extract(F.regexp_replace(p, r"\b(const|volatile|register|struct)\s+", ""), r"^(.*?)[\s*]+[A-Za-z_]\w*\s*(\[.*)?$", 1))
-    named = one.select(*FILE, "fn", "place", F.regexp_extract(p, r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*$", 1).alias("symbol"), kind.alias("datatype"), F.regexp_extract(p, r"((?:\[[^\]]*\]\s*)*)$", 1).alias("dims"), F.regexp_count(p, F.lit(r"\*")).alias("pointer_depth"))
-    return named.where("symbol <> '' and datatype <> ''")
+    """Parameters of definitions: name, type, dims, pointer depth; one that is a pointer to a function by its own name. void gives none."""
+
+    @F.pandas_udf("array<struct<symbol string, datatype string, dims string, pointer_depth int>>")
+    def parsed(params: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("symbol", "datatype", "dims", "pointer_depth"), p)) for p in ctext.parameters(x)] for x in params], dtype=object)
+
+    return functions.where("defined").select(*FILE, "fn", F.posexplode(parsed("params")).alias("place", "p")).select(*FILE, "fn", "place", "p.*")
 
 
 def extract_typedefs(texts: DataFrame) -> DataFrame:
@@ -160,29 +89,9 @@ def extract_defines(texts: DataFrame) -> DataFrame:
     return extract_constants(lines, tuple(FILE))
 
 
-def _initializers(text: str) -> Iterator[tuple]:
-    flat, line = blank(text), _line_of(text)
-    for m in re.finditer(r"\b([A-Za-z_]\w*)\s*((?:\[[^\]]*\]\s*)+)=\s*\{", flat):
-        depth, items, filled, start = 1, 0, False, m.end()
-        for t in re.finditer(r"[{}(),]|[^\s{}(),]+", flat[start:]):
-            sign = t.group()
-            if sign in "{(":
-                depth, filled = depth + 1, True
-            elif sign in "})":
-                depth -= 1
-            elif sign == "," and depth == 1:
-                items, filled = items + filled, False
-            elif sign != ",":
-                filled = True
-            if depth == 0:
-                if line(start + t.start()) - line(m.start()) <= INITIALIZER_LINES:
-                    yield m.group(1), line(m.start()), items + filled
-                break
-
-
 def initializer_sizes(texts: DataFrame) -> DataFrame:
     """Pieces at the top of `= { ... }` behind an array's declaration; none if it does not close within INITIALIZER_LINES."""
-    return _per_file(texts, _initializers, "symbol string, line_no int, n_items int")
+    return _per_file(texts, ctext.initializers, "symbol string, line_no int, n_items int")
 
 
 _HEAD = re.compile(r"((?:[A-Za-z_]\w*[\s\0]*(?:->|\.)\s*)*)([A-Za-z_]\w*)\s*\)*([\s\0]*)$")
@@ -338,12 +247,22 @@ def typedef_dims(decls: DataFrame, typedefs: DataFrame) -> DataFrame:
     return words.join(typedefs, [*FILE, "name"]).groupBy(*LINE, "symbol").agg(F.max_by("dims", "at").alias("dims"))
 
 
-def attach_snippets(records: DataFrame, functions: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each record (pver_id, file_id, fn) the lines of that function, from its name to its last bracket."""
-    name = S.bare_fn(F.col("fn"))
+def attach_snippets(records: DataFrame, functions: DataFrame, lines: DataFrame, reach: int = 256) -> DataFrame:
+    """For each record (pver_id, file_id, fn) the lines of that function, from its name to its last bracket.
+
+    Each function that is asked for is put together once. Its lines are met by an interval join: stretches of reach lines are the
+    keys, so a line meets only functions of its stretch, and no file's text travels.
+    """
+    asked = records.withColumn("bare", S.bare_fn(F.col("fn")))
     spans = functions.where("defined").select(*FILE, F.col("fn").alias("bare"), F.col("sig_line").alias("from_line"), F.col("end_line").alias("to_line"))
-    cut = records.withColumn("bare", name).join(spans, [*FILE, "bare"]).join(texts.select(*FILE, "text"), FILE)
-    return cut.select(*FILE, "fn", "from_line", "to_line", F.array_join(F.expr("slice(split(text, '\\n'), from_line, to_line - from_line + 1)"), "\n").alias("snippet"))
+    wanted = spans.join(asked.select(*FILE, "bare"), [*FILE, "bare"], "left_semi").distinct()
+    part = lambda c: F.floor(F.col(c) / reach)
+    cut = wanted.withColumn("part", F.explode(F.sequence(part("from_line"), part("to_line"))))
+    own = lines.select(*FILE, "line_no", "text", part("line_no").alias("part"))
+    met = cut.join(own, [*FILE, "part"]).where("line_no between from_line and to_line")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    snippets = met.groupBy(*FILE, "bare", "from_line", "to_line").agg(text.alias("snippet"))
+    return asked.join(snippets, [*FILE, "bare"]).select(*FILE, "fn", "from_line", "to_line", "snippet")
 
 
 def underlined_variable(blocks: DataFrame) -> DataFrame:
@@ -352,30 +271,58 @@ def underlined_variable(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("variable", F.when(at > 0, F.trim(F.substring(F.col("raw"), at, run))))
 
 
+# The form of an assignment (by any operator, perhaps through a pointer or to an element), and of a taken address.
+ASSIGNED = r"(?<![\w.>])(?:\*\s*)?([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)(?=([^;]*))"
+GIVEN = r"&\s*([A-Za-z_]\w*)"
+
+
+def _called(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(CALL), 1), lambda x: F.regexp_replace(x, r"\W", ""))
+
+
 def extract_assignments(functions: DataFrame) -> DataFrame:
-    """Assignments in bodies, by place: what is set, the names on the right side that are not called, and the functions called there."""
-    body = functions.where("defined").select(*FILE, "fn", F.posexplode(F.split("body", r"[;{}]")).alias("at", "s"))
-    rhs = F.regexp_extract("s", r"^[^=]*[^=!<>]=([^=].*)$", 1)
-    lhs = F.regexp_extract("s", r"([A-Za-z_]\w*)\s*(?:\[[^=]*\])?\s*[-+*/%&|^]?=[^=]", 1)
-    calls = F.transform(F.regexp_extract_all(rhs, F.lit(CALL), 1), lambda x: F.regexp_replace(x, r"\W", ""))
-    given = F.regexp_extract_all("s", F.lit(r"&\s*([A-Za-z_]\w*)"), 1)
+    """Assignments in bodies, by place: what is set (lhs), the names on the right side that are not called, and the functions called there.
+
+    Every assignment counts: behind a condition, inside another one, by any operator; its right side goes up to the next `;`, over lines.
+    A statement that takes addresses is a row without lhs: the names given away, and all its calls.
+    """
+    body = functions.where("defined").select(*FILE, "fn", "body")
+    sides = F.arrays_zip(F.regexp_extract_all("body", F.lit(ASSIGNED), 1).alias("lhs"), F.regexp_extract_all("body", F.lit(ASSIGNED), 2).alias("rhs"))
+    none = F.array().cast("array<string>")
+    rhs = F.col("s.rhs")
     members = F.regexp_extract_all(rhs, F.lit(r"->\s*([A-Za-z_]\w*)"), 1)
-    one = body.select(*FILE, "fn", "at", F.nullif(lhs, F.lit("")).alias("lhs"), F.array_except(F.array_except(S.index_tokens(rhs), calls), members).alias("names"), calls.alias("calls"), given.alias("given"), F.transform(F.regexp_extract_all("s", F.lit(CALL), 1), lambda x: F.regexp_replace(x, r"\W", "")).alias("all_calls"))
-    return one.where(F.col("lhs").isNotNull() | (F.size("given") > 0))
+    names = F.array_except(F.array_except(S.index_tokens(rhs), _called(rhs)), members)
+    set_ = body.select(*FILE, "fn", F.posexplode(sides).alias("at", "s")).select(*FILE, "fn", "at", F.col("s.lhs").alias("lhs"), names.alias("names"), _called(rhs).alias("calls"), none.alias("given"), none.alias("all_calls"))
+    taken = body.select(*FILE, "fn", F.posexplode(F.split("body", r"[;{}]")).alias("at", "s")).where(F.col("s").rlike(GIVEN))
+    return set_.unionByName(taken.select(*FILE, "fn", "at", F.lit(None).cast("string").alias("lhs"), none.alias("names"), none.alias("calls"), F.regexp_extract_all("s", F.lit(GIVEN), 1).alias("given"), _called(F.col("s")).alias("all_calls")))
+
+
+def definition_uses(assignments: DataFrame, params: DataFrame) -> DataFrame:
+    """The edges (pver_id, file_id, fn, name, source, place) from a name to each name it is set from, once, by its first place; a parameter has none."""
+    at = F.col("at") if "at" in assignments.columns else F.lit(0)
+    pairs = assignments.where("lhs is not null").select(*FILE, "fn", F.col("lhs").alias("name"), at.alias("at"), F.posexplode("names").alias("i", "source")).where("name <> source")
+    first = pairs.groupBy(*FILE, "fn", "name", "source").agg(F.min(F.struct("at", "i")).alias("place"))
+    return first.join(params.select(*FILE, "fn", F.col("symbol").alias("name")).distinct(), [*FILE, "fn", "name"], "left_anti")
 
 
 def _followed(starts: DataFrame, assignments: DataFrame, params: DataFrame, limit: int) -> DataFrame:
-    """starts (pver_id, file_id, fn, token) with seen, the names an index comes from in order of discovery, a parameter ending its branch.
+    """(pver_id, file_id, fn, token, name, n): the names an index comes from, itself first, in order of discovery, at most limit of them.
 
-    A function's assignments are one map beside its index, so all rounds run inside one row after one join; `limit` bounds the
-    names (a search ends once it has passed 40), and as many rounds suffice, as each but the last adds one.
+    Breadth first over the definition-use edges, all indices at once: a round joins only the names of the last one, and drops those
+    found before. Each round finds a name more for every index that goes on, so limit rounds are enough (a search ends once it has passed 40 names).
     """
-    step = assignments.where("lhs is not null").select(*FILE, "fn", F.col("lhs").alias("name"), F.explode("names").alias("source"))
-    step = step.join(params.select(*FILE, "fn", F.col("symbol").alias("name")).distinct(), [*FILE, "fn", "name"], "left_anti")
-    to = step.groupBy(*FILE, "fn", "name").agg(F.array_sort(F.collect_set("source")).alias("to")).groupBy(*FILE, "fn").agg(F.map_from_entries(F.collect_list(F.struct("name", "to"))).alias("to"))
-    none = F.array().cast("array<string>")
-    more = lambda s: F.flatten(F.transform(s, lambda x: F.coalesce(F.try_element_at("to", x), none)))
-    return starts.join(to, [*FILE, "fn"], "left").select(*FILE, "fn", "token", F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.array("token"), lambda s, _: F.slice(F.array_distinct(F.concat(s, more(s))), 1, limit)).alias("seen"))
+    key = [*FILE, "fn", "token"]
+    edges = checkpoint(definition_uses(assignments, params))
+    seen = frontier = checkpoint(starts.select(*key).distinct().select(*key, F.col("token").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("rank")))
+    for depth in range(1, limit):
+        step = frontier.join(edges, [*FILE, "fn", "name"]).groupBy(*key, F.col("source").alias("name")).agg(F.min(F.struct("rank", "place")).alias("found"))
+        fresh = step.join(seen.select(*key, "name"), [*key, "name"], "left_anti")
+        frontier = checkpoint(fresh.select(*key, "name", F.lit(depth).alias("depth"), F.row_number().over(Window.partitionBy(*key).orderBy("found")).alias("rank")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("depth", "rank")) - 1
+    return seen.select(*key, "name", place.alias("n")).where(F.col("n") < limit)
 
 
 def index_origin(starts: DataFrame, assignments: DataFrame, params: DataFrame, decls: DataFrame, functions: DataFrame, limit: int = 41) -> DataFrame:
@@ -384,16 +331,20 @@ def index_origin(starts: DataFrame, assignments: DataFrame, params: DataFrame, d
     A parameter ends its branch; a name that is not declared inside the function is global and is still followed.
     """
     key = [*FILE, "fn", "token"]
-    names = _followed(starts, assignments, params, limit).select(*key, F.explode("seen").alias("name"))
+    names = _followed(starts, assignments, params, limit)
     p = params.select(*FILE, "fn", F.col("symbol").alias("name"), F.lit(True).alias("is_param")).distinct()
-    spans = functions.where("defined").select(*FILE, "fn", "start_line", "end_line")
-    inside = decls.select(*FILE, F.col("symbol").alias("name"), "line_no").join(spans, FILE).where("line_no between start_line and end_line")
-    d = inside.select(*FILE, "fn", "name", F.lit(True).alias("declared")).distinct()
+    d = _declared_inside(decls, functions).select(*FILE, "fn", F.col("symbol").alias("name"), F.lit(True).alias("declared")).distinct()
     known = names.join(p, [*FILE, "fn", "name"], "left").join(d, [*FILE, "fn", "name"], "left")
     agg = known.groupBy(*key).agg(F.bool_or(F.coalesce("is_param", F.lit(False))).alias("p"), F.bool_or(F.coalesce("is_param", "declared").isNull()).alias("g"), F.count("*").alias("n_names"))
     return agg.select(*key, F.when(F.col("p"), "parameter").when(F.col("g"), "global").otherwise("local").alias("origin"), "n_names")
 
 
+def _declared_inside(decls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Declarations (pver_id, file_id, line_no, symbol) inside bodies, with the function (fn), by one sort of a file's lines."""
+    spans = functions.where("defined").select(*FILE, "fn", "start_line", "end_line")
+    return _with_span(decls.select(*LINE, "symbol"), spans).where("near is not null").select(*LINE, "symbol", F.col("near.fn").alias("fn"))
+
+
 def value_origins(starts: DataFrame, assignments: DataFrame, functions: DataFrame, params: DataFrame, path_fns: DataFrame | None = None, cap: int = 6, limit: int = 41) -> DataFrame:
     """The project's functions that an index (pver_id, file_id, fn, token) comes from: called on the right side of assignments to it or
     to a name it comes from, or given the address of one; in order of discovery, the first cap.
@@ -401,7 +352,7 @@ def value_origins(starts: DataFrame, assignments: DataFrame, functions: DataFram
     path_fns: (pver_id, file_id, fn, caller, pos), the functions on the paths to fn; what sets the token itself there follows, unless it is on a path, too.
     """
     key = [*FILE, "fn", "token"]
-    names = _followed(starts, assignments, params, limit).select(*key, F.posexplode("seen").alias("n", "name"))
+    names = _followed(starts, assignments, params, limit)
     names = names.join(params.select(*FILE, "fn", F.col("symbol").alias("name")).distinct(), [*FILE, "fn", "name"], "left_anti")
     every = _set_by(names.join(assignments, [*FILE, "fn"]), key, 0)
     if path_fns is not None:
@@ -435,8 +386,7 @@ def fix_index_symbols(symbols: DataFrame, tokens: DataFrame, params: DataFrame,
     it is. Tokens that the symbols lack are added with the declaration found. `change` says which: kept, re-pointed or added.
     """
     spans = functions.where("defined").select(*FILE, "fn", "sig_line", "start_line", "end_line")
-    local = decls.select(*FILE, F.col("symbol").alias("token"), "line_no").join(spans, FILE).where("line_no between start_line and end_line")
-    local = local.select(*FILE, "fn", "token", F.struct(F.lit(1).alias("rank"), F.col("line_no").alias("line")).alias("at"))
+    local = _declared_inside(decls, functions).select(*FILE, "fn", F.col("symbol").alias("token"), F.struct(F.lit(1).alias("rank"), F.col("line_no").alias("line")).alias("at"))
     own = params.select(*FILE, "fn", F.col("symbol").alias("token")).join(spans, [*FILE, "fn"]).select(*FILE, "fn", "token", F.struct(F.lit(0).alias("rank"), F.col("sig_line").alias("line")).alias("at"))
     found = local.unionByName(own).join(tokens.distinct(), [*FILE, "fn", "token"], "left_semi").groupBy(*FILE, "fn", "token").agg(F.min("at").alias("at"))
     both = symbols.join(found.withColumnRenamed("token", "symbol"), [*FILE, "fn", "symbol"], "full")
@@ -490,12 +440,14 @@ def symbol_key_lines(occ: DataFrame, decls: DataFrame, alarms: DataFrame) -> Dat
 
 
 def symbol_packages(centers: DataFrame, lines: DataFrame, radius: int = 3, clip: int = 24_000) -> DataFrame:
-    """For each symbol the numbered lines around its key lines (pver_id, file_id, symbol, line), windows merged, text clipped."""
+    """For each symbol the numbered lines around its key lines (pver_id, file_id, symbol, line): windows merged, a blank line between them, cut at clip characters."""
     key = [*FILE, "symbol"]
-    wanted = merge_windows(centers, key, radius).select(*key, F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    wanted = merge_windows(centers, key, radius).select(*key, "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
     own = wanted.join(lines.select(*LINE, "text"), LINE)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: F.concat(x["line_no"].cast("string"), F.lit(": "), x["text"])), "\n")
-    return own.groupBy(*key).agg(F.count("*").alias("n_lines"), S.clip(text, clip).alias("package"))
+    joined = lambda rows, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rows, "text"))), lambda x: x["text"]), sep)
+    numbered = own.select(*key, "start_line", "line_no", F.concat(F.col("line_no").cast("string"), F.lit(": "), "text").alias("text"))
+    windows = numbered.groupBy(*key, "start_line").agg(F.count("*").alias("n"), joined("line_no", "\n").alias("text"))
+    return windows.groupBy(*key).agg(F.sum("n").alias("n_lines"), F.substring(joined("start_line", "\n\n"), 1, clip).alias("package"))
 
 
 def symbol_infos(access: DataFrame, texts: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpoint
+
 
 def close_graph(edges: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """Nodes are callers (defined), callees, and the functions (pver_id, fn, defined) that are known besides: definitions without calls, and prototypes."""
@@ -72,25 +73,15 @@ def caller_chain(starts: DataFrame, edges: DataFrame, max_len: int = 12) -> Data
     return chains.select("pver_id", "fn", F.array_join(F.reverse("chain"), ">").alias("chain"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def leaf_distance(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """The least number of calls from a function to the leaf (pver_id, leaf); breadth first over callers until no function is new."""
-    callers = _checkpoint(edges.select("pver_id", F.col("callee").alias("fn"), "caller").distinct())
-    frontier = seen = _checkpoint(leaves.select("pver_id", "leaf", F.col("leaf").alias("fn"), F.lit(0).alias("distance")).distinct())
+    callers = checkpoint(edges.select("pver_id", F.col("callee").alias("fn"), "caller").distinct())
+    frontier = seen = checkpoint(leaves.select("pver_id", "leaf", F.col("leaf").alias("fn"), F.lit(0).alias("distance")).distinct())
     depth = 0
     while not frontier.isEmpty():
         depth += 1
         step = frontier.join(callers, ["pver_id", "fn"]).select("pver_id", "leaf", F.col("caller").alias("fn")).distinct()
-        frontier = _checkpoint(step.join(seen, ["pver_id", "leaf", "fn"], "left_anti").withColumn("distance", F.lit(depth)))
+        frontier = checkpoint(step.join(seen, ["pver_id", "leaf", "fn"], "left_anti").withColumn("distance", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -14,15 +14,17 @@ LINE = [*FILE, "line_no"]
 def line_tokens(lines: DataFrame) -> DataFrame:
     """Each identifier at each place: its column (from 1), what stands before and what after; the lines' other columns stay.
 
-    A line is cut into pieces once; what stands before is put together only for pieces that are identifiers.
+    A line is cut into pieces once, running offsets keep the identifiers' columns, and only these are exploded; what stands before
+    and after is cut from the line for what is left.
     """
     pieces = F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*|\d\w*|[^\sA-Za-z_\d]+|\s+)"), 1)
-    every = lines.select("*", pieces.alias("pieces")).select("*", F.posexplode("pieces").alias("place", "symbol"))
-    found = every.where(F.col("symbol").rlike(r"^[A-Za-z_]") & ~F.col("symbol").isin(S.KEYWORDS))
-    found = found.withColumn("before", F.array_join(F.slice("pieces", 1, F.col("place")), ""))
-    start = (F.length("before") + 1).cast("int")
-    found = found.withColumns({"col_start": start, "col_end": (start + F.length("symbol")).cast("int"), "after": F.expr("substring(text, length(before) + 1 + length(symbol))")})
-    return found.drop("pieces", "place")
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<symbol:string,at:int>>").alias("found"))
+    named = lambda p: p.rlike(r"^[A-Za-z_]") & ~p.isin(S.KEYWORDS)
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(named(p), F.array_append(acc["found"], F.struct(p.alias("symbol"), acc["at"].alias("at")))).otherwise(acc["found"]).alias("found"))
+    found = lines.select("*", F.explode(F.aggregate(pieces, start, step, lambda acc: acc["found"])).alias("t"))
+    size, at = F.length("t.symbol"), F.col("t.at")
+    told = found.withColumns({"symbol": F.col("t.symbol"), "before": F.substring(F.col("text"), F.lit(1), at - 1), "col_start": at, "col_end": at + size, "after": F.expr("substring(text, t.at + length(t.symbol))")})
+    return told.drop("t")
 
 
 def wanted_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -87,16 +89,34 @@ def sample_occurrences(occ: DataFrame, n: int = 80) -> DataFrame:
     return ranked.where((F.col("total") <= n) | (F.col("rn") <= half) | (F.col("rn") > F.col("total") - half))
 
 
-def function_ranges(lines: DataFrame) -> DataFrame:
-    """Runs of lines between a brace opened at depth 0 and the line that closes it; runs left open end with the file."""
+#: Lines of a file that are worked on together where running sums over files are needed.
+STRETCH = 4096
+
+
+def function_ranges(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Runs of lines between a brace opened at depth 0 and the line that closes it; runs left open end with the file.
+
+    A scan in two levels, so that a file is no single task: each stretch of lines is summed up by its net depth and its least one, these few
+    rows are scanned by file, and then all stretches run at the same time from where the one before ends. A closing brace without
+    an opening one would leave the depth below zero: depth counts from the lowest point so far.
+    """
     opens = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
-    run = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = lines.withColumn("d", F.sum(opens).over(run))
-    # A closing brace without an opening one would leave the depth below zero: depth counts from the lowest point so far.
-    depth = depth.withColumn("depth", F.col("d") - F.least(F.lit(0), F.min("d").over(run)))
-    before = F.coalesce(F.lag("depth").over(Window.partitionBy(*FILE).orderBy("line_no")), F.lit(0))
-    marked = depth.withColumn("starts", ((before == 0) & (F.col("depth") > 0)).cast("int")).withColumn("before", before)
-    bodies = marked.withColumn("body", F.sum("starts").over(run)).where((F.col("depth") > 0) | (F.col("before") > 0))
+    part = [*FILE, "part"]
+    own = lines.select(*LINE, "text", opens.alias("opens"), F.floor(F.col("line_no") / stretch).alias("part"))
+    within = Window.partitionBy(*part).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = own.withColumn("net", F.sum("opens").over(within))
+    before = Window.partitionBy(*FILE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = summed.groupBy(*part).agg(F.sum("opens").alias("net"), F.min("net").alias("low"))
+    based = parts.withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
+    based = based.select(*part, "base", F.coalesce(F.min(F.col("base") + F.col("low")).over(before), F.lit(0)).alias("floor"))
+    depth = summed.join(based, part).withColumn("d", F.col("base") + F.col("net"))
+    depth = depth.withColumn("depth", F.col("d") - F.least(F.lit(0), F.col("floor"), F.min("d").over(within)))
+    edges = depth.groupBy(*part).agg(F.max_by("depth", "line_no").alias("last"))
+    entry = edges.select(*part, F.coalesce(F.lag("last").over(Window.partitionBy(*FILE).orderBy("part")), F.lit(0)).alias("entry"))
+    marked = depth.join(entry, part).withColumn("before", F.coalesce(F.lag("depth").over(Window.partitionBy(*part).orderBy("line_no")), "entry"))
+    marked = marked.withColumn("starts", ((F.col("before") == 0) & (F.col("depth") > 0)).cast("int")).withColumn("here", F.sum("starts").over(within))
+    begun = marked.groupBy(*part).agg(F.sum("starts").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    bodies = marked.where((F.col("depth") > 0) | (F.col("before") > 0)).join(begun, part).withColumn("body", F.col("earlier") + F.col("here"))
     return bodies.groupBy(*FILE, "body").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.min_by("text", "line_no").alias("sig_text"))
 
 
@@ -166,20 +186,30 @@ def resolve_declaration(uses: DataFrame, decls: DataFrame) -> DataFrame:
     its function if there are any; of these the ones not after it if any; then, if several are left and there are tokens, the best score; the last line.
 
     A score has 1 for dims, 1 for a struct's member, 5 for each token that is a piece of type or text, 4 for each that is in the owner's name.
-    Uses of one function, line, name and context are looked up once; each step looks at the window's maxima, so it falls back to all candidates.
+    A sweep: declarations and uses of a name and context are ordered together by line, and the best so far is kept for the file and for
+    each function, so that uses and declarations never meet in pairs. Declarations meet only the different contexts of their name.
     """
     key = [*FILE, "symbol", "line_no"]
     d = decls.select(*FILE, "symbol", F.col("line_no").alias("d_line"), "datatype", "d_text", "dims", "owner")
-    use = Window.partitionBy(*key)
-    cand = uses.join(d, [*FILE, "symbol"]).withColumn("inside", F.coalesce(F.col("d_line").between(F.col("start_line"), F.col("end_line")), F.lit(False)))
-    cand = cand.withColumn("any_inside", F.max("inside").over(use)).where(F.col("inside") | ~F.col("any_inside"))
-    cand = cand.withColumn("ahead", F.col("d_line") <= F.col("line_no")).withColumn("any_ahead", F.max("ahead").over(use)).where(F.col("ahead") | ~F.col("any_ahead"))
+    asked = uses.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    spans = asked.where("start_line is not null").select(*FILE, "start_line", "end_line").distinct().withColumn("body", F.col("start_line"))
+    placed = _with_span(d.withColumn("line_no", F.col("d_line")), spans).select(*FILE, "symbol", "d_line", "datatype", "d_text", "dims", "owner", F.col("near.start_line").alias("start_line"))
+    each = placed.join(asked.select(*FILE, "symbol", "tokens").distinct(), [*FILE, "symbol"])
     pieces, low = S.ident_pieces(F.col("datatype"), F.col("d_text")), F.transform("tokens", lambda t: F.lower(t))
     hits = F.size(F.filter(low, lambda t: (t != "") & F.array_contains(pieces, t)))
     owned = F.size(F.filter(low, lambda t: (t != "") & F.lower(F.coalesce("owner", F.lit(""))).contains(t)))
     score = (F.col("dims") != "").cast("int") + F.col("owner").isNotNull().cast("int") + 5 * hits + 4 * owned
-    best = F.max(F.struct(F.when(F.size("tokens") > 0, score).otherwise(0).alias("score"), F.col("d_line"), F.col("datatype"), F.col("dims"), F.col("owner"), F.col("d_text"))).alias("d")
-    return cand.groupBy(*key).agg(best).select(*key, "d.score", "d.d_line", "d.datatype", "d.dims", "d.owner", "d.d_text")
+    told = F.struct(F.when(F.size("tokens") > 0, score).otherwise(0).alias("score"), F.col("d_line"), F.col("datatype"), F.col("dims"), F.col("owner"), F.col("d_text"))
+    given = each.select(*FILE, "symbol", "tokens", "start_line", F.col("d_line").cast("long").alias("at"), F.lit(0).alias("side"), told.alias("d"))
+    wanted = asked.select(*FILE, "symbol", "tokens", "start_line", F.col("line_no").cast("long").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(given.schema["d"].dataType).alias("d")).distinct()
+    of = [*FILE, "symbol", "tokens"]
+    best = lambda keys, rows: F.max("d").over(rows(Window.partitionBy(*keys).orderBy("at", "side")))
+    so_far, all_ = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow), lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = F.col("start_line").isNotNull()
+    found = given.unionByName(wanted).withColumn("d", F.coalesce(
+        "d", F.when(inside, best([*of, "start_line"], so_far)), F.when(inside, best([*of, "start_line"], all_)), best(of, so_far), best(of, all_),
+    )).where("side = 1 and d is not null")
+    return found.select(*FILE, "symbol", F.col("at").cast(uses.schema["line_no"].dataType).alias("line_no"), "d.score", "d.d_line", "d.datatype", "d.dims", "d.owner", "d.d_text").select(*key, "score", "d_line", "datatype", "dims", "owner", "d_text")
 
 
 # Names in an index that no guard is looked for, and what bounds an index by a literal.
@@ -209,9 +239,10 @@ def local_guard(alarms: DataFrame, functions: DataFrame, lines: DataFrame) -> Da
 
 
 def line_context(lines: DataFrame) -> DataFrame:
-    """A line with the two before it and the one after."""
-    w = Window.partitionBy(*FILE).orderBy("line_no")
-    return lines.select(*LINE, F.concat_ws("\n", F.lag("text", 2).over(w), F.lag("text", 1).over(w), "text").alias("lookback"), F.lead("text").over(w).alias("next_text"))
+    """A line with the two before it and the one after. Neighbours come by equal line numbers, so a file is no single task; numbers without a gap are needed."""
+    near = lines.select(*FILE, F.posexplode(F.array(*[F.col("line_no") + d for d in (0, 1, 2, -1)])).alias("place", "line_no"), "text")
+    of = lambda i: F.max(F.when(F.col("place") == i, F.col("text")))
+    return near.groupBy(*LINE).agg(F.bool_or(F.col("place") == 0).alias("own"), F.concat_ws("\n", of(2), of(1), of(0)).alias("lookback"), of(3).alias("next_text")).where("own").drop("own")
 
 
 def cite_lines(lines: DataFrame, focus: list[str] | None = None, cap: int = 36, keys: list[str] = FILE) -> DataFrame:

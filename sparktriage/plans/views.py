@@ -8,7 +8,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
+#: Files of several shapes: blocks of C, in an order of their own in each file. {fn} {b} {c} are functions, {p} a parameter, {t} {u} tables; one line a row.
+SHAPES = [
+    ["uint8 {fn}(uint8 {p}, uint8 n)", "{{", "  uint8 idx = 0u;", "  uint8 m = 2u;", "  if (m == 1u) idx = {p};", "  {t}[idx] = n;", "  return idx;", "}}"],
+    ["static uint16 {fn}(uint16 {p},", "                   uint16 (*cb)(uint8, uint16))", "{{", "  uint16 k;", "  uint16 idx = 0u;", "  k = 1u +", "      {p};", "  idx <<= k;", "  {t}[{u}[idx] + 1u] = cb(1u, idx);", "  return (*cb)(2u, k);", "}}"],
+    ["void {fn}(void)", "{{", "  uint8 idx, *at, rows[4][2];", "  uint8 j;", "  idx = j = g_all.x;", "  rows[idx][{t}[j]] = {b}(&j, at);", "}}"],
+    ["uint8 {fn}(const uint8 *src, uint8 len)", "{{", "  uint8 idx = 0u;", "  uint8 sz = {b}(3u);", "  {c}(src, &idx);", "  while (idx >= sz) idx -= sz;", "  for (sz = 0u; sz < 4u; sz++) {t}[idx] += 1u;", "  return {t}[idx];", "}}"],
+    ["struct {fn}_tag {{", "  uint8 f_{p}[3];", "  void (*hook)(uint8 v);", "}};", "uint8 {fn}(struct {fn}_tag *s, uint8 {p})", "{{", "  uint8 idx = {p};", "  return s->f_{p}", "      [idx & 3u];", "}}"],
+    ["uint8 {fn}(uint8 q)", "{{", "  uint8 a = 1u, idx = 2u;", "  {t}[{u}[a]] = idx;", "  if (a <= idx) {{ idx = (a != 0u) ? idx : a; }}", "  ++a; idx >>= 1u;", "  return a;", "}}"],
+]
+
+
+def _block(seq: int) -> dict[str, str]:
+    """SQL of the columns of a file's block: what shape it has and the names in it."""
+    number = lambda e: f"cast(cast({e} as bigint) as string)"
+    return {
+        "kind": f"cast((o_orderkey * {seq} + o_custkey) % {len(SHAPES)} as int)", "fn": f"concat('fn_', {number(f'(o_orderkey + {7 * seq}) % 40')})", "b": f"concat('fn_', {number('o_custkey % 50')})",
+        "c": f"concat('fn_', {number('(o_custkey + 3) % 50')})", "p": f"concat('par_', {number('o_custkey % 5')})", "t": f"concat('tab_', {number('o_custkey % 9')})", "u": f"concat('tbu_', {number('o_orderkey % 9')})",
+    }
+
+
+def _block_text(seq: int) -> str:
+    """SQL of a block's text: its shape with the names put in."""
+    block = _block(seq)
+    whole = "case {kind} " + " ".join(f"when {k} then concat({_joined(shape)})" for k, shape in enumerate(SHAPES)) + " end"
+    return re.sub(r"\{(\w+)\}", lambda m: block[m[1]], whole)
+
+
+def _joined(shape: list[str]) -> str:
+    pieces = re.split(r"\{(fn|b|c|p|t|u)\}", "\n".join(shape).replace("{{", "{").replace("}}", "}"))
+    texts = lambda x: ", chr(10), ".join(f"'{part}'" for part in x.split("\n"))
+    return ", ".join(f"{{{x}}}" if i % 2 else texts(x) for i, x in enumerate(pieces) if x)
+
+
+def _n_lines(kind: str) -> str:
+    return f"case {kind} " + " ".join(f"when {k} then {len(shape)}" for k, shape in enumerate(SHAPES)) + " end"
+
+
+#: Lines before the first block of a file.
+_HEAD = "cast(o_orderkey % 3 as int)"
+
 VIEWS = {
+    "shape_files": f"""
+select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, concat(repeat(concat('/* part; {{ */', chr(10)), {_HEAD}), {_block_text(1)}, chr(10), {_block_text(2)}, chr(10), {_block_text(3)}) as text from orders""",
+    "shape_blocks": " union all ".join(f"""
+select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, {seq} as seq, {", ".join(f"{e} as {n}" for n, e in _block(seq).items())},
+ {_HEAD} + {" + ".join(["0", *(_n_lines(_block(i)["kind"]) for i in range(1, seq))])} as head from orders""" for seq in (1, 2, 3)),
     "frames": f"""
 select cast(l_orderkey % 8 as string) as pver_id, l_orderkey as block_no,
  row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as pos,
