@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
@@ -192,8 +192,8 @@ def cluster(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding",
     names = [(c, hashlib.sha256(",".join(map(str, row.tolist())).encode()).hexdigest()) for c, row in enumerate(centroids)]
     hashes = vectors.sparkSession.createDataFrame(names, "cluster int, centroid_sha256 string")
     inertia = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = inertia.agg(F.sum("cluster_inertia").alias("inertia"))
-    told = F.broadcast(inertia.join(hashes, "cluster").crossJoin(total))  # a row for each centroid; total is one row
+    total = F.sum("cluster_inertia").over(Window.partitionBy())
+    told = F.broadcast(inertia.join(hashes, "cluster").withColumn("inertia", total))  # a row for each centroid
     return assigned.join(told, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
