@@ -41,6 +41,10 @@ BROADCAST_CLASSES = 1 << 20
 #: Sizes fall into bands, each from CUT times its upper bound; a set meets partners of its own band and of the next.
 CUT = 0.9**3
 TINY = 3
+#: Every so-manieth row is looked through for frequent shingles; those met so often there, at most so many, are dealt over so many windows.
+SAMPLED, OFTEN, HOT_SHINGLES, SALTS = 64, 16, 1 << 16, 256
+#: Sets that a task remembers to leave copies out.
+KNOWN_SETS = 1 << 19
 _BOUNDS = [0, *np.unique(np.ceil(2 / CUT ** np.arange(0, 60)).astype(np.int64)).tolist()]
 
 
@@ -140,12 +144,20 @@ def _keys(like: Likeness):
 
 
 def _shingles(width: int):
+    """(key, node) of the sets of a task, each set once, so that copies make no shingle frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for _, _, texts in text_slices(batch, 0, SLICE_BYTES):
-                sets = [s for s in sets_of(texts, width) if len(s)]
+                named = {set_id(s): s for s in sets_of(texts, width) if len(s)}
+                sets = {node: s for node, s in named.items() if node not in met}
+                met.update(sets)
+                if len(met) > KNOWN_SETS:
+                    met.clear()
                 if sets:
-                    nodes = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(s) for s in sets])
+                    nodes = np.repeat(np.array(list(sets), np.int64), [len(s) for s in sets.values()])
+                    sets = list(sets.values())
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
     return run
@@ -285,15 +297,22 @@ def memberships(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lik
     return slim.mapInArrow(_members(like), "id long, n_shingles long, node long, row long")
 
 
-def _rarest(docs: DataFrame, members: DataFrame, text: str, like: Likeness) -> DataFrame:
+def _rarest(docs: DataFrame, members: DataFrame, doc_id: str, text: str, like: Likeness) -> DataFrame:
     """(key, node): of the n shingles of each set the n - k + 1 rarest, k being the fewest it has in common with a linked set.
 
-    Two linked sets have one of these in common. Shingles of one set only are dropped after they are counted, which leaves most sets without keys.
+    Two linked sets have one of these in common, whatever the order of shingles is, as long as all sets have the same. Shingles of one
+    set only are dropped after they are counted, which leaves most sets without keys. A shingle that very many sets have would put
+    all of them into one window. Such ones are found in every SAMPLED-th row: what several different sets have there is shared, its count
+    there is its place in the order, and its rows are dealt over SALTS windows. Which shingles these are changes no link.
     """
-    holders = Window.partitionBy("key")
-    rows = docs.select(text).mapInArrow(_shingles(like.width), "key long, node long")
-    counted = rows.withColumns({"n_rows": F.count("*").over(holders), "least": F.min("node").over(holders), "top": F.max("node").over(holders)})
-    shared = counted.where("least < top").select("key", "node", "n_rows").distinct()
+    shingles = lambda df: df.select(text).mapInArrow(_shingles(like.width), "key long, node long")
+    some = shingles(docs.where(F.pmod(row_key(doc_id, text), F.lit(SAMPLED)) == 0)).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("top"))
+    hot = checkpoint(some.where("least < top").where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(HOT_SHINGLES).select("key", (F.col("n") * SAMPLED).alias("often")))
+    rows = shingles(docs).join(F.broadcast(hot), "key", "left")  # at most HOT_SHINGLES rows
+    rows = rows.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")))
+    holders = Window.partitionBy("key", "salt")
+    counted = rows.withColumns({"n_rows": F.coalesce("often", F.count("*").over(holders)), "least": F.min("node").over(holders), "top": F.max("node").over(holders)})
+    shared = counted.where("least < top or often is not null").select("key", "salt", "node", "n_rows").distinct()
     sizes = members.where("node is not null").select("node", F.col("n_shingles").alias("n")).distinct()
     own = Window.partitionBy("node")
     ranked = shared.join(sizes, "node").withColumns({"rank": F.row_number().over(own.orderBy("n_rows", "key")), "n_shared": F.count("*").over(own)})
@@ -312,7 +331,7 @@ def candidate_groups(docs: DataFrame, keys: DataFrame | None, text: str = "text"
 
 def linked_nodes(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, like: Likeness = QUERY) -> DataFrame:
     """(node, component): the components of two nodes at least."""
-    keys = None if like.by_parts else _rarest(docs, members, text, like)
+    keys = None if like.by_parts else _rarest(docs, members, doc_id, text, like)
     groups = candidate_groups(docs, keys, text, like)
     holders = members.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
     chosen = groups.join(holders, "node")

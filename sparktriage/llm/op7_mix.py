@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, near, table
 
 WEIGHTS, MAX_REPEATS, SEED = (5.0, 2.0, 1.0), 3, 7
-#: The knapsack's window in words; a bound of memory (5 bytes each).
-MAX_WINDOW = 1 << 25
+#: The knapsack's window in words, and the sums it keeps where the window is wider; bounds of memory (5 and some 60 bytes each).
+MAX_WINDOW, MAX_SUMS = 1 << 25, 1 << 22
 #: Documents of one source and size are cut by hash into as many buckets as leave so few rows of the whole table in each.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 64
 #: Plans (one row per source and size) of more rows than this are not broadcast.
 PLAN_ROWS = 1 << 18
+#: Without a broadcast, rows of one source and size are dealt over as many tasks by hash.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -50,59 +52,93 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     return levels.select("source", "source_size", "weight", F.least("cap", F.coalesce(free * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _items(sizes: np.ndarray, counts: np.ndarray, width: int):
+    """(size's place, how many, their summed size) from the least size on, counts in powers of two."""
+    for i in np.argsort(sizes, kind="stable"):
+        size = int(sizes[i])
+        n, step = min(int(counts[i]), width // size), 1
+        while n:
+            k = min(step, n)
+            yield int(i), k, k * size
+            n, step = n - k, step * 2
+
+
 def _nearest(sizes: np.ndarray, counts: np.ndarray, budget: float, enough: float) -> tuple[float, np.ndarray]:
     """How many of each size (at most counts) sum as near to budget as any choice does, by a bounded knapsack; and how far off that is.
 
-    Sizes join from the least on, each in powers of two, and every sum notes the item that first reached it. A sum at most
-    enough off ends the search; sums past budget and the largest size are never nearest.
+    Every sum notes the item that first reached it. A sum at most enough off ends the search; sums past budget and the largest
+    size are never nearest. The sums are marks in a window of budget and the largest size; a wider window than MAX_WINDOW, that of
+    very long documents, has few of its sums reached, and these are kept as a sorted list, up to MAX_SUMS of them.
     """
     width = int(budget) + int(sizes.max()) + 1
-    reach, made_by = np.zeros(width + 1, bool), np.full(width + 1, -1, np.int32)
-    reach[0] = True
-    near = [x for x in range(max(0, int(np.ceil(budget - enough - 1e-9))), min(width, int(budget + enough + 1e-9)) + 1)]
     items: list[tuple[int, int]] = []
-    top = 0
-    for i in np.argsort(sizes, kind="stable"):
-        size = int(sizes[i])
-        n, step = min(int(counts[i]), width // size), 1
-        while n:
-            k = min(step, n)
-            weight = k * size
+    if width <= MAX_WINDOW:
+        reach, made_by = np.zeros(width + 1, bool), np.full(width + 1, -1, np.int32)
+        reach[0] = True
+        near = [x for x in range(max(0, int(np.ceil(budget - enough - 1e-9))), min(width, int(budget + enough + 1e-9)) + 1)]
+        top = 0
+        for i, k, weight in _items(sizes, counts, width):
             to = min(top, width - weight)
             new = np.flatnonzero(reach[: to + 1] & ~reach[weight : weight + to + 1]) + weight
             reach[new], made_by[new] = True, len(items)
-            items.append((int(i), k))
+            items.append((i, k))
             top = min(width, top + weight)
-            n, step = n - k, step * 2
-        if reach[near].any():
-            break
-    sums = np.flatnonzero(reach)
+            if reach[near].any():
+                break
+        sums = np.flatnonzero(reach)
+        made = made_by[sums]
+    else:
+        sums, made = np.zeros(1, np.int64), np.full(1, -1, np.int32)
+        for i, k, weight in _items(sizes, counts, width):
+            new = np.setdiff1d(sums[: np.searchsorted(sums, width - weight, "right")] + weight, sums, assume_unique=True)
+            both = np.concatenate([sums, new])
+            order = np.argsort(both, kind="stable")
+            sums, made = both[order], np.concatenate([made, np.full(len(new), len(items), np.int32)])[order]
+            items.append((i, k))
+            if len(sums) > MAX_SUMS or np.abs(sums - budget).min() <= enough + 1e-9:
+                break
     at = int(sums[np.argmin(np.abs(sums - budget))])
     off, take = abs(at - budget), np.zeros(len(sizes), np.int64)
     while at:
-        i, k = items[made_by[at]]
+        i, k = items[made[np.searchsorted(sums, at)]]
         take[i] += k
         at -= k * int(sizes[i])
     return off, take
 
 
+def _filled(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
+    """Largest sizes first, as many as fit, and one more of the size that brings the sum nearer, if there is one."""
+    take, rest = np.zeros(len(sizes), np.int64), budget
+    for i in np.argsort(-sizes, kind="stable"):
+        take[i] = min(int(counts[i]), int(rest // int(sizes[i])))
+        rest -= int(take[i]) * int(sizes[i])
+    left = np.flatnonzero(take < counts)
+    if len(left):
+        i = left[np.argmin(np.abs(rest - sizes[left]))]
+        take[i] += abs(rest - int(sizes[i])) < rest
+    return take
+
+
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many documents of each size to take, at most counts, so that the summed size comes as near to budget as any choice does.
 
-    No sum is nearer than the nearest multiple of the sizes' greatest common divisor. The even share of every size comes first,
-    and a knapsack over the counts that are left fits the rest; if that misses the multiple, less is given by share and more is
-    left to the knapsack, in the end everything. Only where that last window would pass MAX_WINDOW can a nearer sum be missed.
+    No sum is nearer than the nearest multiple of the sizes' greatest common divisor, by which everything is divided. Filling up
+    from the largest size on is the first choice, which the others must beat. Then the even share of every size, and a knapsack over the counts
+    that are left fits the rest; if that misses the multiple, less is given by share and more is left to the knapsack, in the
+    end everything. Only where that last knapsack would pass both MAX_WINDOW and MAX_SUMS can a nearer sum be missed.
     """
     take = np.zeros(len(sizes), np.int64)
     some = np.flatnonzero((sizes > 0) & (counts > 0))
     if not len(some) or budget <= 0:
         return take
     s, c = sizes[some].astype(np.int64), counts[some].astype(np.int64)
-    total, unit = int((s * c).sum()), int(np.gcd.reduce(s))
-    if budget >= total:
+    if budget >= int((s * c).sum()):
         take[some] = c
         return take
-    enough = min(budget % unit, unit - budget % unit)
+    unit = int(np.gcd.reduce(s))
+    s, budget = s // unit, budget / unit
+    total = int((s * c).sum())
+    enough = min(budget % 1, 1 - budget % 1)
     share = np.floor(c * (budget / total)).astype(np.int64)
     largest = share.copy()  # beyond the share, large documents until a few of their sizes are left: a small window
     rest = budget - float((s * share).sum())
@@ -110,16 +146,15 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
         n = min(int(c[i] - largest[i]), max(0, int(rest - 2 * int(s.max())) // int(s[i])))
         largest[i] += n
         rest -= n * int(s[i])
-    best = np.inf
+    take[some] = _filled(s, c, budget)
+    best = abs(budget - float((s * take[some]).sum()))
     for first in (largest, share, share // 2, share // 8, share * 0):
+        if best <= enough + 1e-6:
+            break
         rest = max(0.0, budget - float((s * first).sum()))
-        if rest + int(s.max()) > MAX_WINDOW:
-            continue
         off, more = _nearest(s, c - first, rest, enough)
         if off < best:
             best, take[some] = off, first + more
-        if best <= enough + 1e-6:
-            break
     return take
 
 
@@ -165,7 +200,12 @@ def mix(docs: DataFrame, source: str, size: Column, doc_id: str, weights: tuple[
     )
     plan = checkpoint(quotas.join(cuts, ["key", "size"], "left"))
     more = (F.struct(bucket.alias("bucket"), "hash", "id") <= F.col("cut")) & (F.col("size") > 0)
-    return own.join(near(plan, PLAN_ROWS), ["key", "size"]).select("row", "size", "source_size", "target", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("times"))
+    if plan.count() <= PLAN_ROWS:
+        met = own.join(F.broadcast(plan), ["key", "size"])
+    else:
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = own.withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).cast("int")).join(salted, ["key", "size", "salt"])
+    return met.select("row", "size", "source_size", "target", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("times"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
