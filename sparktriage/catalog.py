@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import corpus as co
+from .operators import enrich as en
 from .operators import facts as fa
 from .operators import graph as gr
 from .operators import paths as pa
@@ -366,7 +367,7 @@ register("x07_resolve_access", "c_files", lambda c: co.resolve_access(_spots(c),
  union all select pver_id, file_id, 14, instr(ls[14], '[1]'), tab, tab, substring(ls[14], instr(ls[14], '[1]') + 1) || chr(10) || ls[15] || chr(10) || '  return', 1 from c""")
 register("x08_relevant_symbols", "c_files", lambda c: co.relevant_symbols(co.resolve_access(_points(c), _lines(c))), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], '[') as col, unnest(['array', 'index']) as role, unnest([tab, 'loc']) as symbol from c
  union all select pver_id, file_id, 16, instr(ls[16], '['), unnest(['array', 'parent', 'index']), unnest([mem, 's', 'ptr']) from c""")
-register("x09_symbol_infos", "c_files", lambda c: _flat(co.symbol_infos(co.resolve_access(_points(c), _lines(c)), c).drop("index"), "sizes"), _CF + """, i as (select *, instr(ls[14], '[') as c1, instr(ls[16], '[') as c2 from c)
+register("x09_symbol_infos", "c_files", lambda c: _flat(en.symbol_infos(co.resolve_access(_points(c), _lines(c)), c).drop("index"), "sizes"), _CF + """, i as (select *, instr(ls[14], '[') as c1, instr(ls[16], '[') as c2 from c)
 select pver_id, file_id, unnest([14, 14, 16, 16, 16]) as line_no, unnest([c1, c1, c2, c2, c2]) as col, unnest(['array', 'index', 'array', 'parent', 'index']) as role, unnest([tab, 'loc', mem, 's', 'ptr']) as symbol,
  unnest(['array', 'symbol', 'array', 'symbol', 'pointer']) as kind, unnest(['global', 'local', 'struct_member', 'global', 'parameter']) as scope, unnest(['uint16', 'uint8', 'uint8', null, 'uint16']) as datatype,
  unnest(['[' || sz || '*2+1][2]', '', '[3]', '', '']) as dims, unnest([(n * 2 + 1) || ',2', null, '3', null, null]) as sizes, unnest([true, null, true, null, null]) as size_known, unnest([null, null, 'S', null, null]) as member_of, unnest([null, fn, null, null, fn]) as declared_in,
@@ -401,7 +402,7 @@ register("x01_function_shapes", "shape_files shape_blocks", lambda f, b: co.extr
 register("x02_call_shapes", "shape_files shape_blocks", lambda f, b: co.extract_calls(co.extract_functions(f)), _SB([(1, 1, "cb"), (2, 1, "B"), (3, 1, "B"), (3, 2, "C")], "kind", "pos", "x") + f"""select distinct pver_id, file_id, fn as caller, {_NAMED.format('x')} as callee, pos from s""")
 _DECLS = [(0, "idx", "uint8", 0, "", 3, ""), (0, "m", "uint8", 0, "", 4, ""), (1, "k", "uint16", 0, "", 4, ""), (1, "idx", "uint16", 0, "", 5, ""), (2, "idx", "uint8", 0, "", 3, ""), (2, "at", "uint8", 1, "", 3, ""), (2, "rows", "uint8", 0, "[4][2]", 3, ""), (2, "j", "uint8", 0, "", 4, ""),
           (3, "idx", "uint8", 0, "", 3, ""), (3, "sz", "uint8", 0, "", 4, ""), (4, "F", "uint8", 0, "[3]", 2, "S"), (4, "hook", "void", 1, "", 3, "S"), (4, "idx", "uint8", 0, "", 7, ""), (5, "a", "uint8", 0, "", 3, ""), (5, "idx", "uint8", 0, "", 3, "")]
-register("x03_declaration_shapes", "shape_files shape_blocks", lambda f, b: co.extract_declarations(f), _SB(_DECLS, "kind", "x", "datatype", "d", "dims", "l", "o") + f"select pver_id, file_id, {_NAMED.format('x')} as symbol, datatype, false as macro, d as pointer_depth, dims, head + l as line_no, nullif({_NAMED.format('o')}, '') as owner from s")
+register("x03_declaration_shapes", "shape_files shape_blocks", lambda f, b: co.extract_declarations(f), _SB(_DECLS, "kind", "x", "datatype", "d", "dims", "l", "o") + f"select pver_id, file_id, {_NAMED.format('x')} as symbol, datatype, false as macro, d as pointer_depth, dims, head + l as line_no, nullif({_NAMED.format('o')}, '') as owner from s union all select pver_id, file_id, unnest([t, u]), 'uint8', false, 0, unnest(['[SZ+1u]', '[4]']), head, null from shape_blocks where seq = 1")
 _PARAMS = [(0, 0, "P", "uint8", 0), (0, 1, "n", "uint8", 0), (1, 0, "P", "uint16", 0), (1, 1, "cb", "uint16", 1), (3, 0, "src", "uint8", 1), (3, 1, "len", "uint8", 0), (4, 0, "s", "S", 1), (4, 1, "P", "uint8", 0), (5, 0, "q", "uint8", 0)]
 register("x05_parameter_shapes", "shape_files shape_blocks", lambda f, b: co.extract_parameters(co.extract_functions(f)), _SB(_PARAMS, "kind", "place", "x", "y", "d") + f"select pver_id, file_id, fn, place, {_NAMED.format('x')} as symbol, {_NAMED.format('y')} as datatype, '' as dims, d as pointer_depth from s")
 _WRITES = [(0, "idx", 5, 1), (0, "T", 6, 1), (1, "k", 6, 1), (1, "idx", 8, 1), (1, "T", 9, 1), (2, "idx", 5, 1), (2, "j", 5, 1), (2, "rows", 6, 1), (3, "idx", 6, 1), (3, "sz", 7, 2), (3, "T", 7, 1), (5, "idx", 3, 1), (5, "T", 4, 1), (5, "idx", 5, 1), (5, "a", 6, 1), (5, "idx", 6, 1)]
@@ -410,3 +411,45 @@ register("g05_origin_shapes", "shape_files shape_blocks", lambda f, b: _origins(
 register("j19_origin_shapes", "shape_files shape_blocks", lambda f, b: _sources(f, "idx"), _SB([(2, 1, "B"), (3, 1, "C"), (3, 2, "B")], "kind", "r", "x") + f""", k as (select *, {_NAMED.format('x')} as callee from s), d as (select distinct pver_id, fn as callee from shape_blocks)
 select pver_id, file_id, fn, 'idx' as token, callee, cast(row_number() over (partition by pver_id, file_id, fn order by r) as integer) as place from k join d using (pver_id, callee)""")
 register("j18_snippet_shapes", "shape_files shape_blocks", lambda f, b: co.attach_snippets(_tokens(f, "idx").select(*sy.FILE, F.concat("fn", F.lit("|separate")).alias("fn")), co.extract_functions(f), _lines(f)), _SB(_BODY, "kind", "sig", "o", "e") + ", t as (select pver_id, file_id, string_split(text, chr(10)) as ls from shape_files) select pver_id, file_id, fn || '|separate' as fn, head + sig as from_line, head + e as to_line, array_to_string(ls[head + sig:head + e], chr(10)) as snippet from s join t using (pver_id, file_id)")
+
+# Occurrences by shape: symbol, place, line, access; then the symbols of a shape's alarm with what is known of them.
+_OCCURS = [(0, "idx", "declaration write read read"), (1, "idx", "declaration write read parameter"), (2, "idx", "declaration write read"), (2, "rows", "declaration write"), (3, "idx", "declaration address read write read read"), (4, "idx", "declaration read"),
+           (4, "s", "declaration read"), (4, "F", "declaration read"), (5, "a", "declaration read read read read write read"), (0, "T", "write"), (1, "T", "write"), (2, "T", "read"), (3, "T", "write read"), (5, "T", "write"), (1, "U", "read"), (5, "U", "read")]
+_LISTED = [(k, x, i, a) for k, x, accesses in _OCCURS for i, a in enumerate(accesses.split())]
+_TABLE, _LOCAL = ("array", "global", "uint8"), ("symbol", "local", "uint8", "", "", None)
+_SYMBOLS = [
+    (0, 0, "array", "T", *_TABLE, "[SZ+1u]", "9", True, 0, "variable", ""), (0, 1, "index", "idx", *_LOCAL, 3, "variable", ""), (1, 0, "array", "U", *_TABLE, "[4]", "4", True, 0, "variable", ""), (1, 1, "index", "idx", "symbol", "local", "uint16", "", "", None, 5, "variable", "cb:value"),
+    (2, 0, "array", "rows", "array", "local", "uint8", "[4][2]", "4,2", True, 3, "variable", ""), (2, 1, "index", "idx", *_LOCAL, 3, "variable", ""), (3, 0, "array", "T", *_TABLE, "[SZ+1u]", "9", True, 0, "variable", ""), (3, 1, "index", "idx", *_LOCAL, 3, "variable", "C:address"),
+    (4, 0, "array", "F", "array", "struct_member", "uint8", "[3]", "3", True, 2, "struct_member", ""), (4, 1, "parent", "s", "pointer", "parameter", "S", "", "", None, 5, "parameter", ""), (4, 2, "index", "idx", *_LOCAL, 7, "variable", ""),
+    (5, 0, "array", "T", *_TABLE, "[SZ+1u]", "9", True, 0, "variable", ""), (5, 1, "index", "U", *_TABLE, "[4]", "4", True, 0, "variable", ""), (5, 2, "index", "a", *_LOCAL, 3, "variable", ""),
+]
+_cells = lambda rows: [tuple("null" if x is None else x for x in r) for r in rows]
+_values = lambda rows: "(values " + ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) and x != "null" else str(x) for x in r) + ")" for r in _cells(rows)) + ")"
+
+
+def _rows_of(groups: DataFrame) -> DataFrame:
+    """A row for each symbol of each group, nested lists as texts."""
+    one = groups.select("*", F.posexplode("symbol_infos").alias("place", "x")).select("*", "x.*")
+    join = lambda c, sep=",": F.array_join(c, sep)
+    return one.select(
+        "pver_id", "group_id", "location", "variable", "enclosing_function", "no_of_paths", "no_of_traces", F.array_join(F.transform("paths", lambda p: F.array_join(p["function_sequence"], ">")), ";").alias("paths"), join("variable_info.member_path", "->").alias("member_path"),
+        "place", "role", "symbol_name", "kind", "scope", "datatype", join(F.coalesce("array_dims", F.array().cast("array<string>")), "").alias("dims"), join(F.coalesce(F.col("resolved_sizes").cast("array<string>"), F.array().cast("array<string>"))).alias("sizes"), "size_known",
+        "declared_in_function", "declaration_line", "declaration_text", "declaration_kind", join(F.transform(F.map_entries("access_counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))).alias("access_counts"), join("used_in_functions").alias("used_in"),
+        F.coalesce(join(F.transform("passed_to", lambda p: F.concat_ws(":", p["function"], p["mode"]))), F.lit("")).alias("passed_to"), "occurrence_count", "occurrences_truncated", join(F.transform("occurrences", lambda o: o["access"])).alias("accesses"),
+    )
+
+
+register("s05_enrichment", "shape_frames shape_heads shape_files shape_blocks", lambda fr, h, f, b: _rows_of(en.enrich(fr, h, f.withColumn("name", F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".c"))))), f""", oc as (select * from {_values(_LISTED)} as v(kind, x, i, access)), sy as (select * from {_values(_SYMBOLS)} as v(kind, place, role, x, k, scope, ty, dims, sizes, sk, dl, dk, passed)),
+tx as (select pver_id, file_id, string_split(text, chr(10)) as ls from shape_files), top as (select pver_id, file_id, head as base from shape_blocks where seq = 1),
+met as (select b.pver_id, b.file_id, b.seq, b.fn, oc.x, oc.i, oc.access from shape_blocks b join oc using (kind) union all select pver_id, file_id, 0, 'global', unnest(['T', 'U']), 0, 'declaration' from top),
+met2 as (select *, case when x in ('T', 'U', 'F') then 0 else seq end as obj, case when x = 'F' and i = 0 then 'global' else fn end as f from met),
+cnt as (select pver_id, file_id, x, obj, access, count(*) as n from met2 group by all), cs as (select pver_id, file_id, x, obj, string_agg(access || ':' || n, ',' order by access) as access_counts, cast(sum(n) as integer) as occurrence_count from cnt group by all),
+uf as (select pver_id, file_id, x, obj, f, min((seq, i)) as pl from met2 group by all), us as (select pver_id, file_id, x, obj, string_agg(f, ',' order by pl) as used_in from uf group by all),
+sq as (select pver_id, file_id, x, obj, string_agg(access, ',' order by seq, i) as accesses from met2 group by all),
+gr as (select pver_id, location, count(*) as n, cast(row_number() over (partition by pver_id order by min(block_no)) as integer) as group_id, min(block_no) as first from shape_heads group by 1, 2),
+al as (select gr.*, b.* exclude (pver_id) from gr join shape_blocks b on b.pver_id = gr.pver_id and (b.file_id * 3 + b.seq) * 2 = gr.first),
+z as (select al.*, sy.* exclude (kind), ls, base, case when x in ('T', 'U', 'F') then 0 else seq end as obj, {_NAMED.format('x')} as symbol_name, case when dl = 0 then base else head + dl end as declaration_line from al join sy using (kind) join tx using (pver_id, file_id) join top using (pver_id, file_id))
+select z.pver_id, group_id, location, case kind when 1 then u || '[idx]' when 2 then 'rows[idx]' when 4 then 'f_' || p || '[idx & 3u]' when 5 then t || '[' || u || '[a]]' else t || '[idx]' end as variable, fn as enclosing_function, 1 as no_of_paths, cast(n as integer) as no_of_traces,
+ 'main>' || fn as paths, case kind when 1 then u when 2 then 'rows' when 4 then 's->f_' || p else t end as member_path, cast(place as integer) as place, role, symbol_name, k as kind, scope, {_NAMED.format('ty')} as datatype, dims, sizes, sk as size_known,
+ case when scope in ('local', 'parameter') then fn end as declared_in_function, declaration_line, trim(ls[declaration_line]) as declaration_text, dk as declaration_kind, access_counts, used_in, replace(passed, 'C:', c || ':') as passed_to, occurrence_count, false as occurrences_truncated, accesses
+from z join cs using (pver_id, file_id, x, obj) join us using (pver_id, file_id, x, obj) join sq using (pver_id, file_id, x, obj)""")

@@ -148,8 +148,16 @@ def locate_access(before: list[str], lines: list[str], col: int, end_col: int |
     return name, path, index and index.strip(), dimension
 
 
+SPOT = [*LINE, "col", "end_line", "end_col", "underlined"]
+
+
 def resolve_access(alarms: DataFrame, lines: DataFrame) -> DataFrame:
-    """Array, member path, index and dimension of the access of each alarm (pver_id, file_id, line_no, col, and if known end_line, end_col, underlined).
+    """Array, member path, index and dimension of the access of each alarm (pver_id, file_id, line_no, col, and if known end_line, end_col, underlined)."""
+    return accesses(alarms, lines).select(*LINE, "col", "array", "member_path", "index", "dimension")
+
+
+def accesses(alarms: DataFrame, lines: DataFrame) -> DataFrame:
+    """X07 with the alarm's whole place (SPOT).
 
     Two lines before it are looked at, too. Without any access the underlined variable (P19) is taken if it is a name. An alarm's
     few lines are put together by an equi-join on exploded line numbers.
@@ -157,7 +165,7 @@ def resolve_access(alarms: DataFrame, lines: DataFrame) -> DataFrame:
     for name, kind in (("end_line", "int"), ("end_col", "int"), ("underlined", "string")):
         if name not in alarms.columns:
             alarms = alarms.withColumn(name, F.lit(None).cast(kind))
-    key = [*LINE, "col", "end_line", "end_col", "underlined"]
+    key = SPOT
     spans = alarms.select(*key).distinct().withColumn("at", F.explode(F.sequence(F.col("line_no") - 2, F.coalesce("end_line", "line_no"))))
     own = spans.join(lines.select(*FILE, F.col("line_no").alias("at"), "text"), [*FILE, "at"])
     near = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("near"))
@@ -168,18 +176,24 @@ def resolve_access(alarms: DataFrame, lines: DataFrame) -> DataFrame:
         found = [locate_access(list(b), list(o), int(c), None if pd.isna(e) else int(e)) if not pd.isna(c) else (None, None, None, 0) for b, o, c, e in zip(before, own, col, end_col)]
         return pd.DataFrame(found, columns=["array", "member_path", "index", "dimension"])
 
-    done = told.select(*LINE, "col", "underlined", access("before", "own", "col", "end_col").alias("a")).select(*LINE, "col", "underlined", "a.*")
+    done = told.select(*SPOT, access("before", "own", "col", "end_col").alias("a")).select(*SPOT, "a.*")
     name = F.when(F.col("underlined").rlike(r"^[A-Za-z_]\w*$"), F.col("underlined"))
     lost = F.col("array").isNull() & name.isNotNull()
-    return done.select(*LINE, "col", F.coalesce("array", name).alias("array"), F.coalesce("member_path", name).alias("member_path"), F.when(~lost, S.clean_index(F.col("index"))).alias("index"), F.when(~lost & F.col("array").isNotNull(), F.col("dimension")).alias("dimension"))
+    return done.select(*SPOT, F.coalesce("array", name).alias("array"), F.coalesce("member_path", name).alias("member_path"), F.when(~lost, S.clean_index(F.col("index"))).alias("index"), F.when(~lost & F.col("array").isNotNull(), F.col("dimension")).alias("dimension"))
 
 
 def relevant_symbols(access: DataFrame) -> DataFrame:
     """The flagged array, the parents of its member path and the identifiers of its index, once each; keywords drop out."""
+    return _named(access).drop("place").distinct()
+
+
+def _named(access: DataFrame) -> DataFrame:
+    """X08 with each symbol's first place in that order."""
     parents = F.filter(F.split("member_path", r"->|\."), lambda x: x != F.col("array"))
     one = lambda role, names: F.transform(names, lambda n: F.struct(F.lit(role).alias("role"), n.alias("symbol")))
     every = F.concat(one("array", F.array("array")), one("parent", parents), one("index", S.index_tokens(F.coalesce("index", F.lit("")))))
-    return access.where("array is not null").select(*LINE, "col", F.explode(every).alias("s")).select(*LINE, "col", "s.*").where(~F.col("symbol").isin(S.KEYWORDS)).distinct()
+    named = access.where("array is not null").select(*LINE, "col", F.posexplode(every).alias("place", "s")).select(*LINE, "col", "s.*", "place").where(~F.col("symbol").isin(S.KEYWORDS))
+    return named.groupBy(*LINE, "col", "role", "symbol").agg(F.min("place").alias("place"))
 
 
 def resolve_dims(decls: DataFrame, constants: DataFrame) -> DataFrame:
@@ -448,62 +462,3 @@ def symbol_packages(centers: DataFrame, lines: DataFrame, radius: int = 3, clip:
     numbered = own.select(*key, "start_line", "line_no", F.concat(F.col("line_no").cast("string"), F.lit(": "), "text").alias("text"))
     windows = numbered.groupBy(*key, "start_line").agg(F.count("*").alias("n"), joined("line_no", "\n").alias("text"))
     return windows.groupBy(*key).agg(F.sum("n").alias("n_lines"), F.substring(joined("start_line", "\n\n"), 1, clip).alias("package"))
-
-
-def symbol_infos(access: DataFrame, texts: DataFrame) -> DataFrame:
-    """All that is known of the symbols of each access (X07: pver_id, file_id, line_no, col, array, member_path, index).
-
-    A symbol's declaration is J05's, with the access path as context, else a parameter's. Its dims are its own or its type's, its sizes
-    come from the file's constants. Its occurrences are those of the function that declares it; of a member those on lines that name a
-    parent, if there are any; of all others the file's. The declaration's line counts as declaration.
-    """
-    spans = extract_functions(texts)
-    functions = spans.where("defined").select(*FILE, "fn", F.col("sig_line").alias("start_line"), "end_line")
-    lines = texts.select(*FILE, F.posexplode(F.split("text", "\n")).alias("at", "text")).select(*FILE, (F.col("at") + 1).alias("line_no"), "text")
-    decls = extract_declarations(texts).join(lines.withColumnRenamed("text", "d_text"), LINE)
-    names = relevant_symbols(access)
-    key = [*LINE, "col", "role", "symbol"]
-    context = F.filter(F.split("member_path", r"->|\."), lambda x: x != "").alias("tokens")
-    asked = _with_span(names.join(access.select(*LINE, "col", "member_path", "index", context), [*LINE, "col"]), functions)
-    asked = asked.select(*key, "index", "tokens", F.col("near.start_line").alias("start_line"), F.col("near.end_line").alias("end_line"), F.col("near.fn").alias("fn"))
-    found = resolve_declaration(asked.select(*LINE, "symbol", "start_line", "end_line", "tokens").distinct(), decls.withColumn("d_line", F.col("line_no")).drop("d_line"))
-    pointers = decls.select(*FILE, "symbol", F.col("line_no").alias("d_line"), "pointer_depth").distinct()
-    found = found.join(pointers, [*FILE, "symbol", "d_line"], "left").drop("score")
-    params = extract_parameters(spans)
-    named = resolve_parameter(asked.where("fn is not null").select(*FILE, "fn", "symbol").distinct(), params)
-    named = named.join(params.select(*FILE, F.col("fn").alias("owner"), "symbol", F.col("dims").alias("p_dims"), F.col("pointer_depth").alias("p_depth")), [*FILE, "owner", "symbol"])
-    named = named.join(functions.select(*FILE, F.col("fn").alias("owner"), F.col("start_line").alias("p_line")), [*FILE, "owner"]).select(*FILE, "fn", "symbol", F.col("datatype").alias("p_type"), "p_dims", "p_depth", "p_line", F.col("owner").alias("p_owner"))
-    both = asked.join(found, [*LINE, "symbol"], "left").join(named, [*FILE, "fn", "symbol"], "left")
-    own, given = F.col("d_line").isNotNull(), F.col("p_line").isNotNull()
-    pick = lambda d, p: F.when(own, F.col(d)).otherwise(F.col(p))
-    typed = both.select(
-        *key, "index", "tokens", pick("datatype", "p_type").alias("datatype"), pick("dims", "p_dims").alias("own_dims"), pick("pointer_depth", "p_depth").alias("depth"), "owner", F.when(own, F.lit(None)).otherwise(F.col("p_owner")).alias("p_owner"),
-        pick("d_line", "p_line").cast("int").alias("declaration_line"), F.when(own & F.col("owner").isNotNull(), "struct_member").when(own, "variable").when(given, "parameter").otherwise("unknown").alias("declaration_kind"),
-    )
-    typedefs = extract_typedefs(texts).select(*FILE, F.col("name").alias("datatype"), F.col("dims").alias("type_dims"))
-    sized = typed.join(typedefs, [*FILE, "datatype"], "left").withColumn("dims", F.coalesce(F.nullif("own_dims", F.lit("")), "type_dims", F.lit("")))
-    sizes = resolve_dims(sized.select(*FILE, "dims"), extract_defines(texts))
-    sized = sized.join(sizes, [*FILE, "dims"], "left")
-    placed = _with_span(sized.where("declaration_line is not null").select(*FILE, F.col("declaration_line").cast("long").alias("line_no")).distinct(), functions)
-    placed = placed.select(*FILE, F.col("line_no").cast("int").alias("declaration_line"), F.col("near.fn").alias("declared_in"))
-    known = sized.join(placed, [*FILE, "declaration_line"], "left").withColumn("declared_in", F.coalesce("p_owner", "declared_in"))
-    member = F.col("declaration_kind") == "struct_member"
-    parents = F.filter("tokens", lambda t: t != F.col("symbol"))
-    occ = occurrences(lines, functions).select(*FILE, "symbol", F.col("line_no").alias("o_line"), "col_start", F.col("access").alias("o_access"), "fn", "callee", "line_text")
-    used = known.join(occ, [*FILE, "symbol"], "left").withColumn("o_access", F.when(F.col("o_line") == F.col("declaration_line"), "declaration").otherwise(F.col("o_access")))
-    near = F.when(member, (F.size(parents) == 0) | (F.col("o_access") == "declaration") | F.exists(parents, lambda t: F.col("line_text").contains(t))).when(F.col("declared_in").isNotNull(), F.col("fn") == F.col("declared_in")).otherwise(True)
-    each = Window.partitionBy(*key)
-    used = used.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("near", F.col("near") | (member & ~F.max("near").over(each)))
-    of = lambda kind: F.count_if(F.col("near") & (F.col("o_access") == kind)).alias(f"n_{kind}")
-    here = F.col("near") & F.col("o_line").isNotNull()
-    kept = ["index", "datatype", "dims", "sizes", "all_known", "depth", "owner", "declared_in", "declaration_line", "declaration_kind"]
-    counted = used.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in kept], *[of(k) for k in ("declaration", "address", "write", "parameter", "read")], F.count_if(here).alias("occurrence_count"),
-        F.countDistinct(F.when(here & F.col("o_access").isin("parameter", "address") & (F.col("callee") != ""), F.struct("callee", "o_line", "col_start", "o_access"))).alias("n_passed"),
-        F.countDistinct(F.when(here, F.col("fn"))).alias("n_functions"),
-    )
-    array = (F.col("dims") != "") | (F.col("role") == "array")
-    kind = S.symbol_kind(array, F.col("declaration_kind") == "struct_member", F.coalesce(F.col("depth") > 0, F.lit(False)), F.col("declaration_kind") == "parameter", F.coalesce(F.col("datatype").rlike(r"\b(struct|union)\b"), F.lit(False)))
-    scope = S.symbol_scope(F.col("declared_in"), F.col("declaration_kind") == "parameter", F.col("declaration_kind") == "struct_member")
-    return counted.select(*key, "index", kind.alias("kind"), scope.alias("scope"), "datatype", "dims", "sizes", F.when(array, F.coalesce("all_known", F.lit(False))).alias("size_known"), F.col("owner").alias("member_of"), "declared_in", "declaration_line", "declaration_kind",
-                          "n_declaration", "n_address", "n_write", "n_parameter", "n_read", "occurrence_count", "n_passed", "n_functions")

@@ -189,7 +189,11 @@ def resolve_declaration(uses: DataFrame, decls: DataFrame) -> DataFrame:
     A sweep: declarations and uses of a name and context are ordered together by line, and the best so far is kept for the file and for
     each function, so that uses and declarations never meet in pairs. Declarations meet only the different contexts of their name.
     """
-    key = [*FILE, "symbol", "line_no"]
+    return declarations_in_context(uses, decls).select(*FILE, "symbol", "line_no", "score", "d_line", "datatype", "dims", "owner", "d_text")
+
+
+def declarations_in_context(uses: DataFrame, decls: DataFrame) -> DataFrame:
+    """J05 with the context (tokens, empty for null) of each answer: uses of one name and line may have several."""
     d = decls.select(*FILE, "symbol", F.col("line_no").alias("d_line"), "datatype", "d_text", "dims", "owner")
     asked = uses.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     spans = asked.where("start_line is not null").select(*FILE, "start_line", "end_line").distinct().withColumn("body", F.col("start_line"))
@@ -209,7 +213,7 @@ def resolve_declaration(uses: DataFrame, decls: DataFrame) -> DataFrame:
     found = given.unionByName(wanted).withColumn("d", F.coalesce(
         "d", F.when(inside, best([*of, "start_line"], so_far)), F.when(inside, best([*of, "start_line"], all_)), best(of, so_far), best(of, all_),
     )).where("side = 1 and d is not null")
-    return found.select(*FILE, "symbol", F.col("at").cast(uses.schema["line_no"].dataType).alias("line_no"), "d.score", "d.d_line", "d.datatype", "d.dims", "d.owner", "d.d_text").select(*key, "score", "d_line", "datatype", "dims", "owner", "d_text")
+    return found.select(*FILE, "symbol", F.col("at").cast(uses.schema["line_no"].dataType).alias("line_no"), "tokens", "d.score", "d.d_line", "d.datatype", "d.dims", "d.owner", "d.d_text")
 
 
 # Names in an index that no guard is looked for, and what bounds an index by a literal.

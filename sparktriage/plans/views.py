@@ -45,15 +45,40 @@ def _n_lines(kind: str) -> str:
     return f"case {kind} " + " ".join(f"when {k} then {len(shape)}" for k, shape in enumerate(SHAPES)) + " end"
 
 
-#: Lines before the first block of a file.
+#: Comments before the first block of a file; a constant and the tables follow.
 _HEAD = "cast(o_orderkey % 3 as int)"
 
+
+def _first_line(seq: int) -> str:
+    """SQL of the line before a block."""
+    return f"{_HEAD} + 2 + " + " + ".join(["0", *(_n_lines(_block(i)["kind"]) for i in range(1, seq))])
+
+
+#: By shape: the line of an alarm in its block, the columns of its bracket and of its index' end.
+SPOTS = [(6, "3 + length({t})", "6 + length({t})"), (9, "4 + length({t}) + length({u})", "7 + length({t}) + length({u})"), (6, "7", "10"), (8, "10 + length({t})", "13 + length({t})"), (9, "7", "15"), (4, "3 + length({t})", "6 + length({t}) + length({u})")]
+
+
+def _alarm(seq: int) -> str:
+    """SQL of the location of a block's alarm."""
+    block = _block(seq)
+    pick = lambda i: "cast(case {kind} ".format(**block) + " ".join(f"when {k} then {str(spot[i]).format(**block)}" for k, spot in enumerate(SPOTS)) + " end as string)"
+    line = f"cast({_first_line(seq)} + case {block['kind']} " + " ".join(f"when {k} then {spot[0]}" for k, spot in enumerate(SPOTS)) + " end as string)"
+    return f"concat('f', cast(o_orderkey as string), '.c:', {line}, '.', {pick(1)}, '-', {pick(2)})"
+
+
+_TWICE = [(seq, again, " where o_custkey % 2 = 0" if again else "") for seq in (1, 2, 3) for again in (0, 1)]
+
 VIEWS = {
     "shape_files": f"""
-select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, concat(repeat(concat('/* part; {{ */', chr(10)), {_HEAD}), {_block_text(1)}, chr(10), {_block_text(2)}, chr(10), {_block_text(3)}) as text from orders""",
+select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, concat(repeat(concat('/* part; {{ */', chr(10)), {_HEAD}), '#define SZ 8u', chr(10), 'static uint8 ', {_block(1)["t"]}, '[SZ + 1u], ', {_block(1)["u"]}, '[4];', chr(10), {_block_text(1)}, chr(10), {_block_text(2)}, chr(10), {_block_text(3)}) as text from orders""",
     "shape_blocks": " union all ".join(f"""
 select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, {seq} as seq, {", ".join(f"{e} as {n}" for n, e in _block(seq).items())},
- {_HEAD} + {" + ".join(["0", *(_n_lines(_block(i)["kind"]) for i in range(1, seq))])} as head from orders""" for seq in (1, 2, 3)),
+ {_first_line(seq)} as head from orders""" for seq in (1, 2, 3)),
+    "shape_heads": " union all ".join(f"""
+select cast(o_orderkey % 8 as string) as pver_id, (o_orderkey * 3 + {seq}) * 2 + {again} as block_no, {_alarm(seq)} as location, 'ALARM (A) array_out_of_bounds' as alarm from orders{only}""" for seq, again, only in _TWICE),
+    "shape_frames": " union all ".join(f"""
+select cast(o_orderkey % 8 as string) as pver_id, (o_orderkey * 3 + {seq}) * 2 + {again} as block_no, {pos} as pos, {entry} as entry from orders{only}""" for seq, again, only in _TWICE
+        for pos, entry in ((1, "'call#main at m.c:1.1-9'"), (2, f"concat('call#', {_block(seq)['fn']}, '|separate at m.c:7.1-9')"))),
     "frames": f"""
 select cast(l_orderkey % 8 as string) as pver_id, l_orderkey as block_no,
  row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as pos,

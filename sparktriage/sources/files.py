@@ -15,7 +15,8 @@ _OCCURRENCE = "struct<location:string,access:string,function:string,callee:strin
 VARIABLE_INFO = VARIABLE_INFO + (
     "variable_info struct<symbol_name:string,index_expression:string,member_path:array<string>>, symbol_infos array<struct<symbol_name:string,role:string,kind:string,datatype:string,array_dims:array<string>,"
     "resolved_sizes:array<int>,size_known:boolean,scope:string,declared_in_function:string,declaration_line:int,declaration_text:string,declaration_kind:string,access_counts:map<string,bigint>,"
-    f"used_in_functions:array<string>,passed_to:array<struct<function:string,location:string,mode:string>>,occurrence_count:int,occurrences_truncated:boolean,occurrences:array<{_OCCURRENCE}>>>"
+    f"used_in_functions:array<string>,passed_to:array<struct<function:string,location:string,mode:string>>,occurrence_count:int,occurrences_truncated:boolean,occurrences:array<{_OCCURRENCE}>,"
+    "index_expression:string,dimension_index:int,parent_symbol:string,member_of:string,pointed_type:string>>, enclosing_function string"
 )
 
 
@@ -77,8 +78,9 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def read_variable_info(spark: SparkSession, path: str) -> DataFrame:
-    """Groups with their paths, the alarmed access and all that is known of its symbols."""
-    return spark.read.schema(VARIABLE_INFO).option("multiLine", True).json(path)
+    """Groups with their paths, the alarmed access and all that is known of its symbols; from a list over many lines, or a group a line as written here."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return spark.read.schema(VARIABLE_INFO).option("multiLine", first is not None and first[0].lstrip().startswith("[")).json(path)
 
 
 def write_variable_info(groups: DataFrame, path: str) -> None:

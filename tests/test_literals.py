@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparktriage.functions import scalars as S
-from sparktriage.operators import corpus, facts, graph, paths, symbols, verdict
+from sparktriage.operators import corpus, enrich, facts, graph, paths, symbols, verdict
 from sparktriage.sources import files
 from sparktriage.streaming import events
 
@@ -359,7 +359,7 @@ int Other(int numClass) {
     texts = spark.createDataFrame([("p", 1, text), ("p", 2, None)], "pver_id string, file_id long, text string")
     lines = files.source_lines(texts.withColumn("path", F.lit("x")).where("text is not null")).select("pver_id", F.lit(1).cast("long").alias("file_id"), "line_no", "text")
     points = spark.createDataFrame([("p", 1, 11, 6), ("p", 1, 12, 9)], "pver_id string, file_id long, line_no int, col int")
-    got = {(r["line_no"], r["role"], r["symbol"]): r for r in corpus.symbol_infos(corpus.resolve_access(points, lines), texts).collect()}
+    got = {(r["line_no"], r["role"], r["symbol"]): r for r in enrich.symbol_infos(corpus.resolve_access(points, lines), texts).collect()}
     assert set(got) == {(11, "array", "tbl"), (11, "index", "pos"), (12, "array", "CH"), (12, "parent", "dev"), (12, "index", "numClass")}
     told = lambda k: tuple(got[k][c] for c in ("kind", "scope", "datatype", "dims", "sizes", "size_known", "declared_in", "declaration_line", "declaration_kind"))
     assert told((11, "array", "tbl")) == ("array", "global", "uint16", "[N+1]", [5], True, None, 3, "variable")
