@@ -17,7 +17,8 @@ from .operators import records as re_
 from .operators import symbols as sy
 from .operators import verdict as ve
 from .plans.views import view, with_views
-from .sources.scratch import checkpoint
+from .sources import files as fi
+from .sources.scratch import checkpoint, new_path
 from .streaming import events as ev
 
 FLAGSHIP = "alarm_location_paths"
@@ -453,3 +454,55 @@ select z.pver_id, group_id, location, case kind when 1 then u || '[idx]' when 2
  'main>' || fn as paths, case kind when 1 then u when 2 then 'rows' when 4 then 's->f_' || p else t end as member_path, cast(place as integer) as place, role, symbol_name, k as kind, scope, {_NAMED.format('ty')} as datatype, dims, sizes, sk as size_known,
  case when scope in ('local', 'parameter') then fn end as declared_in_function, declaration_line, trim(ls[declaration_line]) as declaration_text, dk as declaration_kind, access_counts, used_in, replace(passed, 'C:', c || ':') as passed_to, occurrence_count, false as occurrences_truncated, accesses
 from z join cs using (pver_id, file_id, x, obj) join us using (pver_id, file_id, x, obj) join sq using (pver_id, file_id, x, obj)""")
+
+# --- sources over texts made of the tables ---
+
+register("s02_source_lines", "shape_files", lambda f: fi.source_lines(f.withColumn("path", F.concat(F.lit("f"), F.col("file_id").cast("string")))), "select pver_id, 'f' || file_id as path, cast(i as integer) as line_no, string_split(text, chr(10))[i] as text from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from shape_files)")
+register("s03_read_alarms", "csv_texts", lambda c: fi.read_alarms(c.select("pver_id", "path", "text")).select("pver_id", "path", "alarm_seq", *[F.col("row")[k].alias(k.lower()) for k in ("Order", "Message", "Type")]), """select pver_id, path, case when first = '' then 2 else 3 end as alarm_seq, n as "order", 'a; "b" ' || nation as message, 'x' as type from csv_texts
+ union all select pver_id, path, case when first = '' then 4 else 5 end, n || '/7', 'plain', '' from csv_texts""")
+register("s04_trace_blocks", "log_texts", lambda t: fi.read_trace_blocks(t.select("pver_id", "text")), r"""select pver_id, 1 as block_no, regexp_extract(text, '(?s)\n(\[.*~~~~)', 1) as block from log_texts union all select pver_id, 2, '[ ALARM (A) overflow ]' from log_texts""")
+register("p03_parse_blocks", "log_texts", lambda t: _flat(fi.parse_blocks(fi.read_trace_blocks(t.select("pver_id", "text"))), "call_stack", "source_lines"), """select pver_id, 1 as block_no, 'call#main at m.c:1.2-3,call#fn_' || f || ' at m.c:9.1-2' as call_stack, 'ALARM (A) array_out_of_bounds at ap.c:' || n || '.5-9' as alarm, '  x = t[i];,      ~~~~' as source_lines, 'ap.c:' || n || '.5-9' as location from log_texts
+ union all select pver_id, 2, '', 'ALARM (A) overflow', '', 'UNKNOWN_LOCATION::ALARM (A) overflow' from log_texts""")
+register("s06_read_cfg", "cfg_texts", lambda t: fi.read_cfg(fi.cfg_json(fi.read_cfg(t.select("pver_id", "text")))), "select pver_id, 'fn_' || n as caller, unnest([0, 1]) as pos, unnest(['fn_b', callee]) as callee from cfg_texts union all select pver_id, 'leaf', null, null from cfg_texts")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Rows written as artifacts of a stage and read back."""
+    path = new_path(df.sparkSession, "artifacts")
+    fi.write_artifact(df, path, "merge")
+    return fi.read_artifact(df.sparkSession, path, "merge")
+
+
+register("s08_artifacts", "alarms", lambda a: _stored(a.select("pver_id", F.col("order_id").alias("order_key"), "location", F.concat(F.lit("t"), F.col("alarm_seq") % 3).alias("stamp"))).select("pver_id", "safe_order", "stamp", "order_key", "location"), "select pver_id, replace(order_id, ',', '_') as safe_order, 't' || (alarm_seq % 3) as stamp, order_id as order_key, location from alarms")
+
+
+def _streamed(df: DataFrame, preview: int) -> DataFrame:
+    """Events appended as JSON lines in two batches, read as a stream, kept as a table."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "events")
+    for part in (0, 1):
+        fi.write_events(df.where(F.col("event_id") % 2 == part), f"{path}/in")
+    kept = ev.stream_events(spark, f"{path}/in", preview).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    kept.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+register("t01_event_stream", "run_events", lambda e: _streamed(e, 12).select("event_id", "ts", "pver_id", "order_key", "kind", "agent", "activity", "props", "cursor"), "select event_id, ts, pver_id, order_key, kind, agent, activity, case when length(props) > 12 then left(props, 12) || '… [' || (length(props) - 12) || ' more chars]' else props end as props, cursor from run_events")
+
+
+def _tail(df: DataFrame, n: int) -> DataFrame:
+    """Events appended in two batches, their tails kept by a stream's sink."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "tail")
+    for part in (0, 1):
+        fi.write_events(df.where(F.col("event_id") % 2 == part).coalesce(1), f"{path}/in")
+    events = spark.readStream.schema(ev.SCHEMA).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+    ev.event_tail_sink(events, f"{path}/out", f"{path}/log", n).awaitTermination()
+    return ev.read_tail(spark, f"{path}/out")
+
+
+register("t05_event_tail", "run_events", lambda e: _tail(e, 3).select("event_id", "pver_id", "order_key"), ", r as (select *, row_number() over (partition by pver_id, order_key order by ts desc, event_id desc) as rank from run_events) select event_id, pver_id, order_key from r where rank <= 3")
+_flags = lambda f: f.select("pver_id", "group_id", "seq", (F.col("line") % 5 == 0).alias("a"), (F.col("line") % 4 == 0).alias("m"), (F.col("line") % 3 == 0).alias("p"), (F.col("line") % 2 == 0).alias("q"), (F.col("seq") % 2 == 0).alias("s"), F.when(F.col("line") > 30, F.lit("global")).when(F.col("line") > 10, F.col("fn")).alias("f"))
+register("p14_symbol_kinds", "order_facts", lambda f: _flags(f).select("pver_id", "group_id", "seq", S.symbol_kind(F.col("a"), F.col("m"), F.col("p"), F.col("q"), F.col("s")).alias("kind"), S.symbol_scope(F.col("f"), F.col("q"), F.col("m")).alias("scope")), """select pver_id, group_id, seq, case when line % 5 = 0 then 'array' when line % 4 = 0 then 'struct_member' when line % 3 = 0 then 'pointer' when line % 2 = 0 then 'parameter' when seq % 2 = 0 then 'struct' else 'symbol' end as kind,
+ case when line % 2 = 0 then 'parameter' when line % 4 = 0 then 'struct_member' when line > 30 or line <= 10 then 'global' else 'local' end as scope from order_facts""")
+register("g02_group_distance", "cfg_edges frames", lambda e, f: gr.group_distance(_members(f), e), r"""--recursive, m as (select pver_id, block_no as grp, regexp_extract(entry, '^call#([^ |]*)', 1) as fn, min(pos) as first, max(pos) as last from frames group by 1, 2, 3), lf as (select pver_id, grp, fn from (select *, max(last) over (partition by pver_id, grp) as top from m) where last = top),
+inn as (select distinct a.pver_id, a.grp, a.fn as caller, b.fn as callee from m a join cfg_edges e on e.pver_id = a.pver_id and e.caller = a.fn join m b on b.pver_id = a.pver_id and b.grp = a.grp and b.fn = e.callee),
+d(pver_id, grp, fn, n) as (select pver_id, grp, fn, 0 from lf union select d.pver_id, d.grp, inn.caller, n + 1 from d join inn on inn.pver_id = d.pver_id and inn.grp = d.grp and inn.callee = d.fn where n < 8) select pver_id, grp, fn, min(n) as distance from d group by 1, 2, 3""")

@@ -122,10 +122,36 @@ def kahn_order(names: list[str], edges: list[tuple[str, str]], path: list[str],
     return [*(["global"] if "global" in names else []), *(n for n in out if n != leaf), *(n for n in out if n == leaf)]
 
 
+def group_calls(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pver_id, grp, caller, callee): the edges inside each group of members (pver_id, grp, fn).
+
+    Edges lose what no group could hold, at both ends, before they meet the groups, so that a caller of very many functions brings only those that some group has.
+    """
+    named = members.select("pver_id", "fn").distinct()
+    near = edges.select("pver_id", "caller", "callee").distinct().join(named.withColumnRenamed("fn", "caller"), ["pver_id", "caller"], "left_semi").join(named.withColumnRenamed("fn", "callee"), ["pver_id", "callee"], "left_semi")
+    own = members.select("pver_id", "grp", "fn").distinct()
+    return own.withColumnRenamed("fn", "caller").join(near, ["pver_id", "caller"]).join(own.withColumnRenamed("fn", "callee"), ["pver_id", "grp", "callee"], "left_semi").select("pver_id", "grp", "caller", "callee")
+
+
+def group_distance(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each group of members (pver_id, grp, fn, is_leaf), an alarm's few functions, the least number of calls from a function to the leaf among them.
+
+    Breadth first from all leaves at once, over the edges inside the groups; the result is bounded by the members.
+    """
+    calls = checkpoint(group_calls(members, edges))
+    frontier = seen = checkpoint(members.where("is_leaf").select("pver_id", "grp", "fn", F.lit(0).alias("distance")).distinct())
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.select("pver_id", "grp", F.col("fn").alias("callee")).join(calls, ["pver_id", "grp", "callee"]).select("pver_id", "grp", F.col("caller").alias("fn")).distinct()
+        frontier = checkpoint(step.join(seen, ["pver_id", "grp", "fn"], "left_anti").withColumn("distance", F.lit(depth)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def execution_order(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Members (pver_id, grp, fn, position on the path or null, is_leaf) of each group in execution order; groups are an alarm's few functions."""
-    inner = members.alias("a").join(edges.alias("e"), F.expr("a.pver_id = e.pver_id and a.fn = e.caller")).join(members.alias("b"), F.expr("a.pver_id = b.pver_id and a.grp = b.grp and e.callee = b.fn"))
-    calls = inner.groupBy(F.col("a.pver_id").alias("pver_id"), F.col("a.grp").alias("grp"), F.col("a.fn").alias("fn")).agg(F.collect_set("b.fn").alias("calls"))
+    calls = group_calls(members, edges).groupBy("pver_id", "grp", F.col("caller").alias("fn")).agg(F.collect_set("callee").alias("calls"))
     rows = members.join(calls, ["pver_id", "grp", "fn"], "left")
 
     def order(frame: pd.DataFrame) -> pd.DataFrame:

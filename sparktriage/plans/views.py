@@ -74,6 +74,14 @@ select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, concat(
     "shape_blocks": " union all ".join(f"""
 select cast(o_orderkey % 8 as string) as pver_id, o_orderkey as file_id, {seq} as seq, {", ".join(f"{e} as {n}" for n, e in _block(seq).items())},
  {_first_line(seq)} as head from orders""" for seq in (1, 2, 3)),
+    "csv_texts": """
+select cast(c_custkey % 8 as string) as pver_id, concat('p', cast(c_custkey as string), '/alarms.csv') as path, cast(c_custkey as string) as n, case when c_custkey % 2 = 0 then 'sep=;' else '' end as first,
+ concat(case when c_custkey % 2 = 0 then concat('sep=;', chr(10)) else '' end, 'Order; Message ;Type', chr(13), chr(10), cast(c_custkey as string), ';"a; ""b"" ', cast(c_nationkey as string), '";x', chr(10), chr(10), cast(c_custkey as string), '/7; plain ', chr(10)) as text, cast(c_nationkey as string) as nation from customer""",
+    "log_texts": """
+select concat('p', cast(o_orderkey as string)) as pver_id, cast(o_custkey as string) as n, cast(o_orderkey % 12 as string) as f,
+ concat('start of run', chr(10), '[ call#main at m.c:1.2-3', chr(10), '  call#fn_', cast(o_orderkey % 12 as string), ' at m.c:9.1-2', chr(10), '  ALARM (A) array_out_of_bounds at ap.c:', cast(o_custkey as string), '.5-9 ]', chr(10), '>  x = t[i];', chr(10), '>      ~~~~', chr(10), 'noise ]', chr(10), '[ ALARM (A) overflow ]') as text from orders""",
+    "cfg_texts": """
+select concat('p', cast(c_custkey as string)) as pver_id, cast(c_nationkey as string) as n, concat('{"fn_', cast(c_nationkey as string), '": ["fn_b", "fn_', cast(c_custkey % 7 as string), '"], "leaf": []}') as text, concat('fn_', cast(c_custkey % 7 as string)) as callee from customer""",
     "shape_heads": " union all ".join(f"""
 select cast(o_orderkey % 8 as string) as pver_id, (o_orderkey * 3 + {seq}) * 2 + {again} as block_no, {_alarm(seq)} as location, 'ALARM (A) array_out_of_bounds' as alarm from orders{only}""" for seq, again, only in _TWICE),
     "shape_frames": " union all ".join(f"""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import safe_name
 
@@ -100,8 +101,8 @@ def cfg_json(edges: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Appends JSON lines."""
-    events.write.mode("append").json(path)
+    """Appends JSON lines; times keep their microseconds."""
+    events.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
 def write_artifact(df: DataFrame, path: str, stage: str) -> None:
@@ -110,5 +111,9 @@ def write_artifact(df: DataFrame, path: str, stage: str) -> None:
 
 
 def read_artifact(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    """The rows of a stage, of all projects, orders and stamps."""
-    return spark.read.option("basePath", f"{path}/{stage}").parquet(f"{path}/{stage}")
+    """The rows of a stage, of all projects, orders and stamps; names of folders stay texts, whatever they look like."""
+    folder = f"{path}/{stage}"
+    named = {"pver_id", "safe_order", "stamp"}
+    given = spark.read.option("basePath", folder).parquet(folder).schema
+    schema = StructType([StructField(f.name, StringType()) if f.name in named else f for f in given])
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
