@@ -112,7 +112,11 @@ _leaves = lambda f: f.groupBy("pver_id", "block_no").agg(F.max_by(S.bare_fn(S.fr
 register("g02_leaf_distance", "cfg_edges frames", lambda e, f: gr.leaf_distance(e, _leaves(f)), _E.replace(", e as", "--recursive, e as", 1) + r""", lf as (select distinct pver_id, leaf from (select pver_id, block_no, arg_max(regexp_extract(entry, '^call#([^ |]*)', 1), pos) as leaf from frames group by 1, 2)), many as (select count(distinct caller) as n from e),
 b(pver_id, leaf, fn, distance) as (select pver_id, leaf, leaf, 0 from lf union select b.pver_id, leaf, caller, distance + 1 from b join e on e.pver_id = b.pver_id and callee = fn where caller <> leaf and distance < (select n from many)) select pver_id, leaf, fn, min(distance) as distance from b group by 1, 2, 3""")
 _members = lambda f: f.groupBy("pver_id", F.col("block_no").alias("grp"), S.bare_fn(S.frame_fn(F.col("entry"))).alias("fn")).agg(F.min("pos").alias("position"), F.max("pos").alias("last")).withColumn("is_leaf", F.col("last") == F.max("last").over(Window.partitionBy("pver_id", "grp"))).drop("last")
-register("g03_execution_order", "cfg_edges frames", lambda e, f: gr.execution_order(_members(f), e), None)
+register("g03_execution_order", "cfg_edges frames", lambda e, f: gr.execution_order(_members(f), e), r"""--recursive, m as (select pver_id, block_no as grp, regexp_extract(entry, '^call#([^ |]*)', 1) as fn, min(pos) as first, max(pos) as last from frames group by 1, 2, 3), nm as (select pver_id, grp, list(fn order by first, fn) as names, arg_max(fn, last) as leaf from m group by 1, 2),
+inn as (select distinct a.pver_id, a.grp, a.fn as caller, b.fn as callee from m a join cfg_edges e on e.pver_id = a.pver_id and e.caller = a.fn join m b on b.pver_id = a.pver_id and b.grp = a.grp and b.fn = e.callee where a.fn <> b.fn), es as (select pver_id, grp, list(caller || '>' || callee) as es from inn group by 1, 2),
+k(pver_id, grp, leaf, es, names, done) as (select pver_id, grp, leaf, coalesce(es, []::varchar[]), names, []::varchar[] from nm left join es using (pver_id, grp)
+ union all select pver_id, grp, leaf, es, list_filter(names, lambda x: x <> nx), list_append(done, nx) from (select *, list_filter(names, lambda x: len(list_filter(es, lambda e: ends_with(e, '>' || x) and not list_contains(done, split_part(e, '>', 1)))) = 0)[1] as nx from k where len(names) > 0) where nx is not null),
+z as (select pver_id, grp, arg_max(list_concat(list_filter(list_concat(done, names), lambda x: x <> leaf), [leaf]), len(done)) as o from k group by 1, 2) select pver_id, grp, unnest(o) as fn, cast(unnest(range(1, len(o) + 1)) as integer) as place from z""")
 register("g04_execution_role", "frames", lambda f: gr.execution_role(_members(f).withColumn("place", F.row_number().over(Window.partitionBy("pver_id", "grp").orderBy("position")))).select("pver_id", "grp", "fn", "role"), r""", m as (select pver_id, block_no as grp, regexp_extract(entry, '^call#([^ |]*)', 1) as fn, min(pos) as p from frames group by 1, 2, 3)
 select pver_id, grp, fn, case when fn = 'global' then 'declaration' when p = max(p) over (partition by pver_id, grp) then 'leaf' else 'intermediate' end as role from m""")
 register("g01_caller_chain", "cfg_edges", lambda e: gr.caller_chain(e.select("pver_id", F.col("callee").alias("fn")).distinct(), e), _E.replace(", e as", "--recursive, e as", 1) + """, c(pver_id, fn, cur, chain, n) as (select distinct pver_id, callee, callee, [callee], 1 from e

@@ -10,6 +10,12 @@ KEYWORDS = ["auto", "break", "case", "char", "const", "continue", "default", "do
 # What marks a line as a guard when alarms are prepared, and when bodies are mined.
 GUARD = r"(?i)\b(if|while|for|switch)\b|<=|>=|<|>|&&|\|\||\bmin\b|\bmax\b|&\s*0x|%\s*\d+|clamp"
 MINED_GUARD = r"(?i)\b(if|while|for|switch)\b|<=|>=|<|>|&&|\|\||&\s*0x|%\s*\d+|clamp|MIN|MAX"
+# An identifier of an index; what may stand before a name that is set, and behind it; statements that set nothing; steps.
+INDEX_NAME = r"(?<![\w.])([A-Za-z_]\w*)"
+SET_BEFORE = r"(?<![\w.>])"
+SET_AFTER = r"\s*(?:\[[^\]]*\])?\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)"
+NOT_SET = r"\b(if|while|return)\b"
+STEP = r"(?:\+\+|--)"
 # The rewriting steps of a statement, in order.
 NORMAL_STEPS = [
     (r"\(\s*\(void\)\s*\([^)]*\)\s*\)\s*;?", ""),
@@ -83,7 +89,7 @@ def clean_index(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Identifiers in order of first sight; not parts of numbers, not members after a dot, no keywords."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])([A-Za-z_]\w*)"), 1)
+    found = F.regexp_extract_all(text, F.lit(INDEX_NAME), 1)
     return F.array_distinct(F.filter(found, lambda t: ~t.isin(KEYWORDS)))
 
 
@@ -104,11 +110,11 @@ def is_lhs_write(text: Column, token: Column) -> Column:
     """
     code = F.substring_index(text, "//", 1)
     name = F.concat(F.lit(r"\b\Q"), token, F.lit(r"\E\b"))
-    free = F.lit(r"(?<![\w.>])")
-    assigned = F.regexp_like(code, F.concat(free, F.lit(r"\*?\s*"), name, F.lit(r"\s*(?:\[[^\]]*\])?\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)")))
+    free = F.lit(SET_BEFORE)
+    assigned = F.regexp_like(code, F.concat(free, F.lit(r"\*?\s*"), name, F.lit(SET_AFTER)))
     head = F.substring_index(code, "=", 1)
-    step = F.regexp_like(code, F.concat(free, name, F.lit(r"\s*(?:\+\+|--)|(?:\+\+|--)\s*"), name))
-    return F.when(assigned, head.contains(token) & ~head.rlike(r"\b(if|while|return)\b")).otherwise(step)
+    step = F.regexp_like(code, F.concat(free, name, F.lit(rf"\s*{STEP}|{STEP}\s*"), name))
+    return F.when(assigned, head.contains(token) & ~head.rlike(NOT_SET)).otherwise(step)
 
 
 def collapse_ws(text: Column) -> Column:

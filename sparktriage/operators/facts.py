@@ -15,6 +15,10 @@ BRIEF_WEIGHT = {"alarm_site": 100, "array_size_hint": 95, "local_guard": 95, "gu
 CALL_KINDS = ["call_edge", "arg_binding", "alarm_site", "path_step", "declaration", "array_size_hint", "local_guard"]
 VALUE_KINDS = ["declaration", "write", "guard", "clamp", "mask", "loop_bound", "array_size_hint", "alarm_site", "arg_binding", "local_guard", "access"]
 EVERYWHERE = ["global", ""]
+# A line of a parameter list; behind an array's name an open dimension and a subscript; statements and signs that guard an index.
+LISTED_TYPE = r"^(const\s+)?(uint\d+|int|unsigned|signed|size_t|bool)\b"
+OPEN_DIMENSION, SUBSCRIPT = r"\s*\[\s*\]", r"\s*\[\s*[^\]\s]"
+GUARDING, COMPARED = r"\b(if|while|for|switch)\b", r"\b\s*(<|>|<=|>=|==|!=)"
 
 
 def _of_kind(values: dict[str, int]) -> Column:
@@ -161,14 +165,14 @@ def mine_facts(alarms: DataFrame, lines: DataFrame) -> DataFrame:
     quoted = lambda c: F.concat(F.lit(r"\b\Q"), c, F.lit(r"\E"))
     both = lines.join(alarms, ALARM).where((text != "") & ~text.startswith("/*"))
     listed = text.endswith(",")
-    weak = (text.rlike(r"^(const\s+)?(uint\d+|int|unsigned|signed|size_t|bool)\b") & listed) | (listed & ~text.rlike(r"[(=\[]") & (index != "") & text.contains(index))
+    weak = (text.rlike(LISTED_TYPE) & listed) | (listed & ~text.rlike(r"[(=\[]") & (index != "") & text.contains(index))
     both = both.where(~weak).withColumns({"t": text, "a": array, "x": index, "toks": S.index_tokens(index)})
     t, a, x = F.col("t"), F.col("a"), F.col("x")
-    declared = (a != "") & F.regexp_like(t, F.concat(quoted(a), F.lit(r"\s*\[\s*\]"))) & t.contains("=")
-    used = (a != "") & F.regexp_like(t, F.concat(quoted(a), F.lit(r"\s*\[\s*[^\]\s]")))
+    declared = (a != "") & F.regexp_like(t, F.concat(quoted(a), F.lit(OPEN_DIMENSION))) & t.contains("=")
+    used = (a != "") & F.regexp_like(t, F.concat(quoted(a), F.lit(SUBSCRIPT)))
     head = F.split_part(t, x, F.lit(1))
     guard = (x != "") & S.is_guard(t, S.MINED_GUARD) & t.contains(x) & ~F.substring(head, -3, 3).contains("[")
-    guard = guard & (t.rlike(r"\b(if|while|for|switch)\b") | F.regexp_like(t, F.concat(quoted(x), F.lit(r"\b\s*(<|>|<=|>=|==|!=)"))))
+    guard = guard & (t.rlike(GUARDING) | F.regexp_like(t, F.concat(quoted(x), F.lit(COMPARED))))
     written = F.try_element_at(F.filter("toks", lambda k: S.is_lhs_write(F.col("t"), k)), F.lit(1))
     one = lambda ok, kind, symbol: F.when(ok, F.struct(kind.alias("kind"), symbol.alias("symbol")))
     site = F.when(F.col("line_no") == F.col("alarm_line"), "alarm_site").otherwise("access")

@@ -72,8 +72,9 @@ def group_ids(heads: DataFrame) -> DataFrame:
 
 
 def path_classes(paths: DataFrame) -> DataFrame:
-    """Paths of equal (fn, line) steps; C1, C2, … by size descending, ties by first path."""
-    classes = paths.groupBy(*GROUP, "steps").agg(F.count("*").alias("size"), F.min("path_id").alias("representative_path_id"), F.array_sort(F.collect_list("path_id")).alias("member_path_ids"), F.first("fns").alias("fns"))
+    """Paths of equal (fn, line) steps; C1, C2, … by size descending, ties by first path. Two 64-bit hashes stand for the steps as a key."""
+    key = F.struct(F.xxhash64("steps"), F.xxhash64("steps", F.lit(1))).alias("key")
+    classes = paths.groupBy(*GROUP, key).agg(F.first("steps").alias("steps"), F.count("*").alias("size"), F.min("path_id").alias("representative_path_id"), F.array_sort(F.collect_list("path_id")).alias("member_path_ids"), F.first("fns").alias("fns")).drop("key")
     rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc("size"), "representative_path_id"))
     return classes.withColumn("rank", rank).withColumn("class_id", F.concat(F.lit("C"), F.col("rank")))
 

@@ -263,12 +263,16 @@ def cite_lines(lines: DataFrame, focus: list[str] | None = None, cap: int = 36,
     return ranked.withColumn("place", F.row_number().over(w.orderBy(*[c for c in LINE if c not in keys]))).drop("rank")
 
 
+# Fixed value: a statement that copies one numbered element.
+COPIED = r"^([\w.]+?)(\d+)\s*=\s*([\w.]+)\s*\[\s*(\d+)\s*\]\s*;?\s*$"
+
+
 def collapse_indexed_runs(lines: DataFrame) -> DataFrame:
     """Consecutive statements P0 = S[0], P1 = S[1], ... of one prefix and base whose two numbers are equal and count up become one, P[0..k]=S[0..k]; all others stay.
 
     Runs are islands: within consecutive lines of one shape the number less the line's place is the same.
     """
-    m = lambda i: F.regexp_extract("text", r"^([\w.]+?)(\d+)\s*=\s*([\w.]+)\s*\[\s*(\d+)\s*\]\s*;?\s*$", i)
+    m = lambda i: F.regexp_extract("text", COPIED, i)
     shaped = lines.select(*LINE, F.col("text"), m(1).alias("prefix"), m(3).alias("base"), m(2).try_cast("int").alias("n"), m(4).try_cast("int").alias("k"))
     shape = F.when(F.col("n") == F.col("k"), F.struct("prefix", "base"))
     w = Window.partitionBy(*FILE).orderBy("line_no")
