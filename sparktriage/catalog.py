@@ -342,18 +342,25 @@ _lines = lambda c: c.select("pver_id", "file_id", F.posexplode(F.split("text", "
 _points = lambda c: _lines(c).where("line_no in (14, 16)").select(*sy.LINE, F.instr("text", "[").alias("col"))
 
 
+def _spread(texts: DataFrame) -> DataFrame:
+    """Texts dealt over the tasks: the given tables are single files, and a scan of texts is the work here."""
+    return checkpoint(texts.repartition(*sy.FILE))
+
+
 def _parsed(texts: DataFrame) -> DataFrame:
     """The functions of all files, scanned once."""
     return checkpoint(co.extract_functions(texts))
 
 
 def _origins(texts: DataFrame, token: str) -> DataFrame:
+    texts = _spread(texts)
     functions = _parsed(texts)
     starts = functions.where("defined").select(*sy.FILE, "fn", F.lit(token).alias("token"))
     return co.index_origin(starts, co.extract_assignments(functions), co.extract_parameters(functions), co.extract_declarations(texts), functions)
 
 
 def _sources(texts: DataFrame, token: str) -> DataFrame:
+    texts = _spread(texts)
     functions = _parsed(texts)
     starts = functions.where("defined").select(*sy.FILE, "fn", F.lit(token).alias("token"))
     return co.value_origins(starts, co.extract_assignments(functions), functions, co.extract_parameters(functions))
@@ -372,7 +379,7 @@ register("x07_resolve_access", "c_files", lambda c: co.resolve_access(_spots(c),
  union all select pver_id, file_id, 14, instr(ls[14], '[1]'), tab, tab, substring(ls[14], instr(ls[14], '[1]') + 1) || chr(10) || ls[15] || chr(10) || '  return', 1 from c""")
 register("x08_relevant_symbols", "c_files", lambda c: co.relevant_symbols(co.resolve_access(_points(c), _lines(c))), _CF + """select pver_id, file_id, 14 as line_no, instr(ls[14], '[') as col, unnest(['array', 'index']) as role, unnest([tab, 'loc']) as symbol from c
  union all select pver_id, file_id, 16, instr(ls[16], '['), unnest(['array', 'parent', 'index']), unnest([mem, 's', 'ptr']) from c""")
-register("x09_symbol_infos", "c_files", lambda c: _flat(en.symbol_infos(co.resolve_access(_points(c), _lines(c)), c).drop("index"), "sizes"), _CF + """, i as (select *, instr(ls[14], '[') as c1, instr(ls[16], '[') as c2 from c)
+register("x09_symbol_infos", "c_files", lambda c: _flat(en.symbol_infos(co.resolve_access(_points(c), _lines(c)), _spread(c)).drop("index"), "sizes"), _CF + """, i as (select *, instr(ls[14], '[') as c1, instr(ls[16], '[') as c2 from c)
 select pver_id, file_id, unnest([14, 14, 16, 16, 16]) as line_no, unnest([c1, c1, c2, c2, c2]) as col, unnest(['array', 'index', 'array', 'parent', 'index']) as role, unnest([tab, 'loc', mem, 's', 'ptr']) as symbol,
  unnest(['array', 'symbol', 'array', 'symbol', 'pointer']) as kind, unnest(['global', 'local', 'struct_member', 'global', 'parameter']) as scope, unnest(['uint16', 'uint8', 'uint8', null, 'uint16']) as datatype,
  unnest(['[' || sz || '*2+1][2]', '', '[3]', '', '']) as dims, unnest([(n * 2 + 1) || ',2', null, '3', null, null]) as sizes, unnest([true, null, true, null, null]) as size_known, unnest([null, null, 'S', null, null]) as member_of, unnest([null, fn, null, null, fn]) as declared_in,
@@ -444,7 +451,7 @@ def _rows_of(groups: DataFrame) -> DataFrame:
     )
 
 
-register("s05_enrichment", "shape_frames shape_heads shape_files shape_blocks", lambda fr, h, f, b: _rows_of(en.enrich(fr, h, f.withColumn("name", F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".c"))))), f""", oc as (select * from {_values(_LISTED)} as v(kind, x, i, access)), sy as (select * from {_values(_SYMBOLS)} as v(kind, place, role, x, k, scope, ty, dims, sizes, sk, dl, dk, passed)),
+register("s05_enrichment", "shape_frames shape_heads shape_files shape_blocks", lambda fr, h, f, b: _rows_of(en.enrich(fr, h, _spread(f).withColumn("name", F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".c"))))), f""", oc as (select * from {_values(_LISTED)} as v(kind, x, i, access)), sy as (select * from {_values(_SYMBOLS)} as v(kind, place, role, x, k, scope, ty, dims, sizes, sk, dl, dk, passed)),
 tx as (select pver_id, file_id, string_split(text, chr(10)) as ls from shape_files), top as (select pver_id, file_id, head as base from shape_blocks where seq = 1),
 met as (select b.pver_id, b.file_id, b.seq, b.fn, oc.x, oc.i, oc.access from shape_blocks b join oc using (kind) union all select pver_id, file_id, 0, 'global', unnest(['T', 'U']), 0, 'declaration' from top),
 met2 as (select *, case when x in ('T', 'U', 'F') then 0 else seq end as obj, case when x = 'F' and i = 0 then 'global' else fn end as f from met),
@@ -477,7 +484,7 @@ def _stored(df: DataFrame) -> DataFrame:
     return fi.read_artifact(df.sparkSession, path, "merge")
 
 
-register("s08_artifacts", "alarms", lambda a: _stored(a.select("pver_id", F.col("order_id").alias("order_key"), "location", F.concat(F.lit("t"), F.col("alarm_seq") % 3).alias("stamp"))).select("pver_id", "safe_order", "stamp", "order_key", "location"), "select pver_id, replace(order_id, ',', '_') as safe_order, 't' || (alarm_seq % 3) as stamp, order_id as order_key, location from alarms")
+register("s08_artifacts", "alarms", lambda a: _stored(a.select("pver_id", F.concat(F.col("alarm_seq") % 20, F.lit(",5/x")).alias("order_key"), "location", F.concat(F.lit("t"), F.col("alarm_seq") % 3).alias("stamp"))).select("pver_id", "safe_order", "stamp", "order_key", "location"), "select pver_id, (alarm_seq % 20) || '_5_x' as safe_order, 't' || (alarm_seq % 3) as stamp, (alarm_seq % 20) || ',5/x' as order_key, location from alarms")
 
 
 def _streamed(df: DataFrame, preview: int) -> DataFrame:

@@ -151,17 +151,19 @@ def group_distance(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def execution_order(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Members (pver_id, grp, fn, position on the path or null, is_leaf) of each group in execution order; groups are an alarm's few functions."""
-    calls = group_calls(members, edges).groupBy("pver_id", "grp", F.col("caller").alias("fn")).agg(F.collect_set("callee").alias("calls"))
-    rows = members.join(calls, ["pver_id", "grp", "fn"], "left")
-
-    def order(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["position", "fn"])
-        leaf = next(iter(frame.loc[frame["is_leaf"], "fn"]), None)
-        edges_ = [(a, b) for a, bs in zip(frame["fn"], frame["calls"]) if bs is not None for b in bs]
-        names = kahn_order(sorted(frame["fn"]), edges_, frame.loc[frame["position"].notna(), "fn"].tolist(), leaf)
-        return pd.DataFrame({"pver_id": frame["pver_id"].iloc[0], "grp": frame["grp"].iloc[0], "fn": names, "place": range(1, len(names) + 1)})
-
-    return rows.groupBy("pver_id", "grp").applyInPandas(order, "pver_id string, grp long, fn string, place int")
+    calls = group_calls(members, edges).groupBy("pver_id", "grp").agg(F.collect_list(F.struct("caller", "callee")).alias("calls"))
+    listed = members.groupBy("pver_id", "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("position").isNull().alias("off"), "position", "fn", "is_leaf"))).alias("fns")).join(calls, ["pver_id", "grp"], "left")
+
+    @F.pandas_udf("array<string>")
+    def order(fns: pd.Series, calls: pd.Series) -> pd.Series:
+        out = []
+        for own, pairs in zip(fns, calls):
+            leaf = next((x["fn"] for x in own if x["is_leaf"]), None)
+            out.append(kahn_order(sorted(x["fn"] for x in own), [(c["caller"], c["callee"]) for c in pairs] if pairs is not None else [], [x["fn"] for x in own if not x["off"]], leaf))
+        return pd.Series(out, dtype=object)
+
+    placed = listed.select("pver_id", "grp", F.posexplode(order("fns", "calls")).alias("at", "fn"))
+    return placed.select("pver_id", "grp", "fn", (F.col("at") + 1).alias("place"))
 
 
 def execution_role(ordered: DataFrame) -> DataFrame:
