@@ -34,7 +34,7 @@ def line_of(text: str) -> Callable[[int], int]:
 
 
 def partners(flat: str) -> dict[int, int]:
-    """The offset of every opening bracket's partner. A closing one ends what was opened since its own kind; without a partner it is the text's end."""
+    """The offset of every opening bracket's partner. A closing one ends what was opened since its own kind, if that is one of the last eight; without a partner it is the text's end."""
     found: dict[int, int] = {}
     open_: list[tuple[str, int]] = []
     for m in re.finditer(r"[()\[\]{}]", flat):
