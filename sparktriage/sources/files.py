@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -21,26 +18,31 @@ VARIABLE_INFO = VARIABLE_INFO + (
 )
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts that are no valid UTF-8 are taken as Windows-1252, with replacement."""
-    for batch in batches:
-        yield batch.assign(text=[c.decode("cp1252", "replace") for c in batch["content"]])[["pver_id", "path", "text"]]
+#: The project of a file: its parent folder.
+PROJECT = r"([^/]+)/[^/]+$"
+#: Byte order marks of UTF-16.
+WIDE = ("FFFE", "FEFF")
+#: Windows-1252 is ISO-8859-1 but for these 32 bytes, five of which have no character.
+_HIGH = bytes(range(0x80, 0xA0))
+
+
+def windows_1252(content: Column) -> Column:
+    """Bytes as a Windows-1252 text, with replacement."""
+    return F.translate(F.decode(content, "ISO-8859-1"), _HIGH.decode("latin-1"), _HIGH.decode("cp1252", "replace"))
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(pver_id, path, text); the encoding from the byte order mark, else UTF-8, else Windows-1252. pver_id is the parent folder."""
+def read_text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(pver_id, path, text); the encoding from the byte order mark, else UTF-8, else Windows-1252. pver_id is the parent folder. A text is one value here; lines.read_lines splits large files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("pver_id"), "path", "content")
     mark = F.hex(F.substring("content", 1, 3))
-    known = (
+    text = (
         F.when(mark.startswith("FFFE"), F.decode(F.expr("substring(content, 3)"), "UTF-16LE"))
         .when(mark.startswith("FEFF"), F.decode(F.expr("substring(content, 3)"), "UTF-16BE"))
-        .when(mark == "EFBBBF", F.decode(F.expr("substring(content, 4)"), "UTF-8"))
-        .when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8"))
+        .when(mark == "EFBBBF", F.make_valid_utf8(F.expr("substring(content, 4)").cast("string")))
+        .when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+        .otherwise(windows_1252(F.col("content")))
     )
-    marked = files.withColumn("text", known)
-    other = marked.where("text is null").select("pver_id", "path", "content").mapInPandas(_decode, "pver_id string, path string, text string")
-    return marked.where("text is not null").select("pver_id", "path", "text").unionByName(other)
+    return files.select(F.regexp_extract("path", PROJECT, 1).alias("pver_id"), "path", text.alias("text"))
 
 
 def source_lines(texts: DataFrame) -> DataFrame:
@@ -51,8 +53,13 @@ def source_lines(texts: DataFrame) -> DataFrame:
 
 
 def read_alarms(texts: DataFrame) -> DataFrame:
-    """Alarm rows of CSV texts: an optional `sep=` line, a header, `;` between fields; each row as a map of trimmed names to trimmed values."""
-    lines = source_lines(texts).where("trim(text) <> '' and not lower(text) like 'sep=%'")
+    """S03 over whole texts."""
+    return alarm_rows(source_lines(texts))
+
+
+def alarm_rows(lines: DataFrame) -> DataFrame:
+    """Alarm rows of the lines of CSV files: an optional `sep=` line, a header, `;` between fields; each row as a map of trimmed names to trimmed values."""
+    lines = lines.where("trim(text) <> '' and not lower(text) like 'sep=%'")
     head = lines.groupBy("path").agg(F.min_by("text", "line_no").alias("head"), F.min("line_no").alias("first"))
     # A field is quoted, and may then hold the separator and doubled quotes, or runs up to the separator.
     cut = lambda c: F.regexp_extract_all(F.concat(F.lit(";"), F.regexp_replace(c, "^\ufeff", "")), F.lit(r';\s*("(?:[^"]|"")*"[^;]*|[^;]*)'), 1)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import clip
 
@@ -15,6 +16,8 @@ JOB = ["pver_id", "order_key"]
 # The agents that keep a cursor of their own, and the one whose cursor is the focus on a value.
 AGENTS = ["CALL_PATH_EXPLORE", "TP_PROVE", "FP_PROVE", "FINAL_CLASSIFICATION"]
 VALUE_AGENT = "VAR_VALUE_EXPLORE"
+#: Setting and value of the state store that visit_gate_stream needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_events(spark: SparkSession, path: str, preview: int = 200) -> DataFrame:
@@ -91,23 +94,39 @@ def visit_gate(opens: DataFrame, needed: DataFrame) -> DataFrame:
     return left.where("is_submit").select(*JOB, "event_id", ((F.size("remaining") == 0) & (F.col("n_facts") > 0)).alias("accepted"), F.array_join("remaining", ",").alias("remaining"))
 
 
-def visit_gate_stream(opens: DataFrame, needed: DataFrame) -> DataFrame:
-    """T04 on a stream of opens: the functions a job has opened are its state, at most as many as its sequence names; each submit gives one row.
+class VisitGate(StatefulProcessor):
+    """T04's state: a map of the functions that a job has opened, each with the event that did; with a time to live, functions opened longer ago are forgotten."""
 
-    Events of one batch are taken by time; state is kept until the query is stopped.
-    """
-    both = opens.join(needed, JOB)
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.opened = handle.getMapState("opened", "fn string", "event_id long", self.keep_ms)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        opened = set(state.get[0]) if state.exists else set()
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        opened = {fn for (fn,) in self.opened.keys()}
         out = []
-        for row in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
+        for row in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
             if row.is_submit:
                 left = sorted(set(row.fns) - opened)
                 out.append((*key, row.event_id, not left and row.n_facts > 0, ",".join(left)))
             elif row.fn in row.fns:
                 opened.add(row.fn)
-        state.update((sorted(opened),))
+                self.opened.updateValue((row.fn,), (row.event_id,))
         yield pd.DataFrame(out, columns=[*JOB, "event_id", "accepted", "remaining"])
 
-    return both.groupBy(*JOB).applyInPandasWithState(step, "pver_id string, order_key string, event_id long, accepted boolean, remaining string", "opened array<string>", "append", "NoTimeout")
+
+def visit_gate_stream(opens: DataFrame, needed: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """T04 on a stream of opens: the functions a job has opened are its state, at most as many as its sequence names; each submit gives one row.
+
+    Events of one batch are taken by time. A function that was opened more than keep_ms ago (null: never) counts as not opened and leaves the
+    state; opening it again renews it. Streams with such state need the RocksDB state store (STATE_STORE) when they start.
+    """
+    result = "pver_id string, order_key string, event_id long, accepted boolean, remaining string"
+    return opens.join(needed, JOB).groupBy(*JOB).transformWithStateInPandas(VisitGate(keep_ms), result, "Append", "None" if keep_ms is None else "ProcessingTime")
+
+
+def opened_functions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state of a gate's stream by its checkpoint: (pver_id, order_key, fn)."""
+    state = spark.read.format("statestore").option("stateVarName", "opened").load(checkpoint)
+    return state.select(*[F.col(f"key.{k}") for k in JOB], "user_map_key.fn")
