@@ -18,6 +18,7 @@ from .operators import symbols as sy
 from .operators import verdict as ve
 from .plans.views import view, with_views
 from .sources import files as fi
+from .sources import lines as li
 from .sources.scratch import checkpoint, new_path
 from .streaming import events as ev
 
@@ -328,8 +329,32 @@ _VF = "coalesce(case when agent = 'VAR_VALUE_EXPLORE' then cursor end, var_focus
 register("t02_focus_state", "run_events", ev.focus_state, "select pver_id, order_key, " + ", ".join(_LAST(c, f"{c} is not null", c) for c in ("agent", "activity", "functions", "edges", "call_path", "var_paths")) + ", " + _LAST(_VF, f"{_VF} is not null", "var_focus") + ", " + ", ".join(_LAST("cursor", f"cursor is not null and agent = '{a}'", f"cursor_{a.lower()}") for a in ev.AGENTS) + ", count(*) as n from run_events group by 1, 2")
 register("t03_job_status", "run_events", ev.job_status, "select pver_id, order_key, count(*) as n, arg_max(title, (ts, event_id)) filter (title is not null) as message, coalesce(arg_max(case when kind = 'done' then 'done' else 'error' end, (ts, event_id)) filter (kind in ('done', 'agent_error')), 'running') as state from run_events group by 1, 2")
 _opens = lambda e: e.select("pver_id", "order_key", "ts", "event_id", F.col("activity").alias("fn"), (F.col("kind") == "agent_output").alias("is_submit"), (F.col("event_id") % 3).alias("n_facts"))
-register("t04_visit_gate", "run_events", lambda e: ev.visit_gate(_opens(e), e.select("pver_id", "order_key").distinct().withColumn("fns", F.array(F.lit("act_1"), F.lit("act_2")))), """, o as (select *, kind = 'agent_output' as sub from run_events), w as (select *, count(*) filter (not sub and activity = 'act_1') over q as a, count(*) filter (not sub and activity = 'act_2') over q as b from o window q as (partition by pver_id, order_key order by ts, event_id rows unbounded preceding))
-select pver_id, order_key, event_id, a > 0 and b > 0 and event_id % 3 > 0 as accepted, concat_ws(',', case when a = 0 then 'act_1' end, case when b = 0 then 'act_2' end) as remaining from w where sub""")
+_needed = lambda e: e.select("pver_id", "order_key").distinct().withColumn("fns", F.array(F.lit("act_1"), F.lit("act_2")))
+_GATE_SQL = """, o as (select *, kind = 'agent_output' as sub from run_events), w as (select *, count(*) filter (not sub and activity = 'act_1') over q as a, count(*) filter (not sub and activity = 'act_2') over q as b from o window q as (partition by pver_id, order_key order by ts, event_id rows unbounded preceding))
+select pver_id, order_key, event_id, a > 0 and b > 0 and event_id % 3 > 0 as accepted, concat_ws(',', case when a = 0 then 'act_1' end, case when b = 0 then 'act_2' end) as remaining from w where sub"""
+register("t04_visit_gate", "run_events", lambda e: ev.visit_gate(_opens(e), _needed(e)), _GATE_SQL)
+
+
+def _gated(e: DataFrame) -> DataFrame:
+    """T04 as a stream: the older half of the events first, then, by a stream that starts again from the state, the rest."""
+    spark, path = e.sparkSession, new_path(e.sparkSession, "gate")
+    opens, needed = _opens(e), _needed(e)
+    ends = e.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    middle = F.lit(ends["low"] + (ends["high"] - ends["low"]) / 2) if ends["low"] else F.lit(None).cast("timestamp_ntz")
+    name, provider = ev.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        for older in (True, False):
+            opens.where((F.col("ts") <= middle) == F.lit(older)).write.mode("append").parquet(f"{path}/in")
+            gate = ev.visit_gate_stream(spark.readStream.schema(opens.schema).parquet(f"{path}/in"), needed)
+            gate.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema("pver_id string, order_key string, event_id long, accepted boolean, remaining string").parquet(f"{path}/out")
+
+
+register("t04_gate_stream", "run_events", _gated, _GATE_SQL)
 register("l04_tail_events", "run_events", lambda e: ev.tail_events(e, 5).select("event_id", "pver_id", "order_key", "rank"), ", r as (select *, cast(row_number() over (partition by pver_id, order_key order by ts desc, event_id desc) as integer) as rank from run_events) select event_id, pver_id, order_key, rank from r where rank <= 5")
 
 # --- C files ---
@@ -474,6 +499,20 @@ register("s03_read_alarms", "csv_texts", lambda c: fi.read_alarms(c.select("pver
 register("s04_trace_blocks", "log_texts", lambda t: fi.read_trace_blocks(t.select("pver_id", "text")), r"""select pver_id, 1 as block_no, regexp_extract(text, '(?s)\n(\[.*~~~~)', 1) as block from log_texts union all select pver_id, 2, '[ ALARM (A) overflow ]' from log_texts""")
 register("p03_parse_blocks", "log_texts", lambda t: _flat(fi.parse_blocks(fi.read_trace_blocks(t.select("pver_id", "text"))), "call_stack", "source_lines"), """select pver_id, 1 as block_no, 'call#main at m.c:1.2-3,call#fn_' || f || ' at m.c:9.1-2' as call_stack, 'ALARM (A) array_out_of_bounds at ap.c:' || n || '.5-9' as alarm, '  x = t[i];,      ~~~~' as source_lines, 'ap.c:' || n || '.5-9' as location from log_texts
  union all select pver_id, 2, '', 'ALARM (A) overflow', '', 'UNKNOWN_LOCATION::ALARM (A) overflow' from log_texts""")
+
+
+def _as_files(df: DataFrame, name: str) -> DataFrame:
+    """(project, k, text) written as one file a project, its texts one after another, and read back in splits."""
+    path = new_path(df.sparkSession, name)
+    df.repartition("project").sortWithinPartitions("project", "k").select("project", "text").write.partitionBy("project").text(path)
+    return li.read_lines(df.sparkSession, path).withColumn("pver_id", F.replace("pver_id", F.lit("project="), F.lit("")))
+
+
+register("s04_log_blocks", "log_texts", lambda t: _flat(fi.parse_blocks(li.log_blocks(_as_files(t.select((F.substring("pver_id", 2, 20).cast("long") % 8).alias("project"), F.substring("pver_id", 2, 20).cast("long").alias("k"), "text"), "logs"))), "call_stack", "source_lines"), """, t as (select cast(pver_id[2:] as bigint) as k, n, f from log_texts), r as (select k % 8 as p, row_number() over (partition by k % 8 order by k) as i, n, f from t)
+select cast(p as varchar) as pver_id, 2 * i - 1 as block_no, 'call#main at m.c:1.2-3,call#fn_' || f || ' at m.c:9.1-2' as call_stack, 'ALARM (A) array_out_of_bounds at ap.c:' || n || '.5-9' as alarm, '  x = t[i];,      ~~~~' as source_lines, 'ap.c:' || n || '.5-9' as location from r
+ union all select cast(p as varchar), 2 * i, '', 'ALARM (A) overflow', '', 'UNKNOWN_LOCATION::ALARM (A) overflow' from r""")
+register("s03_alarm_lines", "csv_texts", lambda c: fi.alarm_rows(_as_files(c.select(F.col("pver_id").alias("project"), F.col("n").cast("long").alias("k"), "text"), "alarms")).select("pver_id", "alarm_seq", *[F.col("row")[k].alias(k.lower()) for k in ("Order", "Message", "Type")]), """, t as (select pver_id, cast(n as bigint) as k, nation, case when first = '' then 0 else 1 end as s from csv_texts), a as (select *, coalesce(sum(5 + s) over (partition by pver_id order by k rows between unbounded preceding and 1 preceding), 0) + s as up, row_number() over (partition by pver_id order by k) as i from t)
+select pver_id, cast(up + 2 as bigint) as alarm_seq, cast(k as varchar) as "order", 'a; "b" ' || nation as message, 'x' as type from a union all select pver_id, cast(up + 4 as bigint), k || '/7', 'plain', '' from a union all select pver_id, cast(up + 1 as bigint), 'Order', 'Message', 'Type' from a where i > 1""")
 register("s06_read_cfg", "cfg_texts", lambda t: fi.read_cfg(fi.cfg_json(fi.read_cfg(t.select("pver_id", "text")))), "select pver_id, 'fn_' || n as caller, unnest([0, 1]) as pos, unnest(['fn_b', callee]) as callee from cfg_texts union all select pver_id, 'leaf', null, null from cfg_texts")
 
 

@@ -121,6 +121,7 @@ def visit_gate_stream(opens: DataFrame, needed: DataFrame, keep_ms: int | None =
 
     Events of one batch are taken by time. A function that was opened more than keep_ms ago (null: never) counts as not opened and leaves the
     state; opening it again renews it. Streams with such state need the RocksDB state store (STATE_STORE) when they start.
+    State that ages asks for batches for ever: with keep_ms, a stream that shall end by itself (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled off.
     """
     result = "pver_id string, order_key string, event_id long, accepted boolean, remaining string"
     return opens.join(needed, JOB).groupBy(*JOB).transformWithStateInPandas(VisitGate(keep_ms), result, "Append", "None" if keep_ms is None else "ProcessingTime")

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparktriage.functions import scalars as S
@@ -259,7 +260,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(versions) == len({r[0] for r in events.read_tail(spark, str(tmp_path / "tail")).select("bucket").collect()})  # older versions are gone
 
 
-def test_visit_gate_stream(spark, tmp_path):
+@pytest.fixture
+def state_store(spark):
+    spark.conf.set(*events.STATE_STORE)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset(events.STATE_STORE[0])
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_visit_gate_stream(spark, tmp_path, state_store):
     fields = "ts timestamp, event_id long, pver_id string, order_key string, fn string, is_submit boolean, n_facts int"
     rows = [(0, None, True, 1), (1, "a", False, 0), (2, None, True, 1), (3, "b", False, 0), (4, "x", False, 0), (5, None, True, 0), (6, None, True, 2), (7, "c", False, 0)]
     table = spark.createDataFrame([(i, "p", k, *r) for k in ("1", "2") for i, *r in rows], "event_id long, pver_id string, order_key string, fn string, is_submit boolean, n_facts int").withColumn("ts", F.timestamp_seconds("event_id"))
@@ -272,6 +282,21 @@ def test_visit_gate_stream(spark, tmp_path):
     got = sorted(map(tuple, spark.table("gate").collect()))
     assert got == sorted(map(tuple, events.visit_gate(table, needed).collect()))
     assert [r[3] for r in got] == [False, False, False, True, False, False, False, False]
+    kept = events.opened_functions(spark, str(tmp_path / "c"))
+    assert sorted(map(tuple, kept.collect())) == [("p", "1", "a"), ("p", "1", "b"), ("p", "2", "a"), ("p", "2", "c")]
+
+
+def test_visit_gate_forgets(spark, tmp_path, state_store):
+    fields = "ts timestamp, event_id long, pver_id string, order_key string, fn string, is_submit boolean, n_facts int"
+    table = spark.createDataFrame([(0, "p", "1", "a", False, 0), (1, "p", "1", None, True, 1), (2, "p", "1", None, True, 1)], "event_id long, pver_id string, order_key string, fn string, is_submit boolean, n_facts int").withColumn("ts", F.timestamp_seconds("event_id"))
+    needed = spark.createDataFrame([("p", "1", ["a"])], "pver_id string, order_key string, fns array<string>")
+    for keep, want in ((None, [(1, True), (2, True)]), (1, [(1, True), (2, False)])):
+        folder = tmp_path / str(keep)
+        for low, high in ((0, 2), (2, 3)):
+            table.where(f"event_id >= {low} and event_id < {high}").coalesce(1).write.mode("append").json(str(folder / "in"))
+            gate = events.visit_gate_stream(spark.readStream.schema(fields).json(str(folder / "in")), needed, keep)
+            gate.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted((r["event_id"], r["accepted"]) for r in spark.read.parquet(str(folder / "out")).collect()) == want
 
 
 def test_files_round_trip(spark, tmp_path):
