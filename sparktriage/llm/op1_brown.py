@@ -34,6 +34,8 @@ from .common import checkpoint, fold, reread, table, text_slices
 #: Words that are exchanged one by one, classes, passes over these words at most, and the weight of class frequencies in smoothing.
 EXCHANGED, CLASSES, PASSES, PRIOR = 1000, 32, 20, 5.0
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
+#: Rows that go to Spark at once: buffers of a whole block stay with an executor long after, as its allocator keeps room of that size.
+BATCH_ROWS = 1 << 14
 END = np.uint64(0x656E64)
 #: Numbers beside the classes: in transitions a word that was never seen and the start of a text; in neighbours any word that was not exchanged, and the start.
 UNSEEN = OTHER = CLASSES
@@ -62,29 +64,34 @@ def _code(block_bytes: int):
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def tables() -> Iterator[pa.RecordBatch]:
-            hs, ns = np.concatenate([h for h, *_ in held]), np.concatenate([n for _, n, *_ in held])
-            trains = np.concatenate([t for *_, t in held])
-            values, code = np.unique(hs, return_inverse=True)
-            n_all = np.bincount(code, minlength=len(values))
-            n = np.bincount(code, np.repeat(trains, ns), len(values)).astype(np.int64)
+            parts, counts, trained, codes, lengths, docs, trains = zip(*held)
+            held.clear()
+            values, place = np.unique(np.concatenate(parts), return_inverse=True)
+            n_all, n = (np.bincount(place, np.concatenate(x), len(values)).astype(np.int64) for x in (counts, trained))
             order = np.lexsort((values.view(np.int64), -n_all))
             rank = np.empty(len(values), np.uint32)
             rank[order] = np.arange(len(values))
-            yield _rows({"block": np.full(len(values), block), "h": values[order].view(np.int64), "n_all": n_all[order], "n": n[order], "often": np.arange(len(values)) < 4 * EXCHANGED})
-            code, at, first = rank[code], 0, 0
-            for h, m, docs, t in held:  # a slice's texts are a row
-                part = zlib.compress(code[at : at + len(h)].astype("<u4").tobytes(), 1)
-                yield _rows({"block": [block], "ord": [first], "docs": [docs.to_pylist()], "held": [(~t).tolist()], "lengths": [m.tolist()], "codes": [part]})
-                at, first = at + len(h), first + 1
+            values, n_all, n, place = values[order].view(np.int64), n_all[order], n[order], rank[place]
+            del order, rank
+            for i in range(0, len(values), BATCH_ROWS):
+                h = values[i : i + BATCH_ROWS]
+                yield _rows({"block": np.full(len(h), block), "h": h, "n_all": n_all[i : i + BATCH_ROWS], "n": n[i : i + BATCH_ROWS], "often": np.arange(i, i + len(h)) < 4 * EXCHANGED})
+            at = 0
+            for first, (part, code, m, d, t) in enumerate(zip(parts, codes, lengths, docs, trains)):  # a slice's texts are a row
+                raw = zlib.compress(place[at : at + len(part)][code].astype("<u4").tobytes(), 1)
+                yield _rows({"block": [block], "ord": [first], "docs": [d], "held": [(~t).tolist()], "lengths": [m.tolist()], "codes": [raw]})
+                at += len(part)
 
         for batch in batches:
             for i, j, texts in text_slices(batch, 1, SLICE_BYTES):
                 h, n = _tokens(texts)
-                held.append((h, n, batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)))
+                docs, trains = batch.column(0).slice(i, j - i).to_pylist(), batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)  # copies: a view would hold the batch's texts
+                part, code = np.unique(h, return_inverse=True)  # slices first: a block's tokens are never sorted at once
+                held.append((part, np.bincount(code, minlength=len(part)), np.bincount(code, np.repeat(trains, n), len(part)), code.astype(np.uint32), n, docs, trains))
                 size += sum(map(len, texts))
                 if size >= block_bytes:
                     yield from tables()
-                    block, held, size = block + 1, [], 0
+                    block, size = block + 1, 0
         if held:
             yield from tables()
 
@@ -115,8 +122,9 @@ def _frequent_bigrams(top: np.ndarray):
                 pair, count = np.unique(before * width + word, return_counts=True)
                 total[pair] += count
         pair = np.flatnonzero(total)
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(total[pair])], ["pair", "n"])
+        for i in range(0, len(pair), BATCH_ROWS):
+            some = pair[i : i + BATCH_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["pair", "n"])
 
     return run
 
@@ -195,15 +203,25 @@ def _neighbours(top: np.ndarray, owner: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def counted() -> pa.RecordBatch:
-            h, k = (np.concatenate(x) for x in zip(*held))
+        def counted() -> Iterator[pa.RecordBatch]:
+            parts, codes, kinds = zip(*held)
             held.clear()
-            order = np.argsort(h)
-            h, raw = h[order], k[order].tobytes()
-            edge = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            ends = np.append(edge, len(h)).astype(np.int32)
+            h, place = np.unique(np.concatenate(parts), return_inverse=True)
+            place = place.astype(np.uint32 if len(h) < 1 << 24 else np.uint64) << 8
+            keys, at = [], 0
+            for part, code, k in zip(parts, codes, kinds):
+                keys.append(place[at : at + len(part)][code] | k)
+                at += len(part)
+            keys = np.concatenate(keys)
+            keys.sort()  # by word; a word's neighbours have no order
+            raw = keys.astype(np.uint8).tobytes()
+            keys >>= 8
+            edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+            ends = np.append(edge, len(keys)).astype(np.int32)
             seen = pa.BinaryArray.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            return pa.RecordBatch.from_arrays([pa.array(h[edge].view(np.int64)), seen], ["h", "seen"])
+            rows = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), seen], ["h", "seen"])
+            for i in range(0, len(edge), BATCH_ROWS):
+                yield rows.slice(i, BATCH_ROWS)
 
         for batch in batches:
             for _, _, texts in text_slices(batch, 0, SLICE_BYTES):
@@ -215,14 +233,16 @@ def _neighbours(top: np.ndarray, owner: np.ndarray):
                 before[np.cumsum(n)[:-1]] = START
                 after = np.append(kind[1:], np.uint8(OTHER))
                 rare = np.flatnonzero(~own)
-                inner = rare[h[rare] != END]  # nothing comes after an end
-                held.append((np.concatenate([h[rare], h[inner]]), np.concatenate([2 * before[rare], 2 * after[inner] + 1]).astype(np.uint8)))
+                inner = h[rare] != END  # nothing comes after an end
+                part, code = np.unique(h[rare], return_inverse=True)
+                code = code.astype(np.uint32)
+                held.append((part, np.concatenate([code, code[inner]]), np.concatenate([2 * before[rare], 2 * after[rare[inner]] + 1]).astype(np.uint8)))
                 size += sum(map(len, texts))
                 if size >= BLOCK_BYTES:
-                    yield counted()
+                    yield from counted()
                     size = 0
         if held:
-            yield counted()
+            yield from counted()
 
     return run
 
