@@ -17,7 +17,6 @@ null ids come first.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, utf8
+from .common import new_path, table, text_slices
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SCALE = 20  # frequencies sum to 2**SCALE
@@ -39,6 +38,7 @@ LOW = np.uint64(1 << 31)
 LANES, CHECKPOINT = 512, 64
 BLOCK_IDS = 1 << 17
 SEGMENT_IDS = 1 << 21
+SLICE_BYTES = 4 << 20
 KNOWN_WORDS = 500_000
 
 
@@ -134,28 +134,36 @@ class WordTokenizer:
             young[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
         return young
 
-    def words(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The words of each text, made alike where that changes no id."""
+    def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts, with a line end between them and made alike where that changes no id, and where each text starts; at the end one more."""
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
         if not self.known:
-            return [t.split() for t in texts]
+            return np.frombuffer(b"\n".join(texts), np.uint8), starts
         # Lower-casing comes after composition in the library: before letters with combining marks (lead bytes CC, CD) it is left to it.
         raw = np.frombuffer(b"\n".join([t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]), np.uint8)
         at = np.flatnonzero(_SIGN[raw[1:-1]]) + 1
         at = at[(_LETTER[raw[at - 1]] | _TAIL[raw[at - 1]] & (raw[at - 2] == 0xC3)) & _BLANK[raw[at + 1]]]
-        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        starts = (starts + np.searchsorted(at, starts)).tolist()
-        joined = np.insert(raw, at, 32).tobytes()
-        return [joined[a : b - 1].split() for a, b in zip(starts, starts[1:])]
+        return np.insert(raw, at, 32), starts + np.searchsorted(at, starts)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = self.words(texts)
-        flat = list(itertools.chain.from_iterable(words))
-        got = list(map(self.learn(set(flat)).__getitem__, flat))
-        out, at = [], 0
-        for ws in words:
-            out.append(np.frombuffer(b"".join(got[at : at + len(ws)]), "<u2").astype(np.uint32))
-            at += len(ws)
-        return out
+        """Words are numbered by Arrow, so that only different ones become Python objects."""
+        raw, text_start = self.joined(texts)
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = _BLANK[raw]
+        turn = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = turn[::2], turn[1::2]
+        places, letters = np.cumsum(np.append(0, ends - starts)), raw[~gap[1:-1]]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        pieces = list(map(self.learn(set(different)).__getitem__, different))
+        ids = np.frombuffer(b"".join(pieces), "<u2").astype(np.uint32)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+        code = words.indices.to_numpy()
+        n = sizes[code]
+        stop = np.cumsum(np.append(0, n))
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[code] - stop[:-1], n) + np.arange(stop[-1])]
+        cut = stop[np.searchsorted(starts, text_start)].tolist()
+        return [out[i:j] for i, j in zip(cut, cut[1:])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -288,9 +296,8 @@ def _write_segments(path: str, vocabulary: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                piece = batch.slice(i, 512)
-                for doc, ids in zip(piece.column(0).to_pylist(), own.encode(utf8(piece.column(1)))):
+            for i, j, texts in text_slices(batch, 1, SLICE_BYTES):
+                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), own.encode(texts)):
                     docs.append(doc)
                     held.append(np.append(ids, np.uint32(END_ID)))
                     total += len(held[-1])

@@ -5,9 +5,11 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from tokenizers import Tokenizer
 
-from sparktriage.llm import op1_brown
+from sparktriage.llm import op1_brown, op4_rans
 
 
 def test_brown_batches_are_bounded(monkeypatch):
@@ -42,3 +44,25 @@ def test_brown_batches_are_bounded(monkeypatch):
     for r in pa.Table.from_batches(near).to_pylist():
         count[r["h"]] += len(r["seen"])
     assert count == Counter({h: 2 * n for h, n in Counter(h for t in tokens for h in t).items() if np.int64(h).view(np.uint64) not in top})
+
+
+def test_words_become_objects_once_a_call(monkeypatch):
+    """Only different words are looked up one by one; ids are the library's, with empty texts, blanks and texts that share words."""
+    path = public_tokenizers.path(op4_rans.VOCABULARY)
+    looked_up = []
+
+    class Counted(dict):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return dict.__getitem__(self, word)
+
+    own, library = op4_rans.WordTokenizer(path), Tokenizer.from_file(path)
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda words: Counted(learn(words)))
+    texts = ["", "The end of the end. ", " \t\r\n", "the End of\x0bthe\x0cend", "", "b\u00dfa, \u00dfa! \u00e9. e\u0301. \u03a3\u0391\u03a3", "the " * 5_000, "x"]
+    for some in (texts, texts[:1], [], texts[::-1]):
+        assert [x.tolist() for x in own.encode([t.encode() for t in some])] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(looked_up) < 60
+    own.known, looked_up[:] = False, []
+    assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(looked_up) < 30
