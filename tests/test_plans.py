@@ -56,3 +56,8 @@ def test_quotes_beside_plain_loops(spark):
     frame = lambda rows, last: spark.createDataFrame(rows, f"pver_id string, file_id long, line_no int, {last} string")
     got = fa.verify_quotes(frame(quotes, "quote"), frame(lines, "text")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_functions_are_scanned_once(spark):
+    plan = catalog.queries()["x14_fix_index_symbols"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # that of the declarations
