@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparktriage.functions import ctext
 from sparktriage.functions import scalars as S
 from sparktriage.operators import corpus, enrich, facts, graph, paths, symbols, verdict
 from sparktriage.sources import files
@@ -417,3 +418,16 @@ def test_constants(spark):
     text = ["#define N (4u)", "#define N 5", "enum { A = 2, B, C = -7 };", "#if X = 3", "x == 9; y = 0;", "#define M (N + 1)"]
     lines = spark.createDataFrame([("p", 1, i, t) for i, t in enumerate(text, 1)], "pver_id string, file_id long, line_no int, text string")
     assert {r["name"]: r["value"] for r in symbols.extract_constants(lines).collect()} == {"N": 4, "A": 2, "C": -7, "y": 0}
+
+
+def test_statements_that_declare_nothing_are_not_cut_into_pieces(monkeypatch):
+    cut, pieces = [], ctext._PIECE
+
+    class Counted:
+        def finditer(self, *a):
+            cut.append(a[1:])
+            return pieces.finditer(*a)
+
+    monkeypatch.setattr(ctext, "_PIECE", Counted())
+    assert list(ctext.declarations("void f(void) { a[1] = 2; return b; x.y = 3; i = j = 4; {5; é; } uint8 k; }")) == [("k", "uint8", False, 0, "", 1, None)]
+    assert len(cut) == 1
